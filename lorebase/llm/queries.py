@@ -6,12 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, simhash
+from . import lines, mixing, packing, quality, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mix": mixing.op1_mix, "op2_simhash": simhash.op2_simhash}
+    return {
+        "op1_mix": mixing.op1_mix,
+        "op2_simhash": simhash.op2_simhash,
+        "op4_lines": lines.op4_lines,
+        "op5_packing": packing.op5_packing,
+        "op8_quality": quality.op8_quality,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix": mixing.OP1_SQL}
+    return {"op1_mix": mixing.OP1_SQL, "op8_quality": quality.OP8_SQL}
