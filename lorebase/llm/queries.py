@@ -6,18 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lines, mixing, packing, quality, simhash
+from . import lines, mixing, packing, passages, quality, secrets, simhash, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mix": mixing.op1_mix,
         "op2_simhash": simhash.op2_simhash,
+        "op3_secrets": secrets.op3_secrets,
         "op4_lines": lines.op4_lines,
         "op5_packing": packing.op5_packing,
+        "op6_passages": passages.op6_passages,
+        "op7_warc": warc.op7_warc,
         "op8_quality": quality.op8_quality,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix": mixing.OP1_SQL, "op8_quality": quality.OP8_SQL}
+    return {"op1_mix": mixing.OP1_SQL, "op7_warc": warc.OP7_SQL, "op8_quality": quality.OP8_SQL}
