@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lines, mixing, packing, passages, quality, secrets, simhash, warc
+from . import embeddings, lines, mixing, packing, passages, quality, secrets, simhash, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -19,8 +19,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_passages": passages.op6_passages,
         "op7_warc": warc.op7_warc,
         "op8_quality": quality.op8_quality,
+        "op9_embeddings": embeddings.op9_embeddings,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix": mixing.OP1_SQL, "op7_warc": warc.OP7_SQL, "op8_quality": quality.OP8_SQL}
+    return {"op1_mix": mixing.OP1_SQL, "op7_warc": warc.OP7_SQL, "op8_quality": quality.OP8_SQL, "op9_embeddings": embeddings.OP9_SQL}
