@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embeddings, lines, mixing, packing, passages, quality, secrets, simhash, warc
+from . import embeddings, katz, lines, mixing, packing, passages, quality, secrets, simhash, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -20,6 +20,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_warc": warc.op7_warc,
         "op8_quality": quality.op8_quality,
         "op9_embeddings": embeddings.op9_embeddings,
+        "op10_katz": katz.op10_katz,
     }
 
 
