@@ -152,7 +152,7 @@ def map_edges(explicit: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def ends(edges: DataFrame) -> DataFrame:
     """Each edge from both sides: id, other and the edge's columns."""
-    more = [c for c in edges.columns if c not in ("source", "target")]
+    more = [c for c in edges.columns if c not in ("source", "target", "id")]
     return edges.select(F.col("source").alias("id"), F.col("target").alias("other"), *more).unionByName(edges.select(F.col("target").alias("id"), F.col("source").alias("other"), *more))
 
 
