@@ -33,6 +33,14 @@ def upsert(table: DataFrame, rows: DataFrame, key: list[str]) -> DataFrame:
     return table.join(rows.select(*key), key, "left_anti").unionByName(rows)
 
 
+def cascade(child: DataFrame, column: str, deleted: DataFrame, set_null: bool = False) -> DataFrame:
+    """DML-07: rows that refer to deleted ids go, or lose the reference."""
+    gone = deleted.select(F.col("id").alias("_gone")).distinct()
+    if not set_null:
+        return child.join(gone, F.col(column) == F.col("_gone"), "left_anti")
+    return child.join(gone, F.col(column) == F.col("_gone"), "left").withColumn(column, F.when(F.col("_gone").isNull(), F.col(column))).drop("_gone")
+
+
 def transition(table: DataFrame, column: str, ids: list, value: str, allowed_from: list[str] | None = None) -> DataFrame:
     """DML-03: the status of the named rows, where it may change."""
     ok = F.col("id").isin(ids)

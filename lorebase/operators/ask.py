@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..functions import text as tx
 from .search import bm25, exact_search, query_tokens, relation_expand
 
 # The kinds of tasks and the budgets of evidence.
@@ -83,9 +84,29 @@ def with_provenance(text: str, found: dict[str, DataFrame]) -> str:
     return f"{text}\n---\nPages: {', '.join(pages) or 'none'}\nSources: {', '.join(sources) or 'none'}\n"
 
 
+def file_back(prompt: str, text: str, found: dict[str, DataFrame], relations: DataFrame) -> tuple[DataFrame, DataFrame] | None:
+    """QRY-05: the question page and its edges: derived_from the evidence's sources,
+    those behind its pages included, and references to the pages. None without evidence."""
+    pages, sources = found["pages"].select("page_id"), found["sources"].select("source_id")
+    if pages.isEmpty() and sources.isEmpty():
+        return None
+    spark = pages.sparkSession
+    title = question_title(prompt)
+    page = spark.createDataFrame([(title, text)], "title string, body string")
+    slug = tx.slugify(F.col("title"), collapse_dashes=False)
+    page = page.select(F.sha2(F.concat_ws("\u0001", F.lit("question"), slug), 256).alias("id"), F.lit("question").alias("page_type"), slug.alias("slug"), "title", "body", F.lit("active").alias("status"))
+    own = page.select(F.col("id").alias("from_id"))
+    every = sources.union(expand_sources(pages, relations).select("source_id")).distinct()
+    ends = every.select(F.lit("derived_from").alias("relation_type"), F.lit("source").alias("to_kind"), F.col("source_id").alias("to_id")).unionByName(
+        pages.distinct().select(F.lit("references").alias("relation_type"), F.lit("page").alias("to_kind"), F.col("page_id").alias("to_id"))
+    )
+    edges = ends.join(own).withColumn("from_kind", F.lit("page"))  # one page
+    return page, edges.select(F.sha2(F.concat_ws("|", "from_id", "relation_type", "to_id"), 256).alias("id"), "from_kind", "from_id", "relation_type", "to_kind", "to_id", F.lit(1.0).alias("confidence"))
+
+
 def question_title(prompt: str) -> str:
     """SCA-34."""
     return re.sub(r"[.? ]+$", "", prompt[:80])
 
 
-__all__ = ["Plan", "answer", "evidence", "expand_sources", "plan", "query_tokens", "question_title", "with_provenance"]
+__all__ = ["Plan", "answer", "evidence", "expand_sources", "file_back", "plan", "query_tokens", "question_title", "with_provenance"]

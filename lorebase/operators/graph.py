@@ -335,6 +335,12 @@ def hubs(nodes: DataFrame, limit: int = 10) -> DataFrame:
     return nodes.orderBy(F.desc("degree"), F.desc("source_count"), F.lower("label")).limit(limit)
 
 
+def export(parts: dict[str, DataFrame], path: str) -> None:
+    """SNK-07: nodes, edges, groups and stats as JSON lines, a folder of each."""
+    for name, df in parts.items():
+        df.write.mode("overwrite").json(f"{path}/{name}")
+
+
 def report(parts: dict[str, DataFrame], name: str) -> str:
     """SNK-07: the map as Markdown, from its bounded tables."""
     s = parts["stats"].first()

@@ -7,6 +7,7 @@ import re
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import text as tx
+from ..functions.stemming import stem, stems_udf
 
 # BM25 constants and the multipliers of page types and trust levels.
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
@@ -31,15 +32,18 @@ def query_tokens(query: str) -> list[str]:
     return list(dict.fromkeys(re.findall(r"[^\W_]+", folded)))
 
 
-def bm25(units: DataFrame, query: str, unit_types: list[str] | None = None) -> DataFrame:
+def bm25(units: DataFrame, query: str, unit_types: list[str] | None = None, stemmed: bool = False) -> DataFrame:
     """FTS-03/04: units that hold every term, with score (higher is better).
 
     Only the query's terms are counted: a unit's words are filtered before they
     are exploded, so the shuffle carries matches, while sizes and document
-    frequencies, of the whole index, come from one pass of sums.
+    frequencies, of the whole index, come from one pass of sums. ``stemmed``
+    compares English stems (in Arrow batches) instead of words.
     """
     terms = query_tokens(query)
     words = tx.tokens(F.concat_ws(" ", "title", "body"))
+    if stemmed:
+        terms, words = list(dict.fromkeys(map(stem, terms))), stems_udf(words)
     sized = units.withColumn("_w", words).withColumn("_dl", F.size("_w"))
     for i, t in enumerate(terms):
         sized = sized.withColumn(f"_tf{i}", F.size(F.filter("_w", _is(t))))
@@ -69,11 +73,11 @@ def boost(column, table: dict[str, float], default: float):
     return F.coalesce(F.element_at(m, column), F.lit(default))
 
 
-def search(units: DataFrame, query: str, limit: int = 20, unit_types: list[str] | None = None, pages: DataFrame | None = None, sources: DataFrame | None = None) -> DataFrame:
+def search(units: DataFrame, query: str, limit: int = 20, unit_types: list[str] | None = None, pages: DataFrame | None = None, sources: DataFrame | None = None, stemmed: bool = False) -> DataFrame:
     """FTS-05/06: the best ``limit`` units by BM25, then re-ranked by the boosts of
     their page's type and source's trust (a missing page or source leaves the
     score), with an excerpt. Boosts act inside the window that BM25 chose."""
-    top = bm25(units, query, unit_types).orderBy(F.desc("score"), "unit_id").limit(limit)
+    top = bm25(units, query, unit_types, stemmed).orderBy(F.desc("score"), "unit_id").limit(limit)
     if pages is not None:
         p = pages.select(F.col("id").alias("page_id"), "page_type")
         top = top.join(p, "page_id", "left").withColumn("score", F.when(F.col("page_type").isNull(), F.col("score")).otherwise(F.col("score") * boost(F.col("page_type"), PAGE_BOOST, 1.0)))

@@ -9,8 +9,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions.text import markdown_summary  # noqa: F401
 from ..operators import ask, checks, compile as pages_, graph, normalize, resolve, search
+from ..operators.shared import written
 from ..sources import files
 
 
@@ -63,14 +63,14 @@ class KnowledgeEngine:
         """Folder to sources, normalised documents, resolved entities and pages (CMP-03)."""
         found = files.scan_folder(self.spark, folder)
         sources = files.text_documents(found)
-        documents = normalize.clean(self.extractor(sources))
-        t = normalize.tables(documents)
-        groups = resolve.clusters(t["entities"])
+        documents = written(normalize.clean(self.extractor(sources)), "documents")
+        t = {name: written(df, name) for name, df in normalize.tables(documents).items()}
+        groups = written(resolve.clusters(t["entities"]), "groups")
         entities = resolve.merged_entities(t["entities"], groups).withColumn("description", F.lit(None).cast("string"))
         relations = t["relations"].select(F.sha2(F.concat_ws("|", "from_id", "relation_type", "to_id"), 256).alias("id"), F.lit("entity").alias("from_kind"), "from_id", "relation_type", F.lit("entity").alias("to_kind"), "to_id", "confidence", "evidence_source_id")
         mentions = documents.select("source_id", F.explode("entities").alias("e")).join(t["entities"].select("id", "canonical_name"), F.col("e.name") == F.col("canonical_name")).join(groups.select("id", "winner"), "id")
         mentions = mentions.select("source_id", "winner").distinct().select(F.sha2(F.concat_ws("|", "source_id", "winner"), 256).alias("id"), F.lit("source").alias("from_kind"), F.col("source_id").alias("from_id"), F.lit("mentions").alias("relation_type"), F.lit("entity").alias("to_kind"), F.col("winner").alias("to_id"), F.lit(0.35).alias("confidence"), F.col("source_id").alias("evidence_source_id"))
-        relations = resolve.merged_relations(relations, groups).unionByName(mentions)
+        entities, relations = written(entities, "entities"), written(resolve.merged_relations(relations, groups).unionByName(mentions), "relations")
         supports = graph.support(entities, relations)
         sp = pages_.source_pages(documents)
         cp = pages_.concept_pages(entities, relations, supports, documents)

@@ -205,3 +205,17 @@ def test_jobs_stream(spark, tmp_path):
     q = jobs.ingest_files(spark, str(tmp_path / "events"), e.schema, str(tmp_path / "c2"), str(tmp_path / "out"), lambda df: df)
     q.awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 4
+
+
+def test_stemmed_search(spark):
+    u = spark.createDataFrame([(1, "", "the models are running"), (2, "", "nothing"), (3, "", "more of it")], "unit_id int, title string, body string")
+    assert [r["unit_id"] for r in search.search(u, "model runs", stemmed=True).collect()] == [1] and search.search(u, "model runs").count() == 0
+
+
+def test_file_back(spark):
+    found = {"pages": spark.createDataFrame([("p",)], "page_id string"), "sources": spark.createDataFrame([("s",)], "source_id string")}
+    r = spark.createDataFrame([("1", "page", "p", "derived_from", "source", "t", 1.0, None)], RELATION)
+    page, edges = ask.file_back("What is it?  ", "text", found, r)
+    assert page.first()["title"] == "What is it" and sorted((x["relation_type"], x["to_id"]) for x in edges.collect()) == [("derived_from", "s"), ("derived_from", "t"), ("references", "p")]
+    none = {k: v.limit(0) for k, v in found.items()}
+    assert ask.file_back("x", "y", none, r) is None

@@ -87,3 +87,17 @@ def test_settings(spark):
     assert settings.updated({}, {"llm_provider": "x"})["llm_provider"] == "anthropic"
     a = spark.createDataFrame([("a", 1), ("b", 2)], "k string, v int")
     assert sorted(settings.upsert(a, spark.createDataFrame([("b", 3)], "k string, v int"), ["k"]).collect()) == [("a", 1), ("b", 3)]
+
+
+def test_stems():
+    from lorebase.functions.stemming import stem
+
+    pairs = "caresses caress ponies poni cats cat feed feed agreed agre plastered plaster motoring motor sing sing conflated conflat hopping hop falling fall filing file happy happi sky sky relational relat conditional condit vietnamization vietnam triplicate triplic hopefulness hope adjustment adjust adoption adopt controlling control rate rate".split()
+    assert [(w, stem(w)) for w in pairs[::2]] == list(zip(pairs[::2], pairs[1::2], strict=True))
+
+
+def test_cascade(spark):
+    child = spark.createDataFrame([(1, "a"), (2, "b")], "n int, ref string")
+    gone = spark.createDataFrame([("a",)], "id string")
+    assert [tuple(r) for r in settings.cascade(child, "ref", gone).collect()] == [(2, "b")]
+    assert sorted(tuple(r) for r in settings.cascade(child, "ref", gone, True).collect()) == [(1, None), (2, "b")]
