@@ -4,6 +4,8 @@ rules, distributed ranks and connected components."""
 from __future__ import annotations
 
 import atexit
+import gc
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -53,13 +55,18 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def free_shuffles(spark: SparkSession) -> None:
+    """Lets the driver notice that finished jobs' shuffles are garbage, so that
+    their files go before the next ones come: first Python lets go of the plans,
+    then the JVM; the second pass meets what the first has only marked."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
-def ascii_lower(col: Column) -> Column:
-    """Lower-cases A-Z only, unlike ``lower``."""
-    return F.translate(col, UPPER, UPPER.lower())
+def shuffle_partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def word_count(text: Column) -> Column:

@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import materialize, new_path
+from .common import free_shuffles, materialize, new_path
 
 #: Most bytes of a record's block; longer ones go on in continuation records.
 SEGMENT = 1 << 16
@@ -19,7 +19,7 @@ CHUNK = 1 << 13
 RECORDS = 2000
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
 
-FIELDS = "record_id string, record_type string, target_uri string, refers_to_id string, payload_digest string, segment int, origin_id string, total_length long"
+FIELDS = "record_id string, record_type string, target_uri string, refers_to_id string, payload_digest string, segment int, origin_id string, total_length long, payload_bytes long"
 READ = f"{FIELDS}, block binary, payload binary, problem string"
 
 
@@ -165,8 +165,8 @@ def _decoded(r: dict) -> dict:
     try:
         payload = http_payload(r["block"])
         if (want := r.get("payload_digest")) and want != f"sha1:{digest(payload)}":
-            return r | {"block": None, "payload": payload, "problem": "the digest differs"}
-        return r | {"block": None, "payload": payload}
+            return r | {"block": None, "payload": payload, "payload_bytes": len(payload), "problem": "the digest differs"}
+        return r | {"block": None, "payload": payload, "payload_bytes": len(payload)}
     except ValueError as e:
         return r | {"problem": str(e)}
 
@@ -180,9 +180,10 @@ def _schema() -> pa.Schema:
     return pa.schema([(n, kinds[k]) for n, k in (x.split() for x in READ.split(", "))])
 
 
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
+def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
     """One row per record of the archives under ``path`` (see READ), segments
-    joined and payloads decoded.
+    joined and payloads decoded; without ``payloads`` these are only measured
+    and checked.
 
     Segments are grouped by the identifier of their first record, ordered by
     number and joined; where a number is missing or the length is not the total
@@ -199,8 +200,8 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                 for r in parse_archive(content.as_py()):
                     if r["record_type"] == "response" and r["segment"] is None:
                         r = _decoded(r)
-                    rows.append(r)
-                    held += len(r.get("payload") or r.get("block") or b"")
+                    rows.append(r if payloads else r | {"payload": None})
+                    held += len(rows[-1].get("payload") or rows[-1].get("block") or b"")
                     if held > 1 << 24:
                         yield _batch(rows, schema)
                         rows, held = [], 0
@@ -218,7 +219,8 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                     elif r["total_length"] != len(block):
                         rows.append(r | {"problem": f"{len(block)} bytes of {r['total_length']}"})
                     else:
-                        rows.append(_decoded(r | {"block": block, "segment": None}))
+                        r = _decoded(r | {"block": block, "segment": None})
+                        rows.append(r if payloads else r | {"payload": None})
                 yield _batch(rows, schema)
 
     records = materialize(spark.read.format("binaryFile").load(path).select("content").mapInArrow(parse, READ), "warc-records")
@@ -230,14 +232,14 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     return records.where("segment is null").unionByName(joined.mapInArrow(rejoin, READ))
 
 
-def round_trip(pages: DataFrame, path: str | None = None, segment: int = SEGMENT) -> DataFrame:
+def round_trip(pages: DataFrame, path: str | None = None, segment: int = SEGMENT, payloads: bool = True) -> DataFrame:
     """page_id, url, payload_bytes, payload_digest, record_type, refers_to,
     payload (null for revisits): ``pages`` written to archives and read back."""
     spark = pages.sparkSession
     path = path or new_path(spark, "warc")
     write_archives(pages, path, segment)
-    found = read_archives(spark, path).where(F.col("record_type").isin("response", "revisit"))
-    found = found.withColumn("payload_bytes", F.length("payload").cast("long"))
+    free_shuffles(spark)
+    found = read_archives(spark, path, payloads).where(F.col("record_type").isin("response", "revisit"))
     page = lambda c: F.expr(f"try_cast(nullif(regexp_extract({c}, '^<urn:page:(-?[0-9]*):', 1), '') as bigint)")
     sizes = found.where("record_type = 'response'").select(F.col("record_id").alias("_r"), F.col("payload_bytes").alias("_n"))
     j = found.join(sizes, F.col("refers_to_id") == F.col("_r"), "left")
@@ -248,7 +250,7 @@ def round_trip(pages: DataFrame, path: str | None = None, segment: int = SEGMENT
 
 
 def op7_warc(spark, sf_dir: str) -> DataFrame:
-    out = round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    out = round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"), payloads=False)
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "problem")
 
 
