@@ -174,7 +174,7 @@ def query_terms(c: Column, limit: int = 5) -> Column:
 
 def answer_title(c: Column) -> Column:
     """SCA-34."""
-    return F.regexp_replace(F.substring(c, 1, 80), "[.? ]+$", "")
+    return F.regexp_replace(F.substring(c, 1, 80), r"[.? ]+\z", "")
 
 
 def safe_file_name(c: Column) -> Column:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, Window, functions as F
@@ -106,7 +105,7 @@ def file_back(prompt: str, text: str, found: dict[str, DataFrame], relations: Da
 
 def question_title(prompt: str) -> str:
     """SCA-34."""
-    return re.sub(r"[.? ]+$", "", prompt[:80])
+    return prompt[:80].rstrip(".? ")
 
 
 __all__ = ["Plan", "answer", "evidence", "expand_sources", "file_back", "plan", "query_tokens", "question_title", "with_provenance"]
