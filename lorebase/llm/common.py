@@ -25,12 +25,15 @@ def shared_dir(spark: SparkSession) -> str:
     return (found or "file:///tmp/checkpoints").rstrip("/")
 
 
+def drop_folder(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def _delete_all() -> None:
     for spark, path in _written:
         try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            drop_folder(spark, path)
         except Exception:  # the session is gone: the folder's owner clears it
             return
 
@@ -69,6 +72,15 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Rows of a table of a few numbers each that may be sent to every executor.
+FEW = 200_000
+
+
+def sent_if_few(df: DataFrame) -> DataFrame:
+    """``df``, to be broadcast if it has at most FEW rows; counted first."""
+    return F.broadcast(df) if df.limit(FEW + 1).count() <= FEW else df
+
+
 def word_count(text: Column) -> Column:
     """Words in ``text`` as long; null has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
@@ -96,7 +108,7 @@ def ranked(df: DataFrame, group: str, order: list[Column], tag: str) -> DataFram
 
     before = Window.partitionBy("_g").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     runs = runs.withColumn("_shift", F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).drop("_n", "_first")
-    out = placed.join(runs, placed[group].eqNullSafe(runs["_g"]) & (placed["_part"] == runs["_p"]))
+    out = placed.join(sent_if_few(runs), placed[group].eqNullSafe(runs["_g"]) & (placed["_part"] == runs["_p"]))
     return out.withColumn("_rank", F.col("_at") + F.col("_shift")).drop("_g", "_p", "_part", "_at", "_shift")
 
 

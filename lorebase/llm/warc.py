@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import free_shuffles, materialize, new_path
+from .common import free_shuffles, materialize, new_path, sent_if_few
 
 #: Most bytes of a record's block; longer ones go on in continuation records.
 SEGMENT = 1 << 16
@@ -68,8 +68,11 @@ def classified(pages: DataFrame) -> DataFrame:
         F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8").alias("payload"),
     )
     rows = materialize(rows.withColumn("_sha", F.sha1("payload")), "warc-pages")
-    best = rows.groupBy(F.col("_sha").alias("_k"), F.length("payload").alias("_n")).agg(F.max(F.struct("page_id", "_uid")).alias("_to"))
-    return rows.join(best, (F.col("_sha") == F.col("_k")) & (F.length("payload") == F.col("_n"))).select("_uid", "page_id", "url", "payload", "_to")
+    mine = F.struct("page_id", "_uid")
+    best = rows.groupBy(F.col("_sha").alias("_k"), F.length("payload").alias("_n")).agg(F.max(mine).alias("_best"), F.count("*").alias("_c")).where("_c > 1").drop("_c")
+    # Payloads are shuffled only if the classes of copies are too many to send to them.
+    j = rows.join(sent_if_few(materialize(best, "warc-copies")), (F.col("_sha") == F.col("_k")) & (F.length("payload") == F.col("_n")), "left")
+    return j.select("_uid", "page_id", "url", "payload", F.coalesce("_best", mine).alias("_to"))
 
 
 def write_archives(pages: DataFrame, path: str, segment: int = SEGMENT) -> None:
