@@ -9,10 +9,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import UPPER, materialize
+from .common import UPPER, drop_folder, free_shuffles, materialize, new_path
 
 #: Tokens of a block of documents, the unit that asks for counts.
-BLOCK = 2_000_000
+BLOCK = 1_000_000
 #: Entries (a block's distinct words or pairs) that one table partition gets on average.
 ENTRIES = 500_000
 #: Counts above this are not discounted.
@@ -27,11 +27,14 @@ END_WORD = b" "
 
 
 def packed(x: np.ndarray) -> bytes:
-    return zlib.compress(np.ascontiguousarray(x).tobytes(), 1)
+    """The first bytes of all numbers, then the second ones and so on, compressed."""
+    x = np.ascontiguousarray(x).ravel()
+    return zlib.compress(x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes(), 1)
 
 
 def unpacked(x: bytes, kind) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(x), kind)
+    planes = np.frombuffer(zlib.decompress(x), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
 
 
 def good_turing(n: np.ndarray) -> np.ndarray:
@@ -98,12 +101,13 @@ def _words(text: bytes, lower: bytes) -> list[bytes]:
     return text.translate(lower).split()  # bytes.split() knows just the six ASCII separators
 
 
-BLOCKS = "block long, ids array<bigint>, held array<boolean>, sizes binary, vocab binary, n_vocab long, n_tokens long, trained binary, tokens binary"
+BLOCKS = "kind string, block long, ids array<bigint>, held array<boolean>, sizes binary, vocab binary, n_vocab long, n_tokens long, trained binary, tokens binary"
 
 
 def block_table(docs: DataFrame, block: int) -> DataFrame:
-    """Blocks of whole documents: the distinct word hashes, their counts in the
-    training documents, and each document's tokens as places among them."""
+    """Blocks of whole documents, two rows each: of kind tokens, with each
+    document's tokens as places among the block's distinct words, and of kind
+    words, with their hashes and their counts in the training documents."""
     lower = bytes.maketrans(UPPER.encode(), UPPER.lower().encode())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,7 +122,8 @@ def block_table(docs: DataFrame, block: int) -> DataFrame:
             vocab, places = np.unique(tokens, return_inverse=True)
             train = np.repeat(~np.array(held, bool), size)
             trained = np.bincount(places[train], minlength=len(vocab)).astype(np.uint32)
-            return _one(BLOCKS, [(number, ids[:], held[:], size.tobytes(), vocab.tobytes(), len(vocab), len(tokens), packed(trained), packed(places.astype(np.uint32)))])
+            texts = ("tokens", number, ids[:], held[:], size.tobytes(), None, len(vocab), len(tokens), None, packed(places.astype(np.uint32)))
+            return _one(BLOCKS, [texts, ("words", number, None, None, None, vocab.tobytes(), None, None, packed(trained), None)])
 
         for b in batches:
             for id_, text, out in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()), b.column(2).to_pylist(), strict=True):
@@ -150,7 +155,7 @@ def _dealt(part: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def _one(kinds: str, rows: list[tuple]) -> pa.RecordBatch:
-    types = {"long": pa.int64(), "binary": pa.binary(), "double": pa.float64(), "boolean": pa.bool_(), "array<bigint>": pa.list_(pa.int64()), "array<boolean>": pa.list_(pa.bool_()), "array<double>": pa.list_(pa.float64())}
+    types = {"string": pa.string(), "long": pa.int64(), "binary": pa.binary(), "double": pa.float64(), "boolean": pa.bool_(), "array<bigint>": pa.list_(pa.int64()), "array<boolean>": pa.list_(pa.bool_()), "array<double>": pa.list_(pa.float64())}
     fields = [x.split() for x in kinds.split(", ")]
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], types[t]) for i, (_, t) in enumerate(fields)], names=[n for n, _ in fields])
 
@@ -164,17 +169,15 @@ SCORES = "id long, held_out boolean, n_tokens long, n_known long, train_tokens l
 START = np.uint64((1 << 40) - 1)
 
 
-def _known(vocab: bytes, words: list[dict], parts: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and training counts of a block's words, in its own order."""
-    vocab = np.frombuffer(vocab, np.uint64)
-    ids, c = np.empty(len(vocab), np.uint64), np.empty(len(vocab), np.uint64)
-    for (_, rows), said in zip(_dealt(_part(vocab, parts)), words, strict=True):
-        ids[rows], c[rows] = unpacked(said["a"], np.uint64), unpacked(said["b"], np.uint64)
-    return ids, c
+def _known(words: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and training counts of a block's words. Partitions hold ranges of
+    hashes, so their replies follow one another in the block's order."""
+    return np.concatenate([unpacked(w["a"], np.uint64) for w in words]), np.concatenate([unpacked(w["b"], np.uint64) for w in words])
 
 
-def _part(words: np.ndarray, parts: int) -> np.ndarray:
-    return (words % np.uint64(parts)).astype(np.int64)
+def _part(words: np.ndarray, bits: int) -> np.ndarray:
+    """The partition of a word's hash: its leading bits."""
+    return (words >> np.uint64(32) >> np.uint64(32 - bits)).astype(np.int64)
 
 
 def _pairs(ids: np.ndarray, c: np.ndarray, tokens: np.ndarray, sizes: np.ndarray, docs_trained: int):
@@ -231,15 +234,22 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if held_out is None:
         held_out = F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % 10 == 0
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), held_out.alias("held"))
-    blocks = materialize(block_table(source, block), "katz-blocks")
+    path = new_path(spark, "katz-blocks")
+    block_table(source, block).write.partitionBy("kind").parquet(path)
+
+    def kind(name: str) -> DataFrame:
+        return spark.read.schema(BLOCKS).parquet(path).where(F.col("kind") == name)
+
+    blocks = kind("tokens")
     n_entries = blocks.agg(F.coalesce(F.sum("n_vocab"), F.lit(0))).first()[0]
-    parts1 = max(1, -(-n_entries // entries))
+    bits1 = max(0, min(31, (n_entries // entries).bit_length()))
+    parts1 = 1 << bits1
 
     def ask_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for number, vocab, trained in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                 vocab, trained = np.frombuffer(vocab, np.uint64), unpacked(trained, np.uint32)
-                yield _one(ASK1, [(p, number, vocab[rows].tobytes(), packed(trained[rows])) for p, rows in _dealt(_part(vocab, parts1))])
+                yield _one(ASK1, [(p, number, vocab[rows].tobytes(), packed(trained[rows])) for p, rows in _dealt(_part(vocab, bits1))])
 
     def merge_words(table: pa.Table) -> pa.Table:
         p = table.column("p")[0].as_py()
@@ -254,8 +264,12 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         often = c > HOT
         return pa.Table.from_batches([_one(SAY1, [*rows, (p, -1, ids[often].tobytes(), c[often].tobytes(), stats)])])
 
-    asked = blocks.select("block", "vocab", "trained").mapInArrow(ask_words, ASK1)
+    asked = kind("words").select("block", "vocab", "trained").mapInArrow(ask_words, ASK1)
     said1 = materialize(asked.groupBy("p").applyInArrow(merge_words, SAY1), "katz-words")
+    # The hashes have done their work.
+    drop_folder(spark, f"{path}/kind=words")
+    free_shuffles(spark)
+    blocks = kind("tokens")
 
     def summed(said: DataFrame, width: int) -> np.ndarray:
         row = said.where("block = -1").agg(*[F.coalesce(F.sum(F.get("stats", F.lit(i))), F.lit(0)) for i in range(width)]).first()
@@ -278,13 +292,13 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def replies(said: DataFrame, name: str) -> DataFrame:
         return said.where("block >= 0").groupBy(F.col("block").alias(f"_{name}")).agg(F.sort_array(F.collect_list(F.struct("p", "a", "b"))).alias(name))
 
-    with_words = blocks.join(replies(said1, "words"), F.col("block") == F.col("_words"))
+    with_words = blocks.select("block", "ids", "held", "sizes", "tokens").join(replies(said1, "words"), F.col("block") == F.col("_words"))
 
     def ask_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row in range(b.num_rows):
-                number, held, sizes, vocab, tokens, words = (b.column(i)[row].as_py() for i in range(6))
-                ids, c = _known(vocab, words, parts1)
+                number, held, sizes, tokens, words = (b.column(i)[row].as_py() for i in range(5))
+                ids, c = _known(words)
                 tokens, sizes = unpacked(tokens, np.uint32).astype(np.int64), np.frombuffer(sizes, np.int64)
                 ctx, tgt, pair, all_ids, all_c = _pairs(ids, c, tokens, sizes, docs_trained)
                 train = np.repeat(~np.array(held, bool), sizes)
@@ -318,8 +332,9 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         big = np.isin(contexts, hot_ids)
         return pa.Table.from_batches([_one(SAY1, [*rows, (p, -1, contexts[big].tobytes(), sums[big].tobytes(), [int((c == r).sum()) for r in range(1, K + 2)])])])
 
-    asked = with_words.select("block", "held", "sizes", "vocab", "tokens", "words").mapInArrow(ask_pairs, ASK2)
+    asked = with_words.select("block", "held", "sizes", "tokens", "words").mapInArrow(ask_pairs, ASK2)
     said2 = materialize(asked.groupBy("p").applyInArrow(merge_pairs, SAY1), "katz-pairs")
+    free_shuffles(spark)
     discount = good_turing(np.concatenate([[0], summed(said2, K + 1)]))
 
     def hot_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -335,8 +350,8 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row in range(b.num_rows):
-                doc_ids, held, sizes, vocab, tokens, words, said = (b.column(i)[row].as_py() for i in range(7))
-                ids, c = _known(vocab, words, parts1)
+                doc_ids, held, sizes, tokens, words, said = (b.column(i)[row].as_py() for i in range(6))
+                ids, c = _known(words)
                 tokens, sizes = unpacked(tokens, np.uint32).astype(np.int64), np.frombuffer(sizes, np.int64)
                 ctx, tgt, pair, all_ids, all_c = _pairs(ids, c, tokens, sizes, docs_trained)
                 x, seen = np.zeros((len(all_ids), Contexts.WIDTH)), np.empty(len(ctx), np.int64)
@@ -360,7 +375,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 )
 
     ready = with_words.join(replies(said2, "pairs"), F.col("block") == F.col("_pairs"))
-    out = ready.select("ids", "held", "sizes", "vocab", "tokens", "words", "pairs").mapInArrow(score, SCORES)
+    out = ready.select("ids", "held", "sizes", "tokens", "words", "pairs").mapInArrow(score, SCORES)
     return out.withColumnRenamed("id", id_col)
 
 
