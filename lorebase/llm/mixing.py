@@ -8,7 +8,7 @@ from fractions import Fraction
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import ranked, word_count
+from .common import ranked, sent_if_few, word_count
 
 #: Copies are counted in units of 2**-SCALE, so that sums are exact.
 SCALE = 28
@@ -76,7 +76,7 @@ def mix_sources(
     order = sorted(sums, key=lambda s: (s is None, s or ""))
     targets = water_fill(sums, {s: weights[i % len(weights)] for i, s in enumerate(order)}, Fraction(share), Fraction(cap))
     rows = [(s, sums[s], float(targets.get(s, 0)), int(float(targets.get(s, 0)) / sums[s] * 2**SCALE) if sums[s] else 0, offset(s, seed)) for s in order]
-    plan = spark.createDataFrame(rows, "_s string, source_size long, target double, _rate long, _offset long")
+    plan = sent_if_few(spark.createDataFrame(rows, "_s string, source_size long, target double, _rate long, _offset long"))
     one, mask = 1 << SCALE, (1 << SCALE) - 1
     # Only the start's place between two boundaries matters, so a rank may be taken modulo 2**SCALE.
     begin = F.col("_rank").bitwiseAND(mask) * F.col("_rate") + F.col("_offset")
@@ -88,7 +88,7 @@ def mix_sources(
     takes = [F.sum(crossed(F.lit(j * one // TURNS)) * F.col("_size")) for j in range(TURNS)]
     taken = timed.groupBy(source_col).agg(*[t.alias(f"_{j}") for j, t in enumerate(takes)]).collect()
     best = [(r[0], min(range(TURNS), key=lambda j: (abs(r[j + 1] - float(targets.get(r[0], 0))), j)) * one // TURNS) for r in taken]
-    turns = spark.createDataFrame(best, "_t string, _turn long")
+    turns = sent_if_few(spark.createDataFrame(best, "_t string, _turn long"))
     return (
         timed.join(turns, F.col(source_col).eqNullSafe(F.col("_t")))
         .withColumn("copies", crossed(F.col("_turn")))
