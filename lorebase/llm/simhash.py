@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -106,6 +107,14 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return kept.mapInArrow(run, f"`{id_col}` {dict(kept.dtypes)[id_col]}, fp long")
 
 
+def _in_blocks(keyed: DataFrame, large: DataFrame, value: str) -> DataFrame:
+    """Adds ``sub``: each pair of blocks of a bucket named in ``large`` (_k, _n) is a bucket of its own."""
+    mine = F.pmod(F.xxhash64(value), F.col("_n")).cast("int")
+    keyed = keyed.join(large, F.col("key") == F.col("_k"), "left").withColumn("_b", F.coalesce(mine, F.lit(0)))
+    keyed = keyed.withColumn("_o", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_n"), F.lit(1)) - 1)))
+    return keyed.withColumn("sub", F.least("_b", "_o").cast("long") * F.lit(1 << 31) + F.greatest("_b", "_o"))
+
+
 def fingerprint_links(distinct: DataFrame, radius: int = 4, block: int = 4096) -> DataFrame:
     """Links (u, v) between the distinct fingerprints of column fp that join
     all that differ in ``radius`` (4 at most) bits or fewer.
@@ -180,10 +189,7 @@ def fingerprint_links(distinct: DataFrame, radius: int = 4, block: int = 4096) -
     if large.isEmpty():
         keyed = keyed.withColumn("sub", F.lit(0).cast("long"))
     else:
-        mine = F.pmod(F.xxhash64("fp"), F.col("_n")).cast("int")
-        keyed = keyed.join(large, F.col("key") == F.col("_k"), "left").withColumn("_b", F.coalesce(mine, F.lit(0)))
-        keyed = keyed.withColumn("_o", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_n"), F.lit(1)) - 1)))
-        keyed = keyed.withColumn("sub", F.least("_b", "_o").cast("long") * F.lit(1 << 31) + F.greatest("_b", "_o"))
+        keyed = _in_blocks(keyed, large, "fp")
     dealt = keyed.select("key", "sub", "fp").repartition(shuffle_partitions(spark), "key", "sub").sortWithinPartitions("key", "sub")
     return dealt.mapInArrow(compare, "u long, v long")
 
@@ -218,6 +224,171 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     return named.unionByName(docs.where(F.col(id_col).isNull()))
 
 
+#: Near copies: words of a shingle and least Jaccard similarity of the sets of shingles.
+NEAR_WORDS, NEAR_PERCENT = 5, 80
+#: A pair just at the least similarity differs in about this share of its bits
+#: (the angle of sets of one size, over pi), and may be missed this often.
+NEAR_BITS, NEAR_MISSED = math.acos(2 * NEAR_PERCENT / (100 + NEAR_PERCENT)) / math.pi, 0.002
+#: Pairs that share a short fingerprint are compared if 128 other bits differ in this many at most
+#: (at the least similarity 19 on average, spread 4; of unlike texts 64, spread 6).
+NEAR_RADIUS = 40
+#: Sets of this many shingles at most are also keyed exactly; a bit says more of them than of large sets.
+NEAR_SMALL = 5
+_EIGHT = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(np.uint64).ravel()
+
+
+def shingle_hashes(text: bytes, table: bytes, n: int) -> np.ndarray:
+    """Sorted distinct hashes of the runs of ``n`` words, of all words if there are fewer."""
+    import xxhash
+
+    words = text.translate(table).split()
+    runs = {b" ".join(words[i : i + n]) for i in range(max(1, len(words) - n + 1))} if words else ()
+    return np.unique(np.array([xxhash.xxh64_intdigest(r, 42) for r in runs], np.uint64))
+
+
+def long_fingerprint(hashes: np.ndarray, blocks: int) -> np.ndarray:
+    """SimHash of 64 bits per block, each block by hashes of its own, as bytes."""
+    votes = np.zeros(blocks * 64, np.int64)
+    with np.errstate(over="ignore"):
+        seeds = np.arange(1, blocks + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        for at in range(0, len(hashes), 255):  # eight counters to a word hold up to 255
+            x = hashes[at : at + 255, None] + seeds
+            x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            x ^= x >> np.uint64(31)
+            votes += _EIGHT[x.view(np.uint8)].sum(0, dtype=np.uint64).view(np.uint8)
+    return np.packbits(votes * 2 > len(hashes))
+
+
+def near_bands(rows: int) -> tuple[int, int]:
+    """Number and width of the short fingerprints: wide enough that some 32 of
+    ``rows`` unlike texts share one, and as many as NEAR_MISSED asks for."""
+    width = max(8, round(math.log2(max(rows, 1) / 32)))
+    return math.ceil(math.log(NEAR_MISSED) / math.log(1 - (1 - NEAR_BITS) ** width)), width
+
+
+def near_links(docs: DataFrame, id_col: str, text_col: str, block: int = 4096) -> tuple[DataFrame, DataFrame]:
+    """(cls, _rep) and links (u, v) between classes: a class is a set of
+    shingles with the smallest id that has it, a link joins sets whose
+    Jaccard similarity, counted exactly, is NEAR_PERCENT or more.
+
+    Candidates share one of the short fingerprints (see ``near_bands``), differ
+    in NEAR_RADIUS of 128 other bits at most, and all of them are verified.
+    """
+    spark = docs.sparkSession
+    lower = bytes.maketrans(UPPER.encode(), UPPER.lower().encode())
+    docs = docs.select(id_col, F.col(text_col).cast("string").alias(text_col))
+    bands, width = near_bands(docs.count())
+    blocks = 2 + -(-bands * width // 64)
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for b in batches:
+            cls, bits, small = [], [], []
+            for t in b.column(1).cast(pa.binary()):
+                h = shingle_hashes(t.as_py() or b"", lower, NEAR_WORDS)
+                cls.append(xxhash.xxh64_intdigest(h.tobytes(), 7))
+                bits.append(long_fingerprint(h, blocks).tobytes())
+                small.append((h[:2] >> np.uint64(2)).astype(np.int64).tolist() if len(h) <= NEAR_SMALL else [])
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array(np.array(cls, np.uint64).view(np.int64)), pa.array(bits, pa.binary()), pa.array(small, pa.list_(pa.int64()))], names=[id_col, "cls", "bits", "small"]
+            )
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit = (1 << np.arange(width, dtype=np.int64))[::-1]
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                b = whole.slice(at, 1000)
+                cls = b.column(0).to_numpy(zero_copy_only=False)
+                raw = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(len(cls), -1)
+                fp = np.ascontiguousarray(raw[:, :16]).view(np.int64)
+                parts = np.unpackbits(raw[:, 16:], axis=1)[:, : bands * width].reshape(len(cls), bands, width)
+                keys = [(parts @ unit + (np.arange(bands) << 32)).ravel()]
+                rows = [np.repeat(np.arange(len(cls)), bands)]
+                small = b.column(2).to_pylist()
+                keys.append(np.array([k | 1 << 62 for x in small for k in x], np.int64))
+                rows.append(np.array([i for i, x in enumerate(small) for _ in x], np.int64))
+                r = np.concatenate(rows)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.concatenate(keys), cls[r], fp[r, 0], fp[r, 1])], names=["key", "cls", "f", "g"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = None
+
+        def pairs(c: list[np.ndarray]) -> pa.RecordBatch:
+            k, s, cls, f, g = c
+            u, v, at, step = [], [], np.arange(len(k)), 1
+            while len(at := at[at + step < len(k)]):
+                at = at[(k[at] == k[at + step]) & (s[at] == s[at + step])]
+                apart = np.bitwise_count(f[at] ^ f[at + step]) + np.bitwise_count(g[at] ^ g[at + step])
+                hit = at[(apart <= NEAR_RADIUS) | (k[at] >= 1 << 62)]
+                u.append(cls[hit])
+                v.append(cls[hit + step])
+                step += 1
+            both = np.sort(np.stack([np.concatenate(u), np.concatenate(v)]), axis=0) if u else np.zeros((2, 0), np.int64)
+            both = np.unique(both[:, both[0] < both[1]], axis=1)
+            return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["u", "v"])
+
+        for b in batches:
+            c = [b.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
+            c[3], c[4] = c[3].view(np.uint64), c[4].view(np.uint64)
+            c = c if kept is None else [np.concatenate(x) for x in zip(kept, c, strict=True)]
+            if not len(c[0]):
+                continue
+            # The last bucket may go on in the next batch.
+            other = (c[0] != c[0][-1]) | (c[1] != c[1][-1])
+            last = len(other) - int(np.argmax(other[::-1])) if other.any() else 0
+            kept = [x[last:] for x in c]
+            yield pairs([x[:last] for x in c])
+        if kept is not None:
+            yield pairs(kept)
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            stay = []
+            for x, y in zip(b.column(2).cast(pa.binary()), b.column(3).cast(pa.binary()), strict=True):
+                p, q = (shingle_hashes(t.as_py() or b"", lower, NEAR_WORDS) for t in (x, y))
+                shared = len(np.intersect1d(p, q, assume_unique=True))
+                stay.append(100 * shared >= NEAR_PERCENT * (len(p) + len(q) - shared))
+            yield b.select([0, 1]).filter(pa.array(stay, pa.bool_()))
+
+    kind = dict(docs.dtypes)[id_col]
+    sketches = materialize(docs.mapInArrow(sketch, f"`{id_col}` {kind}, cls long, bits binary, small array<long>"), "near-sketch")
+    names = materialize(sketches.groupBy("cls").agg(F.min(id_col).alias("_rep")), "near-class")
+    one = sketches.join(names.select(F.col("cls").alias("_c"), "_rep"), (F.col("cls") == F.col("_c")) & (F.col(id_col) == F.col("_rep"))).select("cls", "bits", "small")
+    one = materialize(one, "near-one")
+    keyed = one.mapInArrow(spread, "key long, cls long, f long, g long")
+    large = keyed.groupBy(F.col("key").alias("_k")).count().where(F.col("count") > block).select("_k", F.ceil(F.col("count") / block).cast("int").alias("_n"))
+    large = materialize(large, "near-large")
+    if large.isEmpty():
+        keyed = keyed.withColumn("sub", F.lit(0).cast("long"))
+    else:
+        keyed = _in_blocks(keyed, large, "cls")
+    dealt = keyed.select("key", "sub", "cls", "f", "g").repartition(shuffle_partitions(spark), "key", "sub").sortWithinPartitions("key", "sub")
+    pairs = materialize(dealt.mapInArrow(compare, "u long, v long").distinct(), "near-pairs")
+    texts = names.join(docs, F.col("_rep") == F.col(id_col)).select(F.col("cls").alias("_cls"), F.col(text_col).alias("_t"))
+    need = pairs.select(F.col("u").alias("_n")).union(pairs.select(F.col("v").alias("_n"))).distinct()
+    texts = materialize(texts.join(need, F.col("_cls") == F.col("_n"), "left_semi"), "near-texts")
+    read = pairs.join(texts, F.col("u") == F.col("_cls")).select("u", "v", F.col("_t").alias("_tu"))
+    read = read.join(texts, F.col("v") == F.col("_cls")).select("u", "v", "_tu", F.col("_t").alias("_tv"))
+    return names, materialize(read.mapInArrow(verify, "u long, v long"), "near-links")
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one document, that of the smallest id, of each component of
+    texts that share NEAR_PERCENT of their shingles of NEAR_WORDS words or more.
+
+    Rows without an id are kept; of rows that repeat an id, one stays. Wordless
+    texts equal each other.
+    """
+    first = materialize(docs.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]), "near-first")
+    classes, links = near_links(first, id_col, text_col)
+    comps = connected_components(links, "near-cc")
+    joined = classes.join(comps, F.col("cls") == F.col("id"), "left").select("_rep", F.coalesce("component", "cls").alias("_c"))
+    stay = joined.groupBy("_c").agg(F.min("_rep").alias("_id"))
+    return first.join(stay, F.col(id_col) == F.col("_id"), "left_semi").unionByName(docs.where(F.col(id_col).isNull()))
+
+
 def op2_simhash(spark, sf_dir: str) -> DataFrame:
     found = simhash_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -129,6 +129,42 @@ def test_golay_keys_meet():
         assert all(p & q for p, q in zip(*keys, strict=True))
 
 
+def test_near_copies(spark, empty):
+    """All pairs of five-word shingles at 0.8 or more are joined, none below, against brute force."""
+    r = random.Random(5)
+    texts = []
+    for n in [6, 8, 9, 20, 40, 80, 150, 300] * 12:
+        words = [f"w{r.randrange(10**6)}" for _ in range(n)]
+        texts.append(" ".join(words))
+        for cut in (1, n // 12, n // 7):
+            at, other = r.randrange(n), words[:]
+            other[at] = "changed"
+            texts += [" ".join(other), " ".join(words[cut:])]
+    texts += ["", "  ", None, texts[0].upper(), "w x y z", "w x y z"]
+    sets = [frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if (w := (t or "").lower().split()) else frozenset() for t in texts]
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if 100 * len(a & sets[j]) >= 80 * len(a | sets[j]):
+                x, y = sorted((find(i), find(j)))
+                root[y] = x
+    want = {find(i) for i in range(len(texts))}
+    df = spark.createDataFrame([*enumerate(texts), (None, texts[0])], "doc_id long, text string")
+    got = [x["doc_id"] for x in simhash.drop_near_copies(df).collect()]
+    assert got.count(None) == 1 and {x for x in got if x is not None} == want and len(got) == len(want) + 1
+    assert len(simhash.drop_near_duplicates(df).collect()) > len(got)  # what the stage did before
+    assert simhash.drop_near_copies(empty).count() == 0
+    first = df.where("doc_id is not null")
+    links = [sorted(map(tuple, simhash.near_links(first, "doc_id", "text", b)[1].collect())) for b in (4096, 3)]
+    assert links[0] == links[1]
+
+
 def test_simhash_blocks(spark):
     r = random.Random(2)
     base = [r.getrandbits(63) for _ in range(3)]
