@@ -14,11 +14,13 @@ from .common import materialize
 GEAR = 16
 #: One place in so many is a candidate for a cut.
 ONE_IN = 16
-#: Words of a passage that counts as repeated.
-MIN_WORDS = 50
-#: Matched words from which a shorter run is extended by comparing the texts,
-#: and how many bytes it may grow at each end.
-PROBE, REACH = 10, 384
+#: Words of a passage that counts as repeated, and of an anchor. Of the anchors in
+#: a passage of MIN_WORDS that have at least GEAR bytes of it, WINDOW are in a row,
+#: and each WINDOW in a row have their least gear hash selected.
+MIN_WORDS, ANCHOR = 50, 20
+WINDOW = MIN_WORDS - ANCHOR + 1
+#: Odd base of the polynomial hash that tells byte strings.
+BASE = 0x9E3779B97F4A7C15
 SPACES = (9, 10, 11, 12, 13, 32)
 
 
@@ -60,171 +62,195 @@ def chunks(data: np.ndarray, offsets: np.ndarray, gear: np.ndarray) -> tuple[np.
     return owner, starts, ends
 
 
-def chunk_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(digest, _id, _key, at, size, words): the chunks of each whole text, in bytes."""
-    import xxhash  # noqa: F401  (fails on the driver where it is missing)
-
-    gear = gear_table()
+def word_places(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(begin, end, document) of each word of the documents data[offsets[i]:offsets[i + 1]]."""
     is_space = np.zeros(256, bool)
     is_space[list(SPACES)] = True
+    space = is_space[data]
+    edge = np.zeros(len(data) + 1, bool)
+    edge[offsets] = True  # a word ends with its document
+    inner = edge[:-1]
+    begins = ~space & (inner | np.concatenate([[True], space[:-1]]))
+    ends = ~space & (edge[1:] | np.concatenate([space[1:], [True]]))
+    at = np.nonzero(begins)[0]
+    return at, np.nonzero(ends)[0] + 1, np.searchsorted(offsets, at, "right") - 1
+
+
+def anchors(data: np.ndarray, ends: np.ndarray, doc: np.ndarray, gear: np.ndarray) -> np.ndarray:
+    """The last words of the selected anchors: of each WINDOW places in a row the
+    one of the least gear hash, the last of equal ones.
+
+    A place's hash sees the GEAR bytes before it, which ANCHOR words hold, so
+    whatever text stands around it, however monotonous it is, two copies of a
+    passage of MIN_WORDS words have an anchor in common.
+    """
+    if len(ends) < MIN_WORDS:
+        return np.zeros(0, np.int64)
+    h = gear_hash(data, gear)[ends - 1].astype(np.uint64) << np.uint64(32)
+    h |= np.uint64((1 << 32) - 1) - np.arange(len(ends), dtype=np.uint64)
+    low = np.arange(len(ends) - MIN_WORDS + 1)
+    low = low[doc[low] == doc[low + MIN_WORDS - 1]]
+    if not len(low):
+        return low
+    least = np.lib.stride_tricks.sliding_window_view(h, WINDOW).min(1)[low + ANCHOR - 1]
+    return np.unique(((1 << 32) - 1) - (least & np.uint64((1 << 32) - 1)).astype(np.int64))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh3_64_intdigest as digest
 
+def span_hashes(data: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """64-bit hashes of data[lo:hi]: a polynomial over random values of the bytes."""
+    values = np.random.Generator(np.random.PCG64(20240301)).integers(0, 1 << 64, 256, dtype=np.uint64)
+    with np.errstate(over="ignore"):
+
+        def powers(base: int) -> np.ndarray:
+            return np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(data), base, np.uint64)]), dtype=np.uint64)
+
+        total = np.concatenate([[np.uint64(0)], np.cumsum(values[data] * powers(BASE)[:-1], dtype=np.uint64)])
+        x = (total[hi] - total[lo]) * powers(pow(BASE, -1, 1 << 64))[lo]
+        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        return (x ^ (x >> np.uint64(32))).view(np.int64)
+
+
+def _texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    texts = [t.as_py() or b"" for t in column.cast(pa.binary())]
+    offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+    return np.frombuffer(b"".join(texts), np.uint8), offsets
+
+
+def anchor_table(texts: DataFrame) -> DataFrame:
+    """(gram, _same, at): hash and last word of each anchor of each whole text."""
+    gear = gear_table()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for low in range(0, whole.num_rows, 1000):
-                b = whole.slice(low, 1000)
-                texts = [t.as_py() or b"" for t in b.column(2).cast(pa.binary())]
-                offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
-                raw = b"".join(texts)
-                data = np.frombuffer(raw, np.uint8)
-                if not len(data):
+            for low in range(0, whole.num_rows, 500):
+                b = whole.slice(low, 500)
+                data, offsets = _texts(b.column(1))
+                if len(data) < GEAR:
                     continue
-                owner, starts, ends = chunks(data, offsets, gear)
-                space = is_space[data]
-                begins = ~space
-                begins[1:] &= space[:-1]
-                words = np.concatenate([[0], np.cumsum(begins)])
-                digests = np.fromiter((digest(raw[a:e]) for a, e in zip(starts.tolist(), ends.tolist(), strict=True)), np.uint64, len(starts))
-                rows = pa.array(owner)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(digests.view(np.int64)), b.column(0).take(rows), b.column(1).take(rows), pa.array((starts - offsets[owner]).astype(np.int32)),
-                        pa.array((ends - starts).astype(np.int32)), pa.array((words[ends] - words[starts]).astype(np.int32)),
-                    ],
-                    names=["digest", "_id", "_key", "at", "size", "words"],
-                )
-
-    return keyed(docs, id_col, text_col).mapInArrow(run, "digest long, _id long, _key long, at int, size int, words int")
+                begins, ends, doc = word_places(data, offsets)
+                last = anchors(data, ends, doc, gear)
+                if not len(last):
+                    continue
+                first = np.searchsorted(doc, np.arange(b.num_rows))
+                gram = span_hashes(data, begins[last - ANCHOR + 1], ends[last])
+                yield pa.RecordBatch.from_arrays([pa.array(gram), b.column(0).take(pa.array(doc[last])), pa.array((last - first[doc[last]]).astype(np.int32))], names=["gram", "_same", "at"])
+
+    return texts.select("_same", "text").mapInArrow(run, "gram long, _same long, at int")
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(_id, _key, text). Rows that repeat id and text are one document; a null
+    """(_id, _key, _same, text), _same a hash of the text. Rows that repeat id and text are one document; a null
     id comes last."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("_id"), F.xxhash64(F.col(id_col), text).alias("_key"), text.alias("text"))
+    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("_id"), F.xxhash64(F.col(id_col), text).alias("_key"), F.xxhash64(text).alias("_same"), text.alias("text"))
 
 
-RUN = "_id long, _key long, f_id long, f_key long, lo int, hi int, f_lo int, words int"
+SPANS = "_id long, _key long, first_id long, lo int, hi int, words int"
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs of neighbouring chunks whose first places are neighbours as well."""
+def _spans(rows: list[list]) -> pa.RecordBatch:
+    kinds = [pa.int64()] * 3 + [pa.int32()] * 3
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=[x.split()[0] for x in SPANS.split(", ")])
+
+
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every MIN_WORDS words in a row that hold one of the document's repeated anchors."""
     for whole in batches:
         for low in range(0, whole.num_rows, 200):
-            out = [[] for _ in range(8)]
-            for r in whole.slice(low, 200).to_pylist():
+            b = whole.slice(low, 200)
+            data, offsets = _texts(b.column(3))
+            begins, ends, doc = word_places(data, offsets)
+            first = np.searchsorted(doc, np.arange(b.num_rows + 1))
+            chosen = np.zeros(len(ends) + 1, np.int64)
+            for i, places in enumerate(b.column(2)):
+                last = np.array(places.as_py(), np.int64)
+                from_ = np.maximum(last - MIN_WORDS + 1, 0)
+                to = np.minimum(last - ANCHOR + 1, first[i + 1] - first[i] - MIN_WORDS) + 1
+                np.add.at(chosen, first[i] + from_, 1)
+                np.add.at(chosen, first[i] + np.maximum(to, from_), -1)
+            at = np.nonzero(np.cumsum(chosen[:-1]) > 0)[0]
+            if not len(at):
+                continue
+            lo, hi, owner = begins[at], ends[at + MIN_WORDS - 1], doc[at]
+            rows, zero = pa.array(owner), offsets[owner]
+            cols = [(at - first[owner]).astype(np.int32), (lo - zero).astype(np.int32), (hi - zero).astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(span_hashes(data, lo, hi)), b.column(0).take(rows), b.column(1).take(rows), *map(pa.array, cols)], names=["win", "_id", "_key", "at", "lo", "hi"])
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of neighbouring windows whose first places are neighbours as well."""
+    for whole in batches:
+        for low in range(0, whole.num_rows, 50):
+            out = []
+            for r in whole.slice(low, 50).to_pylist():
                 last = None
                 for p in sorted(r["parts"], key=lambda p: p["at"]):
                     f = p["f"]
-                    if last and last[5] == p["at"] and last[2:4] == [f["_id"], f["_key"]] and last[6] + last[5] - last[4] == f["at"]:
-                        last[5] += p["size"]
-                        last[7] += p["words"]
-                        continue
-                    if last:
-                        for c, v in zip(out, last, strict=True):
-                            c.append(v)
-                    last = [r["_id"], r["_key"], f["_id"], f["_key"], p["at"], p["at"] + p["size"], f["at"], p["words"]]
-                if last:
-                    for c, v in zip(out, last, strict=True):
-                        c.append(v)
-            kinds = [pa.int64()] * 4 + [pa.int32()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=[x.split()[0] for x in RUN.split(", ")])
-
-
-def _extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Grows each run while both texts agree and trims it to whole words; runs of
-    MIN_WORDS words stay."""
-    for whole in batches:
-        for low in range(0, whole.num_rows, 500):
-            out = [[] for _ in range(6)]
-            for r in whole.slice(low, 500).to_pylist():
-                lo, hi, f_lo, words = r["lo"], r["hi"], r["f_lo"], r["words"]
-                b, fb, a, fa = (r[c] or b"" for c in ("before", "f_before", "after", "f_after"))
-                if words < MIN_WORDS:
-                    back = next((i for i in range(min(len(b), len(fb))) if b[-1 - i] != fb[-1 - i]), min(len(b), len(fb)))
-                    ahead = next((i for i in range(min(len(a), len(fa))) if a[i] != fa[i]), min(len(a), len(fa)))
-                    text = b[len(b) - back :] + (r["middle"] or b"") + a[:ahead]
-                    # A word that begins before the run or goes on after it is not whole.
-                    pre = b[len(b) - back - 1 : len(b) - back]
-                    post = a[ahead : ahead + 1]
-                    start = 0 if not pre or pre[0] in SPACES else next((i for i, c in enumerate(text) if c in SPACES), len(text))
-                    end = len(text) if not post or post[0] in SPACES else next((i for i in range(len(text), 0, -1) if text[i - 1] in SPACES), 0)
-                    text = text[start:end] if end > start else b""
-                    start += len(text) - len(text.lstrip(bytes(SPACES)))
-                    text = text.strip(bytes(SPACES))
-                    words = len(text.split())
-                    shift = start - back
-                    lo, f_lo = lo + shift, f_lo + shift
-                    hi = lo + len(text)
-                if words >= MIN_WORDS:
-                    for c, v in zip(out, (r["_id"], r["_key"], r["f_id"], lo, hi, words), strict=True):
-                        c.append(v)
-            kinds = [pa.int64()] * 3 + [pa.int32()] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=["_id", "_key", "first_id", "lo", "hi", "words"])
-
-
-def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The text before or after each place that a document is asked for."""
-    for whole in batches:
-        for low in range(0, whole.num_rows, 200):
-            out = [[] for _ in range(6)]
-            for key, id_, places, text in zip(*(whole.slice(low, 200).column(i) for i in range(4)), strict=True):
-                raw = text.as_py().encode()
-                for p in places.as_py():
-                    lo, hi, at = p["lo"], p["hi"], p["lo"]
-                    for c, v in zip(out, (id_.as_py(), key.as_py(), lo, hi, raw[max(0, at - REACH) : at], raw[at : hi + REACH] if hi > lo else raw[at : at + REACH]), strict=True):
-                        c.append(v)
-            kinds = [pa.int64()] * 2 + [pa.int32()] * 2 + [pa.binary()] * 2
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=["e_id", "e_key", "e_lo", "e_hi", "before", "after"])
+                    now = (f["_id"], f["_key"], f["at"] - p["at"])
+                    if last and last[1:] == (p["at"], now):
+                        out[-1][4:] = [p["hi"], out[-1][5] + 1]
+                    else:
+                        out.append([r["_id"], r["_key"], f["_id"], p["lo"], p["hi"], MIN_WORDS])
+                    last = (None, p["at"] + 1, now)
+            if out:
+                yield _spans(out)
+
+
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The span of all words of each text, if it has MIN_WORDS."""
+    for b in batches:
+        out = []
+        for id_, key, first, text in zip(*(b.column(i).to_pylist() for i in range(3)), b.column(3).cast(pa.binary()), strict=True):
+            raw = text.as_py()
+            inner = raw.strip(bytes(SPACES))
+            lo, n = len(raw) - len(raw.lstrip(bytes(SPACES))), len(inner.translate(_BLANK).split())
+            if n >= MIN_WORDS:
+                out.append([id_, key, first, lo, lo + len(inner), n])
+        if out:
+            yield _spans(out)
+
+
+_BLANK = bytes.maketrans(bytes(SPACES), b" " * len(SPACES))
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(_id, _key, first_id, lo, hi, words): byte spans of each text that an
-    earlier document (by id, nulls last) holds as well, MIN_WORDS words or more.
+    """(_id, _key, first_id, lo, hi, words): byte spans of each text that the
+    document first_id, an earlier one (by id, nulls last), holds whole. Every
+    MIN_WORDS words in a row that any earlier document holds lie in such a span.
 
-    Texts are cut into content-defined chunks and grouped by digest; the least
-    (id, place) of each digest is combined before the shuffle and joined back,
-    so that a passage costs one row per chunk and document and no pairs. Chunks
-    that follow one another in both documents form runs. A run of MIN_WORDS is
-    reported as it is; one of PROBE words is first grown at both ends by
-    comparing the texts there (REACH bytes, more than a passage just long enough
-    has beyond its runs), which every document hands out once per place.
+    A text equal to an earlier one is one span. The other texts are cut at
+    content-defined anchors (see ``anchors``), which are grouped by digest; all
+    windows of MIN_WORDS words around those in two texts or more are then
+    grouped in turn, and the first place of each is combined before the shuffle
+    and joined back: one row per window and document and no pairs. Windows that
+    follow one another in both documents form a run.
 
     Null texts are empty, rows that repeat id and text are one document and no
     copy of each other, an empty table gives an empty result.
     """
-    table = materialize(chunk_table(docs, id_col, text_col), "passages")
-    doc, place = F.struct("_id", "_key"), F.struct("_id", "_key", "at")
-    first = table.groupBy(F.col("digest").alias("_d")).agg(F.min(place).alias("f"), F.max(doc).alias("_l"))
-    first = first.where((F.col("_l._id") != F.col("f._id")) | (F.col("_l._key") != F.col("f._key"))).drop("_l")
-    later = table.join(first, F.col("digest") == F.col("_d")).where((F.col("_id") != F.col("f._id")) | (F.col("_key") != F.col("f._key")))
-    # A document's chunks are bounded by its own text.
-    parts = later.groupBy("_id", "_key").agg(F.collect_list(F.struct("at", "size", "words", "f")).alias("parts"))
-    runs = materialize(parts.mapInArrow(_runs, RUN).where(F.col("words") >= PROBE), "passages-runs")
-
-    long_ = runs.where(F.col("words") >= MIN_WORDS).select("_id", "_key", F.col("f_id").alias("first_id"), "lo", "hi", "words")
-    short = runs.where(F.col("words") < MIN_WORDS)
-    mine = short.select("_id", "_key", "lo", "hi")
-    f_hi = F.col("f_lo") + F.col("hi") - F.col("lo")
-    # Of the first document only its edges are needed: a place's text before and after.
-    theirs = short.select(F.col("f_id").alias("_id"), F.col("f_key").alias("_key"), F.explode(F.array("f_lo", f_hi)).alias("lo")).withColumn("hi", F.col("lo"))
-    asked = mine.unionByName(theirs).groupBy(F.col("_id").alias("a_id"), F.col("_key").alias("a_key")).agg(F.collect_set(F.struct("lo", "hi")).alias("places"))
     texts = keyed(docs, id_col, text_col)
-    answers = asked.join(texts, (F.col("a_key") == F.col("_key")) & (F.col("a_id") == F.col("_id"))).select("a_key", "a_id", "places", "text").mapInArrow(_edges, "e_id long, e_key long, e_lo int, e_hi int, before binary, after binary")
-    answers = materialize(answers.dropDuplicates(["e_id", "e_key", "e_lo", "e_hi"]), "passages-edges")
-
-    def ask(df: DataFrame, id_, key, lo, hi, names: dict) -> DataFrame:
-        a = answers.select("e_id", "e_key", "e_lo", "e_hi", *[F.col(c).alias(n) for c, n in names.items()])
-        on = (F.col(id_) == F.col("e_id")) & (F.col(key) == F.col("e_key")) & (lo == F.col("e_lo")) & (hi == F.col("e_hi"))
-        return df.join(a, on).drop("e_id", "e_key", "e_lo", "e_hi")
-
-    size = F.col("hi") - F.col("lo")
-    grown = ask(short, "_id", "_key", F.col("lo"), F.col("hi"), {"before": "before", "after": "_text"})
-    grown = grown.withColumn("middle", F.substring("_text", F.lit(1), size)).withColumn("after", F.substring("_text", size + 1, F.lit(REACH))).drop("_text")
-    grown = ask(grown, "f_id", "f_key", F.col("f_lo"), F.col("f_lo"), {"before": "f_before"})
-    grown = ask(grown, "f_id", "f_key", f_hi, f_hi, {"after": "f_after"})
-    return long_.unionByName(grown.mapInArrow(_extend, "_id long, _key long, first_id long, lo int, hi int, words int"))
+    doc = F.struct("_id", "_key")
+    ids = materialize(texts.select("_same", "_id", "_key").distinct(), "passages-ids")
+    leaders = materialize(ids.groupBy("_same").agg(F.min(doc).alias("l"), F.count("*").alias("n")), "passages-leaders")
+
+    marks = materialize(anchor_table(texts), "passages")
+    twice = marks.groupBy(F.col("gram").alias("_g")).agg(F.min("_same").alias("a"), F.max("_same").alias("z")).where("a <> z").select("_g")
+    # A document's anchors are bounded by its own text.
+    places = marks.join(twice, F.col("gram") == F.col("_g")).groupBy(F.col("_same").alias("_s")).agg(F.collect_set("at").alias("places"))
+    asked = places.join(leaders, F.col("_s") == F.col("_same")).select(F.col("l._id").alias("a_id"), F.col("l._key").alias("a_key"), "places")
+    asked = materialize(asked, "passages-asked")
+    mine = (F.col("a_key") == F.col("_key")) & (F.col("a_id") == F.col("_id"))
+    windows = materialize(texts.join(asked, mine).select("_id", "_key", "places", "text").mapInArrow(_windows, "win long, _id long, _key long, at int, lo int, hi int"), "passages-windows")
+
+    first = windows.groupBy(F.col("win").alias("_w")).agg(F.min(F.struct("_id", "_key", "at")).alias("f"), F.max(doc).alias("_l"))
+    first = first.where((F.col("_l._id") != F.col("f._id")) | (F.col("_l._key") != F.col("f._key"))).drop("_l")
+    later = windows.join(first, F.col("win") == F.col("_w")).where((F.col("_id") != F.col("f._id")) | (F.col("_key") != F.col("f._key")))
+    runs = later.groupBy("_id", "_key").agg(F.collect_set(F.struct("at", "lo", "hi", "f")).alias("parts")).mapInArrow(_runs, SPANS)
+
+    copies = ids.join(leaders.where("n > 1").withColumnRenamed("_same", "_s"), F.col("_same") == F.col("_s")).where((F.col("_id") != F.col("l._id")) | (F.col("_key") != F.col("l._key")))
+    copies = copies.select(F.col("_id").alias("a_id"), F.col("_key").alias("a_key"), F.col("l._id").alias("first_id"))
+    equal = texts.join(copies, mine).select("_id", "_key", "first_id", "text").mapInArrow(_whole, SPANS).distinct()
+    return runs.unionByName(equal)
 
 
 def drop_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -313,6 +313,36 @@ def test_passages(spark, docs, empty):
     assert passages.drop_repeated_passages(docs).columns == docs.columns
 
 
+def test_passages_of_many_holders_and_one_word_are_found_whole(spark):
+    """Every 50 words that an earlier document holds are reported, and nothing else, against brute force."""
+    r = random.Random(13)
+    own = lambda n=30: " ".join(r.choice(VOCAB) + str(r.randrange(100000)) for _ in range(n))
+    shared = own(90).split(" ")
+    texts = [f"{own()} {' '.join(shared[k : k + 16])} {own()}" for k in range(0, 90, 8)]  # earlier first places of its parts
+    texts += [f"{own()} {' '.join(shared)} {own()}" for _ in range(3)]
+    texts += [f"{own()} {'Of ' * 80}{own()}", f"{own(10)} {'Of ' * 60}{own()}", f"{own()} {'a ' * 50}{own()}", f"{own()} {'a ' * 50}{own(9)}", f"{'a ' * 49}{own()}"]
+    line = own(7)
+    texts += ["\n".join([own(9), *[line] * n, own(4)]) for n in (12, 9, 8)]
+    texts += [texts[3], own(60), "", None, *[" ".join(own(49).split()) for _ in range(2)]]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    seen, want = {}, collections.defaultdict(set)
+    for i, t in rows:
+        raw = (t or "").encode()
+        at = [(m.start(), m.end()) for m in re.finditer(rb"[^ \t-\r]+", raw)]
+        spans = [(at[k][0], at[k + 49][1]) for k in range(len(at) - 49)]
+        for lo, hi in spans:
+            if raw[lo:hi] in seen:
+                want[i].update(range(lo, hi))
+        for lo, hi in spans:
+            seen.setdefault(raw[lo:hi], i)
+    got = collections.defaultdict(set)
+    for x in passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        part = texts[x["_id"]].encode()[x["lo"] : x["hi"]]
+        assert x["first_id"] < x["_id"] and part in texts[x["first_id"]].encode() and x["words"] == len(part.split()) >= 50
+        got[x["_id"]].update(range(x["lo"], x["hi"]))
+    assert got == want and len(want) >= 7
+
+
 def test_chunks_move_with_the_text():
     r = np.random.default_rng(3)
     data, gear = r.integers(97, 123, 5000, dtype=np.uint8), passages.gear_table()
