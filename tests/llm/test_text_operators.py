@@ -343,6 +343,18 @@ def test_passages_of_many_holders_and_one_word_are_found_whole(spark):
     assert got == want and len(want) >= 7
 
 
+def test_anchors_in_text_without_chunk_cuts():
+    """Stretches that no chunk cut divides still have an anchor in every 50 words, the same in each copy."""
+    gear = passages.gear_table()
+    for unit in (b"Of ", b"and ", b"a ", b"one line of a list\n"):
+        for pad in (b"", b"some other words before "):
+            data = np.frombuffer(pad + unit * 100, np.uint8)
+            begins, ends, doc = passages.word_places(data, np.array([0, len(data)]))
+            at = passages.anchors(data, ends, doc, gear)
+            n = len(pad.split())
+            assert all(((at >= i + passages.ANCHOR - 1) & (at < i + passages.MIN_WORDS)).any() for i in range(n, len(ends) - passages.MIN_WORDS + 1))
+
+
 def test_chunks_move_with_the_text():
     r = np.random.default_rng(3)
     data, gear = r.integers(97, 123, 5000, dtype=np.uint8), passages.gear_table()
