@@ -235,6 +235,20 @@ def test_repeated_runs_are_found_whole(spark):
     assert out[0]["dropped"] == [] and all(out[i]["text"].count("shared") == 0 and out[i]["n_lines"] - len(out[i]["dropped"]) == 8 for i in range(1, 30))
 
 
+def test_every_repeated_line_is_dropped(spark):
+    """Later repeats of single lines, and of runs whose parts have other first places, against brute force."""
+    r = random.Random(8)
+    texts = ["x\nb\nc\ny", "p\na\nb\nc\nd\nq", "r\na\nb\nc\nd\ns", f"own\n{'long words ' * 60}\nmine", f"{'long words ' * 60}\n\nother", "t\n\nt\nu"]
+    texts += ["\n".join(str(r.randrange(60)) if r.random() < 0.6 else f"{i} {k}" for k in range(12)) for i in range(40)]
+    seen, want = set(), {}
+    for i, t in enumerate(texts):
+        full = [x for x in t.split("\n") if WORD.search(x)]
+        want[i] = [k for k, x in enumerate(full) if x in seen or x in full[:k]]
+        seen.update(full)
+    got = lines.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {x["_doc"]["doc_id"]: x["dropped"] for x in got} == want
+
+
 def test_packing(docs, empty):
     from tokenizers import Tokenizer
 
