@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import atexit
 import gc
+import re
 import time
 import uuid
 
@@ -19,9 +20,11 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or
-    one of our own where the session names none (local tests)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. A
+    session in one local process may go without; a cluster may not."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return (found or "file:///tmp/checkpoints").rstrip("/")
 
 
@@ -58,6 +61,31 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Consumed:
+    """Deletes what the operators wrote in the shared folder within its block,
+    but for the tables named by ``keep``: for use where the block's result was
+    written, so that nothing refers to its intermediates any more."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.kept = spark, set()
+
+    def __enter__(self) -> Consumed:
+        self.before = len(_written)
+        return self
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.kept.add(_written[-1][1])
+        return df
+
+    def __exit__(self, *error) -> None:
+        mine, _written[self.before :] = _written[self.before :], []
+        for spark, path in mine:
+            if path in self.kept:
+                _written.append((spark, path))
+            else:
+                drop_folder(spark, path)
+
+
 def free_shuffles(spark: SparkSession) -> None:
     """Lets the driver notice that finished jobs' shuffles are garbage, so that
     their files go before the next ones come: first Python lets go of the plans,
@@ -72,13 +100,17 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-#: Rows of a table of a few numbers each that may be sent to every executor.
-FEW = 200_000
+#: Most bytes of a table that may be sent to every executor, and its rows' width beside their texts.
+FEW_BYTES, ROW_BYTES = 16 << 20, 64
 
 
 def sent_if_few(df: DataFrame) -> DataFrame:
-    """``df``, to be broadcast if it has at most FEW rows; counted first."""
-    return F.broadcast(df) if df.limit(FEW + 1).count() <= FEW else df
+    """``df``, to be broadcast if its values take at most FEW_BYTES; measured first.
+    Give it a table that was written or is made of literals: it is read twice."""
+    texts = [F.coalesce(F.octet_length(F.col(f"`{c}`")), F.lit(0)) for c, t in df.dtypes if t in ("string", "binary")]
+    width = sum(texts, F.lit(ROW_BYTES)).cast("long")
+    size = df.select(width.alias("w")).limit(FEW_BYTES // ROW_BYTES + 1).agg(F.coalesce(F.sum("w"), F.lit(0))).first()[0]
+    return F.broadcast(df) if size <= FEW_BYTES else df
 
 
 def word_count(text: Column) -> Column:

@@ -6,15 +6,17 @@ from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import materialize
+from .common import materialize, sent_if_few
 
-#: Tokens of a sequence, and of a mixing window (a deficit round).
-SEQUENCE, ROUND = 2048, 64 * 2048
+#: Tokens of a sequence, which is a deficit round, and of what a source serves at once.
+SEQUENCE, GRAIN = 2048, 128
 END = 1
-#: Pieces of text whose ids a worker remembers before it starts afresh.
-REMEMBERED = 400_000
+#: Sum of the whole-number weights by which rounds are computed.
+WEIGHTS = 1 << 22
+#: Bytes of text, or of ids, that a worker turns into one batch.
+BYTES = 1 << 20
 
 
 def _tokenizer_path(name: str) -> str:
@@ -27,70 +29,69 @@ class Encoder:
     """Byte-level BPE ids as little-endian 32-bit bytes, equal to the tokenizer
     file's own.
 
-    The tokenizer splits before each space that stands between two characters
-    other than white space, so text cut there is encoded piece by piece and
-    pieces are remembered. Texts with other runs of white space or with a
-    special token's string go through the tokenizer as a whole.
+    Where the same vocabulary lies beside the file as ranks, texts go through
+    the faster library, which encodes whole texts and keeps nothing of them;
+    the file itself is loaded only for a text that holds a special token's
+    string.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.ranked = self._ranked(path)
-        self.known: dict[str, bytes | None] = {}
-
-    @staticmethod
-    def _ranked(path: str):
-        """The same vocabulary in the faster library, if it lies beside the file."""
         import base64
+        import json
         import os
 
+        self.path, self._tokenizer = path, None
+        with open(path, encoding="utf-8") as f:
+            raw = f.read()
+        at = raw.find('"added_tokens":')
+        listed = json.JSONDecoder().raw_decode(raw, raw.index("[", at))[0] if at >= 0 else []
+        self.special = [t["content"] for t in listed]
+        self.ranked = None
         beside = path.removesuffix(".json") + ".tiktoken"
-        if not os.path.exists(beside):
-            return None
-        import public_tokenizers
-        import tiktoken
+        if os.path.exists(beside):
+            import public_tokenizers
+            import tiktoken
 
-        with open(beside, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        return tiktoken.Encoding("lorebase", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+            with open(beside, "rb") as f:
+                ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+            self.ranked = tiktoken.Encoding("lorebase", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
-    def _ids(self, text: str) -> bytes:
-        ids = self.ranked.encode_ordinary(text) if self.ranked else self.tokenizer.encode(text, add_special_tokens=False).ids
-        return np.array(ids, "<u4").tobytes()
+    @property
+    def tokenizer(self):
+        if self._tokenizer is None:
+            from tokenizers import Tokenizer
 
-    def _piece(self, piece: str) -> bytes | None:
-        """None where the piece cannot be encoded apart from its neighbours."""
-        bare = piece[1:] if piece[:1] == " " else piece
-        return None if not bare or bare[0].isspace() or bare[-1].isspace() else self._ids(piece)
+            self._tokenizer = Tokenizer.from_file(self.path)
+        return self._tokenizer
 
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
-        if any(s in text for s in self.special):
+        if self.ranked is None or any(s in text for s in self.special):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        known = self.known
-        if len(known) > REMEMBERED:
-            known.clear()
-        first, *rest = text.split(" ")
-        pieces = [first, *[" " + x for x in rest]]
-        out = []
-        for p in pieces:
-            try:
-                ids = known[p]
-            except KeyError:
-                ids = known[p] = self._piece(p)
-            if ids is None:
-                return self._ids(text)
-            out.append(ids)
-        return b"".join(out)
+        return self.ranked.encode_to_numpy(text).astype("<u4", copy=False).tobytes()
 
 
 _encoders: dict[str, Encoder] = {}
 
 
+def _slices(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of some BYTES each, one row at least."""
+    ends = np.cumsum(sizes)
+    low = 0
+    while low < len(sizes):
+        done = ends[low - 1] if low else 0
+        high = max(low + 1, int(np.searchsorted(ends, done + BYTES, "right")))
+        yield low, high
+        low = high
+
+
+def _lengths(column: pa.Array) -> np.ndarray:
+    import pyarrow.compute as pc
+
+    return pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
 def token_table(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """One row per document: id, _source, ids (little-endian 32-bit, with the
     closing id), doc_tokens, and its start in its source's part of the task's
@@ -104,8 +105,8 @@ def token_table(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", id_col: s
             _encoders[path] = Encoder(path)
         encode, end, task, at = _encoders[path].encode, np.array([END], "<u4").tobytes(), TaskContext.get().partitionId(), {}
         for whole in batches:
-            for low in range(0, whole.num_rows, 1000):
-                b = whole.slice(low, 1000)
+            for low, high in _slices(_lengths(whole.column(1))):
+                b = whole.slice(low, high - low)
                 ids, sizes, starts = [], [], []
                 for text, source in zip(b.column(1), b.column(2).to_pylist(), strict=True):
                     x = encode(text.as_py() or "") + end
@@ -127,29 +128,83 @@ def token_table(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", id_col: s
 class Rounds:
     """Deficit round-robin in closed form.
 
-    Each round gives source s a quantum of ROUND * weight[s] tokens; what it
-    may not take as a whole token stays as its deficit for the next round. So
-    by the end of round j a source has served min(total, floor(j * quantum))
-    tokens, whatever the order in which tasks compute it, and the stream's
-    length before a round is the sum of these. A source that has run out leaves
+    Each round, of one sequence's length, gives source s a quantum of its share.
+    A source serves whole grains; what is too little for one stays as its
+    deficit for the next rounds. So by the end of round j a source has served
+    floor(j * quantum / grain) grains, or all it has, whatever the order in
+    which tasks compute it, and the stream's length before a source's part of a
+    round is the sum of these. In any ``size`` tokens of the stream a source is
+    thus within a grain or two of its share. A source that has run out leaves
     its part of later rounds unused: the others keep their proportions.
     """
 
-    def __init__(self, totals: list[int], weights: list[int], size: int):
-        self.totals, self.up, self.down = totals, [size * w for w in weights], sum(weights)
-
-    def served(self, source: int, rounds: int) -> int:
-        return min(self.totals[source], rounds * self.up[source] // self.down)
-
-    def round_of(self, source: int, token: int) -> int:
-        """The round that serves this token (from 0) of the source."""
-        # Least j with floor(j * up / down) > token, less one.
-        return -(-(token + 1) * self.down // self.up[source]) - 1
-
-    def begin(self, source: int, round_: int) -> int:
-        """The place in the whole stream where the source's part of the round begins."""
-        n = len(self.totals)
-        return sum(self.served(s, round_ + (s < source)) for s in range(n))
+    def __init__(self, totals: list[int], weights: list[int], size: int, grain: int):
+        self.grain, all_ = grain, sum(weights)
+        self.totals = np.array(totals, np.int64)
+        # Grains served in WEIGHTS rounds; a source of any weight is served at last.
+        share = [max(1, size // grain * w * WEIGHTS // all_) if all_ else 1 for w in weights]
+        self.up = np.array(share, np.int64)
+        self.grains = -(-self.totals // grain)
+        #: The round by whose end a source has served all.
+        self.last = -(-self.grains * WEIGHTS // self.up)
+
+    def served(self, source: np.ndarray | slice, rounds: np.ndarray) -> np.ndarray:
+        """Tokens of the sources served by the end of so many rounds."""
+        j = np.minimum(rounds, self.last[source])
+        return np.minimum(j * self.up[source] // WEIGHTS * self.grain, self.totals[source])
+
+    def places(self, source: np.ndarray, grain: np.ndarray) -> np.ndarray:
+        """Where these grains of the sources begin in the whole stream."""
+        up = self.up[source]
+        j = -(-(grain + 1) * WEIGHTS // up) - 1  # the round that serves it
+        out = grain * self.grain - self.served(source, j)
+        every = np.arange(len(self.totals))
+        step = max(1, (1 << 20) // max(1, len(every)))
+        for low in range(0, len(j), step):
+            jj, ss = j[low : low + step, None], source[low : low + step, None]
+            out[low : low + step] += self.served(slice(None), jj + (every[None] < ss)).sum(1)
+        return out
+
+
+def cut(source: np.ndarray, start: np.ndarray, size: np.ndarray, rounds: Rounds, whole: int, sequence: int, tail: list[tuple[int, int]]) -> tuple[np.ndarray, ...]:
+    """(row, start, length, sequence number, offset) of the pieces of documents
+    that lie at ``start`` of their sources' queues: cut where a source's part of
+    the stream is interrupted and where a sequence ends."""
+    g = rounds.grain
+    first, last = start // g, (start + size - 1) // g
+    n = last - first + 1
+    row = np.repeat(np.arange(len(n)), n)
+    grain = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + first[row]
+    s = source[row]
+    at = rounds.places(s, grain)
+    low = np.maximum(grain * g, start[row])  # in the source's queue
+    high = np.minimum((grain + 1) * g, (start + size)[row])
+    at += low - grain * g
+    # The stream's places where sequences begin, as far as these pieces reach.
+    edges = np.array([x for x, _ in tail], np.int64)
+    length = high - low
+    joined = np.zeros(len(row), bool)
+    joined[1:] = (row[1:] == row[:-1]) & (at[1:] == at[:-1] + length[:-1])
+    heads = np.nonzero(~joined)[0]
+    row, low, at = row[heads], low[heads], at[heads]
+    length = np.add.reduceat(length, heads) if len(heads) else length
+    # A piece is cut at each multiple of ``sequence`` and at each edge of the tail inside it.
+    parts = []
+    while len(row):
+        inside = at < whole
+        k = np.searchsorted(edges, at, "right") - 1
+        end = np.where(inside, (at // sequence + 1) * sequence, edges[np.minimum(k + 1, len(edges) - 1)])
+        take = np.minimum(length, end - at)
+        number = np.where(inside, at // sequence, np.array([q for _, q in tail], np.int64)[np.maximum(k, 0)])
+        offset = np.where(inside, at % sequence, at - edges[np.maximum(k, 0)])
+        parts.append((row, low - start[row], take, number, offset))
+        more = length > take
+        row, low, at, length = row[more], (low + take)[more], (at + take)[more], (length - take)[more]
+    if not parts:
+        return tuple(np.zeros(0, np.int64) for _ in range(5))
+    out = [np.concatenate(x) for x in zip(*parts, strict=True)]
+    order = np.lexsort((out[1], out[0]))
+    return tuple(x[order] for x in out)
 
 
 def pack(
@@ -157,7 +212,7 @@ def pack(
     weights: Mapping[str | None, int] | None = None,
     tokenizer: str = "byte_bpe_50k.json",
     sequence: int = SEQUENCE,
-    round_tokens: int = ROUND,
+    grain: int = GRAIN,
     id_col: str = "doc_id",
     source_col: str = "source",
 ) -> DataFrame:
@@ -165,31 +220,30 @@ def pack(
 
     Every document's ids (closed by id 1) go, in the order of its source's
     queue, through deficit round-robin (``Rounds``) into one stream, which is
-    cut every ``sequence`` tokens. ``weights`` are whole-number token
-    proportions by source (a missing one counts 1); by default each source's
-    own tokens, so that all run out together and every round mixes them alike.
-    A round is some sequences long so that few documents are cut by it. The
-    stream's last tokens form sequences of falling powers of two, which need no
-    padding.
+    cut every ``sequence`` tokens, the length of a round. ``weights`` are
+    whole-number token proportions by source (a missing one counts 1); by
+    default each source's own tokens, so that all run out together and every
+    sequence mixes them alike, to within ``grain`` tokens. The stream's last
+    tokens form sequences of falling powers of two, which need no padding.
 
     Queues are the documents in the order of tasks and rows of one reading;
     tokens are written with their place in the task's part of the queue, and
-    the tasks' sums by source (tasks x sources numbers) place the parts, so
-    nothing is shuffled. Null texts are empty, null sources form one source,
-    repeated rows are packed each by itself, extra columns are ignored, and an
-    empty table gives no pieces.
+    the tasks' sums by source, prefix-summed and joined back, place the parts:
+    nothing but these sums is shuffled while they are few. The driver sees one
+    number per source, the configuration of the rounds. Null texts are empty,
+    null sources form one source, repeated rows are packed each by itself, very
+    long texts are cut like others, columns of any other name are ignored, and
+    an empty table gives no pieces.
     """
     table = materialize(token_table(docs, tokenizer, id_col, "text", source_col), "tokens")
-    sums = table.groupBy("_task", "_source").agg(F.sum("doc_tokens").alias("n")).orderBy("_task").collect()
-    sources = sorted({r["_source"] for r in sums}, key=lambda s: (s is None, s or ""))
+    sums = materialize(table.groupBy(F.col("_task").alias("_t"), F.col("_source").alias("_s")).agg(F.sum("doc_tokens").alias("_n")), "token-sums")
+    per = sums.groupBy("_s").agg(F.sum("_n").alias("n")).collect()
+    total_of = {r["_s"]: r["n"] for r in per}
+    sources = sorted(total_of, key=lambda s: (s is None, s or ""))
     number = {s: i for i, s in enumerate(sources)}
-    totals, before = [0] * len(sources), {}
-    for r in sums:
-        s = number[r["_source"]]
-        before[r["_task"], r["_source"]] = totals[s]
-        totals[s] += r["n"]
+    totals = [total_of[s] for s in sources]
     shares = totals if weights is None else [max(1, weights.get(s, 1)) for s in sources]
-    rounds, total = Rounds(totals, shares, round_tokens), sum(totals)
+    rounds, total = Rounds(totals, shares, sequence, min(grain, sequence)), sum(totals)
     whole = total // sequence * sequence
     # The tail's sequences: (first token, sequence number).
     tail, at, k = [], whole, total // sequence
@@ -201,37 +255,25 @@ def pack(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole_batch in batches:
-            for low in range(0, whole_batch.num_rows, 500):
-                b = whole_batch.slice(low, 500)
-                rows, out = [], [[] for _ in range(6)]
-                for row, (source, ids, n, task, start) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), *(b.column(i).to_pylist() for i in (3, 4, 5)), strict=True)):
-                    s = number[source]
-                    a, done = before[task, source] + start, 0
-                    while done < n:
-                        j = rounds.round_of(s, a + done)
-                        left = min(n - done, rounds.served(s, j + 1) - (a + done))
-                        place = rounds.begin(s, j) + a + done - rounds.served(s, j)
-                        while left:
-                            if place < whole:
-                                seq, off = divmod(place, sequence)
-                                room = sequence - off
-                            else:
-                                i = next(i for i in range(len(tail)) if place < tail[i + 1][0])
-                                seq, off, room = tail[i][1], place - tail[i][0], tail[i + 1][0] - place
-                            size = min(left, room)
-                            rows.append(row)
-                            for c, v in zip(out, (done, size, ids[4 * done : 4 * (done + size)], n, seq, off), strict=True):
-                                c.append(v)
-                            done, left, place = done + size, left - size, place + size
-                take = pa.array(rows, pa.int64())
-                kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
+            for low, high in _slices(_lengths(whole_batch.column(2))):
+                b = whole_batch.slice(low, high - low)
+                source = np.array([number[s] for s in b.column(1).to_pylist()], np.int64)
+                size, start, before = (b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (3, 4, 5))
+                row, begin, length, seq, off = cut(source, before + start, size, rounds, whole, sequence, tail)
+                ids = b.column(2).to_pylist()
+                pieces = [ids[r][4 * a : 4 * (a + n)] for r, a, n in zip(row.tolist(), begin.tolist(), length.tolist(), strict=True)]
+                take = pa.array(row)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).take(take), b.column(1).take(take), *[pa.array(c, t) for c, t in zip(out, kinds, strict=True)]],
+                    [b.column(0).take(take), b.column(1).take(take), pa.array(begin), pa.array(length), pa.array(pieces, pa.binary()), pa.array(size[row]), pa.array(seq), pa.array(off)],
                     names=[id_col, "source", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"],
                 )
 
+    earlier = Window.partitionBy("_s").orderBy("_t").rowsBetween(Window.unboundedPreceding, -1)
+    before = sums.select("_t", "_s", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    placed = table.join(sent_if_few(before), (F.col("_task") == F.col("_t")) & F.col("_source").eqNullSafe(F.col("_s")))
+    placed = placed.select(id_col, "_source", "ids", "doc_tokens", "_start", "_before")
     kind = dict(table.dtypes)[id_col]
-    return table.mapInArrow(run, f"`{id_col}` {kind}, source string, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+    return placed.mapInArrow(run, f"`{id_col}` {kind}, source string, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
 
 
 def digests(pieces: DataFrame, id_col: str = "doc_id") -> DataFrame:
