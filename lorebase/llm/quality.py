@@ -5,19 +5,23 @@ Built of DataFrame functions only.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import WORD, materialize
 
 #: Base rules: fewest words, and most repeated words in percent.
 MIN_WORDS, MAX_REPEAT, GRAM = 20, 30, 8
-#: Per measure (in thousandths): least spread, highest cutoff that is never
-#: undercut, and whether low values count as well.
-MEASURES = {"symbols": (10, 200, False), "word_length": (300, 0, True), "dup_lines": (20, 500, False)}
-#: A value is out of line beyond the median and so many times the spread between quartiles.
-REACH = 10
-#: Groups of fewer documents use the sketch of their language, or of all.
-MIN_GROUP = 50
+#: Measures with cutoffs, in thousandths: of what size one unit of each is a share,
+#: and whether low values are out of line as well.
+MEASURES = {"symbols": ("n_words", False), "word_length": ("n_words", True), "dup_lines": ("_n_lines", False)}
+SIZES = ("n_words", "_n_lines")
+#: A value is out of line so many spreads beyond the quartiles.
+REACH = 4
+#: Documents that a group's language, and a language's all documents, count for
+#: beside the group's own, and the units in which documents are counted.
+PRIOR, UNIT = 50, 1000
 #: Significant bits of a sketch's buckets: quantiles are off by less than 1/64.
 BITS = 7
 
@@ -74,48 +78,57 @@ def bucket(value: Column) -> Column:
 
 
 def quantile_sketches(measured: DataFrame, groups: tuple[str, str]) -> DataFrame:
-    """Histograms with logarithmic buckets: (lang, source, measure, bucket, n).
+    """Histograms with logarithmic buckets: (lang, source, measure, bucket, n),
+    of the measures and of the sizes that they are shares of.
 
     Two such sketches merge by adding counts, which partial aggregation does
     before the shuffle; a group has some hundred rows however many documents.
     """
+    values = _thousandths() | {c: F.col(c) for c in SIZES}
     stacked = measured.select(
         *[F.col(g) for g in groups],
-        F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), bucket(v).alias("bucket")) for m, v in _thousandths().items()])).alias("x"),
+        F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), bucket(v).alias("bucket")) for m, v in values.items()])).alias("x"),
     )
     return stacked.groupBy(*groups, F.col("x.measure").alias("measure"), F.col("x.bucket").alias("bucket")).agg(F.count("*").alias("n"))
 
 
+def _with_prior(own: DataFrame, wider: DataFrame, keys: list[str], on: list[str]) -> DataFrame:
+    """The sketches ``own`` (keys, measure, bucket, n) with those of the wider
+    group that they belong to (by ``on``) added as PRIOR documents."""
+    size = wider.groupBy(*on, "measure").agg(F.sum("n").alias("_all"))
+    w = wider.join(size.select(*[F.col(k).alias(f"_{k}") for k in on], F.col("measure").alias("_m"), "_all"), reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in on], F.col("measure") == F.col("_m")))
+    w = w.select(*[F.col(k).alias(f"_{k}") for k in on], F.col("measure").alias("_m"), "bucket", F.expr(f"{PRIOR * UNIT} * n div _all").alias("n"))
+    each = own.select(*keys, "measure").distinct()
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in on], F.col("measure") == F.col("_m"))
+    return own.unionByName(each.join(w, same).select(*keys, "measure", "bucket", "n")).groupBy(*keys, "measure", "bucket").agg(F.sum("n").alias("n"))
+
+
 def adaptive_cutoffs(sketches: DataFrame, groups: tuple[str, str]) -> DataFrame:
-    """(lang, source, measure, low, high) from the sketch of the group, of its
-    language if the group has under MIN_GROUP documents, or of all documents."""
+    """(lang, source, measure, low, high): REACH spreads beyond the quartiles of
+    each group's sketch.
+
+    The spread is that between the quartiles, or what one unit (one symbol, one
+    line) makes in a document of the group's median size, if that is more. To
+    its own documents a group adds PRIOR ones of its language's sketch, and that
+    PRIOR ones of all documents', so small groups lean on wider ones and large
+    ones stand for themselves, without a size at which that changes.
+    """
     lang, source = groups
-    every = sketches.select(lang, source).distinct()
-    levels = []
-    for depth, keys in ((0, [lang, source]), (1, [lang]), (2, [])):
-        h = sketches.groupBy(*keys, "measure", "bucket").agg(F.sum("n").alias("n"))
-        up = Window.partitionBy(*keys, "measure").orderBy("bucket")
-        h = h.withColumn("_c", F.sum("n").over(up)).withColumn("_all", F.sum("n").over(Window.partitionBy(*keys, "measure")))
-        q = [F.min(F.when(100 * F.col("_c") >= p * F.col("_all"), F.col("bucket"))).alias(f"q{p}") for p in (25, 50, 75)]
-        h = h.groupBy(*keys, "measure").agg(F.max("_all").alias("size"), *q)
-        for k in keys:
-            h = h.withColumnRenamed(k, f"_{k}")
-        on = [every[k].eqNullSafe(h[f"_{k}"]) for k in keys]
-        j = every.join(h, on) if on else every.crossJoin(F.broadcast(h))  # three rows
-        levels.append(j.select(lang, source, "measure", F.lit(depth).alias("depth"), "size", "q25", "q50", "q75"))
-    all_ = levels[0].unionByName(levels[1]).unionByName(levels[2])
-    fit = all_.where((F.col("size") >= MIN_GROUP) | (F.col("depth") == 2))
-    best = fit.groupBy(lang, source, "measure").agg(F.min_by(F.struct("q25", "q50", "q75"), "depth").alias("q"))
+    own = sketches.withColumn("n", F.col("n") * UNIT)
+    langs = own.groupBy(lang, "measure", "bucket").agg(F.sum("n").alias("n"))
+    every = own.groupBy("measure", "bucket").agg(F.sum("n").alias("n"))
+    h = _with_prior(own, _with_prior(langs, every, [lang], []), [lang, source], [lang])
+    by = Window.partitionBy(lang, source, "measure")
+    h = h.withColumn("_c", F.sum("n").over(by.orderBy("bucket"))).withColumn("_all", F.sum("n").over(by))
+    q = h.groupBy(lang, source, "measure").agg(*[F.min(F.when(100 * F.col("_c") >= p * F.col("_all"), F.col("bucket"))).alias(f"q{p}") for p in (25, 50, 75)])
+    size = q.where(F.col("measure").isin(*SIZES)).select(F.col(lang).alias("_g1"), F.col(source).alias("_g2"), F.col("measure").alias("_size"), F.col("q50").alias("_median"))
     name = F.col("measure")
-    least = F.coalesce(*[F.when(name == m, F.lit(v[0])) for m, v in MEASURES.items()])
-    floor = F.coalesce(*[F.when(name == m, F.lit(v[1])) for m, v in MEASURES.items()])
-    both = F.coalesce(*[F.when(name == m, F.lit(v[2])) for m, v in MEASURES.items()])
-    reach = REACH * F.greatest(F.col("q.q75") - F.col("q.q25"), least)
-    return best.select(
-        lang, source, "measure",
-        F.when(both, F.col("q.q50") - reach).otherwise(F.lit(-1)).cast("long").alias("low"),
-        F.greatest(floor, F.col("q.q50") + reach).cast("long").alias("high"),
-    )
+    of = F.coalesce(*[F.when(name == m, F.lit(v[0])) for m, v in MEASURES.items()])
+    both = F.coalesce(*[F.when(name == m, F.lit(v[1])) for m, v in MEASURES.items()])
+    j = q.where(name.isin(*MEASURES)).withColumn("_of", of)
+    j = j.join(size, j[lang].eqNullSafe(size["_g1"]) & j[source].eqNullSafe(size["_g2"]) & (F.col("_of") == F.col("_size")))
+    reach = REACH * F.greatest(F.col("q75") - F.col("q25"), F.expr("1000 div greatest(_median, 1)"))
+    return j.select(lang, source, "measure", F.when(both, F.col("q25") - reach).otherwise(F.lit(-1)).cast("long").alias("low"), (F.col("q75") + reach).cast("long").alias("high"))
 
 
 def judge(measured: DataFrame, groups: tuple[str, str] = ("lang", "source")) -> DataFrame:
@@ -128,7 +141,7 @@ def judge(measured: DataFrame, groups: tuple[str, str] = ("lang", "source")) ->
     kept.
     """
     lang, source = groups
-    cut = adaptive_cutoffs(quantile_sketches(measured.where(~F.col("base_failed")), groups), groups)
+    cut = adaptive_cutoffs(materialize(quantile_sketches(measured.where(~F.col("base_failed")), groups), "quality-sketches"), groups)
     wide = cut.groupBy(F.col(lang).alias("_g1"), F.col(source).alias("_g2")).agg(
         *[F.max(F.when(F.col("measure") == m, F.col(e))).alias(f"_{m}_{e}") for m in MEASURES for e in ("low", "high")]
     )
@@ -143,7 +156,8 @@ def filter_quality(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the rules keep, columns unchanged.
 
     Texts are measured once and written with the measures. An empty table gives
-    an empty table; repeated rows are judged alike.
+    an empty table; repeated rows are judged alike; a very long text is measured
+    whole, by one task; columns of any other name may be there.
     """
     inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "text", "lang", "source")
     measured = materialize(text_measures(inner).drop("text"), "quality")
@@ -181,25 +195,33 @@ WITH w AS (
   SELECT rid, lang, source, base_failed, 'symbols' AS measure, 1000 * n_symbols // greatest(n_words, 1) AS v FROM b
   UNION ALL SELECT rid, lang, source, base_failed, 'word_length', 1000 * word_chars // greatest(n_words, 1) FROM b
   UNION ALL SELECT rid, lang, source, base_failed, 'dup_lines', 1000 * n_dup_lines // greatest(n_lines, 1) FROM b
+  UNION ALL SELECT rid, lang, source, base_failed, 'n_words', n_words FROM b
+  UNION ALL SELECT rid, lang, source, base_failed, 'n_lines', n_lines FROM b
 ), h AS (
-  SELECT lang, source, measure, v - v % CAST(2 ** greatest(length(bin(v)) - 7, 0) AS BIGINT) AS bucket FROM v WHERE NOT base_failed
-), l AS (
-  SELECT lang, source, 0 AS depth, measure, bucket FROM h
-  UNION ALL SELECT g.lang, g.source, 1, measure, bucket FROM (SELECT DISTINCT lang, source FROM h) g JOIN h ON g.lang IS NOT DISTINCT FROM h.lang
-  UNION ALL SELECT g.lang, g.source, 2, measure, bucket FROM (SELECT DISTINCT lang, source FROM h) g, h
+  SELECT lang, source, measure, v - v % CAST(2 ** greatest(length(bin(v)) - 7, 0) AS BIGINT) AS bucket, 1000 * count(*) AS n FROM v WHERE NOT base_failed GROUP BY ALL
+), ha AS (
+  SELECT measure, bucket, 50000 * sum(n) // any_value(t) AS n FROM h JOIN (SELECT measure, sum(n) AS t FROM h GROUP BY measure) USING (measure) GROUP BY measure, bucket
+), hl AS (
+  SELECT lang, measure, bucket, sum(n) AS n FROM (SELECT lang, measure, bucket, n FROM h UNION ALL SELECT g.lang, g.measure, bucket, n FROM (SELECT DISTINCT lang, measure FROM h) g JOIN ha ON g.measure = ha.measure) GROUP BY ALL
+), lt AS (
+  SELECT lang, measure, sum(n) AS t FROM hl GROUP BY ALL
+), lw AS (
+  SELECT hl.lang, hl.measure, bucket, 50000 * n // t AS n FROM hl JOIN lt ON hl.lang IS NOT DISTINCT FROM lt.lang AND hl.measure = lt.measure
+), hg AS (
+  SELECT lang, source, measure, bucket, sum(n) AS n FROM (SELECT * FROM h UNION ALL
+    SELECT g.lang, g.source, g.measure, bucket, n FROM (SELECT DISTINCT lang, source, measure FROM h) g JOIN lw ON g.lang IS NOT DISTINCT FROM lw.lang AND g.measure = lw.measure) GROUP BY ALL
 ), r AS (
-  SELECT *, row_number() OVER (PARTITION BY lang, source, depth, measure ORDER BY bucket) AS k,
-         count(*) OVER (PARTITION BY lang, source, depth, measure) AS n FROM l
+  SELECT *, sum(n) OVER (PARTITION BY lang, source, measure ORDER BY bucket) AS k, sum(n) OVER (PARTITION BY lang, source, measure) AS t FROM hg
 ), q AS (
-  SELECT lang, source, depth, measure, n, min(CASE WHEN 100 * k >= 25 * n THEN bucket END) AS q25,
-         min(CASE WHEN 100 * k >= 50 * n THEN bucket END) AS q50, min(CASE WHEN 100 * k >= 75 * n THEN bucket END) AS q75
+  SELECT lang, source, measure, min(CASE WHEN 100 * k >= 25 * t THEN bucket END) AS q25,
+         min(CASE WHEN 100 * k >= 50 * t THEN bucket END) AS q50, min(CASE WHEN 100 * k >= 75 * t THEN bucket END) AS q75
   FROM r GROUP BY ALL
 ), c AS (
-  SELECT * FROM q WHERE n >= 50 OR depth = 2 QUALIFY row_number() OVER (PARTITION BY lang, source, measure ORDER BY depth) = 1
+  SELECT q.lang, q.source, q.measure, q.q25, q.q75, 4 * greatest(q.q75 - q.q25, 1000 // greatest(z.q50, 1)) AS reach
+  FROM q JOIN q z ON q.lang IS NOT DISTINCT FROM z.lang AND q.source IS NOT DISTINCT FROM z.source AND z.measure = CASE q.measure WHEN 'dup_lines' THEN 'n_lines' ELSE 'n_words' END
+  WHERE q.measure IN ('symbols', 'word_length', 'dup_lines')
 ), k AS (
-  SELECT v.rid, bool_and(v.v <= greatest(CASE v.measure WHEN 'symbols' THEN 200 WHEN 'dup_lines' THEN 500 ELSE 0 END,
-                q50 + 10 * greatest(q75 - q25, CASE v.measure WHEN 'symbols' THEN 10 WHEN 'dup_lines' THEN 20 ELSE 300 END))
-            AND (v.measure <> 'word_length' OR v.v >= q50 - 10 * greatest(q75 - q25, 300))) AS ok
+  SELECT v.rid, bool_and(v.v <= q75 + reach AND (v.measure <> 'word_length' OR v.v >= q25 - reach)) AS ok
   FROM v JOIN c ON v.lang IS NOT DISTINCT FROM c.lang AND v.source IS NOT DISTINCT FROM c.source AND v.measure = c.measure GROUP BY v.rid
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(ok, false) AS kept
