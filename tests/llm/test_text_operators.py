@@ -194,29 +194,68 @@ def test_simhash_blocks(spark):
         assert label == want
 
 
+def plain_base(text):
+    """The fixed patterns as their contract words them."""
+    out = []
+    for m in re.finditer(r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", text):
+        if len(m[1]) >= 6:
+            out.append((m.start(), 0, m.end()))
+    out += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    out += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
+    return [f"{secrets.KINDS[k]}:{a}:{e}" for a, k, e in sorted(out)]
+
+
+def test_base_spans_of_a_whole_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.select("doc_id", "text").collect()}
+    got = secrets.op3_secrets(spark, "/root/testdata/sf0.01").collect()
+    assert len(got) == len(texts)
+    for r in got:
+        want = plain_base(texts[r["doc_id"]])
+        assert r["base_sha256"] == hashlib.sha256(",".join(want).encode()).hexdigest()
+        assert [x for x in r["spans"].split(",") if x and not x.startswith("format")] == want
+        assert [r["n_assign"], r["n_access"], r["n_hex"]] == [sum(x.startswith(k + ":") for x in want) for k in secrets.KINDS[:3]]
+        assert r["n_format"] == sum(x.startswith("format") for x in r["spans"].split(","))
+
+
 def test_secrets(spark, empty):
-    key = "".join(random.Random(1).choice("0123456789abcdef") for _ in range(40))
-    text = f"é token = \"{key}\" and PassWord: abcdef; api_key=abc AKIA{'A1' * 9} {'a' * 24}"
-    many = [f"secret={hashlib.sha1(str(i).encode()).hexdigest()[:32].upper()}" for i in range(40)]
-    rows = [(1, text), (2, None), (3, ""), (4, f"lone {hashlib.sha1(b'q').hexdigest()[:32].upper()} word mail5.example.com"), *[(10 + i, t) for i, t in enumerate(many)]]
-    got = {r["doc_id"]: r for r in secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    spans = [(s["kind"], text[s["start"] : s["end"]]) for s in got[1]["spans"]]
-    assert spans == [("assign", f'token = "{key}'), ("hex", key), ("assign", "PassWord: abcdef"), ("access", "AKIA" + "A1" * 9), ("hex", "a" * 24)]
-    base = [s for s in got[1]["spans"] if s["kind"] != "format"]
-    assert got[1]["base_sha256"] == hashlib.sha256(secrets.joined([(s["kind"], s["start"], s["end"]) for s in base]).encode()).hexdigest()
-    assert got[2]["spans"] == [] and got[2]["base_sha256"] == hashlib.sha256(b"").hexdigest()
-    assert [(s["kind"], s["start"]) for s in got[4]["spans"]] == [("format", 5)]
+    r = random.Random(5)
+    key = lambda: "sk" + "".join(r.choice("0123456789ABCDEF") for _ in range(22)) + "zz"
+    short = lambda: "".join(r.choice("0123456789") + r.choice("QXZJ") for _ in range(6))
+    rows = [(i, f"{prose(30, r)} api_key = '{key()}' {prose(20, r)}") for i in range(60)]
+    rows += [(60 + i, f"{prose(9, r)} Secret: {short()}; {prose(20, r)}") for i in range(60)]
+    rows += [(200, f"auth={key()}."), (201, f"see path/{key()}/x"), (202, f"{prose(10, r)} {key()} {prose(3, r)}"), (203, f"a {short()}, b"), (204, "plain words only " * 30), (205, "2024-11-05T10:22:33 10.0.0.1 file_name-v2.txt 1234567890123456")]
+    rows += [(206, None), (207, ""), (208, "x" * 200_000), (209, "a=" * 20_000), (210, key()[:-3]), rows[3], rows[3]]
+    d = spark.createDataFrame(rows, "doc_id long, text string").withColumn("spans", F.lit("clash")).withColumn("pair", F.lit(1))
+    found = secrets.find_secrets(d).collect()
+    assert len(found) == len(rows)
+    by = {x["doc_id"]: x for x in found}
+    text = dict(rows)
+    for i in (200, 201, 202, 203):
+        (s,) = by[i]["spans"]
+        assert s["kind"] == "format" and s["value"] == text[i][s["start"] : s["end"]] and s["value"] in text[i].replace(",", " ").replace("=", " ").replace("/", " ").replace(". ", " ").rstrip(".").split()
+    assert all(by[i]["spans"] == [] for i in (204, 205, 206, 207, 208, 209, 210))
+    assert all([s["kind"] for s in by[i]["spans"]] == ["assign"] for i in range(120))
     assert secrets.find_secrets(empty).count() == 0
+    bare = secrets.find_secrets(spark.createDataFrame([(1, "no secrets here")], "doc_id long, text string")).collect()
+    assert bare[0]["spans"] == []
 
 
-def test_automaton_learns_a_format():
-    r = random.Random(8)
-    examples = ["gk-" + "".join(r.choice("ABCDEFGHIJ0123456789") for _ in range(24)) for _ in range(200)]
-    model, least = secrets.learn(examples)
-    fresh = ["gk-" + "".join(r.choice("ABCDEFGHIJ0123456789") for _ in range(24)) for _ in range(200)]
-    other = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz0123456789.-") for _ in range(27)) for _ in range(200)]
-    assert sum(model.score(x) >= least for x in fresh) >= 190 and sum(model.score(x) >= least for x in other) <= 2
-    assert secrets.learn(examples[:5]) is None
+def test_automaton_keeps_positions_and_lengths():
+    r = random.Random(2)
+    hexes = ["".join(r.choice("0123456789abcdef") for _ in range(32)) for _ in range(65)]
+    keys = ["ghp_" + "".join(r.choice("abcXYZ0123456789") for _ in range(20)) for _ in range(65)]
+    one = secrets.Automaton(hexes)
+    assert len(one.levels) == 33 and max(map(len, one.levels)) <= 3
+    both = secrets.Automaton(hexes + keys)
+    assert len(both.levels[1]) >= 2 and sum(s.ends for s in both.levels[24]) == 65 and sum(s.ends for s in both.levels[32]) == 65
+    tables, least = secrets.learn(hexes + keys)
+    fresh = "".join(r.choice("0123456789abcdef") for _ in range(32))
+    assert secrets.score(tables, fresh) >= least > secrets.score(tables, fresh[:31]) and secrets.score(tables, fresh + "0") < least
+    assert secrets.score(tables, "ghp_abcXYZ0123abcXYZ0123") >= least > secrets.score(tables, "ghq-abcXYZ0123abcXYZ0123")
+    p = sum(2.0 ** (tables[0][1][c][0]) for c in tables[0][1])
+    assert p == pytest.approx(1.0)
+    assert secrets.learn(["abc123"])[1] == secrets.score(secrets.learn(["abc123"])[0], "abc123")
 
 
 def test_lines(docs, empty):
