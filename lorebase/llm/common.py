@@ -77,6 +77,12 @@ class Consumed:
         self.kept.add(_written[-1][1])
         return df
 
+    def drop(self) -> None:
+        """Deletes the kept tables too, once they are read for the last time."""
+        for path in self.kept:
+            drop_folder(self.spark, path)
+        _written[:] = [x for x in _written if x[1] not in self.kept]
+
     def __exit__(self, *error) -> None:
         mine, _written[self.before :] = _written[self.before :], []
         for spark, path in mine:

@@ -11,16 +11,20 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import connected_components, materialize, shuffle_partitions
 
-#: Vectors that the quantisers are fitted on, at most (the lowest by hash).
-SAMPLE = 20_000
-#: Vectors a coarse list should hold, and the most lists there are.
-PER_LIST, MOST_LISTS = 2000, 1024
+#: There are as many coarse lists as a list has vectors, MOST_LISTS at most (from
+#: some 268 million vectors on lists grow instead; they are compared in blocks).
+MOST_LISTS = 16_384
+#: Vectors that the quantisers are fitted on, at most (the lowest by hash): so
+#: many, or so many per list if that is more.
+SAMPLE, SAMPLE_PER_LIST = 20_000, 8
 #: Subspaces, and codes in each.
 PARTS, CODES = 8, 64
 #: Most index vectors that one task compares with at a time.
 BLOCK = 2048
 #: Standard deviations of a random direction that probing allows for.
-SURE = 4
+SURE = 2.5
+#: Vectors (with their copies as queries) that one task gets on average.
+PER_TASK = 200_000
 #: Slack for rounding in distances that only select candidates.
 SLACK = 1e-6
 
@@ -29,7 +33,7 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 7) -> np.ndarray:
     """Centres of a Lloyd run from distinct random rows; an empty cluster keeps its centre."""
     centres = x[np.random.default_rng(seed).permutation(len(x))[:k]].copy()
     for _ in range(rounds):
-        own = np.argmin((centres**2).sum(1) - 2 * x @ centres.T, axis=1)
+        own = nearest(x, centres)
         sums = np.zeros_like(centres)
         np.add.at(sums, own, x)
         n = np.bincount(own, minlength=len(centres))
@@ -37,6 +41,12 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 7) -> np.ndarray:
     return centres
 
 
+def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """The nearest centre of each row, in blocks of rows."""
+    step, squares = max(1, (1 << 23) // len(centres)), (centres**2).sum(1)
+    return np.concatenate([np.argmin(squares - 2 * x[a : a + step] @ centres.T, axis=1) for a in range(0, len(x), step)])
+
+
 class Quantiser:
     """Coarse centres, and codebooks for the subspaces of what they leave."""
 
@@ -46,14 +56,13 @@ class Quantiser:
         edges = np.linspace(0, sample.shape[1], min(PARTS, sample.shape[1]) + 1).astype(int)
         self.parts = list(zip(edges[:-1], edges[1:], strict=True))
         self.books = [kmeans(np.ascontiguousarray(left[:, a:b]), min(CODES, len(left)), seed=11 + a) for a, b in self.parts]
-        self.gaps = np.sqrt(((self.centres[:, None] - self.centres[None]) ** 2).sum(-1))
 
     def distances(self, x: np.ndarray) -> np.ndarray:
         """Squared, to every centre."""
         return np.maximum((x**2).sum(1)[:, None] + (self.centres**2).sum(1) - 2 * x @ self.centres.T, 0)
 
     def home(self, x: np.ndarray) -> np.ndarray:
-        return np.argmin(self.distances(x), axis=1)
+        return nearest(x, self.centres)
 
     def encode(self, x: np.ndarray, home: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Codes of the residuals, and how far each vector lies from what its code stands for."""
@@ -74,11 +83,13 @@ class Quantiser:
         2 |c - h| per unit of length along c - h, so at x it is at most
         2 |c - h| radius. In many dimensions y - x lies across c - h: its part
         along it exceeds SURE / sqrt(dimensions) of its length for some 6 in
-        100,000 random directions, and the bound is taken at that part.
+        1000 random directions, and the bound is taken at that part. (Both ends
+        of a pair probe, but only the one in the earlier list is used.)
         """
-        d = self.distances(x)
+        d, squares = self.distances(x), (self.centres**2).sum(1)
+        gaps = np.sqrt(np.maximum(squares[home][:, None] + squares - 2 * self.centres[home] @ self.centres.T, 0))
         part = min(1.0, SURE / math.sqrt(x.shape[1]))
-        return d - d[np.arange(len(x)), home][:, None] <= 2 * radius * part * self.gaps[home] + SLACK
+        return d - d[np.arange(len(x)), home][:, None] <= 2 * radius * part * gaps + SLACK
 
     def asymmetric(self, queries: np.ndarray, list_: int, codes: np.ndarray) -> np.ndarray:
         """Distances from whole queries to coded vectors of a list, by table lookup."""
@@ -91,10 +102,11 @@ class Quantiser:
         return np.sqrt(np.maximum(total, 0))
 
 
-def _classes(vectors: DataFrame, id_col: str, vector_col: str) -> tuple[DataFrame, DataFrame]:
+def _classes(vectors: DataFrame, id_col: str, vector_col: str) -> tuple[DataFrame, DataFrame, int]:
     """The rows with their vector as bytes (null if it links with nothing), and
-    one row per distinct vector: _cls, _bytes, _n, _rep."""
-    kind = F.col(vector_col).cast("array<double>")
+    one row per distinct vector: _cls, _bytes, _n, _rep; and the bytes of a component."""
+    narrow = dict(vectors.dtypes)[vector_col] == "array<float>"  # kept in four bytes, which are exact
+    kind = F.col(vector_col).cast("array<float>" if narrow else "array<double>")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -105,9 +117,10 @@ def _classes(vectors: DataFrame, id_col: str, vector_col: str) -> tuple[DataFram
             out = []
             for a, e in zip((ends - sizes).tolist(), ends.tolist(), strict=True):
                 x = flat[a:e]
-                with np.errstate(over="ignore", invalid="ignore"):
-                    norm = math.sqrt(float(x @ x)) if np.isfinite(x).all() else 0.0
-                out.append((x + 0.0).tobytes() if 0 < norm < math.inf else None)  # -0.0 becomes 0.0
+                largest = float(np.abs(x).max()) if len(x) and np.isfinite(x).all() else 0.0
+                if not narrow and largest and not 1e-100 < largest < 1e100:  # by a power of two, so that squares are in range
+                    x = np.ldexp(x, -math.frexp(largest)[1])
+                out.append((x + 0.0).astype("<f4" if narrow else "<f8").tobytes() if largest else None)  # -0.0 becomes 0.0
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["_id", "_bytes"])
 
     import pyarrow.compute  # noqa: F401
@@ -115,19 +128,20 @@ def _classes(vectors: DataFrame, id_col: str, vector_col: str) -> tuple[DataFram
     kept = vectors.select(F.col(id_col).alias("_id"), kind.alias("_v"))
     rows = materialize(kept.mapInArrow(run, f"_id {dict(kept.dtypes)['_id']}, _bytes binary"), "pq-rows")
     classes = rows.where("_bytes is not null").groupBy("_bytes").agg(F.count("*").alias("_n"), F.min("_id").alias("_rep"))
-    return rows, materialize(classes.withColumn("_cls", F.monotonically_increasing_id()), "pq-classes")
+    return rows, materialize(classes.withColumn("_cls", F.monotonically_increasing_id()), "pq-classes"), 4 if narrow else 8
 
 
-def _unit(column: pa.Array, size: int) -> np.ndarray:
-    x = np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(-1, size)
+def _unit(column: pa.Array, size: int, width: int) -> np.ndarray:
+    x = np.frombuffer(b"".join(column.to_pylist()), f"<f{width}").astype(np.float64).reshape(-1, size)
     return x / np.sqrt((x * x).sum(1))[:, None]
 
 
-def _links_of_size(classes: DataFrame, size: int, least: float, spark) -> DataFrame:
+def _links_of_size(classes: DataFrame, size: int, width: int, least: float, spark) -> DataFrame:
     """(cls, n, other): n more linked vectors for class cls; where other is set, a link of the forest."""
     n = classes.count()
-    sample = classes.orderBy(F.xxhash64("_bytes"), "_bytes").limit(SAMPLE).select("_bytes").toArrow().column(0).combine_chunks()
-    quantiser = Quantiser(_unit(sample, size), max(1, min(MOST_LISTS, math.ceil(n / PER_LIST))))
+    wanted = max(1, min(MOST_LISTS, math.ceil(math.sqrt(n))))
+    sample = classes.orderBy(F.xxhash64("_bytes"), "_bytes").limit(max(SAMPLE, SAMPLE_PER_LIST * wanted)).select("_bytes").toArrow().column(0).combine_chunks()
+    quantiser = Quantiser(_unit(sample, size, width), wanted)
     radius = math.sqrt(2 - 2 * least)
     lists = len(quantiser.centres)
 
@@ -135,7 +149,7 @@ def _links_of_size(classes: DataFrame, size: int, least: float, spark) -> DataFr
         for whole in batches:
             for low in range(0, whole.num_rows, 4096):
                 b = whole.slice(low, 4096)
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(quantiser.home(_unit(b.column(2), size)).astype(np.int32))], names=["cls", "n", "bytes", "home"])
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(quantiser.home(_unit(b.column(2), size, width)).astype(np.int32))], names=["cls", "n", "bytes", "home"])
 
     placed = materialize(classes.select(F.col("_cls").alias("cls"), F.col("_n").alias("n"), F.col("_bytes").alias("bytes")).mapInArrow(place, "cls long, n long, bytes binary, home int"), "pq-lists")
     blocks = np.ones(lists, np.int64)
@@ -150,7 +164,7 @@ def _links_of_size(classes: DataFrame, size: int, least: float, spark) -> DataFr
             for low in range(0, whole.num_rows, 1024):
                 b = whole.slice(low, 1024)
                 cls, home = b.column(0).to_numpy(), b.column(3).to_numpy()
-                x = _unit(b.column(2), size)
+                x = _unit(b.column(2), size, width)
                 codes, far = quantiser.encode(x, home)
                 own = first[home] + (cls ^ (cls >> 33)) % blocks[home]
                 probe = quantiser.probes(x, home, radius)
@@ -184,7 +198,7 @@ def _links_of_size(classes: DataFrame, size: int, least: float, spark) -> DataFr
             return x
 
         def read(b: pa.RecordBatch):
-            return b.column(2).to_numpy(), b.column(3).to_numpy(), _unit(b.column(4), size), np.frombuffer(b"".join(b.column(5).to_pylist()), np.uint8).reshape(b.num_rows, -1), b.column(6).to_numpy()
+            return b.column(2).to_numpy(), b.column(3).to_numpy(), _unit(b.column(4), size, width), np.frombuffer(b"".join(b.column(5).to_pylist()), np.uint8).reshape(b.num_rows, -1), b.column(6).to_numpy()
 
         def links(query, index, list_: int, inner: bool):
             q_cls, q_n, q_x, *_ = query
@@ -245,7 +259,7 @@ def _links_of_size(classes: DataFrame, size: int, least: float, spark) -> DataFr
             yield out(index[0], ql + il, forest)
 
     dealt = placed.mapInArrow(deal, "cell long, role byte, cls long, n long, bytes binary, code binary, far double")
-    dealt = dealt.repartition(shuffle_partitions(spark), "cell").sortWithinPartitions("cell", "role")
+    dealt = dealt.repartition(max(shuffle_partitions(spark), math.ceil(n / PER_TASK)), "cell").sortWithinPartitions("cell", "role")
     return dealt.mapInArrow(compare, "cls long, n long, other long")
 
 
@@ -256,7 +270,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     are one class that counts all its rows. Coarse lists come from k-means on a
     bounded sample; every vector is then indexed in its nearest list by the
     subspace codes of its residual, and probes all lists that may hold a vector
-    near enough (``Quantiser.probes``: exact up to 16 dimensions; measured recall
+    near enough (``Quantiser.probes``: exact up to 6 dimensions; measured recall
     against brute force on 64 dimensions is 1). Candidates are those whose
     distance by table lookup is within the radius plus the stored error of their
     code, which loses none; their exact cosine decides. Lists are cut into
@@ -266,12 +280,13 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     Null and zero vectors and those with null or non-finite components link with
     nothing: 0 links, their own id, kept. Null ids take part; a component without
     any id has a null one and such a row is not kept. Repeated rows count as
-    links of one another. An empty table gives an empty result.
+    links of one another; columns of any other name may be there; vectors of any
+    finite magnitude are compared. An empty table gives an empty result.
     """
     spark = vectors.sparkSession
-    rows, classes = _classes(vectors, id_col, vector_col)
+    rows, classes, width = _classes(vectors, id_col, vector_col)
     found = [
-        _links_of_size(classes.where(F.length("_bytes") == r[0]), r[0] // 8, least, spark)
+        _links_of_size(classes.where(F.length("_bytes") == r[0]), r[0] // width, width, least, spark)
         for r in classes.select(F.length("_bytes").alias("b")).distinct().orderBy("b").collect()  # lengths of vectors
     ]
     if not found:

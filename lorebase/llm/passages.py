@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StructField, StructType
 
 from .common import materialize
 
@@ -21,6 +22,8 @@ MIN_WORDS, ANCHOR = 50, 20
 WINDOW = MIN_WORDS - ANCHOR + 1
 #: Odd base of the polynomial hash that tells byte strings.
 BASE = 0x9E3779B97F4A7C15
+#: Stands for a null id.
+NO_ID = (1 << 63) - 1
 SPACES = (9, 10, 11, 12, 13, 32)
 
 
@@ -140,9 +143,11 @@ def anchor_table(texts: DataFrame) -> DataFrame:
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(_id, _key, _same, text), _same a hash of the text. Rows that repeat id and text are one document; a null
-    id comes last."""
+    id comes last, as the largest long. Ids are whole numbers."""
+    if dict(docs.dtypes)[id_col] not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError(f"{id_col} is no column of whole numbers")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("_id"), F.xxhash64(F.col(id_col), text).alias("_key"), F.xxhash64(text).alias("_same"), text.alias("text"))
+    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("_id"), F.xxhash64(F.col(id_col), text).alias("_key"), F.xxhash64(text).alias("_same"), text.alias("text"))
 
 
 SPANS = "_id long, _key long, first_id long, lo int, hi int, words int"
@@ -226,7 +231,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     follow one another in both documents form a run.
 
     Null texts are empty, rows that repeat id and text are one document and no
-    copy of each other, an empty table gives an empty result.
+    copy of each other, very long texts are read whole, columns of any other name
+    may be there, an empty table gives an empty result.
     """
     texts = keyed(docs, id_col, text_col)
     doc = F.struct("_id", "_key")
@@ -259,9 +265,11 @@ def drop_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: st
     as spans are widened to the next white space."""
     spans = repeated_passages(docs, id_col, text_col).groupBy("_id", "_key").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
 
+    place = docs.columns.index(text_col)
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            i = b.schema.names.index(text_col)
+            i = place
             out = []
             for text, spans in zip(b.column(i).to_pylist(), b.column("_spans").to_pylist(), strict=True):
                 raw, kept, at = (text or "").encode(), [], 0
@@ -278,12 +286,17 @@ def drop_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if k == i else b.column(k) for k in range(b.num_columns - 1)], names=b.schema.names[:-1])
 
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    d = docs.withColumn("_i", F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1))).withColumn("_k", F.xxhash64(F.col(id_col), text))
-    j = d.join(spans.withColumnRenamed("spans", "_spans"), (F.col("_k") == F.col("_key")) & (F.col("_i") == F.col("_id")), "left")
-    return j.select(*docs.columns, "_spans").mapInArrow(cut, docs.schema)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc")
+    d = docs.select(row, F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("_named"), F.xxhash64(F.col(id_col), text).alias("_hash"))
+    j = d.join(spans.withColumnRenamed("spans", "_spans"), (F.col("_hash") == F.col("_key")) & (F.col("_named") == F.col("_id")), "left")
+    at = [f"_{k}" for k in range(len(docs.columns))]  # any names, however alike
+    flat = j.select(*[F.col(f"_doc.`{c}`").alias(a) for c, a in zip(docs.columns, at, strict=True)], "_spans")
+    named = StructType([StructField(a, f.dataType, True) for a, f in zip(at, docs.schema.fields, strict=True)])
+    out = flat.mapInArrow(cut, named)
+    return out.select(*[F.col(a).alias(c) for c, a in zip(docs.columns, at, strict=True)])
 
 
 def op6_passages(spark, sf_dir: str) -> DataFrame:
     found = repeated_passages(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     best = found.groupBy("_id", "_key", "lo", "hi").agg(F.min("first_id").alias("first_doc_id"), F.max("words").cast("long").alias("n_words"))
-    return best.select(F.col("_id").alias("doc_id"), F.col("lo").cast("long").alias("start_byte"), F.col("hi").cast("long").alias("end_byte"), "n_words", "first_doc_id")
+    return best.select(F.nullif(F.col("_id"), F.lit(NO_ID)).alias("doc_id"), F.col("lo").cast("long").alias("start_byte"), F.col("hi").cast("long").alias("end_byte"), "n_words", F.nullif("first_doc_id", F.lit(NO_ID)).alias("first_doc_id"))

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import UPPER, connected_components, materialize, shuffle_partitions
 
+#: Fingerprints, with their keys, that one task gets on average.
+PER_TASK = 20_000
 #: Widths of the fingerprint's three segments; each fits a 23-bit Golay word.
 SEGMENTS = (22, 21, 21)
 #: x^11 + x^9 + x^7 + x^6 + x^5 + x + 1 generates the perfect binary [23,12,7] code.
@@ -182,7 +184,9 @@ def fingerprint_links(distinct: DataFrame, radius: int = 4, block: int = 4096) -
             yield out(found)
 
     spark = distinct.sparkSession
-    keyed = distinct.select("fp").mapInArrow(spread, "key long, fp long")
+    # Each fingerprint becomes some 70 rows, so they are dealt out before.
+    n = max(shuffle_partitions(spark), math.ceil(distinct.count() / PER_TASK))
+    keyed = distinct.select("fp").repartition(n).mapInArrow(spread, "key long, fp long")
     # At most rows / block keys are split; their number is summed before the shuffle.
     large = keyed.groupBy(F.col("key").alias("_k")).count().where(F.col("count") > block).select("_k", F.ceil(F.col("count") / block).cast("int").alias("_n"))
     large = materialize(large, "simhash-large")
@@ -190,7 +194,7 @@ def fingerprint_links(distinct: DataFrame, radius: int = 4, block: int = 4096) -
         keyed = keyed.withColumn("sub", F.lit(0).cast("long"))
     else:
         keyed = _in_blocks(keyed, large, "fp")
-    dealt = keyed.select("key", "sub", "fp").repartition(shuffle_partitions(spark), "key", "sub").sortWithinPartitions("key", "sub")
+    dealt = keyed.select("key", "sub", "fp").repartition(n, "key", "sub").sortWithinPartitions("key", "sub")
     return dealt.mapInArrow(compare, "u long, v long")
 
 
@@ -201,7 +205,8 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     ``radius`` bits or fewer, the row's own included. A null or wordless text
     has fingerprint 0 and links like any other; a null id takes part and gets
     its component, which is null if no member has an id. Repeated rows and
-    copies share one fingerprint, which is compared once. An empty table gives
+    copies share one fingerprint, which is compared once. Very long texts are
+    hashed whole; columns of any other name may be there. An empty table gives
     an empty result.
     """
     fps = materialize(fingerprints(docs, id_col, text_col, shingle), "simhash-fp")
@@ -215,13 +220,24 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return fps.join(named, F.col("fp") == F.col("_fp")).select(id_col, "fp", "component_id")
 
 
+def _one_of_each(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(_doc, _named, _text): the rows with an id, in a struct; of rows that repeat
+    an id the one whose text has the lowest hash, so that reruns agree."""
+    rows = docs.where(F.col(f"`{id_col}`").isNotNull()).select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"))
+    text = F.col(f"_doc.`{text_col}`").cast("string")
+    rows = rows.select("_doc", F.col(f"_doc.`{id_col}`").alias("_named"), F.struct(F.xxhash64(text), F.xxhash64(F.lit(1), text)).alias("_order"))
+    return rows.groupBy("_named").agg(F.min_by("_doc", "_order").alias("_doc")).select("_doc", "_named", text.alias("_text"))
+
+
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """``docs`` with one document of each SimHash component: that of the smallest
-    id. Rows without an id are kept; of rows that repeat an id, one stays."""
-    found = simhash_components(docs, id_col, text_col, **how)
-    stay = found.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_id")).distinct()
-    named = docs.join(stay, F.col(id_col) == F.col("_id"), "left_semi").dropDuplicates([id_col])
-    return named.unionByName(docs.where(F.col(id_col).isNull()))
+    id. Rows without an id are kept; of rows that repeat an id, the one whose text
+    has the lowest hash. Columns may have any name."""
+    first = materialize(_one_of_each(docs, id_col, text_col), "simhash-first")
+    found = simhash_components(first.select("_named", "_text"), "_named", "_text", **how)
+    stay = found.where(F.col("_named") == F.col("component_id")).select(F.col("_named").alias("_stay")).distinct()
+    named = first.join(stay, F.col("_named") == F.col("_stay"), "left_semi").select("_doc.*")
+    return named.unionByName(docs.where(F.col(f"`{id_col}`").isNull()))
 
 
 #: Near copies: words of a shingle and least Jaccard similarity of the sets of shingles.
@@ -378,15 +394,17 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """``docs`` with one document, that of the smallest id, of each component of
     texts that share NEAR_PERCENT of their shingles of NEAR_WORDS words or more.
 
-    Rows without an id are kept; of rows that repeat an id, one stays. Wordless
-    texts equal each other.
+    Rows without an id are kept; of rows that repeat an id, the one whose text has
+    the lowest hash. Null and wordless texts equal each other; very long texts are
+    compared whole; columns may have any name; an empty table gives an empty one.
     """
-    first = materialize(docs.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]), "near-first")
-    classes, links = near_links(first, id_col, text_col)
+    first = materialize(_one_of_each(docs, id_col, text_col), "near-first")
+    classes, links = near_links(first.select("_named", "_text"), "_named", "_text")
     comps = connected_components(links, "near-cc")
     joined = classes.join(comps, F.col("cls") == F.col("id"), "left").select("_rep", F.coalesce("component", "cls").alias("_c"))
-    stay = joined.groupBy("_c").agg(F.min("_rep").alias("_id"))
-    return first.join(stay, F.col(id_col) == F.col("_id"), "left_semi").unionByName(docs.where(F.col(id_col).isNull()))
+    stay = joined.groupBy("_c").agg(F.min("_rep").alias("_stay"))
+    kept = first.join(stay, F.col("_named") == F.col("_stay"), "left_semi").select("_doc.*")
+    return kept.unionByName(docs.where(F.col(f"`{id_col}`").isNull()))
 
 
 def op2_simhash(spark, sf_dir: str) -> DataFrame:

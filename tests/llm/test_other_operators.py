@@ -1,15 +1,17 @@
 """Vectors, archives and the pipeline."""
 
+import collections
 import gzip
 import math
 import random
+from fractions import Fraction
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lorebase.llm import embeddings, warc
+from lorebase.llm import embeddings, mixing, warc
 from lorebase.llm.common import connected_components
 
 
@@ -24,9 +26,10 @@ def cosine_brute(rows):
         label = new
 
 
-@pytest.mark.parametrize(("per_list", "block"), [(2000, 2048), (15, 8)])
-def test_embeddings(spark, monkeypatch, per_list, block):
-    monkeypatch.setattr(embeddings, "PER_LIST", per_list)
+@pytest.mark.parametrize(("lists", "block"), [(1, 2048), (99, 8)])
+def test_embeddings(spark, monkeypatch, lists, block):
+    monkeypatch.setattr(embeddings, "MOST_LISTS", lists)
+    monkeypatch.setattr(embeddings, "SURE", 4)  # exact in 12 dimensions
     monkeypatch.setattr(embeddings, "BLOCK", block)
     r = np.random.default_rng(1)
     x = r.normal(size=(60, 12))
@@ -42,6 +45,22 @@ def test_embeddings(spark, monkeypatch, per_list, block):
     assert twice == {104: 1}
 
 
+def test_vectors_of_any_magnitude_link(spark):
+    rows = [(1, [1e200, 2e200, 0.0]), (2, [1e200, 2.01e200, 0.0]), (3, [1e-200, 2e-200, 0.0]), (4, [2.0, -1.0, 0.0]), (None, [1.0, 2.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("_cls", F.lit("clash"))
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embeddings.near_vectors(df).collect()}
+    assert got == {1: (3, 1), 2: (3, 1), 3: (3, 1), None: (3, 1), 4: (0, 4)}
+
+
+def test_recall_of_the_probes(spark):
+    """Against brute force over a whole table, with the probes as they are."""
+    df = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select("vec_id", "embedding")
+    rows = sorted((r["vec_id"], [float(x) for x in r["embedding"]] if r["embedding"] else None) for r in df.collect())
+    want = sum(n for _, n, _, _ in cosine_brute(rows))
+    got = sum(r["n_links"] for r in embeddings.near_vectors(df).collect())
+    assert 0.9 * want <= got <= want
+
+
 def test_components(spark):
     r = random.Random(3)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(400, 440)] + [(500, i) for i in range(501, 540)]
@@ -122,6 +141,22 @@ def test_pipeline(spark, tmp_path):
     assert shared in seen[1][92] and not any(x in seen[1][93] for x in shared.split("\n"))
     assert 90 not in seen[2] and set(range(90)) <= set(seen[2])
     assert set(seen[3]) <= set(seen[2])
+    # Brute force: what each stage may keep of what it was given.
+    lines_seen, want = set(), {}
+    for i in sorted(seen[0]):
+        own = seen[0][i].split("\n")
+        want[i] = "\n".join(x for k, x in enumerate(own) if x not in lines_seen and x not in own[:k])
+        lines_seen.update(own)
+    assert seen[1] == {i: t for i, t in want.items() if t}
+    shingles = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, w in ((i, t.lower().split()) for i, t in seen[1].items())}
+    first = {i: min(j for j in seen[1] if len(shingles[i] & shingles[j]) >= 0.8 * len(shingles[i] | shingles[j])) for i in seen[1]}
+    assert set(seen[2]) == {i for i in first if first[i] == i} and all(seen[2][i] == seen[1][i] for i in seen[2])
+    sizes = {s: sum(len(t.split()) for i, t in seen[2].items() if rows[i][3] == s) for s in ("s0", "s1", "s2", "s3")}
+    targets = mixing.water_fill(sizes, dict(zip(sizes, (5, 2, 1, 5), strict=True)), Fraction(3, 2), Fraction(2))
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    starts = collections.Counter((x["doc_id"], x["source"]) for x in out if x["start"] == 0)
+    for s, target in targets.items():
+        taken = sum(n * len(seen[2][i].split()) for (i, t), n in starts.items() if t == s)
+        assert abs(taken - target) <= 60 and all(n <= 2 for n in starts.values())
     assert {x["doc_id"] for x in out} == set(seen[3])
     assert corpus_pipeline.ORACLE_SQL is None and [n for n, _ in corpus_pipeline.STAGES][0] == "quality rules"

@@ -122,6 +122,23 @@ def test_simhash(docs, empty):
     assert simhash.simhash_components(empty).count() == 0 and simhash.drop_near_duplicates(empty).count() == 0
 
 
+def test_columns_of_any_name_stay(spark):
+    rows = [(1, prose(80, random.Random(1)), "a"), (2, prose(80, random.Random(1)), "b"), (2, "zz", "c"), (3, None, "d"), (None, "x", "e")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, x string")
+    for name in ("_id", "_key", "a.b"):
+        c = d.withColumnRenamed("x", name)
+        for f in (simhash.drop_near_duplicates, simhash.drop_near_copies, lines.drop_repeated_lines, passages.drop_repeated_passages):
+            if f in (simhash.drop_near_copies, lines.drop_repeated_lines) and name == "_key":
+                continue
+            out = f(c)
+            assert out.columns == c.columns, (f, name)
+    kept = {(r["doc_id"], r["x"]) for r in simhash.drop_near_duplicates(d).collect()}
+    assert (1, "a") in kept and (None, "e") in kept and kept == {(r["doc_id"], r["x"]) for r in simhash.drop_near_duplicates(d.repartition(5)).collect()}
+    gone = {r["x"]: r["text"] for r in passages.drop_repeated_passages(d).collect()}
+    assert len(gone) == 5 and gone["a"] == rows[0][1] and len(gone["b"]) < 40
+    assert {r["_id"] for r in passages.repeated_passages(spark.createDataFrame([(1, rows[0][1]), (None, rows[0][1])], "doc_id long, text string")).collect()} == {passages.NO_ID}
+
+
 def test_golay_keys_meet():
     table = simhash.golay_table()
     assert ((table >= 0).sum(1) % 5 == 1).all()
