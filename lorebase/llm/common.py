@@ -50,20 +50,39 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return path
 
 
+#: Spark deletes the shuffle files of an execution at its end.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read back.
 
-    Cuts the lineage and survives lost executors, unlike a cache. Deleted when
-    the driver ends.
+    Cuts the lineage and survives lost executors, unlike a cache. The shuffles
+    behind it go once it is written, itself when ``drop_table`` is called, its
+    ``Consumed`` block ends or the driver does.
     """
-    path = new_path(df.sparkSession, tag)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, path = df.sparkSession, new_path(df.sparkSession, tag)
+    before = spark.conf.get(CLEAN_UP, "false")
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEAN_UP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._lorebase_path = path
+    return out
+
+
+def drop_table(df: DataFrame) -> None:
+    """Deletes what ``materialize`` wrote, once nothing reads it any more."""
+    path = df._lorebase_path
+    _written[:] = [x for x in _written if x[1] != path]
+    drop_folder(df.sparkSession, path)
 
 
 class Consumed:
     """Deletes what the operators wrote in the shared folder within its block,
-    but for the tables named by ``keep``: for use where the block's result was
+    but for the tables given to ``keep``: for use where the block's result was
     written, so that nothing refers to its intermediates any more."""
 
     def __init__(self, spark: SparkSession):
@@ -74,7 +93,7 @@ class Consumed:
         return self
 
     def keep(self, df: DataFrame) -> DataFrame:
-        self.kept.add(_written[-1][1])
+        self.kept.add(df._lorebase_path)
         return df
 
     def drop(self) -> None:
@@ -174,7 +193,8 @@ def connected_components(edges: DataFrame, tag: str = "cc") -> DataFrame:
         low = large.groupBy(F.col("u").alias("k")).agg(F.min("v").alias("m"))
         small = large.join(low, F.col("u") == F.col("k")).select("u", "v", "m")
         small = small.select("u", F.col("m").alias("v")).union(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct()
-        e = materialize(small, tag)
+        old, e = e, materialize(small, tag)
+        drop_table(old)
         now = state(e)
         if now == last:
             break

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import UPPER, connected_components, materialize, shuffle_partitions
+from .common import UPPER, Consumed, connected_components, drop_table, materialize, shuffle_partitions
 
 #: Fingerprints, with their keys, that one task gets on average.
 PER_TASK = 20_000
@@ -383,6 +383,8 @@ def near_links(docs: DataFrame, id_col: str, text_col: str, block: int = 4096) -
     dealt = keyed.select("key", "sub", "cls", "f", "g").repartition(shuffle_partitions(spark), "key", "sub").sortWithinPartitions("key", "sub")
     pairs = materialize(dealt.mapInArrow(compare, "u long, v long").distinct(), "near-pairs")
     texts = names.join(docs, F.col("_rep") == F.col(id_col)).select(F.col("cls").alias("_cls"), F.col(text_col).alias("_t"))
+    for t in (sketches, one, large):
+        drop_table(t)
     need = pairs.select(F.col("u").alias("_n")).union(pairs.select(F.col("v").alias("_n"))).distinct()
     texts = materialize(texts.join(need, F.col("_cls") == F.col("_n"), "left_semi"), "near-texts")
     read = pairs.join(texts, F.col("u") == F.col("_cls")).select("u", "v", F.col("_t").alias("_tu"))
@@ -398,11 +400,12 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     the lowest hash. Null and wordless texts equal each other; very long texts are
     compared whole; columns may have any name; an empty table gives an empty one.
     """
-    first = materialize(_one_of_each(docs, id_col, text_col), "near-first")
-    classes, links = near_links(first.select("_named", "_text"), "_named", "_text")
-    comps = connected_components(links, "near-cc")
-    joined = classes.join(comps, F.col("cls") == F.col("id"), "left").select("_rep", F.coalesce("component", "cls").alias("_c"))
-    stay = joined.groupBy("_c").agg(F.min("_rep").alias("_stay"))
+    with Consumed(docs.sparkSession) as made:
+        first = made.keep(materialize(_one_of_each(docs, id_col, text_col), "near-first"))
+        classes, links = near_links(first.select("_named", "_text"), "_named", "_text")
+        comps = connected_components(links, "near-cc")
+        joined = classes.join(comps, F.col("cls") == F.col("id"), "left").select("_rep", F.coalesce("component", "cls").alias("_c"))
+        stay = made.keep(materialize(joined.groupBy("_c").agg(F.min("_rep").alias("_stay")), "near-stay"))
     kept = first.join(stay, F.col("_named") == F.col("_stay"), "left_semi").select("_doc.*")
     return kept.unionByName(docs.where(F.col(f"`{id_col}`").isNull()))
 
