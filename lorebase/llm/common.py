@@ -50,7 +50,8 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return path
 
 
-#: Spark deletes the shuffle files of an execution at its end.
+#: Spark deletes the shuffle files of an execution at its end. Operators leave it
+#: set in the session, so that those of the execution that writes their result go as well.
 CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -62,12 +63,8 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     ``Consumed`` block ends or the driver does.
     """
     spark, path = df.sparkSession, new_path(df.sparkSession, tag)
-    before = spark.conf.get(CLEAN_UP, "false")
     spark.conf.set(CLEAN_UP, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(CLEAN_UP, before)
+    df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._lorebase_path = path
     return out

@@ -9,7 +9,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import WORD, materialize
+from .common import WORD, materialize, sent_if_few
 
 #: Base rules: fewest words, and most repeated words in percent.
 MIN_WORDS, MAX_REPEAT, GRAM = 20, 30, 8
@@ -145,6 +145,7 @@ def judge(measured: DataFrame, groups: tuple[str, str] = ("lang", "source")) ->
     wide = cut.groupBy(F.col(lang).alias("_g1"), F.col(source).alias("_g2")).agg(
         *[F.max(F.when(F.col("measure") == m, F.col(e))).alias(f"_{m}_{e}") for m in MEASURES for e in ("low", "high")]
     )
+    wide = sent_if_few(materialize(wide, "quality-cutoffs"))
     j = measured.join(wide, measured[lang].eqNullSafe(wide["_g1"]) & measured[source].eqNullSafe(wide["_g2"]), "left")
     ok = ~F.col("base_failed")
     for m, v in _thousandths().items():
