@@ -187,6 +187,12 @@ def pdf_date(c: Column) -> Column:
     return F.when(F.regexp_like(c, F.lit(r"^(D:)?\d{8}")), F.regexp_replace(c, r"^(?:D:)?(\d{4})(\d{2})(\d{2}).*$", "$1-$2-$3"))
 
 
+def json_text(c: Column, path: str, default: str | None = None) -> Column:
+    """SCA-31: the text at a path of a JSON column, else the default."""
+    found = F.get_json_object(c, path)
+    return found if default is None else F.coalesce(found, F.lit(default))
+
+
 def json_object(c: Column) -> Column:
     """SCA-32: from the first { to the last }."""
     return F.nullif(F.regexp_extract(c, r"(?s)\{.*\}", 0), F.lit(""))

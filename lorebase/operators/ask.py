@@ -43,7 +43,7 @@ def evidence(p: Plan, units: DataFrame, pages: DataFrame, entities: DataFrame, r
     if hits is not None:
         seeds = hits.where("kind = 'entity'").select("id").distinct()
         rel = relations.withColumns({"from_id": F.col("from_id").cast("string"), "to_id": F.col("to_id").cast("string")})
-        near = relation_expand(rel, seeds).withColumn("_r", F.row_number().over(Window.orderBy(F.desc("confidence"), "id"))).where(F.col("_r") <= RELATED * EXACT_TERMS).select("id")
+        near = relation_expand(rel, seeds).orderBy(F.desc("confidence"), "id").limit(RELATED * EXACT_TERMS).select("id")
         about = rel.where("from_kind = 'page' AND relation_type = 'about' AND to_kind = 'entity'").join(near.union(seeds).distinct().withColumnRenamed("id", "to_id"), "to_id")
         about = about.withColumn("_r", F.row_number().over(Window.partitionBy("to_id").orderBy("from_id"))).where(F.col("_r") <= PAGES_EACH)
         found = found.unionByName(about.select(F.col("from_id").alias("page_id"), F.lit(1.0).alias("score"))).unionByName(hits.where("kind = 'page'").select(F.col("id").alias("page_id"), "score"))

@@ -87,6 +87,18 @@ def missing_comparisons(concepts: DataFrame, evidence: DataFrame, pages: DataFra
     return named.join(titles, shown, "left_anti").orderBy(F.desc("shared"), "a_id", "b_id").limit(MOST_PAIRS)
 
 
+def finding_totals(findings: DataFrame, by: str = "finding_type") -> DataFrame:
+    """AGG-10: how many findings of each kind, and in all (a null kind)."""
+    return findings.rollup(by).agg(F.count("*").alias("n"))
+
+
+def ignore_findings(findings: DataFrame, keys: DataFrame) -> DataFrame:
+    """DML-03: the open findings of these types and subjects are ignored from now on."""
+    k = keys.select("finding_type", "subject_id", F.lit(True).alias("_hit")).distinct()
+    j = findings.join(k, ["finding_type", "subject_id"], "left")
+    return j.withColumn("status", F.when(F.col("_hit") & (F.col("status") == "open"), F.lit("ignored")).otherwise(F.col("status"))).drop("_hit")
+
+
 def upsert_findings(existing: DataFrame, found: DataFrame) -> DataFrame:
     """CHK-06, DML-02: findings without an open one of their type and subject; of
     several with one key the first by summary."""

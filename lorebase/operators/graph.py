@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -192,31 +193,27 @@ def propagate(ids: list, near: dict) -> dict:
     return label
 
 
-def agglomerate(label: dict, kinship, target: int) -> dict:
+def agglomerate(labels: np.ndarray, tie: np.ndarray, same: np.ndarray, target: int) -> np.ndarray:
     """MAP-12: joins the two closest groups until ``target`` remain; on ties the
-    first pair; the larger group (or the first) keeps its label. ``kinship(i, j)``
-    is the affinity of two nodes, (sum, do their types agree)."""
-    groups: dict = {}
-    for i, g in label.items():
-        groups.setdefault(g, []).append(i)
-
-    def affinity(a: list, b: list) -> float:
-        parts = [kinship(i, j) for i in a for j in b]
-        return sum(p[0] for p in parts) + SAME_TYPE * any(p[1] for p in parts) + SINGLE * (len(a) == 1 or len(b) == 1)
-
-    known: dict = {}
-    while len(groups) > target:
-        names, best = list(groups), None
-        for k, g in enumerate(names):
-            for h in names[k + 1 :]:
-                if (g, h) not in known:
-                    known[g, h] = affinity(groups[g], groups[h])
-                if best is None or known[g, h] > known[best]:
-                    best = (g, h)
-        keep, gone = best if len(groups[best[0]]) >= len(groups[best[1]]) else best[::-1]
-        groups[keep] += groups.pop(gone)
-        known = {k: v for k, v in known.items() if keep not in k and gone not in k}
-    return {i: g for g, members in groups.items() for i in members}
+    first pair; the larger group (or the first) keeps its label.
+
+    ``tie`` and ``same`` are matrices over nodes: their affinity, and whether
+    their types agree. Summed over members they give the groups' affinities, so
+    a step is one product of small matrices.
+    """
+    names = list(dict.fromkeys(labels.tolist()))
+    member = np.array([[x == g for x in labels.tolist()] for g in names], float)
+    while len(names) > target:
+        size = member.sum(1)
+        close = member @ tie @ member.T + SAME_TYPE * (member @ same @ member.T > 0) + SINGLE * ((size[:, None] == 1) | (size == 1))
+        # Sums of other orders are equal if they differ by rounding alone.
+        close = np.where(np.triu(np.ones_like(close), 1) > 0, close.round(9), -np.inf)
+        a, b = divmod(int(close.argmax()), len(names))
+        keep, gone = (a, b) if size[a] >= size[b] else (b, a)
+        member[keep] += member[gone]
+        member = np.delete(member, gone, 0)
+        del names[gone]
+    return np.array(names, dtype=object)[member.argmax(0)]
 
 
 def node_groups(nodes: DataFrame, edges: DataFrame, supports: DataFrame) -> DataFrame:
@@ -232,18 +229,17 @@ def node_groups(nodes: DataFrame, edges: DataFrame, supports: DataFrame) -> Data
         for pdf in batches:
             for r in pdf.itertuples():
                 ids = [x["id"] for x in r.nodes]
-                info = {x["id"]: (x["entity_type"], set(x["terms"] if x["terms"] is not None else ()), set(x["sources"] if x["sources"] is not None else ())) for x in r.nodes}
-                near, tie = {}, {}
+                at = {i: k for k, i in enumerate(ids)}
+                sets = [[set(v if v is not None else ()) for v in (x["terms"], x["sources"])] for x in r.nodes]
+                near, tie = {}, np.array([[GROUP_SHARED * len(a[1] & b[1]) + GROUP_TERMS * len(a[0] & b[0]) for b in sets] for a in sets])
                 for x in r.edges if r.edges is not None else ():
                     near.setdefault(x["source"], []).append((x["target"], x["weight"]))
                     near.setdefault(x["target"], []).append((x["source"], x["weight"]))
-                    tie[frozenset((x["source"], x["target"]))] = GROUP_EXPLICIT * (1 + x["weight"]) if x["kind"] == "explicit" else GROUP_INFERRED * x["weight"]
-
-                def kinship(i, j):
-                    a, b = info[i], info[j]  # noqa: B023
-                    return tie.get(frozenset((i, j)), 0.0) + GROUP_SHARED * len(a[2] & b[2]) + GROUP_TERMS * len(a[1] & b[1]), a[0] == b[0]  # noqa: B023
-
-                label = agglomerate(propagate(ids, near), kinship, group_target(len(ids)))
+                    i, j = at[x["source"]], at[x["target"]]
+                    tie[[i, j], [j, i]] += GROUP_EXPLICIT * (1 + x["weight"]) if x["kind"] == "explicit" else GROUP_INFERRED * x["weight"]
+                same = np.array([[float(a["entity_type"] == b["entity_type"]) for b in r.nodes] for a in r.nodes])
+                first = propagate(ids, near)
+                label = dict(zip(ids, agglomerate(np.array([first[i] for i in ids], dtype=object), tie, same, group_target(len(ids))).tolist(), strict=True))
                 size = {g: sum(x == g for x in label.values()) for g in set(label.values())}
                 number = {g: f"group_{k}" for k, g in enumerate(sorted(size, key=lambda g: (-size[g], g)), 1)}
                 yield pd.DataFrame({"id": ids, "label": [label[i] for i in ids], "group": [number[label[i]] for i in ids]})
@@ -299,6 +295,7 @@ def serialised(edges: DataFrame, sources: DataFrame) -> DataFrame:
     n, shared, words, explicit = F.col("evidence_count"), F.col("shared_sources"), F.col("lexical_overlap"), F.col("kind") == "explicit"
     kind = F.when(explicit & (shared > 0), "hybrid").when(explicit, "explicit_relation").otherwise("shared_support")
     said = F.concat(F.lit("Explicit relation '"), F.replace("relation_type", F.lit("_"), F.lit(" ")), F.lit("'"), F.when(n > 1, F.concat(F.lit(" seen "), n, F.lit(" times"))).otherwise(""))
+    # The wording of the sentences.
     base = F.when(F.col("relation_type") == "wiki_link", "Explicit wiki link").when(F.col("relation_type") == "page_reference", "Explicit concept-page reference").otherwise(said)
     pages = F.when(F.size("page_titles") > 0, F.concat(F.lit(" from "), F.array_join(F.slice("page_titles", 1, 2), ", "))).otherwise("")
     more = F.when(shared > 0, F.concat(F.lit(", reinforced by "), shared, F.lit(" shared source"), _s(shared))).otherwise("")

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions import text as tx
-from ..functions.documents import abstract_udf, concepts_udf, title_udf
+from ..functions import documents as dc, text as tx
+from .shared import written
 
 # The kinds that are known, and the limits of a normalised document.
 ENTITY_TYPES = ["concept", "person", "org", "method", "dataset", "tool", "topic"]
@@ -49,10 +49,12 @@ def extract(sources: DataFrame) -> DataFrame:
     """NRM-01/04: (source_id, title, summary, entities, claims, ...) from sources
     (id, title, text) by the deterministic rules; a source without text is its title."""
     s = sources.select(F.col("id").alias("source_id"), "title", F.substring(F.coalesce("text", F.lit("")), 1, TEXT).alias("text"))
-    s = s.withColumn("title", title_udf("title", "text")).withColumn("summary", F.coalesce(F.nullif(abstract_udf("text"), F.lit("")), "title"))
-    blank = F.trim("text") == ""
+    # Written: rules that read each other's results would else be expanded into one another.
+    s = written(dc.described(s).select("source_id", "title", "abstract", (F.trim("text") == "").alias("_blank")), "described")
+    s = s.withColumn("summary", F.coalesce(F.nullif("abstract", F.lit("")), "title"))
+    blank = F.col("_blank")
     flags = F.when(blank, F.array(F.lit("no_text"))).otherwise(F.array(F.lit("deterministic_fallback")))
-    s = s.withColumn("concepts", concepts_udf("title", "summary"))
+    s = dc.with_concepts(s, summary="summary")
     entities = F.transform("concepts", lambda c: F.struct(c.alias("name"), F.lit("concept").alias("entity_type"), F.array().cast("array<string>").alias("aliases"), F.lit(0.35).alias("confidence")))
     claims = F.transform(tx.key_claims(F.col("summary")), lambda c: F.struct(c.alias("text"), F.lit("fact").alias("claim_kind"), F.lit(0.3).alias("confidence")))
     return s.select("source_id", "title", "summary", F.when(~blank, entities).otherwise(F.array()).alias("entities"), F.when(~blank, claims).otherwise(F.array()).alias("claims"), F.array().cast("array<struct<from_name:string,relation_type:string,to_name:string,confidence:double>>").alias("relations"), F.array().cast("array<string>").alias("topic_labels"), flags.alias("quality_flags"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import text as tx
 from ..functions.stemming import stem, stems_udf
+from .shared import written
 
 # BM25 constants and the multipliers of page types and trust levels.
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
@@ -32,26 +33,53 @@ def query_tokens(query: str) -> list[str]:
     return list(dict.fromkeys(re.findall(r"[^\W_]+", folded)))
 
 
-def bm25(units: DataFrame, query: str, unit_types: list[str] | None = None, stemmed: bool = False) -> DataFrame:
-    """FTS-03/04: units that hold every term, with score (higher is better).
-
-    Only the query's terms are counted: a unit's words are filtered before they
-    are exploded, so the shuffle carries matches, while sizes and document
-    frequencies, of the whole index, come from one pass of sums. ``stemmed``
-    compares English stems (in Arrow batches) instead of words.
-    """
-    terms = query_tokens(query)
-    words = tx.tokens(F.concat_ws(" ", "title", "body"))
-    if stemmed:
-        terms, words = list(dict.fromkeys(map(stem, terms))), stems_udf(words)
-    sized = units.withColumn("_w", words).withColumn("_dl", F.size("_w"))
-    for i, t in enumerate(terms):
-        sized = sized.withColumn(f"_tf{i}", F.size(F.filter("_w", _is(t))))
-    sized = sized.drop("_w")
-    if not terms:
-        return sized.where("false").withColumn("score", F.lit(0.0)).drop("_dl")
+def match(query: str) -> tuple[list[list[str]], list[str]]:
+    """FTS-03: (all of, none of): alternatives of which a hit holds one each, and
+    words that it may not hold. Words stand side by side or are joined by OR; NOT
+    excludes the next; a word that ends in * is a prefix."""
+    every: list[list[str]] = []
+    without: list[str] = []
+    how = "and"
+    for raw in re.findall(r"[^\W_]+\*?", query.translate(str.maketrans(tx.ACCENTED + tx.ACCENTED.upper(), tx.PLAIN * 2))):
+        if raw in ("AND", "OR", "NOT"):
+            how = raw.lower()
+            continue
+        word = raw.lower()
+        if how == "not":
+            without.append(word)
+        elif how == "or" and every:
+            every[-1].append(word)
+        else:
+            every.append([word])
+        how = "and"
+    return [list(dict.fromkeys(x)) for x in every], without
+
+
+def _matches(term: str, column):
+    return F.startswith(column, F.lit(term[:-1])) if term.endswith("*") else column == term
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores if it comes in fewer pieces, as from one small file."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+
+
+def _scored(sized: DataFrame, every: list[list[str]], without: list[str], unit_types: list[str] | None) -> DataFrame:
+    """BM25 over a written table with _dl and, per term, _tf0, _tf1, ..."""
+    terms = [t for x in every for t in x]
     stats = sized.agg(F.count("*").alias("_n"), F.avg("_dl").alias("_avg"), *[F.count_if(F.col(f"_tf{i}") > 0).alias(f"_df{i}") for i in range(len(terms))])
-    hits = sized.where(" AND ".join(f"_tf{i} > 0" for i in range(len(terms))))
+    return _ranked(sized, stats, every, without, unit_types)
+
+
+def _ranked(sized: DataFrame, stats: DataFrame, every: list[list[str]], without: list[str], unit_types: list[str] | None) -> DataFrame:
+    terms, k, held = [t for x in every for t in x], 0, F.lit(True)
+    for x in every:
+        held = held & (F.greatest(F.lit(0), *[F.col(f"_tf{k + i}") for i in range(len(x))]) > 0)
+        k += len(x)
+    for i in range(len(without)):
+        held = held & (F.col(f"_tf{k + i}") == 0)
+    hits = sized.where(held)
     if unit_types:
         hits = hits.where(F.col("unit_type").isin(unit_types))
     j = hits.crossJoin(F.broadcast(stats))  # one row
@@ -61,11 +89,81 @@ def bm25(units: DataFrame, query: str, unit_types: list[str] | None = None, stem
         idf = F.when(idf <= 0, F.lit(LEAST_IDF)).otherwise(idf)
         tf = F.col(f"_tf{i}").cast("double")
         score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("_dl") / F.col("_avg")))
-    return j.withColumn("score", score).drop("_n", "_avg", "_dl", *[f"_df{i}" for i in range(len(terms))], *[f"_tf{i}" for i in range(len(terms))])
+    return j.withColumn("score", score).select(*[c for c in hits.columns if not re.fullmatch(r"_(dl|tf\d+)", c)], "score")
+
+
+def bm25(units: DataFrame, query: str, unit_types: list[str] | None = None, stemmed: bool = False) -> DataFrame:
+    """FTS-03/04: units that match, with score (higher is better), without their
+    title and body.
+
+    The texts are read once: sizes and counts of the query's terms are written,
+    and statistics and scores come from there. ``stemmed`` compares English stems
+    (in Arrow batches) instead of words. For many queries keep an ``Index``.
+    """
+    every, without = match(query)
+    words = tx.tokens(F.concat_ws(" ", "title", "body"))
+    if stemmed:
+        every, without, words = [[stem(t) for t in x] for x in every], [stem(t) for t in without], stems_udf(words)
+    rest = [c for c in units.columns if c not in ("title", "body")]
+    if not every:
+        return units.select(*rest).where("false").withColumn("score", F.lit(0.0))
+    sized = spread(units).withColumn("_w", words).withColumn("_dl", F.size("_w"))
+    for i, t in enumerate([*(t for x in every for t in x), *without]):
+        sized = sized.withColumn(f"_tf{i}", F.size(F.filter("_w", _is(t))))
+    return _scored(written(sized.drop("_w", "title", "body"), "bm25"), every, without, unit_types)
+
+
+class Index:
+    """FTS-02: the stored index of a project's units: postings in buckets by term,
+    which a search reads only as far as its terms go, the units' sizes, and two
+    totals. Built once per change of the units and kept beside their tables."""
+
+    BUCKETS = 64
+
+    def __init__(self, spark, path: str):
+        self.spark, self.path = spark, path
+
+    @classmethod
+    def build(cls, units: DataFrame, path: str) -> Index:
+        words = tx.tokens(F.concat_ws(" ", "title", "body"))
+        sized = written(spread(units).withColumn("_w", words), "index-words")
+        post = sized.select("unit_id", F.explode("_w").alias("term")).groupBy("unit_id", "term").agg(F.count("*").alias("tf"))
+        post = post.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(cls.BUCKETS)).cast("int"))
+        post.repartition(cls.BUCKETS, "bucket", "term").sortWithinPartitions("term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+        sized.withColumn("_dl", F.size("_w")).drop("_w", "body").write.mode("overwrite").parquet(f"{path}/units")
+        out = cls(units.sparkSession, path)
+        out.units().agg(F.count("*").alias("_n"), F.avg("_dl").alias("_avg")).write.mode("overwrite").parquet(f"{path}/totals")
+        return out
+
+    def units(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/units")
+
+    def postings(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/postings")
+
+    def bm25(self, query: str, unit_types: list[str] | None = None) -> DataFrame:
+        """As ``bm25``; a prefix reads all buckets, by their terms' order."""
+        every, without = match(query)
+        if not every:
+            return self.units().where("false").drop("_dl").withColumn("score", F.lit(0.0))
+        terms = [*(t for x in every for t in x), *without]
+        post = self.postings()
+        if not any(t.endswith("*") for t in terms):
+            numbers = self.spark.createDataFrame([(t,) for t in terms], "t string").select(F.pmod(F.xxhash64("t"), F.lit(self.BUCKETS)).cast("int")).distinct().collect()
+            post = post.where(F.col("bucket").isin([r[0] for r in numbers]))
+        wanted = F.lit(False)
+        for t in terms:
+            wanted = wanted | _matches(t, F.col("term"))
+        per = post.where(wanted).groupBy(F.col("unit_id").alias("_u")).agg(*[F.coalesce(F.sum(F.when(_matches(t, F.col("term")), F.col("tf"))), F.lit(0)).alias(f"_tf{i}") for i, t in enumerate(terms)])
+        per = written(per, "index-hits")
+        df = per.agg(*[F.count_if(F.col(f"_tf{i}") > 0).alias(f"_df{i}") for i in range(len(terms))])
+        stats = self.spark.read.parquet(f"{self.path}/totals").crossJoin(F.broadcast(df))  # one row each
+        sized = self.units().join(per, F.col("unit_id") == F.col("_u")).drop("_u")
+        return _ranked(sized, stats, every, without, unit_types)
 
 
 def _is(term: str):
-    return lambda w: w == term
+    return lambda w: _matches(term, w)
 
 
 def boost(column, table: dict[str, float], default: float):
@@ -73,11 +171,13 @@ def boost(column, table: dict[str, float], default: float):
     return F.coalesce(F.element_at(m, column), F.lit(default))
 
 
-def search(units: DataFrame, query: str, limit: int = 20, unit_types: list[str] | None = None, pages: DataFrame | None = None, sources: DataFrame | None = None, stemmed: bool = False) -> DataFrame:
+def search(units: DataFrame, query: str, limit: int = 20, unit_types: list[str] | None = None, pages: DataFrame | None = None, sources: DataFrame | None = None, stemmed: bool = False, index: Index | None = None) -> DataFrame:
     """FTS-05/06: the best ``limit`` units by BM25, then re-ranked by the boosts of
     their page's type and source's trust (a missing page or source leaves the
     score), with an excerpt. Boosts act inside the window that BM25 chose."""
-    top = bm25(units, query, unit_types, stemmed).orderBy(F.desc("score"), "unit_id").limit(limit)
+    found = index.bm25(query, unit_types).drop("title") if index else bm25(units, query, unit_types, stemmed)
+    top = found.orderBy(F.desc("score"), "unit_id").limit(limit)
+    top = top.join(units.select("unit_id", "title", "body"), "unit_id")
     if pages is not None:
         p = pages.select(F.col("id").alias("page_id"), "page_type")
         top = top.join(p, "page_id", "left").withColumn("score", F.when(F.col("page_type").isNull(), F.col("score")).otherwise(F.col("score") * boost(F.col("page_type"), PAGE_BOOST, 1.0)))

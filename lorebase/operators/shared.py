@@ -2,17 +2,42 @@
 
 from __future__ import annotations
 
+import atexit
+import re
 import uuid
 
 from pyspark.sql import DataFrame, functions as F
 
 
+_written: list = []
+
+
+def _delete_all() -> None:
+    for spark, path in _written:
+        try:
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        except Exception:  # the session is gone: the folder's owner clears it
+            return
+
+
+atexit.register(_delete_all)
+
+
+def new_folder(spark, tag: str) -> str:
+    """A folder of its own under ``spark.checkpoint.dir``, deleted when the driver ends."""
+    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not top and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    path = f"{(top or 'file:///tmp/checkpoints').rstrip('/')}/lorebase-{tag}-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
     """``df`` as a Parquet table under ``spark.checkpoint.dir``: cuts the lineage
-    of loops and outlives lost executors."""
-    spark = df.sparkSession
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file:///tmp/checkpoints"
-    path = f"{top.rstrip('/')}/lorebase-{tag}-{uuid.uuid4().hex}"
+    of loops and outlives lost executors. Deleted when the driver ends."""
+    spark, path = df.sparkSession, new_folder(df.sparkSession, tag)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -5,11 +5,13 @@ from __future__ import annotations
 import hashlib
 import os
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators import ask, checks, compile as pages_, graph, normalize, resolve, search
+from ..functions import settings
+from ..operators import ask, checks, compile as pages_, graph, ingest, normalize, resolve, search
 from ..operators.shared import written
 from ..sources import files
 
@@ -41,6 +43,7 @@ class KnowledgeEngine:
 
     def __init__(self, spark: SparkSession, tables: dict[str, DataFrame], extractor: Callable | None = None, synthesizer: Callable | None = None, classifier: Callable | None = None):
         self.spark, self.tables = spark, dict(tables)
+        self.index_: search.Index | None = None
         self.extractor, self.synthesizer, self.classifier = extractor or normalize.extract, synthesizer, classifier
 
     @classmethod
@@ -59,10 +62,64 @@ class KnowledgeEngine:
         for name, df in self.tables.items():
             df.write.mode("overwrite").parquet(f"{path}/{name}")
 
+    def _append(self, table: str, rows: DataFrame) -> None:
+        """Rows at the end of a table, written, so that later calls do not repeat their work."""
+        old = self.tables.get(table)
+        self.tables[table] = written(old.unionByName(rows, allowMissingColumns=True) if old is not None else rows, table)
+
+    def _row(self, **values) -> DataFrame:
+        kinds = ", ".join(f"{k} string" for k in values)
+        return self.spark.createDataFrame([tuple(values.values())], kinds).withColumn("created_at", F.current_timestamp())
+
+    def _job(self, kind: str, status: str = "succeeded") -> str:
+        job = uuid.uuid4().hex
+        self._append("jobs", self._row(id=job, job_type=kind, status=status))
+        return job
+
+    def import_sources(self, rows: DataFrame) -> dict[str, int]:
+        """ING-03, SET-07, AGG-15: source rows (id, title, text, checksum, ...) that
+        are not there yet, by URL and checksum; how many were given, new and known."""
+        given = rows if "url" in rows.columns else rows.withColumn("url", F.lit(None).cast("string"))
+        given = given.withColumn("ordinal", F.monotonically_increasing_id() if "ordinal" not in rows.columns else F.col("ordinal"))
+        given = written(given.withColumns({"deleted_at": F.lit(None).cast("timestamp"), "created_at": F.current_timestamp()}), "batch")
+        old = self.tables.get("sources")
+        stored = old if old is not None else given.limit(0)
+        new = written(ingest.dedup_insert(given, stored), "inserted")
+        counts = ingest.insert_counts(given, new).first().asDict()
+        self._append("sources", new.drop("ordinal"))
+        self._job("import_sources")
+        return counts
+
+    def import_bookmarks(self, bookmarks: DataFrame, domains: list[str] = (), folders: list[str] = ()) -> dict[str, int]:
+        """ING-01: bookmarks (with ``ordinal``) as sources that wait for their pages."""
+        rows = ingest.source_rows(bookmarks, list(domains), list(folders))
+        return self.import_sources(rows.select("id", "title", F.lit(None).cast("string").alias("text"), "checksum", "url", "ordinal", "trust_level", F.col("ingest_state").alias("status")))
+
+    def import_pages(self, pages: DataFrame, domains: list[str] = ()) -> dict[str, int]:
+        """ING-03: fetched web pages (page_id, url, html)."""
+        return self.import_sources(files.article_sources(pages, list(domains)))
+
+    def set_status(self, ids: list[str], status: str) -> None:
+        """DML-03: sources approved or rejected; those deleted stay as they are."""
+        live = self.tables["sources"].where("deleted_at IS NULL")
+        gone = self.tables["sources"].where("deleted_at IS NOT NULL")
+        self.tables["sources"] = written(settings.transition(live, "status", ids, status).unionByName(gone), "sources")
+
+    def delete_sources(self, ids: list[str]) -> None:
+        """DML-08: marks sources as deleted."""
+        when = F.when(F.col("id").isin(ids), F.coalesce("deleted_at", F.current_timestamp())).otherwise(F.col("deleted_at"))
+        self.tables["sources"] = written(self.tables["sources"].withColumn("deleted_at", when), "sources")
+
     def import_and_build(self, folder: str) -> KnowledgeEngine:
-        """Folder to sources, normalised documents, resolved entities and pages (CMP-03)."""
-        found = files.scan_folder(self.spark, folder)
-        sources = files.text_documents(found)
+        """Folder to sources: text, Markdown and PDF files; then ``build``."""
+        found = written(files.scan_folder(self.spark, folder), "files")
+        self.import_sources(files.text_documents(found).unionByName(files.pdf_sources(found)))
+        return self.build()
+
+    def build(self) -> KnowledgeEngine:
+        """CMP-03: sources to normalised documents, resolved entities and pages. Pages
+        that did not change stay as they are; question pages stay."""
+        sources = self.tables["sources"].where("deleted_at IS NULL AND status = 'approved'")
         documents = written(normalize.clean(self.extractor(sources)), "documents")
         t = {name: written(df, name) for name, df in normalize.tables(documents).items()}
         groups = written(resolve.clusters(t["entities"]), "groups")
@@ -75,12 +132,24 @@ class KnowledgeEngine:
         sp = pages_.source_pages(documents)
         cp = pages_.concept_pages(entities, relations, supports, documents)
         edge = lambda p, kind, rel: p.select(F.sha2(F.concat_ws("|", "id", "origin_id"), 256).alias("id"), F.lit("page").alias("from_kind"), F.col("id").alias("from_id"), F.lit(rel).alias("relation_type"), F.lit(kind).alias("to_kind"), F.col("origin_id").alias("to_id"), F.lit(1.0).alias("confidence"), F.lit(None).cast("string").alias("evidence_source_id"))
-        now = F.current_timestamp()
+        new = written(sp.unionByName(cp).withColumn("updated_at", F.current_timestamp()), "pages")
+        old = self.tables.get("pages")
+        kept = old.where("page_type = 'question'") if old is not None else new.limit(0)
+        if old is not None:
+            changed = pages_.changed_pages(old, new)
+            same = old.join(new.select("id", "body_sha256"), ["id", "body_sha256"], "left_semi")
+            new = same.unionByName(changed, allowMissingColumns=True)
+        asked = self.tables["relations"].join(kept.select(F.col("id").alias("from_id")), "from_id", "left_semi").where("from_kind = 'page'") if "relations" in self.tables else None
+        every = relations.unionByName(edge(sp, "source", "derived_from")).unionByName(edge(cp, "entity", "about"))
+        named = self.tables["sources"].drop("summary").join(documents.select(F.col("source_id").alias("id"), "summary", F.col("title").alias("_t")), "id", "left")
         self.tables |= {
-            "sources": sources.join(documents.select(F.col("source_id").alias("id"), "summary", F.col("title").alias("_t")), "id", "left").withColumn("title", F.coalesce("_t", "title")).drop("_t").withColumns({"deleted_at": F.lit(None).cast("timestamp"), "created_at": now}),
-            "entities": entities, "claims": t["claims"], "relations": relations.unionByName(edge(sp, "source", "derived_from")).unionByName(edge(cp, "entity", "about")),
-            "pages": sp.unionByName(cp).withColumn("updated_at", now),
+            "sources": written(named.withColumn("title", F.coalesce("_t", "title")).drop("_t"), "sources"),
+            "entities": entities, "claims": t["claims"],
+            "relations": written(every.unionByName(asked, allowMissingColumns=True) if asked is not None else every, "relations"),
+            "pages": written(pages_.upsert_pages(kept, new), "pages"),
         }
+        self.index_ = None
+        self._job("compile_project")
         return self
 
     def sources_list(self, status: str | None = None, ingest_state: str | None = None, limit: int = 200) -> DataFrame:
@@ -105,14 +174,37 @@ class KnowledgeEngine:
 
     def search(self, query: str, limit: int = 20) -> DataFrame:
         p = self.tables["pages"]
-        return search.search(pages_.content_units(p), query, limit, pages=p)
+        return search.search(self._units(), query, limit, pages=p, index=self._index())
+
+    def _units(self) -> DataFrame:
+        u = pages_.content_units(self.tables["pages"])
+        a = self.tables.get("artifacts")
+        return u.unionByName(pages_.artifact_units(a)) if a is not None else u
+
+    def _index(self) -> search.Index:
+        """The stored index of pages and artifacts, built when they have changed."""
+        if self.index_ is None:
+            units = written(self._units(), "units")
+            self.index_ = search.Index.build(units, units.inputFiles()[0].rsplit("/", 1)[0] + "-index") if not units.isEmpty() else None
+        return self.index_
 
     def query(self, prompt: str, task_type: str = "auto") -> str:
-        """QRY-06: plan, evidence, answer with its provenance."""
-        t = self.tables
-        found = ask.evidence(ask.plan(prompt, task_type, self.classifier), pages_.content_units(t["pages"]), t["pages"], t["entities"], t["relations"], t["sources"], t["claims"])
-        text = self.synthesizer(prompt, found) if self.synthesizer else ask.answer(prompt, found)
-        return ask.with_provenance(text, found)
+        """QRY-04..06: plan, evidence and answer with its provenance, which is kept:
+        the run, its artifact and, with evidence, a question page with its edges."""
+        t, run = self.tables, uuid.uuid4().hex
+        p = ask.plan(prompt, task_type, self.classifier)
+        found = {k: written(v, f"evidence-{k}") for k, v in ask.evidence(p, pages_.content_units(t["pages"]), t["pages"], t["entities"], t["relations"], t["sources"], t["claims"]).items()}
+        text = ask.with_provenance(self.synthesizer(prompt, found) if self.synthesizer else ask.answer(prompt, found), found)
+        kind = "answer" if p.task_type == "answer" else p.task_type
+        self._append("artifacts", self._row(id=f"artifact-{run}", artifact_type=kind, title=ask.question_title(prompt), body=text, status="active").withColumn("file_path", F.concat_ws("/", pages_.routed(F.lit(kind), pages_.OUTPUT, "reports"), F.lit(f"{run}.md"))))
+        self._append("query_runs", self._row(id=run, prompt_text=prompt, task_type=p.task_type, status="succeeded", result_artifact_id=f"artifact-{run}"))
+        if (filed := ask.file_back(prompt, text, found, t["relations"])) is not None:
+            page, edges = filed
+            page = page.withColumns({"origin_id": F.col("id"), "body_sha256": F.sha2("body", 256), "updated_at": F.current_timestamp()})
+            self.tables["pages"] = written(pages_.upsert_pages(t["pages"], page), "pages")
+            self.tables["relations"] = written(settings.upsert(t["relations"], edges.withColumn("evidence_source_id", F.lit(None).cast("string")).select(t["relations"].columns), ["id"]), "relations")
+        self.index_ = None
+        return text
 
     def knowledge_map(self) -> dict[str, DataFrame]:
         t = self.tables
@@ -122,7 +214,24 @@ class KnowledgeEngine:
         t = self.tables
         concepts = t["entities"].where("entity_type = 'concept'").select("id", F.col("display_name").alias("name"))
         given = t | {"concepts": concepts, "evidence": graph.support(t["entities"], t["relations"])}
-        return checks.run_checks(given, as_of if as_of is not None else F.current_timestamp(), names)
+        found = written(checks.run_checks(given, as_of if as_of is not None else F.current_timestamp(), names), "found")
+        old = t.get("findings")
+        new = checks.upsert_findings(old if old is not None else found.limit(0).withColumn("status", F.lit("open")), found)
+        self._append("findings", new)
+        self._job("run_maintenance")
+        return found
+
+    def ignore(self, keys: DataFrame) -> None:
+        """DML-03: findings (finding_type, subject_id) that are not to be shown again."""
+        self.tables["findings"] = written(checks.ignore_findings(self.tables["findings"], keys), "findings")
+
+    def log(self) -> DataFrame:
+        """SNK-09: the project's log, from what was kept of its calls."""
+        text = lambda df: df.withColumn("created_at", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss"))
+        empty = {"query_runs": "id string, prompt_text string, task_type string, status string, result_artifact_id string, created_at timestamp", "artifacts": "id string, title string", "jobs": "id string, job_type string, status string, created_at timestamp"}
+        t = {k: self.tables[k] if k in self.tables else self.spark.createDataFrame([], v) for k, v in empty.items()}
+        sources = text(self.tables["sources"]).withColumn("source_type", F.lit("document"))
+        return pages_.project_log(sources, text(t["query_runs"]), t["artifacts"], text(t["jobs"]))
 
     def findings(self, rank: bool = True, limit: int = 100) -> DataFrame:
         """FLT-03: open findings, the gravest first; ``rank=False`` orders by the word."""

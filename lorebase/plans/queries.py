@@ -9,12 +9,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from ..functions import documents as dc, text as tx
+from ..functions import documents as dc, settings, text as tx
 from ..operators import ask, checks, compile as pages_, graph, ingest, normalize, resolve, search
-from ..operators.shared import written
+from ..operators.shared import new_folder, written
+from ..sources import files
 from ..streaming import jobs
+from .engine import KnowledgeEngine
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -112,9 +114,9 @@ def txt_normalize_key(spark, d):
     return table(spark, d, "part").select("p_partkey", tx.name_key(F.col("p_name")).alias("name_key"), tx.name_key(F.col("p_brand")).alias("brand_key"))
 
 
-@query(f"SELECT doc_id, {SLUG.format('substr(text, 1, 200)')} AS slug FROM documents")
+@query(f"SELECT doc_id, {SLUG.format('text')} AS slug FROM documents")
 def txt_slugify(spark, d):
-    return table(spark, d, "documents").select("doc_id", tx.slugify(F.substring("text", 1, 200)).alias("slug"))
+    return table(spark, d, "documents").select("doc_id", tx.slugify(F.col("text")).alias("slug"))
 
 
 @query(r"SELECT doc_id, CAST(len(list_filter(regexp_split_to_array(coalesce(text, ''), '\s+'), lambda x: x <> '')) AS BIGINT) AS token_count, substr(text, 1, 500) AS excerpt FROM documents")
@@ -147,20 +149,64 @@ def txt_key_claims(spark, d):
     return table(spark, d, "documents").select("doc_id", F.array_join(tx.key_claims(F.col("text")), " / ").alias("claims"))
 
 
-@query()
+# The rules over lines: the lines of a text told, then its title and abstract.
+LINES = r"""l AS (
+  SELECT doc_id, list_transform(list_filter(list_transform(string_split(regexp_replace(replace(replace(coalesce(text, ''), 'ﬁ', 'fi'), 'ﬂ', 'fl'), '(?s)\A---\s*\n.*?\n---\s*\n?', ''), chr(10)), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> '' AND NOT starts_with(x, '## Page ')), lambda x: struct_pack(line := x,
+    meta := regexp_matches(x, '[@{}]') OR (regexp_matches(lower(x), '(?:^|[^\p{L}\p{N}_])(?:AFF)(?:[^\p{L}\p{N}_]|$)') AND len(string_split(x, ' ')) <= 8) OR regexp_matches(lower(x), '^(?:HDR)\s*:')
+      OR (len(regexp_extract_all(x, '[A-Za-z][A-Za-z.''-]*')) >= 4 AND len(list_filter(regexp_extract_all(x, '[A-Za-z][A-Za-z.''-]*'), lambda w: lower(w) IN (CON))) = 0
+        AND 5 * len(list_filter(regexp_extract_all(x, '[A-Za-z][A-Za-z.''-]*'), lambda w: regexp_matches(w, '^[A-Z]'))) >= 4 * len(regexp_extract_all(x, '[A-Za-z][A-Za-z.''-]*'))
+        AND 10 * len(list_filter(regexp_extract_all(x, '[A-Za-z][A-Za-z.''-]*'), lambda w: length(w) <= 12)) >= 9 * len(regexp_extract_all(x, '[A-Za-z][A-Za-z.''-]*'))),
+    head := regexp_matches(x, '^\d+(?:\.\d+)*\s+[A-Z]') OR lower(x) IN (HEAD), mark := starts_with(lower(x), 'arxiv:'))) AS ls FROM documents
+), u AS (
+  SELECT doc_id, unnest(ls) AS x, unnest(range(1, len(ls) + 1)) AS i FROM l
+), st AS (
+  SELECT doc_id, coalesce(min(i) FILTER (x.head OR x.mark), 21) AS stop FROM u WHERE i <= 20 GROUP BY doc_id
+), bg AS (
+  SELECT u.doc_id, stop, min(i) AS b FROM u JOIN st USING (doc_id) WHERE i <= 20 AND i < stop AND NOT x.meta GROUP BY ALL
+), ed AS (
+  SELECT bg.doc_id, b, least(stop, 21, coalesce(min(i) FILTER (x.meta AND i > b), 21)) AS e FROM bg JOIN u USING (doc_id) GROUP BY bg.doc_id, b, stop
+), ow AS (
+  SELECT doc_id, list_transform(ls[b:least(e - 1, b + 2)], lambda s: s.line) AS o FROM ed JOIN l USING (doc_id)
+), tj AS (
+  SELECT doc_id, CASE WHEN length(array_to_string(o[1:1], ' ')) >= 120 THEN array_to_string(o[1:1], ' ') WHEN length(array_to_string(o[1:2], ' ')) >= 120 THEN array_to_string(o[1:2], ' ') ELSE array_to_string(o, ' ') END AS t FROM ow
+), ti AS (
+  SELECT doc_id, substr(t, 1, 200) AS t FROM tj WHERE t <> '' AND NOT starts_with(lower(t), 'src_') AND NOT ends_with(lower(t), '.pdf') AND NOT regexp_full_match(lower(t), '\d{4}\.\d{5}(v\d+)?(_\d+)?')
+), tt AS (
+  SELECT doc_id, t AS inferred, coalesce(t, 'Untitled Source') AS title FROM documents LEFT JOIN ti USING (doc_id)
+), ab AS (
+  SELECT doc_id, min(i) AS a FROM u WHERE lower(x.line) = 'abstract' GROUP BY doc_id
+), af AS (
+  SELECT doc_id, i, x, coalesce(sum(length(x.line) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) - 1 AS before FROM u JOIN ab USING (doc_id) WHERE i > a AND NOT x.mark
+), sc AS (
+  SELECT af.doc_id, substr(string_agg(x.line, ' ' ORDER BY i) FILTER (i < coalesce(h, 1000000)), 1, 800) AS s FROM af LEFT JOIN (SELECT doc_id, min(i) AS h FROM af WHERE x.head AND before >= 120 GROUP BY doc_id) USING (doc_id) GROUP BY af.doc_id
+), op AS (
+  SELECT doc_id, substr(string_agg(x.line, ' ' ORDER BY i) FILTER (i >= f), 1, 800) AS s FROM (SELECT doc_id, i, x, min(i) FILTER (length(x.line) >= 40 AND NOT x.meta AND NOT x.head) OVER (PARTITION BY doc_id) AS f FROM u JOIN tt USING (doc_id) WHERE x.line IS DISTINCT FROM inferred) GROUP BY doc_id
+), d AS (
+  SELECT tt.doc_id, title, coalesce(nullif(sc.s, ''), op.s, '') AS abstract FROM tt LEFT JOIN sc USING (doc_id) LEFT JOIN op USING (doc_id)
+)"""
+for _k, _v in (("AFF", "|".join(dc.AFFILIATIONS)), ("HDR", "|".join(dc.HEADERS)), ("CON", ", ".join(f"'{w}'" for w in dc.CONNECTORS)), ("HEAD", ", ".join(f"'{w}'" for w in dc.HEADINGS))):
+    LINES = LINES.replace(f"({_k})", f"({_v})").replace(f"(?:{_k})", f"(?:{_v})")
+
+
+def untitled(spark, d) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", F.lit(None).cast("string").alias("title"), "text")
+
+
+@query(f"WITH {LINES} SELECT doc_id, title FROM d")
 def txt_title_infer(spark, d):
-    return table(spark, d, "documents").select("doc_id", dc.title_udf(F.lit(None).cast("string"), "text").alias("title"))
+    return dc.described(untitled(spark, d)).select("doc_id", "title")
 
 
-@query()
+@query(f"WITH {LINES} SELECT doc_id, abstract FROM d")
 def txt_abstract(spark, d):
-    return table(spark, d, "documents").select("doc_id", dc.abstract_udf("text").alias("abstract"))
+    return dc.described(untitled(spark, d)).select("doc_id", "abstract")
 
 
 @query()
 def txt_key_concepts(spark, d):
-    t = table(spark, d, "documents").select("doc_id", F.substring("text", 1, 80).alias("title"), dc.abstract_udf("text").alias("summary"))
-    return t.select("doc_id", F.array_join(dc.concepts_udf("title", "summary"), " / ").alias("concepts"))
+    """Of each text's title and abstract; SQL's patterns have no edges of words in all scripts."""
+    t = dc.with_concepts(dc.described(untitled(spark, d)))
+    return t.select("doc_id", F.array_join("concepts", " / ").alias("concepts"))
 
 
 @query(r"""
@@ -239,7 +285,7 @@ def ing_checksum_dedup(spark, d):
 
 @query("SELECT event_id, json_extract_string(props, '$.k') AS k, coalesce(json_extract_string(props, '$.summary'), '') AS summary FROM events")
 def ing_json_path(spark, d):
-    return table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"), F.coalesce(F.get_json_object("props", "$.summary"), F.lit("")).alias("summary"))
+    return table(spark, d, "events").select("event_id", tx.json_text(F.col("props"), "$.k").alias("k"), tx.json_text(F.col("props"), "$.summary", "").alias("summary"))
 
 
 @query("""
@@ -248,8 +294,9 @@ FROM documents d LEFT JOIN labels USING (doc_id) WHERE lang = 'en' ORDER BY doc_
 """)
 def ing_source_list(spark, d):
     """FLT-01: the newest 200 sources of one status."""
-    t = table(spark, d, "documents").where("lang = 'en'").select("doc_id", "lang", "source").orderBy(F.desc("doc_id")).limit(200)
-    return t.join(trust(spark, d).withColumnRenamed("id", "doc_id"), "doc_id")
+    t = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("status"), "source", F.col("doc_id").alias("created_at"), F.lit(None).cast("timestamp").alias("deleted_at"))
+    found = KnowledgeEngine(spark, {"sources": t}).sources_list(status="en")
+    return found.join(trust(spark, d), "id").select(F.col("id").alias("doc_id"), F.col("status").alias("lang"), "source", "trust_level")
 
 
 @query("""
@@ -446,7 +493,7 @@ def chk_findings_upsert(spark, d):
 @query("SELECT event_type AS finding_type, count(*) AS n FROM events GROUP BY ROLLUP (event_type)")
 def chk_finding_totals(spark, d):
     """AGG-10, with the total."""
-    return table(spark, d, "events").withColumnRenamed("event_type", "finding_type").rollup("finding_type").agg(F.count("*").alias("n"))
+    return checks.finding_totals(table(spark, d, "events").withColumnRenamed("event_type", "finding_type"))
 
 
 # --- knowledge map ---------------------------------------------------------
@@ -554,7 +601,7 @@ def map_hubs(spark, d):
     n, _ = _nodes(spark, d)
     g = graph.degrees(graph.explicit_edges(part_edges(spark, d), n))
     j = n.join(g, "id", "left").select("id", F.coalesce("degree", F.lit(0)).alias("degree"), "source_count", F.col("display_name").alias("label"))
-    return j.orderBy(F.desc("degree"), F.desc("source_count"), F.lower("label"), "id").limit(10).drop("label")
+    return graph.hubs(j).drop("label")
 
 
 @query()
@@ -647,3 +694,170 @@ def job_latest_state(spark, d):
 @query("SELECT event_id, user_id AS job_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq_no FROM events")
 def job_event_seq(spark, d):
     return jobs.event_seq(_events(spark, d)).select("event_id", "job_id", F.col("seq_no").cast("long").alias("seq_no"))
+
+
+# --- further scalar functions, listings and changes ------------------------
+
+
+@query(r"SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day, CASE WHEN o_orderkey % 2 = 0 THEN strftime(o_orderdate, '%Y-%m-%d') END AS given FROM orders")
+def src_pdf_date(spark, d):
+    """SRC-10: dates as PDFs write them; others give null."""
+    o = table(spark, d, "orders")
+    day = F.date_format("o_orderdate", "yyyyMMddHHmmss")
+    odd = F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("D:"), day, F.lit("+00'00'"))).otherwise(F.lit("unknown"))
+    return o.select("o_orderkey", tx.pdf_date(day).alias("day"), tx.pdf_date(odd).alias("given"))
+
+
+@query("SELECT doc_id, md5(text) AS body_md5 FROM documents")
+def src_front_matter(spark, d):
+    """SRC-15, SCA-08: a header block before every text is taken off again."""
+    t = table(spark, d, "documents")
+    return t.select("doc_id", F.md5(tx.strip_front_matter(F.concat(F.lit("---\ntitle: x\n---\n"), "text"))).alias("body_md5"))
+
+
+@query("""
+SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN substr(text, 1, 12000) WHEN doc_id % 3 = 1 AND quality IS NOT NULL THEN 'label ' || quality WHEN doc_id % 3 = 1 THEN '' ELSE coalesce('raw ' || html, '') END AS text
+FROM documents LEFT JOIN labels USING (doc_id) LEFT JOIN (SELECT page_id, substr(html, 1, 11996) AS html FROM pages) ON page_id = doc_id AND doc_id % 3 = 2
+""")
+def src_source_text(spark, d):
+    """SRC-13: a stored text, a sibling's (labels), a raw file's (pages), or none."""
+    raw = F.concat(F.lit("p"), "page_id")
+    t = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 3 == 0, F.col("text")).alias("text"), F.when(F.col("doc_id") % 3 == 2, F.concat(F.lit("p"), "doc_id")).alias("raw_path"))
+    texts = table(spark, d, "labels").where("doc_id % 3 = 1").select(F.col("doc_id").alias("id"), F.concat(F.lit("label "), "quality").alias("text"))
+    raws = table(spark, d, "pages").select(raw.alias("path"), F.concat(F.lit("raw "), "html").alias("text"))
+    return files.source_text(t, texts, raws).select(F.col("id").alias("doc_id"), "text")
+
+
+@query("SELECT o_orderkey AS id, CASE o_orderstatus WHEN 'F' THEN 'concepts' WHEN 'O' THEN 'sources' ELSE 'concepts' END AS wiki, CASE o_orderstatus WHEN 'F' THEN 'answers' WHEN 'O' THEN 'slides' ELSE 'reports' END AS output, CASE o_orderstatus WHEN 'F' THEN 'papers' WHEN 'O' THEN 'notes' ELSE 'articles' END AS raw FROM orders")
+def snk_folders(spark, d):
+    """SNK-03, 04, 06: where pages, artifacts and raw files of each kind go."""
+    o = table(spark, d, "orders")
+
+    def kind(f, o_, other):
+        return F.when(F.col("o_orderstatus") == "F", f).when(F.col("o_orderstatus") == "O", o_).otherwise(other)
+
+    return o.select(F.col("o_orderkey").alias("id"), pages_.routed(kind("concept", "source_summary", "strange"), pages_.WIKI, "concepts").alias("wiki"), pages_.routed(kind("answer", "slides", "strange"), pages_.OUTPUT, "reports").alias("output"), pages_.routed(kind("pdf", "markdown_note", "strange"), pages_.RAW, "articles").alias("raw"))
+
+
+def _project(spark, d) -> KnowledgeEngine:
+    e = table(spark, d, "events")
+    findings = e.select(F.col("event_type").alias("finding_type"), F.col("event_id").alias("subject_id"), F.when(F.col("user_id") % 3 == 0, "high").when(F.col("user_id") % 3 == 1, "medium").otherwise("low").alias("severity"), F.when(F.col("event_id") % 2 == 0, "open").otherwise("ignored").alias("status"))
+    return KnowledgeEngine(spark, {"pages": wiki(spark, d), "findings": findings, "jobs": e.select(F.col("event_id").alias("id"), F.col("ts").alias("created_at"))})
+
+
+@query("SELECT o_orderkey AS id, row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey) AS place FROM orders WHERE o_orderpriority = '2-HIGH'")
+def lst_pages_of_type(spark, d):
+    """FLT-02: the pages of one type, the newest first."""
+    p = _project(spark, d).pages_list("2-HIGH").select("id", "updated_at")
+    return p.withColumn("place", F.row_number().over(Window.orderBy(F.desc("updated_at"), "id")).cast("long")).drop("updated_at")
+
+
+@query("SELECT event_type AS finding_type, event_id AS subject_id FROM events WHERE event_id % 2 = 0 ORDER BY CASE user_id % 3 WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 2 END, event_type, event_id LIMIT 100")
+def lst_findings(spark, d):
+    """FLT-03: the open findings, the gravest first."""
+    return _project(spark, d).findings().select("finding_type", "subject_id")
+
+
+@query("SELECT event_id AS id FROM events ORDER BY ts DESC, event_id LIMIT 50")
+def lst_recent_jobs(spark, d):
+    """FLT-04."""
+    return _project(spark, d).recent("jobs").select("id")
+
+
+@query("SELECT p_partkey AS id, md5(p_name) AS body_sha256 FROM part WHERE p_partkey % 4 = 0 OR p_partkey % 5 = 0")
+def cmp_changed_pages(spark, d):
+    """FLT-11: pages that are new (every fifth) or whose text differs (every fourth)."""
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.md5("p_name").alias("body_sha256"))
+    old = p.where("id % 5 <> 0").withColumn("body_sha256", F.when(F.col("id") % 4 == 0, "old").otherwise(F.col("body_sha256")))
+    return pages_.changed_pages(old, p)
+
+
+@query("""
+WITH n AS (SELECT p_partkey, p_type, p_brand AS slug FROM part WHERE p_partkey % 2 = 0), w AS (SELECT p_type, slug, max(p_partkey) AS id FROM n GROUP BY 1, 2)
+SELECT p_type AS page_type, slug, id FROM w UNION ALL
+SELECT p_type, p_brand, p_partkey FROM part o WHERE p_partkey % 2 = 1 AND NOT EXISTS (SELECT 1 FROM w WHERE w.p_type = o.p_type AND w.slug = o.p_brand)
+""")
+def cmp_upsert_pages(spark, d):
+    """DML-09, JOI-08, SET-06: even parts as new pages, odd ones as stored."""
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_type").alias("page_type"), F.col("p_brand").alias("slug"), F.col("p_partkey").alias("origin_id"))
+    return pages_.upsert_pages(p.where("id % 2 = 1"), p.where("id % 2 = 0")).select("page_type", "slug", "id")
+
+
+@query("SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN 'approved' ELSE c_mktsegment END AS status FROM customer WHERE c_custkey % 7 <> 0 UNION ALL SELECT c_custkey, 'new' FROM customer WHERE c_custkey % 7 = 0")
+def dml_changes(spark, d):
+    """DML-01, DML-03: rows replaced by key, and a status changed where it may."""
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("status"))
+    ids = [r[0] for r in c.where("id % 3 = 0").select("id").collect()]
+    return settings.upsert(settings.transition(c, "status", ids, "approved"), c.where("id % 7 = 0").withColumn("status", F.lit("new")), ["id"])
+
+
+@query("SELECT o_orderkey, CAST(CASE WHEN c_custkey % 2 = 0 THEN NULL ELSE o_custkey END AS VARCHAR) AS o_custkey FROM orders LEFT JOIN customer ON c_custkey = o_custkey WHERE coalesce(c_custkey % 10, 1) <> 0")
+def dml_cascade(spark, d):
+    """DML-07: orders of deleted customers go, or lose the reference."""
+    o, c = table(spark, d, "orders").select("o_orderkey", "o_custkey"), table(spark, d, "customer").select(F.col("c_custkey").alias("id"))
+    left = settings.cascade(settings.cascade(o, "o_custkey", c.where("id % 10 = 0")), "o_custkey", c.where("id % 2 = 0"), set_null=True)
+    return left.withColumn("o_custkey", F.col("o_custkey").cast("string"))
+
+
+@query("""
+WITH b AS (SELECT o_orderkey, epoch(o_orderdate)::BIGINT AS s FROM orders)
+SELECT o_orderkey, strftime(make_timestamp(s * 1000000), '%Y-%m-%d %H:%M:%S') AS unix, strftime(make_timestamp(s * 1000000), '%Y-%m-%d %H:%M:%S') AS chrome, strftime(make_timestamp(s * 1000000), '%Y-%m-%d %H:%M:%S') AS micros, TRUE AS none FROM b
+""")
+def txt_times(spark, d):
+    """SCA-06: the three ways in which browsers keep times."""
+    s = F.unix_timestamp("o_orderdate")
+    o = table(spark, d, "orders").withColumn("s", s)
+    day = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+    return o.select("o_orderkey", day(tx.unix_seconds(F.col("s").cast("string"))).alias("unix"), day(tx.chrome_micros((F.col("s") + 11644473600) * 1000000)).alias("chrome"), day(tx.unix_micros(F.col("s") * 1000000)).alias("micros"), tx.unix_seconds(F.lit("0")).isNull().alias("none"))
+
+
+@query(f"SELECT p_partkey, array_to_string(list_sort(list_distinct([{KEY.format('p_name')}, {KEY.format('p_brand')}, {KEY.format('p_type')}])), '|') AS keys, length(p_name) % 2 = 0 AS placeholder FROM part")
+def txt_name_keys(spark, d):
+    """SCA-02, SCA-09: the keys of a name and its aliases, blank ones left out; placeholder titles."""
+    aliases = F.array(F.col("p_brand"), F.lit("  "), F.col("p_type"))
+    title = F.when(F.length("p_name") % 2 == 0, F.lit("SRC_1234.pdf")).otherwise(F.col("p_name"))
+    return table(spark, d, "part").select("p_partkey", F.array_join(F.array_sort(tx.name_keys(F.col("p_name"), aliases)), "|").alias("keys"), tx.placeholder_title(title).alias("placeholder"))
+
+
+@query("SELECT event_id, props FROM events WHERE props LIKE '{%}'")
+def txt_json_object(spark, d):
+    """SCA-32: the object within a model's reply."""
+    said = F.concat(F.lit("Here it is: "), "props", F.lit(" as asked."))
+    return table(spark, d, "events").select("event_id", tx.json_object(said).alias("props")).where("props IS NOT NULL")
+
+
+@query(f"""
+WITH k AS (SELECT p_partkey AS id, p_type AS t, {KEY.format('p_name')} AS key, p_name, p_size / 50.0 AS c FROM part),
+m AS (SELECT a.id, a.p_name, a.c, min(b.id) AS match_id FROM k a JOIN k b ON a.t = b.t AND a.key = b.key WHERE a.key <> '' AND a.id % 2 = 1 AND b.id % 2 = 0 GROUP BY ALL)
+SELECT k.id, round(greatest(k.c, coalesce(max(m.c), 0)), 6) AS confidence, coalesce(string_agg(DISTINCT m.p_name, '|' ORDER BY m.p_name) FILTER (m.p_name <> k.p_name), '') AS aliases
+FROM k LEFT JOIN m ON m.match_id = k.id WHERE k.id % 2 = 0 GROUP BY k.id, k.c, k.p_name
+""")
+def res_absorb(spark, d):
+    """RES-07, AGG-11: odd parts, as incoming ones, become aliases of what they match."""
+    p = named_parts(spark, d)
+    return resolve.absorb(p.where("id % 2 = 0"), p.where("id % 2 = 1")).select("id", F.round("confidence", 6).alias("confidence"), F.array_join("aliases", "|").alias("aliases"))
+
+
+@query("WITH d AS (SELECT doc_id, sha256(text) AS c FROM documents) SELECT count(*) AS parsed, count(DISTINCT c) AS inserted, count(*) - count(DISTINCT c) AS skipped FROM d")
+def ing_counts(spark, d):
+    """AGG-15: what a batch of all documents would insert."""
+    t = table(spark, d, "documents").select("doc_id", F.col("doc_id").alias("ordinal"), F.sha2("text", 256).alias("checksum"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("timestamp").alias("deleted_at"))
+    return ingest.insert_counts(t, ingest.dedup_insert(t, t.limit(0)))
+
+
+@query(f"{_bm25('that tion')} SELECT top.doc_id, round(score * CASE doc_id % 3 WHEN 0 THEN 3.0 WHEN 1 THEN 2.0 ELSE 0.5 END, 6) AS score FROM top")
+def fts_page_boost(spark, d):
+    """JOI-02: the search boosted by page types, through the stored index."""
+    u = units(spark, d).withColumn("page_id", F.col("unit_id"))
+    kind = F.when(F.col("page_id") % 3 == 0, "comparison").when(F.col("page_id") % 3 == 1, "concept").otherwise("index")
+    pages = u.select(F.col("page_id").alias("id"), kind.alias("page_type"))
+    index = search.Index.build(u, f"{new_folder(spark, 'index')}")
+    return search.search(u, "that tion", pages=pages, index=index).select(F.col("unit_id").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
+@query("SELECT l_partkey AS id, min(l_orderkey) AS page_id FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_orderstatus <> 'F' AND o_orderpriority <> '5-LOW' GROUP BY 1 UNION ALL SELECT p_partkey, NULL FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_orderstatus <> 'F' AND o_orderpriority <> '5-LOW')")
+def map_page_lookup(spark, d):
+    """MAP-01, JOI-06: the first active concept page about each part; orders are the pages."""
+    p = wiki(spark, d).withColumn("page_type", F.when(F.col("page_type") == "5-LOW", "index").otherwise("concept")).withColumn("body", F.col("title"))
+    about = table(spark, d, "lineitem").select(F.lit("page").alias("from_kind"), F.col("l_orderkey").alias("from_id"), F.lit("about").alias("relation_type"), F.lit("entity").alias("to_kind"), F.col("l_partkey").alias("to_id"))
+    return graph.with_pages(parts(spark, d), about, p).select("id", "page_id")

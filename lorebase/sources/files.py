@@ -61,6 +61,22 @@ def pdf_documents(files: DataFrame) -> DataFrame:
     return found.withColumn("date", tx.pdf_date(F.col("date")))
 
 
+def pdf_sources(files: DataFrame) -> DataFrame:
+    """ING-02: PDFs as source rows like those of ``text_documents``; one whose text
+    cannot be read keeps its stub and waits for review."""
+    t = pdf_documents(files).join(files.select("relative", F.col("sha256").alias("checksum")), "relative")
+    name = F.regexp_extract("relative", "([^/]+)$", 1)
+    ok = F.col("page_count") > 0
+    return t.select(F.sha2("relative", 256).alias("id"), F.coalesce(F.nullif("title", F.lit("")), name).alias("title"), "text", "checksum", F.lit("high").alias("trust_level"), F.when(ok, "approved").otherwise("needs_review").alias("status"))
+
+
+def article_sources(pages: DataFrame, domains: list[str]) -> DataFrame:
+    """ING-03: fetched pages as source rows, approved where the domain is trusted."""
+    a = articles(pages)
+    good = tx.trusted(F.col("domain"), F.lit(""), domains, [])
+    return a.select(F.sha2("url", 256).alias("id"), F.coalesce(F.nullif("title", F.lit("")), "url").alias("title"), "text", F.sha2("text", 256).alias("checksum"), "url", F.when(good, "high").otherwise("unknown").alias("trust_level"), F.when(good, "approved").otherwise("needs_review").alias("status"))
+
+
 def articles(pages: DataFrame) -> DataFrame:
     """SRC-07/08: (page_id, url, domain, title, text) of fetched pages."""
     return pages.select("page_id", "url", tx.url_domain(F.col("url")).alias("domain"), tx.html_title(F.col("html")).alias("title"), tx.html_text(F.col("html")).alias("text"))

@@ -2,6 +2,7 @@ import json
 import plistlib
 import sqlite3
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -28,6 +29,15 @@ def test_search(spark):
     assert search.search(u, "cafe", unit_types=["page_body"]).count() == 0
 
 
+def test_match_syntax_and_index(spark, tmp_path):
+    u = spark.createDataFrame([(1, "", "red apples fall"), (2, "", "green apple pie"), (3, "", "red wine"), (4, "x", "écru red"), (5, "", "")], "unit_id int, title string, body string")
+    i = search.Index.build(u, f"file://{tmp_path}/index")
+    for q, want in {"red": {1, 3, 4}, "red OR pie": {1, 2, 3, 4}, "red NOT wine": {1, 4}, "appl*": {1, 2}, "red appl*": {1}, "ecru": {4}, "none": set(), "": set(), "NOT red": set(), "wine OR pie NOT green": {3}}.items():
+        a = {r["unit_id"]: round(r["score"], 9) for r in search.bm25(u, q).collect()}
+        assert set(a) == want and a == {r["unit_id"]: round(r["score"], 9) for r in i.bm25(q).collect()}
+    assert [r["unit_id"] for r in search.search(u, "red", index=i).collect()] == [r["unit_id"] for r in search.search(u, "red").collect()]
+
+
 def test_boosts_rerank_the_window(spark):
     u = spark.createDataFrame([(1, "", "word word word", "p1", "s1"), (2, "", "word other text here", "p2", "s2"), (3, "", "nothing", "p3", "s3"), (4, "", "no", "p4", None), (5, "", "none", None, None)], "unit_id int, title string, body string, page_id string, source_id string")
     pages = spark.createDataFrame([("p1", "index"), ("p2", "comparison")], "id string, page_type string")
@@ -101,12 +111,30 @@ def test_map(spark):
     assert empty["nodes"].count() == 0 and empty["stats"].first()["edge_count"] == 0
 
 
+def agglomerate_brute(label, tie, target):
+    """Pair by pair, as the rule is worded."""
+    groups = {g: [g] for g in label}
+    while len(groups) > target:
+        names = list(groups)
+        close = {(g, h): round(sum(tie[i][j] for i in groups[g] for j in groups[h]) + graph.SINGLE * (1 in (len(groups[g]), len(groups[h]))), 9) for k, g in enumerate(names) for h in names[k + 1 :]}
+        g, h = max(close, key=close.get)
+        keep, gone = (g, h) if len(groups[g]) >= len(groups[h]) else (h, g)
+        groups[keep] += groups.pop(gone)
+    return [next(g for g, m in groups.items() if i in m) for i in label]
+
+
 def test_propagation_and_merging():
     near = {1: [(2, 1.0)], 2: [(1, 1.0), (3, 0.1)], 3: [(2, 0.1), (4, 1.0)], 4: [(3, 1.0)]}
     label = graph.propagate([1, 2, 3, 4], near)
     assert label[1] == label[2] or label[3] == label[4]
-    merged = graph.agglomerate({i: i for i in range(5)}, lambda i, j: (float(i + j), False), 2)
-    assert len(set(merged.values())) == 2
+    tie = np.add.outer(np.arange(5.0), np.arange(5.0))
+    merged = graph.agglomerate(np.arange(5), tie, np.zeros((5, 5)), 2)
+    assert merged.tolist() == agglomerate_brute(list(range(5)), tie, 2) and len(set(merged.tolist())) == 2
+    r = np.random.default_rng(4)
+    for n in (7, 12):
+        tie = r.integers(0, 5, (n, n)) / 4
+        tie = tie + tie.T
+        assert graph.agglomerate(np.arange(n), tie, np.zeros((n, n)), 3).tolist() == agglomerate_brute(list(range(n)), tie, 3)
     assert [graph.group_target(n) for n in (0, 1, 2, 6, 7, 140)] == [1, 1, 2, 2, 3, 6]
 
 
@@ -177,6 +205,27 @@ def test_build_and_ask(spark, tmp_path):
     assert m["nodes"].count() >= 1 and m["groups"].count() >= 1
     assert "RLHF" in k.query("What does RLHF use?") and "Sources" in k.query("What does RLHF use?")
     assert k.run_maintenance().count() >= 1 and "## Sources (3)" in k.index("x").first()["body"]
+    # What the calls left: runs, artifacts, question pages with their edges, findings, jobs.
+    assert k.tables["query_runs"].count() == 2 and k.tables["artifacts"].count() == 2
+    question = k.tables["pages"].where("page_type = 'question'").collect()
+    assert len(question) == 1 and k.tables["relations"].where(F.col("from_id") == question[0]["id"]).count() >= 2
+    assert "Questions (1)" in k.index("x").first()["body"] and k.search("RLHF").count() >= 2
+    n = k.tables["findings"].count()
+    k.run_maintenance()
+    assert k.tables["findings"].where("status = 'open'").count() >= n and k.log().where("entry LIKE '%query |%'").count() == 2
+    k.ignore(k.tables["findings"].limit(1))
+    assert k.tables["findings"].where("status = 'ignored'").count() == 1
+    pages = spark.createDataFrame([(1, "https://a.example.org/x", "<title>One</title><p>Sparse retrieval of pages</p>"), (2, "https://b.net/y", "<p>other text</p>"), (3, "https://b.net/y", "<p>again</p>")], "page_id int, url string, html string")
+    assert k.import_pages(pages, ["example.org"]) == {"parsed": 3, "inserted": 2, "skipped": 1}
+    assert k.import_pages(pages, ["example.org"])["inserted"] == 0
+    waiting = k.sources_list(status="needs_review").first()["id"]
+    k.set_status([waiting], "approved")
+    before = {r["id"]: r["updated_at"] for r in k.tables["pages"].collect()}
+    k.build()
+    after = {r["id"]: r["updated_at"] for r in k.tables["pages"].collect()}
+    assert len(after) > len(before) and question[0]["id"] in after and any(after[i] == before[i] for i in before if i in after)
+    k.delete_sources([waiting])
+    assert k.sources_list().count() == 4 and k.search("retrieval").count() >= 1
     with pytest.raises(KeyError):
         k.get("pages", "nothing")
 

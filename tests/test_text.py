@@ -72,14 +72,38 @@ def test_links_summary_dates(spark):
 PAPER = "---\nsource_id: x\n---\n## Page 1\nBERT: Pre-training of Deep Bidirectional\nTransformers for Language Understanding\nJacob Devlin Ming-Wei Chang Kenton Lee\nGoogle AI Language\n{a,b}@google.com\nAbstract\nWe introduce a new language representation model called BERT, which stands for encoders.\n1 Introduction\nMore."
 
 
-def test_paper_heuristics():
-    assert dc.choose_title("src_ABC_1810.04805.pdf", PAPER) == "BERT: Pre-training of Deep Bidirectional Transformers for Language Understanding"
-    assert dc.choose_title("  Real  title ", PAPER) == "Real title" and dc.choose_title(None, "") == "Untitled Source" and dc.choose_title("src_AB_x.pdf", "") == "x"
-    assert dc.abstract(PAPER).startswith("We introduce a new language")
-    got = dc.key_concepts(dc.infer_title(PAPER), dc.abstract(PAPER))
-    assert got[0] == "BERT" and len({x.lower() for x in got}) == len(got) <= 6
-    assert dc.is_author("Jacob Devlin Ming-Wei Chang") and not dc.is_author("A Study of the Many Things")
-    assert dc.abstract("Title line\n\nshort\n" + "An opening paragraph that is long enough to count as body text. " * 2).startswith("An opening")
+def said(spark, rows):
+    d = dc.described(spark.createDataFrame(rows, "n int, title string, text string"))
+    return {r["n"]: r for r in dc.with_concepts(d).collect()}
+
+
+def test_paper_heuristics(spark):
+    opening = "Title line\n\nshort\n" + "An opening paragraph that is long enough to count as body text. " * 2
+    got = said(spark, [(1, "src_ABC_1810.04805.pdf", PAPER), (2, "  Real  title ", PAPER), (3, None, ""), (4, "src_AB_x.pdf", None), (5, None, opening)])
+    assert got[1]["title"] == "BERT: Pre-training of Deep Bidirectional Transformers for Language Understanding"
+    assert (got[2]["title"], got[3]["title"], got[4]["title"]) == ("Real title", "Untitled Source", "x")
+    assert got[1]["abstract"].startswith("We introduce a new language") and got[5]["abstract"].startswith("An opening")
+    c = got[1]["concepts"]
+    assert c[0] == "BERT" and len({x.lower() for x in c}) == len(c) <= 6
+    lines = spark.createDataFrame([("Jacob Devlin Ming-Wei Chang",), ("A Study of the Many Things",)], "x string").select(dc.author_like(F.col("x"))).collect()
+    assert [r[0] for r in lines] == [True, False]
+
+
+def test_key_concepts_of_a_whole_table(spark):
+    import re
+
+    def plain(title, summary):
+        out = []
+        head, colon, tail = title.partition(":")
+        for x in [*([head] if colon else []), *re.split(r"\b(?:for|with|using|via|from|in|on)\b", tail if colon else title, maxsplit=1, flags=re.I), *re.findall(r"\b[A-Z][A-Z0-9-]+\b", summary)]:
+            x = " ".join(x.strip(" -:;,.").split())
+            if x and len(x) <= 80 and x.lower() not in [y.lower() for y in out]:
+                out.append(x)
+        return out[:6]
+
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").withColumn("title", F.lit(None).cast("string"))
+    rows = dc.with_concepts(dc.described(d), to="c").collect()
+    assert len(rows) >= 200 and all(r["c"] == plain(r["title"], r["abstract"]) for r in rows)
 
 
 def test_settings(spark):
