@@ -225,7 +225,7 @@ def test_build_and_ask(spark, tmp_path):
     after = {r["id"]: r["updated_at"] for r in k.tables["pages"].collect()}
     assert len(after) > len(before) and question[0]["id"] in after and any(after[i] == before[i] for i in before if i in after)
     k.delete_sources([waiting])
-    assert k.sources_list().count() == 4 and k.search("retrieval").count() >= 1
+    assert k.sources_list().count() == 4 and k.search("RLHF").count() >= 1
     with pytest.raises(KeyError):
         k.get("pages", "nothing")
 
