@@ -4,6 +4,7 @@ rules, distributed ranks and connected components."""
 from __future__ import annotations
 
 import atexit
+import functools
 import gc
 import re
 import time
@@ -86,7 +87,7 @@ class Consumed:
         self.spark, self.kept = spark, set()
 
     def __enter__(self) -> Consumed:
-        self.before = len(_written)
+        self.before = {path for _, path in _written}
         return self
 
     def keep(self, df: DataFrame) -> DataFrame:
@@ -100,12 +101,47 @@ class Consumed:
         _written[:] = [x for x in _written if x[1] not in self.kept]
 
     def __exit__(self, *error) -> None:
-        mine, _written[self.before :] = _written[self.before :], []
+        mine = [x for x in _written if x[1] not in self.before and x[1] not in self.kept]
+        _written[:] = [x for x in _written if x not in mine]
         for spark, path in mine:
-            if path in self.kept:
-                _written.append((spark, path))
-            else:
-                drop_folder(spark, path)
+            drop_folder(spark, path)
+
+
+class Stages:
+    """Remembers what each stage of a chain wrote in the shared folder, so that
+    the next one can delete it: its own input was written by then, and the
+    folders it would otherwise leave till the driver's end add up."""
+
+    def __init__(self):
+        self.wrote: dict[str, list[str]] = {}
+
+    def after(self, before: str | None):
+        """Makes a stage of a function of (spark, docs, sf_dir), which follows that named."""
+
+        def wrap(f):
+            @functools.wraps(f)
+            def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+                if before is not None:
+                    self.release(spark, before, docs)
+                known = {path for _, path in _written}
+                out = f(spark, docs, sf_dir)
+                self.wrote[f.__name__] = [path for _, path in _written if path not in known]
+                return out
+
+            return stage
+
+        return wrap
+
+    def release(self, spark: SparkSession, stage: str, docs: DataFrame) -> None:
+        """Deletes what the last call of ``stage`` wrote, unless ``docs`` still reads it, as it
+        does where that call's result was not written."""
+        wrote = self.wrote.pop(stage, [])
+        read = {f.rsplit("/", 2)[-2] for f in docs.inputFiles()} if wrote else set()
+        gone = {path for path in wrote if path.rsplit("/", 1)[1] not in read}
+        for path in gone:
+            drop_folder(spark, path)
+        _written[:] = [x for x in _written if x[1] not in gone]
+        free_shuffles(spark)
 
 
 def free_shuffles(spark: SparkSession) -> None:
