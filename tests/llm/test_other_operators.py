@@ -3,6 +3,7 @@
 import collections
 import gzip
 import math
+import os
 import random
 from fractions import Fraction
 
@@ -11,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lorebase.llm import embeddings, mixing, warc
+from lorebase.llm import common, embeddings, mixing, warc
 from lorebase.llm.common import connected_components
 
 
@@ -160,3 +161,20 @@ def test_pipeline(spark, tmp_path):
         assert abs(taken - target) <= 60 and all(n <= 2 for n in starts.values())
     assert {x["doc_id"] for x in out} == set(seen[3])
     assert corpus_pipeline.ORACLE_SQL is None and [n for n, _ in corpus_pipeline.STAGES][0] == "quality rules"
+
+
+def test_stages_delete_what_the_one_before_wrote(spark, tmp_path):
+    chain, wrote = common.Stages(), []
+
+    def step(spark, docs, sf_dir):
+        wrote.append(common.materialize(docs, "test-stage"))
+        return wrote[-1]
+
+    chain.after(None)(step)(spark, spark.range(3), "")
+    chain.after("step")(step)(spark, wrote[0], "")
+    assert wrote[0].count() == 3  # its result was not written, so its table stays
+    wrote[1].write.parquet(f"{tmp_path}/out")
+    gone = wrote[1]._lorebase_path.removeprefix("file://")
+    assert os.path.exists(gone)
+    assert chain.after("step")(step)(spark, spark.read.parquet(f"{tmp_path}/out"), "").count() == 3
+    assert not os.path.exists(gone)
