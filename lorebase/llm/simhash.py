@@ -283,19 +283,74 @@ def near_bands(rows: int) -> tuple[int, int]:
     return math.ceil(math.log(NEAR_MISSED) / math.log(1 - (1 - NEAR_BITS) ** width)), width
 
 
-def near_links(docs: DataFrame, id_col: str, text_col: str, block: int = 4096) -> tuple[DataFrame, DataFrame]:
-    """(cls, _rep) and links (u, v) between classes: a class is a set of
-    shingles with the smallest id that has it, a link joins sets whose
-    Jaccard similarity, counted exactly, is NEAR_PERCENT or more.
+def _joined(label: np.ndarray, u: np.ndarray, v: np.ndarray) -> None:
+    """Unites the groups of rows ``u`` and ``v`` pair by pair; ``label`` holds the first row of each row's group."""
+    while len(u := u[apart := label[u] != label[v]]):
+        v = v[apart]
+        p, q = label[u], label[v]
+        np.minimum.at(label, np.maximum(p, q), np.minimum(p, q))
+        while (label != (up := label[label])).any():
+            label[:] = up
+
+
+def _forest(cls: np.ndarray, label: np.ndarray) -> pa.RecordBatch:
+    """A link from each row to the first one of its group."""
+    at = np.nonzero((label != np.arange(len(label))) & (cls[label] != cls))[0]
+    return pa.RecordBatch.from_arrays([pa.array(cls[label[at]]), pa.array(cls[at])], names=["u", "v"])
 
-    Candidates share one of the short fingerprints (see ``near_bands``), differ
-    in NEAR_RADIUS of 128 other bits at most, and all of them are verified.
+
+def similar_groups(left: list[np.ndarray], right: list[np.ndarray] | None = None) -> np.ndarray:
+    """For each of the sets of hashes the first one of its group, groups being
+    joined by Jaccard similarities of NEAR_PERCENT or more. With ``right``, whose
+    sets count on from those of ``left``, just pairs of one of each are compared.
+
+    Shared hashes are counted exactly through lists of the sets that hold a hash.
+    """
+    sets = left + (right or [])
+    sizes = np.array([len(x) for x in sets], np.int64)
+    label = np.arange(len(sets))
+    if not len(sets) or not sizes.sum():
+        return label
+    asked = len(left) if right is not None else len(sets)
+    values, number, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(sets), dtype=np.int32), sizes)
+    listed = owner >= asked if right is not None else np.ones(len(owner), bool)
+    order = np.argsort(number[listed], kind="stable")
+    holders = owner[listed][order]
+    ends = np.cumsum(np.bincount(number[listed], minlength=len(values)))
+    starts, offsets = ends - np.diff(ends, prepend=0), np.concatenate([[0], np.cumsum(sizes)])
+    for i in range(asked):
+        mine = number[offsets[i] : offsets[i + 1]]
+        mine = mine[times[mine] > 1]
+        lists = [holders[x:y] for x, y in zip(starts[mine].tolist(), ends[mine].tolist(), strict=True)]
+        if not lists:
+            continue
+        shared = np.bincount(np.concatenate(lists), minlength=len(sets))
+        near = np.nonzero((shared > 0) & (100 * shared >= NEAR_PERCENT * (sizes + sizes[i] - shared)))[0]
+        _joined(label, np.full(len(near), i), near)
+    return label
+
+
+def near_links(docs: DataFrame, id_col: str, text_col: str, block: int = 4096, together: int = 1024) -> tuple[DataFrame, DataFrame]:
+    """(cls, _rep) and links (u, v) between classes: a class is a set of
+    shingles with the smallest id that has it, links join what is connected by
+    Jaccard similarities, counted exactly, of NEAR_PERCENT or more.
+
+    Candidates share one of the short fingerprints (see ``near_bands``) and
+    differ in NEAR_RADIUS of 128 other bits at most. Neither candidates nor links
+    are written pair by pair: tasks return spanning forests of the candidates of
+    a bucket, and what these connect meets once more, with its texts, where all
+    pairs are verified. A bucket of over ``block`` rows, or a group of over
+    ``together`` texts or 8 MB of text, is split into blocks, and each pair of
+    blocks is a bucket of its own, for any task to compare.
     """
     spark = docs.sparkSession
     lower = bytes.maketrans(UPPER.encode(), UPPER.lower().encode())
     docs = docs.select(id_col, F.col(text_col).cast("string").alias(text_col))
-    bands, width = near_bands(docs.count())
+    rows = docs.count()
+    bands, width = near_bands(rows)
     blocks = 2 + -(-bands * width // 64)
+    n = max(shuffle_partitions(spark), math.ceil(rows / PER_TASK))
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -328,51 +383,56 @@ def near_links(docs: DataFrame, id_col: str, text_col: str, block: int = 4096) -
                 r = np.concatenate(rows)
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.concatenate(keys), cls[r], fp[r, 0], fp[r, 1])], names=["key", "cls", "f", "g"])
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+        """Columns of rows sorted by their first two ones, cut where these change."""
         kept = None
-
-        def pairs(c: list[np.ndarray]) -> pa.RecordBatch:
-            k, s, cls, f, g = c
-            u, v, at, step = [], [], np.arange(len(k)), 1
-            while len(at := at[at + step < len(k)]):
-                at = at[(k[at] == k[at + step]) & (s[at] == s[at + step])]
-                apart = np.bitwise_count(f[at] ^ f[at + step]) + np.bitwise_count(g[at] ^ g[at + step])
-                hit = at[(apart <= NEAR_RADIUS) | (k[at] >= 1 << 62)]
-                u.append(cls[hit])
-                v.append(cls[hit + step])
-                step += 1
-            both = np.sort(np.stack([np.concatenate(u), np.concatenate(v)]), axis=0) if u else np.zeros((2, 0), np.int64)
-            both = np.unique(both[:, both[0] < both[1]], axis=1)
-            return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["u", "v"])
-
         for b in batches:
-            c = [b.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
-            c[3], c[4] = c[3].view(np.uint64), c[4].view(np.uint64)
+            c = [b.column(i).to_numpy(zero_copy_only=False) for i in range(b.num_columns)]
             c = c if kept is None else [np.concatenate(x) for x in zip(kept, c, strict=True)]
             if not len(c[0]):
                 continue
-            # The last bucket may go on in the next batch.
             other = (c[0] != c[0][-1]) | (c[1] != c[1][-1])
             last = len(other) - int(np.argmax(other[::-1])) if other.any() else 0
             kept = [x[last:] for x in c]
-            yield pairs([x[:last] for x in c])
+            if last:
+                yield [x[:last] for x in c]
         if kept is not None:
-            yield pairs(kept)
+            yield kept
+
+    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for k, s, cls, f, g in buckets(batches):
+            f, g = f.view(np.uint64), g.view(np.uint64)
+            label, at, step = np.arange(len(k)), np.arange(len(k)), 1
+            while len(at := at[at + step < len(k)]):
+                at = at[(k[at] == k[at + step]) & (s[at] == s[at + step])]
+                apart = np.bitwise_count(f[at] ^ f[at + step]) + np.bitwise_count(g[at] ^ g[at + step])
+                hit = at[(apart <= NEAR_RADIUS) | (k[at] >= 1 << 62)]
+                _joined(label, hit, hit + step)
+                step += 1
+            yield _forest(cls, label)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            stay = []
-            for x, y in zip(b.column(2).cast(pa.binary()), b.column(3).cast(pa.binary()), strict=True):
-                p, q = (shingle_hashes(t.as_py() or b"", lower, NEAR_WORDS) for t in (x, y))
-                shared = len(np.intersect1d(p, q, assume_unique=True))
-                stay.append(100 * shared >= NEAR_PERCENT * (len(p) + len(q) - shared))
-            yield b.select([0, 1]).filter(pa.array(stay, pa.bool_()))
+        def hashed() -> Iterator[pa.RecordBatch]:
+            for b in batches:  # of the texts just the hashes are held
+                sets = [shingle_hashes(t.as_py() or b"", lower, NEAR_WORDS).tobytes() for t in b.column(4).cast(pa.binary())]
+                yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(sets, pa.large_binary())], names=b.schema.names)
+
+        for k, s, cls, side, sets in buckets(hashed()):
+            cuts = np.nonzero((k[1:] != k[:-1]) | (s[1:] != s[:-1]))[0] + 1
+            for x, y in zip([0, *cuts.tolist()], [*cuts.tolist(), len(k)], strict=True):
+                order = x + np.argsort(side[x:y], kind="stable")
+                left = order[side[order] == side[order[0]]]
+                right = order[len(left) :]
+                p, q = ([np.frombuffer(sets[i], np.uint64) for i in part] for part in (left, right))
+                # Blocks that meet hold each other's rows only; one by itself is compared within.
+                yield _forest(cls[order], similar_groups(p, q if len(q) or s[x] >> 31 != s[x] & 0x7FFFFFFF else None))
 
     kind = dict(docs.dtypes)[id_col]
     sketches = materialize(docs.mapInArrow(sketch, f"`{id_col}` {kind}, cls long, bits binary, small array<long>"), "near-sketch")
     names = materialize(sketches.groupBy("cls").agg(F.min(id_col).alias("_rep")), "near-class")
     one = sketches.join(names.select(F.col("cls").alias("_c"), "_rep"), (F.col("cls") == F.col("_c")) & (F.col(id_col) == F.col("_rep"))).select("cls", "bits", "small")
     one = materialize(one, "near-one")
+    drop_table(sketches)
     keyed = one.mapInArrow(spread, "key long, cls long, f long, g long")
     large = keyed.groupBy(F.col("key").alias("_k")).count().where(F.col("count") > block).select("_k", F.ceil(F.col("count") / block).cast("int").alias("_n"))
     large = materialize(large, "near-large")
@@ -380,16 +440,20 @@ def near_links(docs: DataFrame, id_col: str, text_col: str, block: int = 4096) -
         keyed = keyed.withColumn("sub", F.lit(0).cast("long"))
     else:
         keyed = _in_blocks(keyed, large, "cls")
-    dealt = keyed.select("key", "sub", "cls", "f", "g").repartition(shuffle_partitions(spark), "key", "sub").sortWithinPartitions("key", "sub")
-    pairs = materialize(dealt.mapInArrow(compare, "u long, v long").distinct(), "near-pairs")
-    texts = names.join(docs, F.col("_rep") == F.col(id_col)).select(F.col("cls").alias("_cls"), F.col(text_col).alias("_t"))
-    for t in (sketches, one, large):
+    dealt = keyed.select("key", "sub", "cls", "f", "g").repartition(n, "key", "sub").sortWithinPartitions("key", "sub")
+    found = materialize(dealt.mapInArrow(candidates, "u long, v long").distinct(), "near-candidates")
+    for t in (one, large):
         drop_table(t)
-    need = pairs.select(F.col("u").alias("_n")).union(pairs.select(F.col("v").alias("_n"))).distinct()
-    texts = materialize(texts.join(need, F.col("_cls") == F.col("_n"), "left_semi"), "near-texts")
-    read = pairs.join(texts, F.col("u") == F.col("_cls")).select("u", "v", F.col("_t").alias("_tu"))
-    read = read.join(texts, F.col("v") == F.col("_cls")).select("u", "v", "_tu", F.col("_t").alias("_tv"))
-    return names, materialize(read.mapInArrow(verify, "u long, v long"), "near-links")
+    groups = materialize(connected_components(found, "near-groups"), "near-group")
+    drop_table(found)
+    texts = names.join(groups, F.col("cls") == F.col("id")).select("cls", "_rep", F.col("component").alias("key"))
+    texts = texts.join(docs, F.col("_rep") == F.col(id_col)).select("key", "cls", F.col(text_col).alias("_t"))
+    texts = materialize(texts, "near-texts")
+    size = F.greatest(F.ceil(F.count("*") / together), F.ceil(F.sum(F.octet_length("_t")) / (8 << 20))).cast("int")
+    large = materialize(texts.groupBy(F.col("key").alias("_k")).agg(size.alias("_n")).where("_n > 1"), "near-large-groups")
+    met = _in_blocks(texts, large, "cls").select("key", "sub", "cls", F.col("_b").cast("long").alias("_b"), "_t")
+    met = met.repartition(n, "key", "sub").sortWithinPartitions("key", "sub", "cls")
+    return names, materialize(met.mapInArrow(verify, "u long, v long").distinct(), "near-links")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

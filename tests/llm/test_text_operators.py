@@ -193,6 +193,28 @@ def test_near_copies(spark, empty):
     first = df.where("doc_id is not null")
     links = [sorted(map(tuple, simhash.near_links(first, "doc_id", "text", b)[1].collect())) for b in (4096, 3)]
     assert links[0] == links[1]
+    # Groups that are split into blocks of texts join the same classes.
+    whole, split = (components(sorted({x for link in found for x in link}), lambda i, j, f=set(found): (i, j) in f or (j, i) in f) for found in (links[0], [tuple(x) for x in simhash.near_links(first, "doc_id", "text", together=2)[1].collect()]))
+    assert whole == split
+
+
+def test_similar_groups():
+    """Groups of sets, within one block and between two, against all pairs."""
+    r = random.Random(8)
+    base = [r.sample(range(10**6), n) for n in (1, 5, 6, 30, 30)]
+    sets = [np.unique(np.array([x if r.random() > 0.06 else r.randrange(10**6) for x in b], np.uint64)) for b in base for _ in range(25)] + [np.zeros(0, np.uint64)]
+    r.shuffle(sets)
+
+    def near(i, j):
+        a, b = set(sets[i].tolist()), set(sets[j].tolist())
+        return bool(a & b) and 100 * len(a & b) >= 80 * len(a | b)
+
+    ids = range(len(sets))
+    assert dict(enumerate(simhash.similar_groups(sets).tolist())) == components(ids, near)
+    cut = 50
+    assert dict(enumerate(simhash.similar_groups(sets[:cut], sets[cut:]).tolist())) == components(ids, lambda i, j: (i < cut) != (j < cut) and near(i, j))
+    assert simhash.similar_groups([]).tolist() == []
+    assert simhash.similar_groups(sets[:3], []).tolist() == [0, 1, 2]
 
 
 def test_simhash_blocks(spark):
