@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embeddings, katz, lines, mixing, packing, passages, quality, secrets, simhash, warc
+from . import embeddings, exact, katz, lines, mixing, packing, passages, quality, secrets, simhash, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,8 +21,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality": quality.op8_quality,
         "op9_embeddings": embeddings.op9_embeddings,
         "op10_katz": katz.op10_katz,
+        "op12_exact": exact.op12_exact,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix": mixing.OP1_SQL, "op7_warc": warc.OP7_SQL, "op8_quality": quality.OP8_SQL, "op9_embeddings": embeddings.OP9_SQL}
+    return {"op1_mix": mixing.OP1_SQL, "op7_warc": warc.OP7_SQL, "op8_quality": quality.OP8_SQL, "op9_embeddings": embeddings.OP9_SQL, "op12_exact": exact.OP12_SQL}
