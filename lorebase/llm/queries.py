@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embeddings, exact, katz, lines, mixing, packing, passages, quality, secrets, simhash, warc
+from . import embeddings, exact, katz, lines, mixing, packing, passages, quality, secrets, simhash, spelling, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_embeddings": embeddings.op9_embeddings,
         "op10_katz": katz.op10_katz,
         "op12_exact": exact.op12_exact,
+        "op13_spelling": spelling.op13_spelling,
     }
 
 
