@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embeddings, exact, katz, lines, mixing, packing, passages, quality, secrets, simhash, spelling, warc
+from . import embeddings, exact, katz, lines, mixing, packing, passages, quality, secrets, simhash, spelling, turns, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality": quality.op8_quality,
         "op9_embeddings": embeddings.op9_embeddings,
         "op10_katz": katz.op10_katz,
+        "op11_turns": turns.op11_turns,
         "op12_exact": exact.op12_exact,
         "op13_spelling": spelling.op13_spelling,
     }
