@@ -32,14 +32,16 @@ def plan(prompt: str, task_type: str = "auto", classify=None) -> Plan:
     return Plan(kind if kind in TASKS else "answer", words, words[:EXACT_TERMS])
 
 
-def evidence(p: Plan, units: DataFrame, pages: DataFrame, entities: DataFrame, relations: DataFrame, sources: DataFrame, claims: DataFrame) -> dict[str, DataFrame]:
+def evidence(p: Plan, units: DataFrame, pages: DataFrame, entities: DataFrame, relations: DataFrame, sources: DataFrame, claims: DataFrame, index=None) -> dict[str, DataFrame]:
     """QRY-02, JOI-05, WIN-09: pages (the best by score, then id), summaries of
-    sources behind them, and the project's most certain claims."""
+    sources behind them, and the project's most certain claims. With ``index`` (an
+    ``Index`` of the units) no unit's text is read."""
     hits = None
     for t in p.exact_terms:
         h = exact_search(pages, entities, t)
         hits = h if hits is None else hits.unionByName(h)
-    found = bm25(units, " ".join(p.terms)).orderBy(F.desc("score"), "unit_id").limit(FETCHED).limit(USED).select(F.col("page_id").cast("string").alias("page_id"), "score")
+    words = " ".join(p.terms)
+    found = (index.bm25(words, limit=FETCHED) if index else bm25(units, words)).orderBy(F.desc("score"), "unit_id").limit(FETCHED).limit(USED).select(F.col("page_id").cast("string").alias("page_id"), "score")
     if hits is not None:
         seeds = hits.where("kind = 'entity'").select("id").distinct()
         rel = relations.withColumns({"from_id": F.col("from_id").cast("string"), "to_id": F.col("to_id").cast("string")})

@@ -11,7 +11,6 @@ CLAIMS, ENTITIES, EVIDENCE, RELATED, QUESTIONS = 8, 10, 5, 6, 3
 WIKI = {"concept": "concepts", "source_summary": "sources", "comparison": "comparisons", "timeline": "timelines", "question": "questions", "index": "indexes", "glossary": "indexes"}
 OUTPUT = {"answer": "answers", "report": "reports", "slides": "slides", "diagram": "diagrams", "memo": "reports", "study_guide": "reports", "checklist": "reports"}
 RAW = {"bookmark": "bookmark_candidates", "url_article": "articles", "pdf": "papers", "repo_doc": "repos", "markdown_note": "notes", "image": "images", "dataset": "datasets"}
-ARTIFACT = 200_000
 KNOWN = ["concept", "source_summary", "question", "index"]
 
 
@@ -95,9 +94,10 @@ def content_units(pages: DataFrame) -> DataFrame:
     return pages.select(F.col("id").alias("unit_id"), F.lit("page_body").alias("unit_type"), F.col("id").alias("page_id"), "title", "body")
 
 
-def artifact_units(artifacts: DataFrame) -> DataFrame:
-    """DML-04: retrieval units of artifacts, cut at 200,000 characters."""
-    return artifacts.select(F.col("id").alias("unit_id"), F.lit("artifact_body").alias("unit_type"), F.lit(None).cast("string").alias("page_id"), "title", F.substring("body", 1, ARTIFACT).alias("body"))
+def artifact_units(artifacts: DataFrame, most: int | None = None) -> DataFrame:
+    """DML-04: retrieval units of artifacts, of their first ``most`` characters or whole."""
+    body = F.col("body") if most is None else F.substring("body", 1, most)
+    return artifacts.select(F.col("id").alias("unit_id"), F.lit("artifact_body").alias("unit_type"), F.lit(None).cast("string").alias("page_id"), "title", body.alias("body"))
 
 
 def index_catalog(pages: DataFrame) -> DataFrame:

@@ -19,7 +19,8 @@ def match(incoming: DataFrame, existing: DataFrame) -> DataFrame:
     """RES-02, JOI-18: (id, match_id): the least existing entity of the same type
     that shares a key. The four alias rules say just this, so it is one join."""
     a = entity_keys(incoming)
-    b = entity_keys(existing).select(F.col("id").alias("match_id"), "entity_type", "key")
+    # The least holder of each key first: a key that many share would else give a row per pair.
+    b = entity_keys(existing).groupBy("entity_type", "key").agg(F.min("id").alias("match_id"))
     return a.join(b, ["entity_type", "key"]).groupBy("id").agg(F.min("match_id").alias("match_id"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import text as tx
 from ..functions.stemming import stem, stems_udf
-from .shared import written
+from .shared import drop_folder, written
 
 # BM25 constants and the multipliers of page types and trust levels.
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
@@ -59,6 +59,9 @@ def _matches(term: str, column):
     return F.startswith(column, F.lit(term[:-1])) if term.endswith("*") else column == term
 
 
+__all__ = ["bm25", "boost", "drop_folder", "exact_search", "match", "postings", "query_tokens", "relation_expand", "search", "spread", "term_stats"]
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` over all cores if it comes in fewer pieces, as from one small file."""
     n = df.sparkSession.sparkContext.defaultParallelism
@@ -98,7 +101,7 @@ def bm25(units: DataFrame, query: str, unit_types: list[str] | None = None, stem
 
     The texts are read once: sizes and counts of the query's terms are written,
     and statistics and scores come from there. ``stemmed`` compares English stems
-    (in Arrow batches) instead of words. For many queries keep an ``Index``.
+    (in Arrow batches) instead of words. For many queries keep an ``index.Index``.
     """
     every, without = match(query)
     words = tx.tokens(F.concat_ws(" ", "title", "body"))
@@ -113,55 +116,6 @@ def bm25(units: DataFrame, query: str, unit_types: list[str] | None = None, stem
     return _scored(written(sized.drop("_w", "title", "body"), "bm25"), every, without, unit_types)
 
 
-class Index:
-    """FTS-02: the stored index of a project's units: postings in buckets by term,
-    which a search reads only as far as its terms go, the units' sizes, and two
-    totals. Built once per change of the units and kept beside their tables."""
-
-    BUCKETS = 64
-
-    def __init__(self, spark, path: str):
-        self.spark, self.path = spark, path
-
-    @classmethod
-    def build(cls, units: DataFrame, path: str) -> Index:
-        words = tx.tokens(F.concat_ws(" ", "title", "body"))
-        sized = written(spread(units).withColumn("_w", words), "index-words")
-        post = sized.select("unit_id", F.explode("_w").alias("term")).groupBy("unit_id", "term").agg(F.count("*").alias("tf"))
-        post = post.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(cls.BUCKETS)).cast("int"))
-        post.repartition(cls.BUCKETS, "bucket", "term").sortWithinPartitions("term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
-        sized.withColumn("_dl", F.size("_w")).drop("_w", "body").write.mode("overwrite").parquet(f"{path}/units")
-        out = cls(units.sparkSession, path)
-        out.units().agg(F.count("*").alias("_n"), F.avg("_dl").alias("_avg")).write.mode("overwrite").parquet(f"{path}/totals")
-        return out
-
-    def units(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/units")
-
-    def postings(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/postings")
-
-    def bm25(self, query: str, unit_types: list[str] | None = None) -> DataFrame:
-        """As ``bm25``; a prefix reads all buckets, by their terms' order."""
-        every, without = match(query)
-        if not every:
-            return self.units().where("false").drop("_dl").withColumn("score", F.lit(0.0))
-        terms = [*(t for x in every for t in x), *without]
-        post = self.postings()
-        if not any(t.endswith("*") for t in terms):
-            numbers = self.spark.createDataFrame([(t,) for t in terms], "t string").select(F.pmod(F.xxhash64("t"), F.lit(self.BUCKETS)).cast("int")).distinct().collect()
-            post = post.where(F.col("bucket").isin([r[0] for r in numbers]))
-        wanted = F.lit(False)
-        for t in terms:
-            wanted = wanted | _matches(t, F.col("term"))
-        per = post.where(wanted).groupBy(F.col("unit_id").alias("_u")).agg(*[F.coalesce(F.sum(F.when(_matches(t, F.col("term")), F.col("tf"))), F.lit(0)).alias(f"_tf{i}") for i, t in enumerate(terms)])
-        per = written(per, "index-hits")
-        df = per.agg(*[F.count_if(F.col(f"_tf{i}") > 0).alias(f"_df{i}") for i in range(len(terms))])
-        stats = self.spark.read.parquet(f"{self.path}/totals").crossJoin(F.broadcast(df))  # one row each
-        sized = self.units().join(per, F.col("unit_id") == F.col("_u")).drop("_u")
-        return _ranked(sized, stats, every, without, unit_types)
-
-
 def _is(term: str):
     return lambda w: _matches(term, w)
 
@@ -171,13 +125,18 @@ def boost(column, table: dict[str, float], default: float):
     return F.coalesce(F.element_at(m, column), F.lit(default))
 
 
-def search(units: DataFrame, query: str, limit: int = 20, unit_types: list[str] | None = None, pages: DataFrame | None = None, sources: DataFrame | None = None, stemmed: bool = False, index: Index | None = None) -> DataFrame:
+def search(units: DataFrame, query: str, limit: int = 20, unit_types: list[str] | None = None, pages: DataFrame | None = None, sources: DataFrame | None = None, stemmed: bool = False, index=None) -> DataFrame:
     """FTS-05/06: the best ``limit`` units by BM25, then re-ranked by the boosts of
     their page's type and source's trust (a missing page or source leaves the
-    score), with an excerpt. Boosts act inside the window that BM25 chose."""
-    found = index.bm25(query, unit_types).drop("title") if index else bm25(units, query, unit_types, stemmed)
+    score), with an excerpt. Boosts act inside the window that BM25 chose. With
+    ``index`` (an ``Index`` of these units) the texts of the hits alone are read."""
+    found = index.bm25(query, unit_types, limit) if index else bm25(units, query, unit_types, stemmed)
     top = found.orderBy(F.desc("score"), "unit_id").limit(limit)
-    top = top.join(units.select("unit_id", "title", "body"), "unit_id")
+    texts = units.select("unit_id", "title", "body")
+    if index:  # the few hits are fetched by their ids, which reach the scan
+        rows = top.collect()
+        top, texts = units.sparkSession.createDataFrame(rows, top.schema), texts.where(F.col("unit_id").isin([r["unit_id"] for r in rows]))
+    top = top.join(texts, "unit_id")
     if pages is not None:
         p = pages.select(F.col("id").alias("page_id"), "page_type")
         top = top.join(p, "page_id", "left").withColumn("score", F.when(F.col("page_type").isNull(), F.col("score")).otherwise(F.col("score") * boost(F.col("page_type"), PAGE_BOOST, 1.0)))

@@ -12,11 +12,15 @@ from pyspark.sql import DataFrame, functions as F
 _written: list = []
 
 
+def drop_folder(spark, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def _delete_all() -> None:
     for spark, path in _written:
         try:
-            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            drop_folder(spark, path)
         except Exception:  # the session is gone: the folder's owner clears it
             return
 
@@ -42,6 +46,16 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def file_states(df: DataFrame) -> tuple[tuple[str, int, int], ...]:
+    """Path, size and time of change of the files that ``df`` reads, at any store."""
+    spark, out = df.sparkSession, []
+    conf, path = spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for name in sorted(df.inputFiles()):
+        s = path(name).getFileSystem(conf).getFileStatus(path(name))
+        out.append((name, s.getLen(), s.getModificationTime()))
+    return tuple(out)
+
+
 def min_labels(nodes: DataFrame, hubs: DataFrame) -> DataFrame:
     """(id, root): the smallest node id of each node's component.
 

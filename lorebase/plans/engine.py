@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import settings
 from ..operators import ask, checks, compile as pages_, graph, ingest, normalize, resolve, search
-from ..operators.shared import written
+from ..operators.index import Index
+from ..operators.shared import new_folder, written
 from ..sources import files
 
 
@@ -43,7 +44,8 @@ class KnowledgeEngine:
 
     def __init__(self, spark: SparkSession, tables: dict[str, DataFrame], extractor: Callable | None = None, synthesizer: Callable | None = None, classifier: Callable | None = None):
         self.spark, self.tables = spark, dict(tables)
-        self.index_: search.Index | None = None
+        self.index_: Index | None = None
+        self.parts: dict[str, int] = {}
         self.extractor, self.synthesizer, self.classifier = extractor or normalize.extract, synthesizer, classifier
 
     @classmethod
@@ -62,10 +64,21 @@ class KnowledgeEngine:
         for name, df in self.tables.items():
             df.write.mode("overwrite").parquet(f"{path}/{name}")
 
+    #: Additions to a table after which it is written anew.
+    PARTS = 16
+
     def _append(self, table: str, rows: DataFrame) -> None:
-        """Rows at the end of a table, written, so that later calls do not repeat their work."""
+        """Rows at the end of a table: they are written, the table is not."""
         old = self.tables.get(table)
-        self.tables[table] = written(old.unionByName(rows, allowMissingColumns=True) if old is not None else rows, table)
+        new = written(rows, table)
+        self._put(table, old.unionByName(new, allowMissingColumns=True) if old is not None else new)
+
+    def _put(self, table: str, df: DataFrame) -> None:
+        """A table after a small change, which is written anew only once in PARTS changes."""
+        self.parts[table] = self.parts.get(table, 0) + 1
+        if self.parts[table] >= self.PARTS:
+            df, self.parts[table] = written(df, table), 0
+        self.tables[table] = df
 
     def _row(self, **values) -> DataFrame:
         kinds = ", ".join(f"{k} string" for k in values)
@@ -148,7 +161,7 @@ class KnowledgeEngine:
             "relations": written(every.unionByName(asked, allowMissingColumns=True) if asked is not None else every, "relations"),
             "pages": written(pages_.upsert_pages(kept, new), "pages"),
         }
-        self.index_ = None
+        self._reindex(old)
         self._job("compile_project")
         return self
 
@@ -181,29 +194,47 @@ class KnowledgeEngine:
         a = self.tables.get("artifacts")
         return u.unionByName(pages_.artifact_units(a)) if a is not None else u
 
-    def _index(self) -> search.Index:
-        """The stored index of pages and artifacts, built when they have changed."""
+    def _index(self) -> Index | None:
+        """The stored index of pages and artifacts, built when first asked for and then kept up."""
         if self.index_ is None:
-            units = written(self._units(), "units")
-            self.index_ = search.Index.build(units, units.inputFiles()[0].rsplit("/", 1)[0] + "-index") if not units.isEmpty() else None
+            units = self._units()
+            self.index_ = Index.build(units, new_folder(self.spark, "index")) if not units.isEmpty() else None
         return self.index_
 
+    def _reindex(self, old: DataFrame | None) -> None:
+        """Brings the index from the ``old`` pages to the present ones: only pages that
+        differ are added, in a segment of their own."""
+        if self.index_ is None or old is None:
+            self.index_ = None
+            return
+        now, columns = self.tables["pages"], ["id", "title", "body_sha256"]
+        changed = now.join(old.select(columns), columns, "left_anti")
+        gone = old.join(now.select("id"), "id", "left_anti").select(F.col("id").alias("unit_id"))
+        self.index_.update(pages_.content_units(changed), gone)
+
     def query(self, prompt: str, task_type: str = "auto") -> str:
         """QRY-04..06: plan, evidence and answer with its provenance, which is kept:
         the run, its artifact and, with evidence, a question page with its edges."""
         t, run = self.tables, uuid.uuid4().hex
         p = ask.plan(prompt, task_type, self.classifier)
-        found = {k: written(v, f"evidence-{k}") for k, v in ask.evidence(p, pages_.content_units(t["pages"]), t["pages"], t["entities"], t["relations"], t["sources"], t["claims"]).items()}
+        found = {k: written(v, f"evidence-{k}") for k, v in ask.evidence(p, pages_.content_units(t["pages"]), t["pages"], t["entities"], t["relations"], t["sources"], t["claims"], self._index()).items()}
         text = ask.with_provenance(self.synthesizer(prompt, found) if self.synthesizer else ask.answer(prompt, found), found)
         kind = "answer" if p.task_type == "answer" else p.task_type
-        self._append("artifacts", self._row(id=f"artifact-{run}", artifact_type=kind, title=ask.question_title(prompt), body=text, status="active").withColumn("file_path", F.concat_ws("/", pages_.routed(F.lit(kind), pages_.OUTPUT, "reports"), F.lit(f"{run}.md"))))
+        artifact = self._row(id=f"artifact-{run}", artifact_type=kind, title=ask.question_title(prompt), body=text, status="active").withColumn("file_path", F.concat_ws("/", pages_.routed(F.lit(kind), pages_.OUTPUT, "reports"), F.lit(f"{run}.md")))
+        self._append("artifacts", artifact)
         self._append("query_runs", self._row(id=run, prompt_text=prompt, task_type=p.task_type, status="succeeded", result_artifact_id=f"artifact-{run}"))
+        new, gone = pages_.artifact_units(artifact), None
         if (filed := ask.file_back(prompt, text, found, t["relations"])) is not None:
-            page, edges = filed
+            page, edges = (written(x, "filed") for x in filed)
             page = page.withColumns({"origin_id": F.col("id"), "body_sha256": F.sha2("body", 256), "updated_at": F.current_timestamp()})
-            self.tables["pages"] = written(pages_.upsert_pages(t["pages"], page), "pages")
-            self.tables["relations"] = written(settings.upsert(t["relations"], edges.withColumn("evidence_source_id", F.lit(None).cast("string")).select(t["relations"].columns), ["id"]), "relations")
-        self.index_ = None
+            page = written(page, "filed")
+            old = t["pages"]
+            self._put("pages", pages_.upsert_pages(old, page))
+            self._put("relations", settings.upsert(t["relations"], edges.withColumn("evidence_source_id", F.lit(None).cast("string")).select(t["relations"].columns), ["id"]))
+            new = new.unionByName(pages_.content_units(page))
+            gone = old.where("page_type = 'question'").join(page.select("slug"), "slug", "left_semi").select(F.col("id").alias("unit_id"))
+        if self.index_ is not None:
+            self.index_.update(new, gone)
         return text
 
     def knowledge_map(self) -> dict[str, DataFrame]:

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lorebase.operators import ask, checks, graph, ingest, normalize, resolve, search
+from lorebase.operators.index import Index
 from lorebase.plans.engine import ConflictError, KnowledgeEngine, write_atomic
 from lorebase.sources import bookmarks, files
 from lorebase.streaming import jobs
@@ -31,7 +32,7 @@ def test_search(spark):
 
 def test_match_syntax_and_index(spark, tmp_path):
     u = spark.createDataFrame([(1, "", "red apples fall"), (2, "", "green apple pie"), (3, "", "red wine"), (4, "x", "écru red"), (5, "", "")], "unit_id int, title string, body string")
-    i = search.Index.build(u, f"file://{tmp_path}/index")
+    i = Index.build(u, f"file://{tmp_path}/index")
     for q, want in {"red": {1, 3, 4}, "red OR pie": {1, 2, 3, 4}, "red NOT wine": {1, 4}, "appl*": {1, 2}, "red appl*": {1}, "ecru": {4}, "none": set(), "": set(), "NOT red": set(), "wine OR pie NOT green": {3}}.items():
         a = {r["unit_id"]: round(r["score"], 9) for r in search.bm25(u, q).collect()}
         assert set(a) == want and a == {r["unit_id"]: round(r["score"], 9) for r in i.bm25(q).collect()}
