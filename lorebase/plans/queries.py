@@ -16,7 +16,7 @@ from ..operators import ask, checks, compile as pages_, graph, ingest, normalize
 from ..operators.index import Index
 from ..operators.shared import file_states, new_folder, written
 from ..sources import files
-from ..streaming import jobs
+from ..streaming import jobs, lifecycle
 from .engine import KnowledgeEngine
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,7 +42,7 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 def units(spark, d) -> DataFrame:
     t = table(spark, d, "documents")
-    return t.select(F.col("doc_id").alias("unit_id"), F.col("doc_id").alias("source_id"), F.lit("").alias("title"), F.col("text").alias("body"), F.col("lang").alias("unit_type"))
+    return t.select(F.col("doc_id").alias("unit_id"), F.col("doc_id").alias("source_id"), F.col("doc_id").alias("page_id"), F.lit("").alias("title"), F.col("text").alias("body"), F.col("lang").alias("unit_type"))
 
 
 def trust(spark, d) -> DataFrame:
@@ -358,14 +358,14 @@ def fts_index_build(spark, d):
     return own.crossJoin(index.blocks().agg(F.sum(F.aggregate("tfs", F.lit(0).cast("long"), lambda a, x: a + x)).alias("words"), F.sum("n").cast("long").alias("postings")))  # one row each
 
 
-def _bm25(query: str, where: str = "true") -> str:
+def _bm25(query: str, where: str = "true", recursive: bool = False) -> str:
     terms = search.query_tokens(query)
     tf = ", ".join(f"CAST(len(list_filter(w, lambda x: x = '{t}')) AS DOUBLE) AS tf{i}" for i, t in enumerate(terms))
     df = ", ".join(f"count(*) FILTER (tf{i} > 0) AS df{i}" for i in range(len(terms)))
     idf = [f"(CASE WHEN ln((n - df{i} + 0.5) / (df{i} + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - df{i} + 0.5) / (df{i} + 0.5)) END)" for i in range(len(terms))]
     score = " + ".join(f"{idf[i]} * tf{i} * 2.2 / (tf{i} + 1.2 * (0.25 + 0.75 * dl / av))" for i in range(len(terms)))
     return f"""
-WITH w AS (SELECT doc_id, lang, text, {WORDS.format('text')} AS w FROM documents), c AS (SELECT doc_id, lang, text, len(w) AS dl, {tf} FROM w),
+WITH {'RECURSIVE ' * recursive}w AS (SELECT doc_id, lang, text, {WORDS.format('text')} AS w FROM documents), c AS (SELECT doc_id, lang, text, len(w) AS dl, {tf} FROM w),
 s AS (SELECT count(*) AS n, avg(dl) AS av, {df} FROM c),
 h AS (SELECT doc_id, lang, text, ({score})::DOUBLE AS score FROM c, s WHERE {' AND '.join(f'tf{i} > 0' for i in range(len(terms)))} AND {where}),
 top AS (SELECT * FROM h ORDER BY round(score, 9) DESC, doc_id LIMIT 20)"""
@@ -695,12 +695,41 @@ def ask_expand_sources(spark, d):
     return ask.expand_sources(p, r).select(F.col("page_id").cast("bigint").alias("page_id"), F.col("source_id").cast("bigint").alias("source_id"))
 
 
-@query(f"{_bm25('that tion')} SELECT CAST(doc_id AS VARCHAR) AS page_id, round(score, 6) AS score FROM (SELECT * FROM top LIMIT 15) ORDER BY score DESC, page_id LIMIT 8")
+EVIDENCE = f"""{_bm25('that tion', recursive=True)},
+{PART_EDGES},
+p AS (SELECT doc_id AS id, substr(text, 1, 30) AS title FROM documents),
+ph AS (SELECT CAST(id AS VARCHAR) AS id, 'page' AS kind, CASE WHEN lower(title) = 'hot' THEN 10.0 ELSE 5.0 END AS score FROM (SELECT * FROM p WHERE lower(title) LIKE '%hot%' ORDER BY title, id LIMIT 10)),
+eh AS (SELECT CAST(p_partkey AS VARCHAR) AS id, 'entity' AS kind, CASE WHEN p_name = 'hot' THEN 8.0 ELSE 4.0 END AS score FROM (SELECT * FROM part WHERE lower(p_name) LIKE '%hot%' ORDER BY p_partkey LIMIT 10)),
+hits AS (SELECT * FROM (SELECT * FROM ph UNION ALL SELECT * FROM eh) ORDER BY score DESC, kind = 'entity', id LIMIT 10),
+seeds AS (SELECT DISTINCT id FROM hits WHERE kind = 'entity'),
+b AS (SELECT CAST(from_id AS VARCHAR) AS x, CAST(to_id AS VARCHAR) AS y, id, confidence FROM e UNION ALL SELECT CAST(to_id AS VARCHAR), CAST(from_id AS VARCHAR), id, confidence FROM e),
+near AS (SELECT y AS id, arg_min(confidence, b.id) AS c FROM b WHERE x IN (SELECT id FROM seeds) AND y NOT IN (SELECT id FROM seeds) GROUP BY y ORDER BY c DESC, y LIMIT 15),
+about AS (SELECT CAST(doc_id AS VARCHAR) AS id FROM documents WHERE CAST(doc_id AS VARCHAR) IN (SELECT id FROM near UNION SELECT id FROM seeds)),
+f AS (SELECT CAST(doc_id AS VARCHAR) AS id, score FROM (SELECT * FROM top LIMIT 15) UNION ALL SELECT id, 1.0 FROM about UNION ALL SELECT id, score FROM hits WHERE kind = 'page'),
+best AS (SELECT id, max(score) AS score FROM f GROUP BY id ORDER BY score DESC, id LIMIT 8)
+SELECT 'page' AS kind, id, round(score, 6) AS score, (SELECT title FROM p WHERE CAST(p.id AS VARCHAR) = best.id) AS shown FROM best
+UNION ALL SELECT 'source', id, NULL, source FROM (SELECT best.id, source FROM best JOIN documents ON CAST(doc_id AS VARCHAR) = best.id ORDER BY 1 LIMIT 5)
+UNION ALL SELECT 'claim', CAST(doc_id AS VARCHAR), quality * 0.5, 'label' FROM (SELECT * FROM labels ORDER BY quality DESC, doc_id LIMIT 15)"""
+
+
+@query(EVIDENCE)
 def ask_evidence(spark, d):
-    """QRY-02: the best pages for a question, documents as pages."""
-    u = units(spark, d).withColumn("page_id", F.col("unit_id"))
-    hits = search.bm25(u, "that tion").orderBy(F.desc("score"), "unit_id").limit(ask.FETCHED).limit(ask.USED)
-    return hits.select(F.col("page_id").cast("string").alias("page_id"), F.round("score", 6).alias("score")).orderBy(F.desc("score"), "page_id").limit(ask.PAGES)
+    """QRY-02, JOI-05, WIN-09, SRT-07: the evidence for a question through the stored
+    index: documents are pages and sources, parts entities, each page about the part of
+    its number, labels claims."""
+    docs = table(spark, d, "documents")
+    pages = docs.select(F.col("doc_id").alias("id"), F.substring("text", 1, 30).alias("title"), F.col("text").alias("body"), F.lit("active").alias("status"))
+    sources = docs.select(F.col("doc_id").alias("id"), F.col("source").alias("title"), F.substring("text", 1, 100).alias("summary"), F.lit(None).cast("timestamp").alias("deleted_at"))
+    claims = table(spark, d, "labels").select(F.col("doc_id").alias("id"), F.lit("label").alias("claim_text"), (F.col("quality") * 0.5).alias("confidence"), F.lit("active").alias("status"))
+    of = lambda rel, kind: docs.select(F.col("doc_id").alias("id"), F.lit("page").alias("from_kind"), F.col("doc_id").alias("from_id"), F.lit(rel).alias("relation_type"), F.lit(kind).alias("to_kind"), F.col("doc_id").alias("to_id"), F.lit(1.0).alias("confidence"))
+    relations = part_edges(spark, d).drop("evidence_source_id").unionByName(of("about", "entity")).unionByName(of("derived_from", "source"))
+    p = ask.plan("that tion hot", "answer")
+    p.terms, p.exact_terms = p.terms[:2], ["hot"]
+    found = ask.evidence(p, units(spark, d), pages, parts(spark, d), relations, sources, claims, stored_index(spark, d))
+    row = lambda kind, i, score, shown: (F.lit(kind).alias("kind"), F.col(i).cast("string").alias("id"), score.cast("double").alias("score"), F.col(shown).alias("shown"))
+    out = found["pages"].select(*row("page", "page_id", F.round("score", 6), "title"))
+    out = out.unionByName(found["sources"].select(*row("source", "source_id", F.lit(None), "title")))
+    return out.unionByName(found["claims"].select(*row("claim", "id", F.col("confidence"), "claim_text")))
 
 
 def _events(spark, d):
@@ -717,6 +746,43 @@ def job_event_seq(spark, d):
     return jobs.event_seq(_events(spark, d)).select("event_id", "job_id", F.col("seq_no").cast("long").alias("seq_no"))
 
 
+STATUS = "CASE event_type WHEN 'signup' THEN 'queued' WHEN 'purchase' THEN 'succeeded' WHEN 'error' THEN 'failed' ELSE 'running' END"
+
+
+def job_events(events: DataFrame) -> DataFrame:
+    """Users as jobs, seven projects, kinds of events as what jobs are told to become."""
+    return events.select((F.col("user_id") % 7).alias("project_id"), F.col("user_id").alias("job_id"), "ts", "event_id", F.expr(STATUS).alias("status"))
+
+
+def _stream(spark, d) -> DataFrame:
+    events = table(spark, d, "events")
+    source = spark.readStream.schema(events.schema)
+    if events.inputFiles()[0].endswith("/events.parquet"):  # a file among others; streams read folders
+        return job_events(source.option("pathGlobFilter", "events.parquet").parquet(d))
+    return job_events(source.parquet(f"{d}/events.parquet"))
+
+
+@query(f"""
+WITH e AS (SELECT user_id AS job_id, list({STATUS} ORDER BY ts, event_id) AS l FROM events GROUP BY 1),
+m AS (SELECT job_id, list_reduce(list_transform(l, lambda x: {{'s': x, 'n': 0}}), lambda a, b:
+  CASE WHEN (a.s = '' AND b.s = 'queued') OR (a.s = 'queued' AND b.s IN ('running', 'cancelled')) OR (a.s = 'running' AND b.s IN ('running', 'succeeded', 'failed', 'cancelled'))
+       THEN {{'s': b.s, 'n': a.n + 1}} ELSE a END, {{'s': '', 'n': 0}}) AS r, len(l) AS events FROM e)
+SELECT job_id, r.s AS status, CAST(r.n AS BIGINT) AS accepted, CAST(events AS BIGINT) AS events FROM m
+""")
+def job_lifecycle(spark, d):
+    """STR-02: each job's final state, from a stream of all events through the state store."""
+    at = new_folder(spark, "lifecycle")
+    out = lifecycle.run_once(lifecycle.lifecycle(_stream(spark, d)), f"{at}/checkpoint", f"{at}/states")
+    return out.groupBy("job_id").agg(F.max_by("status", "seq_no").alias("status"), F.count_if("accepted").alias("accepted"), F.max("seq_no").alias("events"))
+
+
+@query()
+def job_queue(spark, d):
+    """STR-01: the order in which each project's jobs start, from a stream of all events."""
+    at = new_folder(spark, "queue")
+    return lifecycle.run_once(lifecycle.serial_queue(_stream(spark, d)), f"{at}/checkpoint", f"{at}/turns")
+
+
 # --- further scalar functions, listings and changes ------------------------
 
 
