@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.documents import similarity_udf
+from .shared import written
 
 # The thresholds and limits of the checks.
 DUPLICATE, WEAK, STALE_DAYS, SHARED = 0.85, 0.4, 30, 2
@@ -24,30 +27,51 @@ def orphan_pages(pages: DataFrame, relations: DataFrame) -> DataFrame:
     return pages.where("status = 'active' AND page_type <> 'index'").join(derived, "id", "left_anti")
 
 
+def _grams(names: DataFrame, q: int) -> DataFrame:
+    """(entity_type, n, token): runs of q characters of each name, the k-th of its
+    kind as a token of its own, so that names share as many tokens as runs."""
+    at = F.sequence(F.lit(1), F.greatest(F.length("n") - (q - 1), F.lit(1)))
+    g = names.where(F.length("n") >= q).select("entity_type", "n", F.explode(F.transform(at, lambda i: F.substring(F.col("n"), i, F.lit(q)))).alias("gram"))
+    g = g.groupBy("entity_type", "n", "gram").agg(F.count("*").alias("c"))
+    return g.select("entity_type", "n", F.explode(F.transform(F.sequence(F.lit(1), F.col("c").cast("int")), lambda k: F.concat(k.cast("string"), F.col("gram")))).alias("token"))
+
+
 def similar_names(names: DataFrame, threshold: float = DUPLICATE) -> DataFrame:
     """JOI-12: (entity_type, a_id, b_id, ratio) of names of one type whose
     similarity is ``threshold`` or more, a before b by (name, id).
 
-    Distinct names are compared, within a type and between lengths that can
-    reach the threshold; the letters that both have bound the ratio from above,
-    and only pairs within that bound are compared in full. Twins of a name are
+    An exact prefix filter. With M matched characters of S in both names, the ratio
+    is 2 M / S. Matched runs number S - 2 M + 1 at most, so the names share at least
+    3 M - S - 1 pairs of neighbouring characters, and M characters. A name has its
+    pairs (characters, where the threshold is so low that names may share no pair)
+    sorted by rarity; as it must share that many with any partner, one of the first
+    few is among those that the partner begins with. Only names of one type that
+    share such a token meet, once, at the first one that they share. Lengths and
+    letters then bound the ratio, and what is left is compared. Twins of a name are
     joined back at the end.
     """
     low = F.lower(F.col("name"))
-    one = names.select("entity_type", low.alias("n")).distinct()
-    one = one.withColumn("len", F.length("n"))
-    a, b = one.select("entity_type", F.col("n").alias("x"), F.col("len").alias("lx")), one.select("entity_type", F.col("n").alias("y"), F.col("len").alias("ly"))
-    # Lengths l and m reach the threshold if 2 min / (l + m) does: a band of buckets by the logarithm of the length.
-    band = F.floor(F.log(F.greatest(F.lit(1), F.col("lx"))) / F.log(F.lit((2 - threshold) / threshold)))
-    band_y = F.floor(F.log(F.greatest(F.lit(1), F.col("ly"))) / F.log(F.lit((2 - threshold) / threshold)))
-    a = a.withColumn("band", F.explode(F.array(band - 1, band, band + 1)))
-    b = b.withColumn("band", band_y)
-    near = (F.col("x") < F.col("y")) & (2 * F.least("lx", "ly") >= threshold * (F.col("lx") + F.col("ly")))
-    j = a.join(b, ["entity_type", "band"]).where(near)
+    one = names.select("entity_type", low.alias("n")).where("n IS NOT NULL").distinct()
+    least = 1 / (1 - threshold) if threshold < 1 else math.inf  # characters of two different names that reach it
+    q = 2 if (1.5 * threshold - 1) * least - 1 > 0 else 1
+    tokens = written(_grams(one, q), "name-grams")
+    rare = tokens.groupBy("entity_type", "token").agg(F.count("*").alias("df"))
+    listed = tokens.join(rare, ["entity_type", "token"]).groupBy("entity_type", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("t"))
+    length = F.length("n")
+    both = length + F.ceil(length * F.lit(threshold / (2 - threshold)) - 1e-9)  # with the shortest partner
+    share = F.ceil(both * F.lit(1.5 * threshold - 1) - 1 - 1e-9) if q == 2 else F.ceil(both * F.lit(threshold / 2) - 1e-9)
+    prefix = F.slice(F.transform("t", lambda x: x["token"]), F.lit(1), F.greatest(F.lit(0), F.size("t") - F.greatest(share, F.lit(1)).cast("int") + 1))
+    first = written(listed.select("entity_type", "n", prefix.alias("p")).where(F.size("p") > 0), "name-prefixes")
+    keyed = first.withColumn("token", F.explode("p"))
+    x = keyed.select("entity_type", "token", F.col("n").alias("x"), F.col("p").alias("px"))
+    y = keyed.select("entity_type", "token", F.col("n").alias("y"), F.col("p").alias("py"))
+    lx, ly = F.length("x"), F.length("y")
+    near = (F.col("x") < F.col("y")) & (2 * F.least(lx, ly) >= F.lit(threshold) * (lx + ly))
+    j = x.join(y, ["entity_type", "token"]).where(near).where(F.element_at(F.array_intersect("px", "py"), 1) == F.col("token")).select("entity_type", "x", "y")
     count = lambda s, c: F.length(s) - F.length(F.replace(s, F.lit(c), F.lit("")))
     shared = sum((F.least(count(F.col("x"), c), count(F.col("y"), c)) for c in ALPHABET), F.lit(0))
     other = F.least(F.length(F.translate("x", ALPHABET, "")), F.length(F.translate("y", ALPHABET, "")))
-    j = j.where(2 * (shared + other) >= threshold * (F.col("lx") + F.col("ly")))
+    j = j.where(2 * (shared + other) >= F.lit(threshold) * (lx + ly))
     j = j.withColumn("ratio", similarity_udf("x", "y")).where(F.col("ratio") >= threshold).select("entity_type", "x", "y", "ratio")
     ids = names.select("entity_type", low.alias("n"), "id")
     first = ids.groupBy("entity_type", "n").agg(F.min("id").alias("first"))

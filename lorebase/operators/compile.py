@@ -12,6 +12,9 @@ WIKI = {"concept": "concepts", "source_summary": "sources", "comparison": "compa
 OUTPUT = {"answer": "answers", "report": "reports", "slides": "slides", "diagram": "diagrams", "memo": "reports", "study_guide": "reports", "checklist": "reports"}
 RAW = {"bookmark": "bookmark_candidates", "url_article": "articles", "pdf": "papers", "repo_doc": "repos", "markdown_note": "notes", "image": "images", "dataset": "datasets"}
 KNOWN = ["concept", "source_summary", "question", "index"]
+# The index page's head and sections, and the words of log entries below.
+INDEX_HEAD = '---\npage_type: "index"\ntitle: "Project Index"\nproject_id: "{}"\n---\n\n# Project Index\n'
+SECTIONS = {"concept": "Concepts", "source_summary": "Sources", "question": "Questions", "index": "Indexes", "other": "Other Pages"}
 
 
 def routed(kind: Column, table: dict[str, str], default: str) -> Column:
@@ -110,15 +113,29 @@ def index_catalog(pages: DataFrame) -> DataFrame:
 
 def index_markdown(catalog: DataFrame, project: str) -> DataFrame:
     """SNK-08: the index page as one row of text."""
-    names = {"concept": "Concepts", "source_summary": "Sources", "question": "Questions", "index": "Indexes", "other": "Other Pages"}
     c = catalog.agg(F.map_from_entries(F.collect_list(F.struct("bucket", F.struct("n", "entries")))).alias("m"))  # five buckets
-    parts = [F.lit(f'---\npage_type: "index"\ntitle: "Project Index"\nproject_id: "{project}"\n---\n\n# Project Index\n')]
-    for k, title in names.items():
+    parts = [F.lit(INDEX_HEAD.format(project))]
+    for k, title in SECTIONS.items():
         x = F.element_at("m", F.lit(k))
         parts += [F.concat(F.lit(f"\n## {title} ("), F.coalesce(x["n"], F.lit(0)), F.lit(")\n\n"), F.coalesce(F.array_join(x["entries"], "\n"), F.lit("_None yet._")), F.lit("\n"))]
     return c.select(F.concat(*parts).alias("body"))
 
 
+def index_lines(pages: DataFrame, project: str) -> DataFrame:
+    """SNK-08: the index page as rows of text (place, page_type, title, id, body) that
+    follow one another in this order; no row holds more than one page."""
+    live = pages.where("status = 'active'")
+    place = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for k, n in enumerate(KNOWN) for x in (n, k)]), F.col("page_type")), F.lit(len(KNOWN)))
+    entry = tx.index_entry(F.col("title"), tx.markdown_summary(F.col("body")), F.col("updated_at").cast("string"))
+    lines = live.select((2 * place + 1).alias("place"), "page_type", "title", F.col("id").cast("string").alias("id"), F.concat(entry, F.lit("\n")).alias("body"))
+    spark = pages.sparkSession
+    heads = spark.createDataFrame([(k, t) for k, t in enumerate(SECTIONS.values())], "k int, t string")
+    counts = live.groupBy(place.alias("k")).agg(F.count("*").alias("n"))
+    head = heads.join(counts, "k", "left").select((2 * F.col("k")).alias("place"), F.lit(None).cast("string").alias("page_type"), F.lit(None).cast("string").alias("title"), F.lit(None).cast("string").alias("id"), F.concat(F.lit("\n## "), "t", F.lit(" ("), F.coalesce("n", F.lit(0)), F.lit(")\n\n"), F.when(F.col("n").isNull(), "_None yet._\n").otherwise("")).alias("body"))
+    first = spark.createDataFrame([(-1, None, None, None, INDEX_HEAD.format(project))], "place int, page_type string, title string, id string, body string")
+    return lines.unionByName(head).unionByName(first)
+
+
 def project_log(sources: DataFrame, runs: DataFrame, artifacts: DataFrame, jobs: DataFrame) -> DataFrame:
     """SET-04, SRT-09, JOI-09, SNK-09: (created_at, entry) of ingests, queries,
     builds and maintenance in order of time, those without one first."""

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
-import os
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -14,33 +11,14 @@ from ..functions import settings
 from ..operators import ask, checks, compile as pages_, graph, ingest, normalize, resolve, search
 from ..operators.index import Index
 from ..operators.shared import new_folder, written
-from ..sources import files
-
-
-class ConflictError(Exception):
-    """The file is not the one that the caller has read."""
-
-
-def write_atomic(path: str, text: str, expected_sha256: str | None = None) -> str:
-    """SNK-01: writes beside the file and renames; with an expected digest only if
-    the file still has it. Returns the new digest."""
-    if expected_sha256 is not None:
-        now = hashlib.sha256(open(path, "rb").read()).hexdigest() if os.path.exists(path) else ""
-        if now != expected_sha256:
-            raise ConflictError(path)
-    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
-    fd, tmp = tempfile.mkstemp(dir=os.path.dirname(path) or ".")
-    with os.fdopen(fd, "w", encoding="utf-8") as f:
-        f.write(text)
-    os.replace(tmp, path)
-    return hashlib.sha256(text.encode()).hexdigest()
+from ..sources import files, vault
 
 
 class KnowledgeEngine:
     """A project's tables by name, and the operations on them. ``extractor``,
     ``synthesizer`` and ``classifier`` may replace the deterministic rules."""
 
-    TABLES = ("sources", "entities", "claims", "relations", "pages", "query_runs", "artifacts", "jobs", "findings")
+    TABLES = ("sources", "entities", "claims", "relations", "pages", "query_runs", "artifacts", "jobs", "findings", "documents")
 
     def __init__(self, spark: SparkSession, tables: dict[str, DataFrame], extractor: Callable | None = None, synthesizer: Callable | None = None, classifier: Callable | None = None):
         self.spark, self.tables = spark, dict(tables)
@@ -157,7 +135,7 @@ class KnowledgeEngine:
         named = self.tables["sources"].drop("summary").join(documents.select(F.col("source_id").alias("id"), "summary", F.col("title").alias("_t")), "id", "left")
         self.tables |= {
             "sources": written(named.withColumn("title", F.coalesce("_t", "title")).drop("_t"), "sources"),
-            "entities": entities, "claims": t["claims"],
+            "entities": entities, "claims": t["claims"], "documents": documents,
             "relations": written(every.unionByName(asked, allowMissingColumns=True) if asked is not None else every, "relations"),
             "pages": written(pages_.upsert_pages(kept, new), "pages"),
         }
@@ -226,7 +204,7 @@ class KnowledgeEngine:
         new, gone = pages_.artifact_units(artifact), None
         if (filed := ask.file_back(prompt, text, found, t["relations"])) is not None:
             page, edges = (written(x, "filed") for x in filed)
-            page = page.withColumns({"origin_id": F.col("id"), "body_sha256": F.sha2("body", 256), "updated_at": F.current_timestamp()})
+            page = page.withColumns({"origin_id": F.col("id"), "file_path": F.concat_ws("/", pages_.routed(F.lit("question"), pages_.WIKI, "concepts"), F.concat("slug", F.lit(".md"))), "body_sha256": F.sha2("body", 256), "updated_at": F.current_timestamp()})
             page = written(page, "filed")
             old = t["pages"]
             self._put("pages", pages_.upsert_pages(old, page))
@@ -273,5 +251,20 @@ class KnowledgeEngine:
         """FLT-04: the newest jobs, runs or artifacts."""
         return self.tables[table].orderBy(F.desc("created_at"), "id").limit(limit)
 
+    def export_vault(self, folder: str, project: str) -> None:
+        """SNK-03/04/05/08/09: pages, artifacts, normalised documents, the index and the
+        log as files of ``folder``, all or none; those that are right already stay."""
+        wiki = self.tables["pages"].select(F.concat(F.lit("wiki/"), "file_path").alias("file_path"), "body", F.lit(0).alias("place"), *[F.lit(None).cast("string").alias(c) for c in ("page_type", "title", "id")])
+        one = lambda df, path, body: df.select(path.alias("file_path"), body.alias("body"), F.lit(0).alias("place"), *[F.lit(None).cast("string").alias(c) for c in ("page_type", "title", "id")])
+        rows = wiki
+        if "artifacts" in self.tables:
+            rows = rows.unionByName(one(self.tables["artifacts"], F.concat(F.lit("outputs/"), "file_path"), F.col("body")))
+        if "documents" in self.tables:
+            d = self.tables["documents"]
+            rows = rows.unionByName(one(d, F.concat(F.lit("normalized/"), "source_id", F.lit(".json")), F.to_json(F.struct(*d.columns))))
+        rows = rows.unionByName(pages_.index_lines(self.tables["pages"], project).withColumn("file_path", F.lit("index.md")))
+        log = self.log().select(F.lit("log.md").alias("file_path"), F.concat("entry", F.lit("\n\n")).alias("body"), F.lit(0).alias("place"), F.col("created_at").alias("page_type"), F.lit(None).cast("string").alias("title"), F.col("entry").alias("id"))
+        vault.write_files(rows.unionByName(log), folder, "place", "page_type", "title", "id")
+
     def index(self, project: str) -> DataFrame:
         return pages_.index_markdown(pages_.index_catalog(self.tables["pages"]), project)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lorebase.operators import ask, checks, graph, ingest, normalize, resolve, search
 from lorebase.operators.index import Index
-from lorebase.plans.engine import ConflictError, KnowledgeEngine, write_atomic
+from lorebase.plans.engine import KnowledgeEngine
 from lorebase.sources import bookmarks, files
 from lorebase.streaming import jobs
 
@@ -84,16 +84,45 @@ def test_checks(spark):
     assert first.count() == 3 and checks.upsert_findings(first, found).count() == 0
 
 
-def test_similarity_bounds_lose_nothing(spark):
+@pytest.mark.parametrize("threshold", [0.85, 0.7, 0.5, 1.0])
+def test_similarity_bounds_lose_nothing(spark, threshold):
     import difflib
     import itertools
     import random
 
     rnd = random.Random(3)
-    names = sorted({"".join(rnd.choice("abcé-") for _ in range(rnd.randrange(1, 14))) for _ in range(120)})
-    df = spark.createDataFrame([(i, "t", n) for i, n in enumerate(names)], "id int, entity_type string, name string")
-    got = {(r["a_id"], r["b_id"]) for r in checks.similar_names(df).collect()}
-    assert got == {(i, j) for (i, a), (j, b) in itertools.combinations(enumerate(names), 2) if difflib.SequenceMatcher(None, a, b).ratio() >= 0.85}
+    names = {"".join(rnd.choice("abcé-") for _ in range(rnd.randrange(1, 14))) for _ in range(80)}
+    for base in ["graph neural network", "retrieval augmented generation", "aaaaaaaaaa", "abababababab"]:
+        for _ in range(15):
+            n = list(base)
+            for _ in range(rnd.randrange(1, 6)):
+                k = rnd.randrange(len(n))
+                n[k : k + 1] = rnd.choice(["", "x", "ab", n[k] * 2])
+            names.add("".join(n))
+    names = sorted(names - {""})
+    df = spark.createDataFrame([(i, "t", n) for i, n in enumerate(names)] + [(-1, "t", None), (-2, None, "abc")], "id int, entity_type string, name string")
+    got = {(r["a_id"], r["b_id"]) for r in checks.similar_names(df, threshold).collect()}
+    want = {(i, j) for (i, a), (j, b) in itertools.combinations(enumerate(names), 2) if difflib.SequenceMatcher(None, a, b).ratio() >= threshold}
+    assert got == want and (len(want) > 20 or threshold == 1)
+
+
+def test_similar_parts(spark):
+    """All parts of a table against brute force, and the plan: no key of type and length alone."""
+    import difflib
+    import itertools
+
+    parts = spark.read.parquet("/root/testdata/sf0.01/part.parquet").selectExpr("p_partkey AS id", "p_type AS entity_type", "p_name AS canonical_name", "p_name AS name")
+    rows = sorted((r["entity_type"], r["name"], r["id"]) for r in parts.collect())
+    distinct = {}
+    for t, n, i in rows:
+        distinct.setdefault((t, n), []).append(i)
+    want = set()
+    for (t, n), ids in distinct.items():
+        want |= {(ids[0], i) for i in ids[1:]}
+    for ((t, a), x), ((u, b), y) in itertools.combinations(distinct.items(), 2):
+        if t == u and difflib.SequenceMatcher(None, a, b).ratio() >= 0.85:
+            want |= {(x[0], i) for i in y}
+    assert {(r["a_id"], r["b_id"]) for r in checks.similar_names(parts).collect()} == want
 
 
 def test_map(spark):
@@ -214,6 +243,12 @@ def test_build_and_ask(spark, tmp_path):
     n = k.tables["findings"].count()
     k.run_maintenance()
     assert k.tables["findings"].where("status = 'open'").count() >= n and k.log().where("entry LIKE '%query |%'").count() == 2
+    k.export_vault(str(tmp_path / "vault"), "x")
+    found = {str(p.relative_to(tmp_path / "vault")): p.read_text() for p in (tmp_path / "vault").rglob("*") if p.is_file()}
+    pages_now = {f"wiki/{r['file_path']}": r["body"] for r in k.tables["pages"].collect()}
+    assert {n: t for n, t in found.items() if n.startswith("wiki/")} == pages_now and any(n.startswith("wiki/questions/") for n in found)
+    assert found["index.md"] == k.index("x").first()["body"] and found["log.md"].count("query |") == 2
+    assert sum(n.startswith("normalized/") for n in found) == 3 and sum(n.startswith("outputs/answers/") for n in found) == 2
     k.ignore(k.tables["findings"].limit(1))
     assert k.tables["findings"].where("status = 'ignored'").count() == 1
     pages = spark.createDataFrame([(1, "https://a.example.org/x", "<title>One</title><p>Sparse retrieval of pages</p>"), (2, "https://b.net/y", "<p>other text</p>"), (3, "https://b.net/y", "<p>again</p>")], "page_id int, url string, html string")
@@ -237,13 +272,6 @@ def test_no_evidence(spark):
     assert ask.plan("What is the meaning, of life?").terms == ["What", "meaning", "life"] and ask.plan("x", "slides").task_type == "slides"
 
 
-def test_atomic_write(tmp_path):
-    sha = write_atomic(str(tmp_path / "a" / "f"), "one")
-    assert write_atomic(str(tmp_path / "a" / "f"), "two", sha) != sha
-    with pytest.raises(ConflictError):
-        write_atomic(str(tmp_path / "a" / "f"), "three", sha)
-
-
 def test_jobs_stream(spark, tmp_path):
     e = spark.createDataFrame([(1, "queued", 1), (1, "running", 2), (2, "queued", 1), (1, "succeeded", 3)], "job_id int, status string, event_id int").withColumn("ts", F.timestamp_seconds("event_id"))
     e.write.parquet(str(tmp_path / "events"))
