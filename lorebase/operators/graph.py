@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text as tx
+from .mentions import mentioned
 from .shared import written
 
 # Limits and weights of the map.
@@ -89,15 +90,13 @@ def text_edges(nodes: DataFrame) -> DataFrame:
     """MAP-06, JOI-15/16, AGG-16: (id, other, relation_type, weight, page_title):
     which node's page links or names which other node, the stronger way of each.
 
-    Links are an equi-join; names are searched in each page by every other node,
-    both at most MOST_NODES.
+    Links are an equi-join; all names are searched at once in each page.
     """
     page = nodes.where("body IS NOT NULL AND body <> ''").select("id", "body", F.coalesce("page_title", "display_name").alias("page_title"))
     keys = nodes.select(F.col("id").alias("other"), F.explode(F.array_distinct(F.array_compact(F.array(F.lower("display_name"), F.lower("page_title"))))).alias("key")).distinct()
     links = page.select("id", "page_title", F.explode(tx.wikilinks(F.col("body"))).alias("key")).join(keys, "key").where("id <> other")
-    none = F.array().cast("array<string>")
-    names = nodes.select(F.col("id").alias("other"), F.array_union(tx.name_variants(F.col("display_name")), F.coalesce(tx.name_variants(F.col("page_title")), none)).alias("v"))
-    named = page.join(F.broadcast(names), F.col("id") != F.col("other")).where(tx.mentions(F.col("body"), F.col("v")))
+    names = nodes.select(F.col("id").alias("other"), F.explode(F.array_compact(F.array("display_name", "page_title"))).alias("name"))
+    named = mentioned(page, names).join(page.select("id", "page_title"), "id")
     both = links.select("id", "other", "page_title", F.lit("wiki_link").alias("relation_type"), F.lit(WIKI_LINK).alias("weight")).unionByName(
         named.select("id", "other", "page_title", F.lit("page_reference").alias("relation_type"), F.lit(PAGE_REFERENCE).alias("weight"))
     )

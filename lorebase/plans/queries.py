@@ -557,16 +557,30 @@ def map_explicit_edges(spark, d):
     return graph.explicit_edges(part_edges(spark, d), n).select("source", "target", "relation_type", F.round("weight", 6).alias("weight"), "evidence_count")
 
 
-@query("""
-WITH t AS (SELECT doc_id, '# ' || substr(text, 1, 30) || chr(10) || 'see [[' || lang || ']] of [[' || source || ']]' AS body, lang, source FROM documents WHERE doc_id < 100)
-SELECT a.doc_id AS id, b.doc_id AS other FROM t a JOIN t b ON a.doc_id <> b.doc_id AND b.source = a.source GROUP BY 1, 2
+NAMED = r"regexp_replace(regexp_extract({0}, '^[^\x20\x09-\x0D]+(?: [^\x20\x09-\x0D]+){{3}}'), '[\[\]|#]', '', 'g')"
+
+
+@query(rf"""
+WITH n AS (SELECT doc_id AS id, {NAMED.format('text')} AS name, text FROM documents), b AS (SELECT id, name, lower(text || ' see [[' || lead(name, 1, '') OVER (ORDER BY id) || ']]') AS low, lead(name, 1, '') OVER (ORDER BY id) AS link FROM n),
+p AS (SELECT *, regexp_replace(low, '[^a-z0-9]+', '', 'g') AS compact FROM b),
+r AS (SELECT id, trim(lower(name)) AS raw FROM n), o AS (SELECT id, unnest([raw, CASE WHEN raw LIKE '%s' AND length(raw) > 4 THEN raw[:-2] ELSE raw END]) AS x FROM r),
+v AS (SELECT DISTINCT id, trim(unnest([x, replace(x, '-', ' '), regexp_replace(x, '[^a-z0-9]+', '', 'g')])) AS v FROM o),
+m AS (SELECT DISTINCT p.id, v.id AS other FROM p JOIN v ON p.id <> v.id AND v.v <> '' AND CASE WHEN regexp_matches(v.v, '[ -]') THEN contains(p.low, v.v) ELSE regexp_full_match(v.v, '[\p{{L}}\p{{N}}]{{4,}}') AND contains(p.compact, v.v) END),
+l AS (SELECT DISTINCT p.id, n.id AS other FROM p JOIN n ON lower(n.name) = lower(trim(p.link)) AND n.id <> p.id WHERE p.link <> '')
+SELECT id, other, CASE WHEN (id, other) IN (SELECT (id, other) FROM l) THEN 'wiki_link' ELSE 'page_reference' END AS relation_type FROM (SELECT * FROM m UNION SELECT * FROM l)
 """)
 def map_text_edges(spark, d):
-    """MAP-06, the links: the first documents as nodes named after their source."""
-    t = table(spark, d, "documents").where("doc_id < 100")
-    body = F.concat(F.lit("# "), F.substring("text", 1, 30), F.lit("\nsee [["), "lang", F.lit("]] of [["), "source", F.lit("]]"))
-    n = t.select(F.col("doc_id").alias("id"), F.col("source").alias("display_name"), F.lit(None).cast("string").alias("page_title"), body.alias("body"))
-    return graph.text_edges(n).where("relation_type = 'wiki_link'").select("id", "other")
+    """MAP-06, JOI-15/16: all documents as nodes, named by their first four words, each
+    linking to the next: which whole text links to or mentions which other's name."""
+    t = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    name = F.regexp_replace(F.regexp_extract("text", r"^[^\x20\x09-\x0D]+(?: [^\x20\x09-\x0D]+){3}", 0), r"[\[\]|#]", "")
+    t = written(t.withColumn("display_name", name), "named")
+    following = written(t.select("id", "display_name"), "following").select("id", F.col("display_name").alias("next"))
+    ids = t.select("id").join(following.select(F.col("id").alias("later")), F.col("later") == F.col("id") + 1, "left")
+    j = t.join(ids.join(following.withColumnRenamed("id", "later"), "later", "left").select("id", "next"), "id")
+    body = F.concat("text", F.lit(" see [["), F.coalesce("next", F.lit("")), F.lit("]]"))
+    n = j.select("id", "display_name", F.lit(None).cast("string").alias("page_title"), body.alias("body"))
+    return graph.text_edges(n).select("id", "other", "relation_type")
 
 
 def _edges(spark, d):
