@@ -24,6 +24,7 @@ class KnowledgeEngine:
         self.spark, self.tables = spark, dict(tables)
         self.index_: Index | None = None
         self.parts: dict[str, int] = {}
+        self.dirty = 0
         self.extractor, self.synthesizer, self.classifier = extractor or normalize.extract, synthesizer, classifier
 
     @classmethod
@@ -108,10 +109,26 @@ class KnowledgeEngine:
         return self.build()
 
     def build(self) -> KnowledgeEngine:
-        """CMP-03: sources to normalised documents, resolved entities and pages. Pages
-        that did not change stay as they are; question pages stay."""
-        sources = self.tables["sources"].where("deleted_at IS NULL AND status = 'approved'")
-        documents = written(normalize.clean(self.extractor(sources)), "documents")
+        """CMP-03, FLT-11: sources to normalised documents, resolved entities and pages.
+
+        Only sources that are new, or whose title or text differ from what was
+        normalised, are normalised; documents of other sources stay, those of sources
+        that are gone go. Pages that did not change stay as they are; question pages
+        stay. ``dirty`` says how many sources were normalised."""
+        known = self.tables.get("documents")
+        digest = F.sha2(F.to_json(F.struct(F.coalesce("given_title", F.lit("")).alias("a"), F.coalesce("text", F.lit("")).alias("b"))), 256)
+        given = self.tables["sources"]
+        given = given if "given_title" in given.columns else given.withColumn("given_title", F.col("title"))
+        sources = given.where("deleted_at IS NULL AND status = 'approved'").withColumn("title", F.coalesce("given_title", "title"))
+        states = written(sources.select("id", digest.alias("source_sha256")), "states")
+        if known is None or "source_sha256" not in known.columns:
+            dirty, kept = states, None
+        else:
+            kept = known.join(states.withColumnRenamed("id", "source_id"), ["source_id", "source_sha256"], "left_semi")
+            dirty = written(states.join(known.select(F.col("source_id").alias("id"), "source_sha256"), ["id", "source_sha256"], "left_anti"), "dirty")
+        self.dirty = dirty.count()
+        fresh = normalize.clean(self.extractor(sources.join(dirty.select("id"), "id", "left_semi"))).join(dirty.withColumnRenamed("id", "source_id"), "source_id")
+        documents = written(fresh if kept is None else kept.unionByName(fresh), "documents")
         t = {name: written(df, name) for name, df in normalize.tables(documents).items()}
         groups = written(resolve.clusters(t["entities"]), "groups")
         entities = resolve.merged_entities(t["entities"], groups).withColumn("description", F.lit(None).cast("string"))
@@ -132,7 +149,7 @@ class KnowledgeEngine:
             new = same.unionByName(changed, allowMissingColumns=True)
         asked = self.tables["relations"].join(kept.select(F.col("id").alias("from_id")), "from_id", "left_semi").where("from_kind = 'page'") if "relations" in self.tables else None
         every = relations.unionByName(edge(sp, "source", "derived_from")).unionByName(edge(cp, "entity", "about"))
-        named = self.tables["sources"].drop("summary").join(documents.select(F.col("source_id").alias("id"), "summary", F.col("title").alias("_t")), "id", "left")
+        named = given.drop("summary").join(documents.select(F.col("source_id").alias("id"), "summary", F.col("title").alias("_t")), "id", "left")
         self.tables |= {
             "sources": written(named.withColumn("title", F.coalesce("_t", "title")).drop("_t"), "sources"),
             "entities": entities, "claims": t["claims"], "documents": documents,

@@ -11,11 +11,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from ..functions import documents as dc, settings, text as tx
+from ..functions import documents as dc, session, settings, text as tx
 from ..operators import ask, checks, compile as pages_, graph, ingest, normalize, resolve, search
 from ..operators.index import Index
 from ..operators.shared import file_states, new_folder, written
-from ..sources import files
+from ..sources import article, files
 from ..streaming import jobs, lifecycle
 from .engine import KnowledgeEngine
 
@@ -252,6 +252,32 @@ def src_html_text(spark, d):
     return table(spark, d, "pages").select("page_id", tx.html_text(F.col("html")).alias("text"))
 
 
+@query()
+def src_article(spark, d):
+    """SRC-07: the article of each page, without what stands around it."""
+    return article.articles(table(spark, d, "pages"))
+
+
+@query(f"""
+SELECT doc_id, term, count(*) AS n FROM (SELECT doc_id, unnest({WORDS.format('text')}) AS term FROM documents) WHERE length(term) > 9 GROUP BY 1, 2
+""")
+def sql_tokens(spark, d):
+    """§2.16: long words per document, by a table function in SQL."""
+    session.register(spark)
+    return spark.sql("SELECT doc_id, term, count(*) AS n FROM {docs}, LATERAL lore_tokens(text) WHERE length(term) > 9 GROUP BY doc_id, term", docs=table(spark, d, "documents"))
+
+
+@query(r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (SELECT doc_id, w, unnest(range(greatest(1, CAST(ceil((len(w) - 20) / 180.0) AS BIGINT)))) AS p FROM w WHERE len(w) > 0)
+SELECT doc_id, CAST(p + 1 AS INTEGER) AS place, md5(array_to_string(w[p * 180 + 1:p * 180 + 200], ' ')) AS chunk_md5 FROM p
+""")
+def sql_chunks(spark, d):
+    """§2.16: texts in chunks of 200 words that overlap by 20, by a table function in SQL."""
+    session.register(spark)
+    return spark.sql("SELECT doc_id, place, md5(chunk) AS chunk_md5 FROM {docs}, LATERAL lore_chunks(text, 200, 20)", docs=table(spark, d, "documents"))
+
+
 DOMAIN = r"regexp_replace(lower(regexp_extract({0}, '^[A-Za-z][^:/?#]*://([^/?#]*)', 1)), '^www\.', '')"
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text as tx
+from .article import articles
 
 # What a folder scan takes and what it passes over.
 SUFFIXES = ("pdf", "txt", "md", "markdown")
@@ -77,11 +78,6 @@ def article_sources(pages: DataFrame, domains: list[str]) -> DataFrame:
     return a.select(F.sha2("url", 256).alias("id"), F.coalesce(F.nullif("title", F.lit("")), "url").alias("title"), "text", F.sha2("text", 256).alias("checksum"), "url", F.when(good, "high").otherwise("unknown").alias("trust_level"), F.when(good, "approved").otherwise("needs_review").alias("status"))
 
 
-def articles(pages: DataFrame) -> DataFrame:
-    """SRC-07/08: (page_id, url, domain, title, text) of fetched pages."""
-    return pages.select("page_id", "url", tx.url_domain(F.col("url")).alias("domain"), tx.html_title(F.col("html")).alias("title"), tx.html_text(F.col("html")).alias("text"))
-
-
 def source_text(sources: DataFrame, texts: DataFrame, raws: DataFrame, limit: int | None = 12_000) -> DataFrame:
     """SRC-13: each source's stored text, else its sibling's, else its raw file's, else ''."""
     j = sources.join(texts.select(F.col("id").alias("_t"), F.col("text").alias("_text")), F.col("id") == F.col("_t"), "left").join(raws.select(F.col("path").alias("raw_path"), F.col("text").alias("_raw")), "raw_path", "left")

@@ -266,6 +266,31 @@ def test_build_and_ask(spark, tmp_path):
         k.get("pages", "nothing")
 
 
+def test_a_build_normalises_what_changed_and_equals_a_full_one(spark):
+    texts = {f"s{k}": f"# Paper {k}\n\nThis paper number {k} studies RLHF and BERT in some depth and says so at length. It has results." for k in range(6)}
+    frame = lambda t: spark.createDataFrame([(i, f"Paper {i}", x, i + str(len(x)), "approved") for i, x in t.items()], "id string, title string, text string, checksum string, status string")
+    k = KnowledgeEngine(spark, {})
+    k.import_sources(frame(texts))
+    k.build()
+    assert k.dirty == 6
+    k.build()
+    assert k.dirty == 0
+    texts |= {"s2": texts["s2"] + " It also covers GPT-4 at the very end of all.", "s9": "# New\n\nA new paper about LSTM networks that is long enough to be read by someone."}
+    del texts["s4"]
+    now = k.tables["sources"]
+    k.tables["sources"] = now.where("id <> 's2'").unionByName(now.where("id = 's2'").withColumn("text", F.lit(texts["s2"])))
+    k.delete_sources(["s4"])
+    k.import_sources(frame({"s9": texts["s9"]}))
+    k.build()
+    assert k.dirty == 2
+    full = KnowledgeEngine(spark, {})
+    full.import_sources(frame(texts))
+    full.build()
+    for name, columns in (("documents", ["source_id", "title", "summary", "entities"]), ("entities", ["id", "canonical_name", "aliases"]), ("claims", ["id", "claim_text"]), ("relations", ["id", "from_id", "to_id"]), ("pages", ["id", "title", "body"])):
+        a, b = (sorted(map(repr, x.tables[name].select(*columns).collect())) for x in (k, full))
+        assert a == b, name
+
+
 def test_no_evidence(spark):
     none = {"pages": spark.createDataFrame([], "page_id string, title string, score double"), "sources": spark.createDataFrame([], "source_id string, title string, summary string"), "claims": spark.createDataFrame([], "claim_text string, confidence double")}
     assert "not enough evidence" in ask.answer("Why?", none)
