@@ -65,6 +65,15 @@ def named_parts(spark, d) -> DataFrame:
     return parts(spark, d).withColumn("aliases", F.array().cast("array<string>"))
 
 
+def lot_parts(spark, d) -> DataFrame:
+    """Parts named with their brand, with aliases for brand and for size among parts of
+    near numbers: names, brands and sizes join in chains."""
+    p = table(spark, d, "part")
+    name, k = F.concat_ws(" ", "p_name", "p_brand"), F.col("p_partkey")
+    aliases = F.array(F.concat_ws(" ", "p_brand", F.lit("batch"), F.floor(k / 40)), F.concat_ws(" ", F.lit("size"), "p_size", F.lit("of"), F.floor(k / 100)))
+    return p.select(k.alias("id"), F.col("p_type").alias("entity_type"), name.alias("canonical_name"), name.alias("display_name"), aliases.alias("aliases"), (F.col("p_size") / 50.0).alias("confidence"))
+
+
 def item_edges(spark, d) -> DataFrame:
     """Orders (sources) mention parts (entities)."""
     li = table(spark, d, "lineitem")
@@ -439,23 +448,25 @@ def fts_relation_expand(spark, d):
 # --- entity resolution -----------------------------------------------------
 
 
-@query(f"""
-WITH k AS (SELECT p_partkey AS id, p_type AS t, {KEY.format('p_name')} AS key FROM part)
-SELECT a.id, min(b.id) AS match_id FROM k a JOIN k b ON a.t = b.t AND a.key = b.key WHERE a.key <> '' AND a.id % 2 = 1 AND b.id % 2 = 0 GROUP BY a.id
-""")
+LOTS = f"""lot AS (SELECT p_partkey AS id, p_type AS t, p_name || ' ' || p_brand AS name, p_brand || ' batch ' || (p_partkey // 40) AS a1, 'size ' || p_size || ' of ' || (p_partkey // 100) AS a2, p_size / 50.0 AS c FROM part),
+k AS (SELECT DISTINCT id, t, {KEY.format('x')} AS key FROM (SELECT id, t, unnest([name, a1, a2]) AS x FROM lot) WHERE {KEY.format('x')} <> '')"""
+
+
+@query(f"WITH {LOTS} SELECT a.id, min(b.id) AS match_id FROM k a JOIN k b ON a.t = b.t AND a.key = b.key WHERE a.id % 2 = 1 AND b.id % 2 = 0 GROUP BY a.id")
 def res_key_match(spark, d):
-    """RES-02/03: parts of odd keys, as incoming ones, against the others."""
-    p = named_parts(spark, d)
+    """RES-02/03, JOI-18: parts of odd keys, as incoming ones, against the others, by names and aliases."""
+    p = lot_parts(spark, d)
     return resolve.match(p.where("id % 2 = 1"), p.where("id % 2 = 0"))
 
 
-CLUSTERS = f"""k AS (SELECT p_partkey AS id, p_type || chr(1) || {KEY.format('p_name')} AS key, p_size / 50.0 AS c FROM part),
-m AS (SELECT id, min(id) OVER (PARTITION BY key) AS root, arg_max(id, (c, id)) OVER (PARTITION BY key) AS winner FROM k)"""
+CLUSTERS = f"""RECURSIVE {LOTS}, r AS (SELECT id, id AS x FROM lot UNION SELECT r.id, b.id FROM r JOIN k a ON a.id = r.x JOIN k b ON a.t = b.t AND a.key = b.key),
+m AS (SELECT r.id, min(x) AS root, arg_max(x, (c, x)) AS winner FROM r JOIN lot ON lot.id = r.x GROUP BY r.id)"""
 
 
 @query(f"WITH {CLUSTERS} SELECT id, root, winner FROM m")
 def res_components(spark, d):
-    return resolve.clusters(named_parts(spark, d))
+    """RES-04/05: chains of parts through shared names and aliases."""
+    return resolve.clusters(lot_parts(spark, d))
 
 
 @query(f"""
@@ -463,21 +474,22 @@ WITH {CLUSTERS}, {PART_EDGES}, x AS (SELECT e.id, a.winner AS from_id, relation_
 SELECT from_id, relation_type, to_id, min(id) AS id FROM x WHERE from_id <> to_id GROUP BY ALL
 """)
 def res_merge_edges(spark, d):
-    found = resolve.clusters(named_parts(spark, d))
+    found = resolve.clusters(lot_parts(spark, d))
     return resolve.merged_relations(part_edges(spark, d), found).select("from_id", "relation_type", "to_id", "id")
 
 
 @query(f"WITH {CLUSTERS}, s AS (SELECT root, count(*) AS n FROM m GROUP BY root) SELECT CAST(sum(n - 1) AS BIGINT) AS merged, count(*) FILTER (n > 1) AS clusters FROM s")
 def res_stats(spark, d):
-    return resolve.stats(resolve.clusters(named_parts(spark, d)))
+    return resolve.stats(resolve.clusters(lot_parts(spark, d)))
 
 
 @query(f"""
-WITH {CLUSTERS}, n AS (SELECT winner, p_name AS x FROM m JOIN part ON p_partkey = m.id)
-SELECT w.p_partkey AS id, coalesce((SELECT string_agg(DISTINCT x, '|' ORDER BY x) FROM n WHERE n.winner = w.p_partkey AND x <> w.p_name), '') AS aliases FROM part w WHERE p_partkey IN (SELECT winner FROM m)
+WITH {CLUSTERS}, n AS (SELECT winner, count(*) OVER (PARTITION BY winner) AS size, unnest([name, a1, a2]) AS x FROM m JOIN lot ON lot.id = m.id),
+s AS (SELECT winner, string_agg(DISTINCT x, '|' ORDER BY x) AS aliases FROM n JOIN lot ON lot.id = winner WHERE x <> name AND size > 1 GROUP BY 1)
+SELECT w.id, CASE WHEN (SELECT count(*) FROM m WHERE m.winner = w.id) > 1 THEN coalesce(s.aliases, '') ELSE a1 || '|' || a2 END AS aliases FROM lot w LEFT JOIN s ON s.winner = w.id WHERE w.id IN (SELECT winner FROM m)
 """)
 def res_merge_entities(spark, d):
-    p = named_parts(spark, d)
+    p = lot_parts(spark, d)
     return resolve.merged_entities(p, resolve.clusters(p)).select("id", F.array_join("aliases", "|").alias("aliases"))
 
 
@@ -954,14 +966,13 @@ def txt_json_object(spark, d):
 
 
 @query(f"""
-WITH k AS (SELECT p_partkey AS id, p_type AS t, {KEY.format('p_name')} AS key, p_name, p_size / 50.0 AS c FROM part),
-m AS (SELECT a.id, a.p_name, a.c, min(b.id) AS match_id FROM k a JOIN k b ON a.t = b.t AND a.key = b.key WHERE a.key <> '' AND a.id % 2 = 1 AND b.id % 2 = 0 GROUP BY ALL)
-SELECT k.id, round(greatest(k.c, coalesce(max(m.c), 0)), 6) AS confidence, coalesce(string_agg(DISTINCT m.p_name, '|' ORDER BY m.p_name) FILTER (m.p_name <> k.p_name), '') AS aliases
-FROM k LEFT JOIN m ON m.match_id = k.id WHERE k.id % 2 = 0 GROUP BY k.id, k.c, k.p_name
+WITH {LOTS}, m AS (SELECT a.id, min(b.id) AS match_id FROM k a JOIN k b ON a.t = b.t AND a.key = b.key WHERE a.id % 2 = 1 AND b.id % 2 = 0 GROUP BY a.id),
+n AS (SELECT id, a1 AS x FROM lot WHERE id % 2 = 0 UNION SELECT id, a2 FROM lot WHERE id % 2 = 0 UNION SELECT match_id, lot.name FROM m JOIN lot ON lot.id = m.id JOIN lot o ON o.id = match_id WHERE lot.name <> o.name)
+SELECT l.id, round(greatest(l.c, coalesce((SELECT max(i.c) FROM m JOIN lot i ON i.id = m.id WHERE m.match_id = l.id), 0)), 6) AS confidence, (SELECT string_agg(x, '|' ORDER BY x) FROM n WHERE n.id = l.id) AS aliases FROM lot l WHERE l.id % 2 = 0
 """)
 def res_absorb(spark, d):
     """RES-07, AGG-11: odd parts, as incoming ones, become aliases of what they match."""
-    p = named_parts(spark, d)
+    p = lot_parts(spark, d)
     return resolve.absorb(p.where("id % 2 = 0"), p.where("id % 2 = 1")).select("id", F.round("confidence", 6).alias("confidence"), F.array_join("aliases", "|").alias("aliases"))
 
 
