@@ -112,14 +112,16 @@ def mix_sources(
     return out.select(*[c for c in base.columns if c not in ("_size", "_row")], "source_size", "target", "copies")
 
 
-def sample_mix(docs: DataFrame, **how) -> DataFrame:
+def sample_mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **how) -> DataFrame:
     """The rows of ``docs`` repeated by their copies: the mixture itself.
 
-    Sizes are words of ``text``; columns are those of ``docs``.
+    Sizes are words of the text. Columns are those of ``docs``, whatever their
+    names, with their own values; nulls and empty tables as in ``mix_sources``.
     """
-    keep = docs.columns
-    mixed = mix_sources(docs.withColumn("_words", word_count(F.col("text"))), size_col="_words", **how)
-    return mixed.where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*keep)
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    sized = docs.select(whole.alias("_doc"), F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{source_col}`").alias("source"), word_count(F.col(f"`{text_col}`")).alias("size"))
+    mixed = mix_sources(sized, **how).where("copies > 0")
+    return mixed.select("_doc", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_copy")).select("_doc.*")
 
 
 def op1_mix(spark, sf_dir: str) -> DataFrame:

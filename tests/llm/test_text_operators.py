@@ -77,6 +77,10 @@ def test_mix(spark, docs, empty):
     assert key(rows) == key(again.collect())
     assert mixing.sample_mix(docs).count() == sum(r["copies"] for r in rows) and mixing.sample_mix(docs).columns == docs.columns
     assert mixing.mix_sources(empty.withColumn("size", F.lit(1))).count() == 0
+    taken = {c: F.lit(f"mine {c}") for c in ("target", "copies", "source_size", "size", "_row", "_size", "_words", "_rank", "_doc", "_copy", "a.b")}
+    kept = mixing.sample_mix(docs.withColumns(taken))
+    assert kept.columns == [*docs.columns, *taken] and kept.count() == sum(r["copies"] for r in rows)
+    assert {tuple(r[c] for c in taken) for r in kept.collect()} == {tuple(f"mine {c}" for c in taken)}
 
 
 def test_mix_is_near_its_target_whatever_the_sizes(spark):
