@@ -28,4 +28,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix": mixing.OP1_SQL, "op7_warc": warc.OP7_SQL, "op8_quality": quality.OP8_SQL, "op9_embeddings": embeddings.OP9_SQL, "op12_exact": exact.OP12_SQL}
+    return {"op1_mix": mixing.OP1_SQL, "op7_warc": warc.OP7_SQL, "op8_quality": quality.OP8_SQL, "op9_embeddings": embeddings.OP9_SQL, "op12_exact": exact.OP12_SQL, "op13_spelling": spelling.OP13_SQL}

@@ -255,3 +255,37 @@ def spelling_variants(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
 def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+OP13_SQL = r"""
+WITH RECURSIVE tab AS (
+  -- CRC-32 of each byte.
+  SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda a, k: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384::BIGINT) ELSE a // 2 END) AS c FROM (SELECT range AS i FROM range(256)))
+), runs AS (
+  SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS n
+  FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]{5,}')) AS run FROM documents) GROUP BY 1, 2
+), bytes AS (
+  SELECT run, n, flatten(list_transform(string_split(doc_id || ':' || run, ''), lambda c: CASE WHEN ord(c) < 128 THEN [ord(c)::BIGINT] ELSE [192 + ord(c)::BIGINT // 64, 128 + ord(c)::BIGINT % 64] END)) AS b FROM runs
+), sums AS (
+  SELECT run, n, xor(list_reduce(list_prepend(4294967295::BIGINT, b), lambda a, x: xor(a // 256, t[xor(a % 256, x) + 1])), 4294967295::BIGINT) AS h FROM bytes, tab
+), cut AS (
+  SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS w, n FROM sums
+), words AS (
+  SELECT w, sum(n)::BIGINT AS n FROM cut WHERE length(w) >= 5 GROUP BY w HAVING sum(n) >= 3
+), less AS (
+  SELECT w, k, substr(w, 1, k::INT) || substr(w, k::INT + 2) AS d FROM (SELECT w, unnest(range(length(w))) AS k FROM words)
+), pairs AS (
+  SELECT a.w, b.w AS v FROM less a JOIN less b ON a.k = b.k AND a.d = b.d AND a.w <> b.w
+  UNION SELECT less.w, words.w FROM less JOIN words ON words.w = less.d
+  UNION SELECT words.w, less.w FROM less JOIN words ON words.w = less.d
+), best AS (
+  SELECT p.w, count(*) AS n_near, arg_min(p.v, (-b.n, p.v)) AS v, max(b.n) AS m FROM pairs p JOIN words b ON b.w = p.v GROUP BY p.w
+), forms AS (
+  SELECT words.w, words.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 2 * words.n THEN v END AS form, CASE WHEN m >= 2 * words.n THEN m END AS form_n FROM words LEFT JOIN best ON best.w = words.w
+), steps AS (
+  SELECT w, w AS x, 0 AS k FROM words UNION ALL SELECT s.w, f.form, k + 1 FROM steps s JOIN forms f ON f.w = s.x WHERE f.form IS NOT NULL
+), last AS (
+  SELECT w, arg_max(x, k) AS root FROM steps GROUP BY w
+)
+SELECT f.w AS word, f.form, l.root, f.n, f.n_near, f.form_n FROM forms f JOIN last l ON l.w = f.w
+"""
