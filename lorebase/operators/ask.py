@@ -62,22 +62,31 @@ def expand_sources(pages: DataFrame, relations: DataFrame) -> DataFrame:
     return d.join(pages.select("page_id"), "page_id", "left_semi").distinct()
 
 
-def answer(prompt: str, found: dict[str, DataFrame]) -> str:
-    """QRY-03: the deterministic answer from the bounded evidence."""
+def answer(prompt: str, found: dict[str, DataFrame], task_type: str = "answer") -> str:
+    """QRY-03: the deterministic answer to a task from the bounded evidence."""
     pages = found["pages"].orderBy(F.desc("score"), "page_id").limit(5).collect()
     sources, claims = found["sources"].limit(5).collect(), found["claims"].limit(6).collect()
+    kind = task_type.replace("_", " ")
     if not pages and not sources and not claims:
-        return f"# {prompt}\n\nThere is not enough evidence in this project to answer yet.\n"
-    out = [f"# {prompt}", ""]
+        return f"# {prompt}\n\nThere is not enough evidence in this project for this {kind} yet: no page, source or claim matches.\n\nImport or approve sources, build the project, or ask about one of its pages.\n"
+    out = [f"# {prompt}", "", f"This {kind} is put together from the project's pages, sources and claims, without a model.", ""]
     if pages:
-        out += ["## Pages", "", *[f"- [[{r['title']}]]" for r in pages], ""]
+        out += ["## Pages", "", *[f"- [[{r['title']}]] (`{r['page_id']}`): {_excerpt(r['body'])}" for r in pages], ""]
     if sources:
-        out += ["## Sources", "", *[f"- {r['title']}: {(r['summary'] or '')[:220]}" for r in sources], ""]
+        out += ["## Sources", "", *[f"- {r['title']} (`{r['source_id']}`): {_excerpt(r['summary'])}" for r in sources], ""]
     if claims:
         out += ["## Claims", "", *[f"- {r['claim_text']} ({r['confidence']:.2f})" for r in claims], ""]
     return "\n".join(out)
 
 
+def _excerpt(text: str | None) -> str:
+    """The start of a text on one line, without a header block."""
+    body = (text or "").strip()
+    if body.startswith("---") and (end := body.find("\n---", 3)) > 0:
+        body = body[end + 4 :]
+    return " ".join(body.split())[:220].rstrip()
+
+
 def with_provenance(text: str, found: dict[str, DataFrame]) -> str:
     """QRY-04: the footer that names up to ten pages and sources."""
     pages = [r["page_id"] for r in found["pages"].select("page_id").orderBy("page_id").limit(10).collect()]

@@ -18,7 +18,7 @@ class KnowledgeEngine:
     """A project's tables by name, and the operations on them. ``extractor``,
     ``synthesizer`` and ``classifier`` may replace the deterministic rules."""
 
-    TABLES = ("sources", "entities", "claims", "relations", "pages", "query_runs", "artifacts", "jobs", "findings", "documents")
+    TABLES = ("sources", "entities", "claims", "relations", "pages", "query_runs", "artifacts", "jobs", "findings", "documents", "query_events")
 
     def __init__(self, spark: SparkSession, tables: dict[str, DataFrame], extractor: Callable | None = None, synthesizer: Callable | None = None, classifier: Callable | None = None):
         self.spark, self.tables = spark, dict(tables)
@@ -207,13 +207,37 @@ class KnowledgeEngine:
         gone = old.join(now.select("id"), "id", "left_anti").select(F.col("id").alias("unit_id"))
         self.index_.update(pages_.content_units(changed), gone)
 
-    def query(self, prompt: str, task_type: str = "auto") -> str:
+    def query(self, prompt: str, task_type: str = "auto", on_phase: Callable[[str, str], None] | None = None) -> str:
         """QRY-04..06: plan, evidence and answer with its provenance, which is kept:
-        the run, its artifact and, with evidence, a question page with its edges."""
-        t, run = self.tables, uuid.uuid4().hex
+        the run, its phases, its artifact and, with evidence, a question page with its
+        edges. ``on_phase`` is told of each phase as it begins. A run that raises is
+        kept as failed, with the phase it came to."""
+        run, phases = uuid.uuid4().hex, []
+
+        def phase(name: str) -> None:
+            phases.append(name)
+            if on_phase is not None:
+                on_phase(run, name)
+
+        try:
+            return self._query(run, prompt, task_type, phase)
+        except Exception as e:
+            phase("failed")
+            self._append("query_runs", self._row(id=run, prompt_text=prompt, task_type=task_type, status="failed", error=str(e)[:1000]))
+            raise
+        finally:
+            rows = self.spark.createDataFrame([(run, k, p) for k, p in enumerate(phases, 1)], "query_run_id string, seq_no int, phase string")
+            self._append("query_events", rows)
+
+    def _query(self, run: str, prompt: str, task_type: str, phase: Callable[[str], None]) -> str:
+        t = self.tables
+        phase("planning")
         p = ask.plan(prompt, task_type, self.classifier)
+        phase("retrieving")
         found = {k: written(v, f"evidence-{k}") for k, v in ask.evidence(p, pages_.content_units(t["pages"]), t["pages"], t["entities"], t["relations"], t["sources"], t["claims"], self._index()).items()}
-        text = ask.with_provenance(self.synthesizer(prompt, found) if self.synthesizer else ask.answer(prompt, found), found)
+        phase("synthesizing")
+        text = ask.with_provenance(self.synthesizer(prompt, found) if self.synthesizer else ask.answer(prompt, found, p.task_type), found)
+        phase("writing")
         kind = "answer" if p.task_type == "answer" else p.task_type
         artifact = self._row(id=f"artifact-{run}", artifact_type=kind, title=ask.question_title(prompt), body=text, status="active").withColumn("file_path", F.concat_ws("/", pages_.routed(F.lit(kind), pages_.OUTPUT, "reports"), F.lit(f"{run}.md")))
         self._append("artifacts", artifact)
@@ -230,6 +254,7 @@ class KnowledgeEngine:
             gone = old.where("page_type = 'question'").join(page.select("slug"), "slug", "left_semi").select(F.col("id").alias("unit_id"))
         if self.index_ is not None:
             self.index_.update(new, gone)
+        phase("done")
         return text
 
     def knowledge_map(self) -> dict[str, DataFrame]:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from lorebase.operators import ask, checks, graph, ingest, normalize, resolve, search
 from lorebase.operators.index import Index
 from lorebase.plans.engine import KnowledgeEngine
+from lorebase.plans.projects import Projects
 from lorebase.sources import bookmarks, files
 from lorebase.streaming import jobs
 
@@ -293,10 +294,46 @@ def test_a_build_normalises_what_changed_and_equals_a_full_one(spark):
 
 def test_no_evidence(spark):
     none = {"pages": spark.createDataFrame([], "page_id string, title string, score double"), "sources": spark.createDataFrame([], "source_id string, title string, summary string"), "claims": spark.createDataFrame([], "claim_text string, confidence double")}
-    assert "not enough evidence" in ask.answer("Why?", none)
+    assert "not enough evidence" in ask.answer("Why?", none) and "study guide" in ask.answer("Why?", none, "study_guide")
+    some = none | {"pages": spark.createDataFrame([("p", "T", 1.0, "---\na: b\n---\nthe\n body")], "page_id string, title string, score double, body string")}
+    assert "This gap analysis is" in ask.answer("Why?", some, "gap_analysis") and "- [[T]] (`p`): the body" in ask.answer("Why?", some)
     assert ask.plan("What is the meaning, of life?").terms == ["What", "meaning", "life"] and ask.plan("x", "slides").task_type == "slides"
 
 
+def test_projects_and_query_phases(spark, tmp_path):
+    registry = Projects(spark, f"file://{tmp_path}/registry")
+    assert registry.all().count() == 0
+    a, b = registry.create("My Notes", str(tmp_path / "a")), registry.create("Other", str(tmp_path / "b"), "other")
+    for name, slug in (("My notes!", None), ("x", "other"), ("!!", None)):
+        with pytest.raises(ValueError):
+            registry.create(name, "c", slug)
+    assert [r["slug"] for r in registry.all().collect()] == ["other", "my-notes"] and registry.get(a)["root_path"] == str(tmp_path / "a")
+    page = spark.createDataFrame([("p", "concept", "stars", "Stars", "Stars shine by fusion.", "active", "concepts/stars.md")], "id string, page_type string, slug string, title string, body string, status string, file_path string")
+    page = page.withColumns({"origin_id": F.col("id"), "body_sha256": F.sha2("body", 256), "updated_at": F.current_timestamp()})
+    entities = spark.createDataFrame([("e", "concept", "Stars", "Stars")], "id string, entity_type string, canonical_name string, display_name string")
+    relations = spark.createDataFrame([("r", "page", "p", "derived_from", "source", "s", 1.0, None)], RELATION)
+    sources = spark.createDataFrame([("s", "Paper", "On stars", None)], "id string, title string, summary string, deleted_at timestamp")
+    claims = spark.createDataFrame([], "id string, claim_text string, confidence double, status string")
+    registry.save(a, KnowledgeEngine(spark, {"pages": page, "entities": entities, "relations": relations, "sources": sources, "claims": claims}))
+    told = []
+    k = registry.open(a)
+    assert [r["slug"] for r in registry.all().collect()] == ["my-notes", "other"]
+    assert "[[Stars]]" in k.query("Stars shine?", "report", lambda run, phase: told.append(phase))
+    assert told == ["planning", "retrieving", "synthesizing", "writing", "done"]
+
+    def broken(prompt, found):
+        raise RuntimeError("no model")
+
+    k.synthesizer = broken
+    with pytest.raises(RuntimeError):
+        k.query("Stars shine?")
+    assert sorted((r["status"], r["error"]) for r in k.tables["query_runs"].collect()) == [("failed", "no model"), ("succeeded", None)]
+    assert k.tables["query_events"].count() == 5 + 4 and k.tables["artifacts"].count() == 1
+    assert registry.delete(a)["slug"] == "my-notes" and [r["id"] for r in registry.all().collect()] == [b] and (tmp_path / "a" / "pages").exists()
+    with pytest.raises(KeyError):
+        registry.open(a)
+
+
 def test_jobs_stream(spark, tmp_path):
     e = spark.createDataFrame([(1, "queued", 1), (1, "running", 2), (2, "queued", 1), (1, "succeeded", 3)], "job_id int, status string, event_id int").withColumn("ts", F.timestamp_seconds("event_id"))
     e.write.parquet(str(tmp_path / "events"))
