@@ -41,9 +41,14 @@ def cascade(child: DataFrame, column: str, deleted: DataFrame, set_null: bool =
     return child.join(gone, F.col(column) == F.col("_gone"), "left").withColumn(column, F.when(F.col("_gone").isNull(), F.col(column))).drop("_gone")
 
 
-def transition(table: DataFrame, column: str, ids: list, value: str, allowed_from: list[str] | None = None) -> DataFrame:
-    """DML-03: the status of the named rows, where it may change."""
-    ok = F.col("id").isin(ids)
+def transition(table: DataFrame, column: str, ids: list | DataFrame, value: str, allowed_from: list[str] | None = None) -> DataFrame:
+    """DML-03: the status of the named rows, where it may change. ``ids`` are a few in
+    a list, or any number in a DataFrame (id)."""
+    if isinstance(ids, list):
+        out, ok = table, F.col("id").isin(ids)
+    else:
+        named = ids.select(F.col("id").alias("_named")).distinct()
+        out, ok = table.join(named, F.col("id") == F.col("_named"), "left"), F.col("_named").isNotNull()
     if allowed_from:
         ok = ok & F.col(column).isin(allowed_from)
-    return table.withColumn(column, F.when(ok, F.lit(value)).otherwise(F.col(column)))
+    return out.withColumn(column, F.when(ok, F.lit(value)).otherwise(F.col(column))).select(table.columns)

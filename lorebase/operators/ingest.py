@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as tx
 
@@ -11,7 +11,7 @@ def source_rows(bookmarks: DataFrame, domains: list[str], folders: list[str]) ->
     """ING-01, FLT-14, WIN-06: bookmarks (with ``ordinal``) as sources: no empty or
     script URLs, the first of each URL, approved where domain or folder is trusted."""
     ok = bookmarks.where("url IS NOT NULL AND trim(url) <> '' AND lower(url) NOT LIKE 'javascript:%'")
-    one = ok.withColumn("_r", F.row_number().over(Window.partitionBy("url").orderBy("ordinal"))).where("_r = 1").drop("_r")
+    one = first_by(ok, F.col("url"), [F.col("ordinal")])
     good = tx.trusted(F.col("domain"), F.col("folder_path"), domains, folders)
     return one.select(
         F.sha2("url", 256).alias("id"), "title", "url", "domain", "folder_path", "added_at", F.sha2("url", 256).alias("checksum"), "ordinal",
@@ -21,11 +21,12 @@ def source_rows(bookmarks: DataFrame, domains: list[str], folders: list[str]) ->
 
 
 def first_by(rows: DataFrame, key: Column, order: list) -> DataFrame:
-    """The first row of each key; rows without a key all stay."""
-    w = Window.partitionBy("_k").orderBy(*order)
+    """The first row of each key; rows without a key all stay. Firsts are combined
+    before the shuffle, so that a key of many rows is no burden to one task."""
     keyed = rows.withColumn("_k", key)
-    one = keyed.where("_k IS NOT NULL").withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
-    return one.unionByName(keyed.where("_k IS NULL")).drop("_k")
+    whole = F.struct(*[F.col(f"`{c}`") for c in rows.columns])
+    one = keyed.where("_k IS NOT NULL").groupBy("_k").agg(F.min_by(whole, F.struct(*order)).alias("x")).select("x.*")
+    return one.unionByName(keyed.where("_k IS NULL").drop("_k"))
 
 
 def dedup_insert(batch: DataFrame, existing: DataFrame) -> DataFrame:

@@ -926,8 +926,7 @@ def cmp_upsert_pages(spark, d):
 def dml_changes(spark, d):
     """DML-01, DML-03: rows replaced by key, and a status changed where it may."""
     c = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("status"))
-    ids = [r[0] for r in c.where("id % 3 = 0").select("id").collect()]
-    return settings.upsert(settings.transition(c, "status", ids, "approved"), c.where("id % 7 = 0").withColumn("status", F.lit("new")), ["id"])
+    return settings.upsert(settings.transition(c, "status", c.where("id % 3 = 0"), "approved"), c.where("id % 7 = 0").withColumn("status", F.lit("new")), ["id"])
 
 
 @query("SELECT o_orderkey, CAST(CASE WHEN c_custkey % 2 = 0 THEN NULL ELSE o_custkey END AS VARCHAR) AS o_custkey FROM orders LEFT JOIN customer ON c_custkey = o_custkey WHERE coalesce(c_custkey % 10, 1) <> 0")
