@@ -269,7 +269,7 @@ def group_stats(nodes: DataFrame, edges: DataFrame, groups: DataFrame, supports:
     s = supports.join(g.select(F.col("id").alias("entity_id"), "group"), "entity_id").groupBy("group").agg(F.count_distinct("source_id").alias("source_count"))
     weight = ends(inner.select("source", "target", "weight")).groupBy("id").agg(F.sum("weight").alias("w"))
     m = nodes.join(g, "id").join(weight, "id", "left").withColumn("r_score", F.coalesce("w", F.lit(0.0)) + F.coalesce("confidence", F.lit(0.0)) + 0.12 * F.col("source_count"))
-    m = m.withColumn("r", F.row_number().over(Window.partitionBy("group").orderBy(F.desc("r_score"), F.lower("display_name"), "id")))
+    m = m.withColumn("r", F.row_number().over(Window.partitionBy("group").orderBy(F.desc(F.round("r_score", 9)), F.lower("display_name"), "id")))  # scores that differ by rounding alone are equal
     r = m.groupBy("group").agg(F.count("*").alias("size"), F.transform(F.array_sort(F.collect_list(F.when(F.col("r") <= 3, F.struct("r", "display_name")))), lambda x: x["display_name"]).alias("representative_nodes"))
     out = r.join(group_themes(nodes, groups), "group", "left").join(e, "group", "left").join(s, "group", "left")
     out = out.fillna(0, ["explicit_edge_count", "inferred_edge_count", "source_count"]).withColumn("themes", F.coalesce("themes", F.array().cast("array<string>")))

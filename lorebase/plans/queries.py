@@ -621,13 +621,63 @@ def map_text_edges(spark, d):
     return graph.text_edges(n).select("id", "other", "relation_type")
 
 
+def part_pages(spark, d) -> DataFrame:
+    """Concept pages about parts: each says what its part is and links to the page of
+    the part that follows it in an order; parts of every fifth size have archived ones."""
+    p = table(spark, d, "part")
+    title = F.concat_ws(" ", "p_name", F.replace("p_brand", F.lit("#"), F.lit(" ")))
+    pages = p.select(F.col("p_partkey").alias("id"), title.alias("title"), "p_name", F.lower("p_type").alias("t"), F.when(F.col("p_size") % 5 == 0, "archived").otherwise("active").alias("status"))
+    following = part_edges(spark, d).groupBy(F.col("from_id").alias("id")).agg(F.min("to_id").alias("to_id"))
+    following = following.join(pages.select(F.col("id").alias("to_id"), F.concat(F.lit(" See [["), "title", F.lit("]].")).alias("see")), "to_id").select("id", "see")
+    body = F.concat(F.lit("# "), "title", F.lit("\n\nThe "), "p_name", F.lit(" is sold as "), "t", F.lit("."), F.coalesce("see", F.lit("")))
+    return pages.join(following, "id", "left").select("id", F.lit("concept").alias("page_type"), "title", body.alias("body"), "status")
+
+
 def _edges(spark, d):
-    n, s = _nodes(spark, d)
+    """The map of parts with their pages: nodes, their sources and all edges."""
+    e, r, p = parts(spark, d), item_edges(spark, d), part_pages(spark, d)
+    about = p.select(F.lit("page").alias("from_kind"), F.col("id").alias("from_id"), F.lit("about").alias("relation_type"), F.lit("entity").alias("to_kind"), F.col("id").alias("to_id"))
+    s = graph.support(e, r)
+    n = written(graph.node_terms(graph.select_nodes(graph.with_pages(e, about, p), s)), "nodes")
     explicit = graph.merge_text_edges(graph.explicit_edges(part_edges(spark, d), n), graph.text_edges(n))
     return n, s, written(graph.map_edges(explicit, graph.shared_pairs(n, s)), "edges")
 
 
-TERMS = f"""tm AS (SELECT id, list(DISTINCT w)[1:8] AS t FROM (SELECT id, unnest(regexp_extract_all(lower(name), '[a-z0-9][a-z0-9+-]+')) AS w FROM top) WHERE w NOT IN ({STOP}) AND NOT regexp_full_match(w, '[0-9]+') AND length(w) > 2 GROUP BY id)"""
+PAGED = f"""{PART_EDGES},
+w0 AS (SELECT p_partkey AS id, p_name || ' ' || replace(p_brand, '#', ' ') AS title, p_name, lower(p_type) AS t, p_size % 5 <> 0 AS live FROM part),
+nx AS (SELECT from_id AS id, min(to_id) AS to_id FROM e GROUP BY 1),
+w AS (SELECT w0.id, w0.title, '# ' || w0.title || chr(10) || chr(10) || 'The ' || w0.p_name || ' is sold as ' || w0.t || '.' AS head, 'The ' || w0.p_name || ' is sold as ' || w0.t || '.' || coalesce(' See ' || l.title || '.', '') AS summary,
+             coalesce(' See [[' || l.title || ']].', '') AS see, l.title AS link FROM w0 LEFT JOIN nx USING (id) LEFT JOIN w0 l ON l.id = nx.to_id WHERE w0.live),
+s AS (SELECT DISTINCT l_partkey AS e, l_orderkey AS s FROM lineitem),
+top AS (
+  SELECT p_partkey AS id, p_name AS name, p_type AS entity_type, p_size / 50.0 AS c, coalesce(k, 0) AS sources, title AS page_title, head || see AS body, link, coalesce(summary, p_name || ' is a ' || p_type || '.') AS summary,
+         row_number() OVER (ORDER BY round(p_size / 50.0 + 0.35 * coalesce(k, 0) + CASE WHEN title IS NOT NULL THEN 0.75 WHEN coalesce(k, 0) = 0 THEN -0.5 ELSE 0 END, 9) DESC, lower(p_name), p_size DESC, p_name, p_partkey) AS rank
+  FROM part LEFT JOIN (SELECT e, count(*) AS k FROM s GROUP BY 1) ON e = p_partkey LEFT JOIN w ON w.id = p_partkey QUALIFY rank <= 140),
+tk AS (SELECT id, unnest(regexp_extract_all(z, '[a-z0-9][a-z0-9+-]+')) AS term, unnest(range(len(regexp_extract_all(z, '[a-z0-9][a-z0-9+-]+')))) AS i FROM (SELECT id, lower(concat_ws(' ', name, summary, body)) AS z FROM top)),
+tm AS (SELECT id, term, row_number() OVER (PARTITION BY id ORDER BY min(i)) AS k FROM tk WHERE term NOT IN ({STOP}) AND NOT regexp_full_match(term, '[0-9]+') AND length(term) > 2 GROUP BY id, term QUALIFY k <= 16),
+x AS (
+  SELECT least(from_id, to_id) AS source, greatest(from_id, to_id) AS target, arg_min(relation_type, (relation_type = 'related_to', id)) AS relation_type,
+         max(greatest(0.62, 0.55 + coalesce(nullif(confidence, 0), 0.6) * 0.55)) AS weight, count(*) AS evidence_count, list(DISTINCT evidence_source_id) AS srcs
+  FROM e WHERE from_id <> to_id AND from_id IN (SELECT id FROM top) AND to_id IN (SELECT id FROM top) GROUP BY 1, 2),
+f AS (
+  SELECT a.id, b.id AS other, a.page_title, lower(a.link) IN (lower(b.name), lower(b.page_title)) AS linked FROM top a JOIN top b ON a.id <> b.id AND a.body IS NOT NULL
+   AND (coalesce(lower(a.link) IN (lower(b.name), lower(b.page_title)), false) OR contains(lower(a.body), b.name) OR contains(lower(a.body), lower(b.page_title)))),
+t AS (SELECT least(id, other) AS source, greatest(id, other) AS target, count(*) AS n, max(coalesce(linked, false)) AS linked, list_sort(list(DISTINCT page_title)) AS titles FROM f GROUP BY 1, 2),
+strong AS (
+  SELECT coalesce(x.source, t.source) AS source, coalesce(x.target, t.target) AS target,
+         CASE WHEN t.linked THEN 'wiki_link' WHEN t.n IS NOT NULL AND coalesce(x.relation_type, 'related_to') = 'related_to' THEN 'page_reference' ELSE x.relation_type END AS relation_type,
+         greatest(x.weight, CASE WHEN t.linked THEN 0.86 WHEN t.n IS NOT NULL THEN 0.72 END) AS weight, coalesce(x.evidence_count, 0) + coalesce(t.n, 0) AS evidence_count, coalesce(x.srcs, []) AS srcs, coalesce(t.titles, []) AS titles
+  FROM x FULL JOIN t ON x.source = t.source AND x.target = t.target),
+sp AS (
+  SELECT a, b, least(a, b) AS source, greatest(a, b) AS target, shared, srcs, coalesce(lexical, 0) AS lexical
+  FROM (SELECT u.id AS a, v.id AS b, count(*) AS shared, list(i.s) AS srcs FROM s i JOIN s j ON i.s = j.s JOIN top u ON u.id = i.e JOIN top v ON v.id = j.e WHERE u.rank < v.rank GROUP BY 1, 2)
+  LEFT JOIN (SELECT i.id AS a, j.id AS b, count(*) AS lexical FROM tm i JOIN tm j ON i.term = j.term AND i.k <= 8 AND j.k <= 8 GROUP BY 1, 2) USING (a, b) WHERE shared > 1 OR lexical > 0),
+weak AS (
+  SELECT *, round(0.14 + least(0.34, 0.08 * shared + 0.05 * lexical), 4) AS weight FROM sp ANTI JOIN strong USING (source, target)
+  QUALIFY row_number() OVER (PARTITION BY a ORDER BY round(0.14 + least(0.34, 0.08 * shared + 0.05 * lexical), 4) DESC, b) <= 4),
+g AS (
+  SELECT st.source, st.target, st.relation_type, 'explicit' AS kind, st.weight, coalesce(shared, 0) AS shared, evidence_count, coalesce(lexical, 0) AS lexical, list_sort(list_distinct(list_concat(st.srcs, coalesce(sp.srcs, [])))) AS srcs, titles FROM strong st LEFT JOIN sp USING (source, target)
+  UNION ALL SELECT source, target, 'shared_source', 'inferred', weight, shared, shared, lexical, list_sort(srcs), [] FROM weak)"""
 
 
 @query(f"""
@@ -640,7 +690,22 @@ def map_shared_pairs(spark, d):
     return graph.shared_pairs(n, s).where("shared > 1").select("a", "b", "shared")
 
 
-@query()
+@query(f"WITH {PAGED} SELECT id, rank, page_title, summary, string_agg(term, ' ' ORDER BY k) AS terms FROM top JOIN tm USING (id) GROUP BY ALL")
+def map_paged_nodes(spark, d):
+    """MAP-01, MAP-03, MAP-04: nodes with their pages, summaries and terms."""
+    n, _, _ = _edges(spark, d)
+    return n.select("id", F.col("rank").cast("long").alias("rank"), "page_title", "summary", F.array_join("terms", " ").alias("terms"))
+
+
+@query(f"WITH {PAGED} SELECT source, target, relation_type, kind, round(weight, 6) AS weight, shared AS shared_sources, evidence_count, lexical AS lexical_overlap, array_to_string(srcs, ',') AS sources, array_to_string(titles, ',') AS page_titles FROM g")
+def map_all_edges(spark, d):
+    """MAP-05..07, AGG-04, AGG-16: relations, links and names in pages, and shared sources, merged."""
+    _, _, e = _edges(spark, d)
+    texts = [F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(k) for c, k in (("evidence_sources", "sources"), ("page_titles", "page_titles"))]
+    return e.select("source", "target", "relation_type", "kind", F.round("weight", 6).alias("weight"), "shared_sources", "evidence_count", "lexical_overlap", *texts)
+
+
+@query(f"WITH {PAGED} SELECT source, target, weight, shared AS shared_sources, lexical AS lexical_overlap FROM g WHERE kind = 'inferred'")
 def map_inferred_edges(spark, d):
     _, _, e = _edges(spark, d)
     return e.where("kind = 'inferred'").select("source", "target", "weight", "shared_sources", "lexical_overlap")
@@ -683,8 +748,38 @@ def map_groups(spark, d):
     return graph.group_stats(n, e, graph.node_groups(n, e, s), s).select("group", "label", "size", F.array_join("themes", ", ").alias("themes"), "explicit_edge_count", "inferred_edge_count", "source_count", "rationale")
 
 
-@query()
+@query(f"""
+WITH {PAGED}, i AS (SELECT g.*, a.entity_type AS grp FROM g JOIN top a ON a.id = source JOIN top b ON b.id = target AND a.entity_type = b.entity_type),
+c AS (SELECT grp, count(*) FILTER (kind = 'explicit') AS explicit_edge_count, count(*) FILTER (kind = 'inferred') AS inferred_edge_count FROM i GROUP BY 1),
+sc AS (SELECT entity_type AS grp, count(DISTINCT s) AS source_count FROM top JOIN s ON s.e = top.id GROUP BY 1),
+nw AS (SELECT id, sum(weight) AS w FROM (SELECT source AS id, weight FROM i UNION ALL SELECT target, weight FROM i) GROUP BY 1),
+m AS (SELECT entity_type AS grp, name, row_number() OVER (PARTITION BY entity_type ORDER BY round(coalesce(w, 0) + c + 0.12 * sources, 9) DESC, lower(name), id) AS r FROM top LEFT JOIN nw USING (id)),
+z AS (SELECT grp, count(*) AS size, string_agg(name, ' + ' ORDER BY r) FILTER (r <= 2) AS label FROM m GROUP BY 1),
+df AS (SELECT term, count(*) AS df FROM tm GROUP BY 1),
+lc AS (SELECT entity_type AS grp, term, count(*) * 1.35::DOUBLE / any_value(df) AS score FROM tm JOIN top USING (id) JOIN df USING (term) WHERE k <= 10 GROUP BY 1, 2),
+th AS (SELECT grp, term, row_number() OVER (PARTITION BY grp ORDER BY score DESC, term) AS r FROM lc QUALIFY r <= 3),
+ty AS (SELECT grp, string_agg(CASE WHEN regexp_full_match(term, '[a-z]{{1,3}}') OR term IN ({', '.join(f"'{w}'" for w in tx.ACRONYMS)}) THEN upper(term) ELSE upper(term[1]) || term[2:] END, ', ' ORDER BY r) AS themes FROM th GROUP BY 1),
+q AS (SELECT grp, label, size, themes, coalesce(explicit_edge_count, 0) AS n, coalesce(inferred_edge_count, 0) AS i, coalesce(source_count, 0) AS c FROM z JOIN ty USING (grp) LEFT JOIN c USING (grp) LEFT JOIN sc USING (grp))
+SELECT grp AS "group", label, size, themes, n AS explicit_edge_count, i AS inferred_edge_count, c AS source_count,
+  'Grouped around ' || themes || coalesce(', with ' || nullif(concat_ws(', ', CASE WHEN n > 0 THEN n || ' explicit link' || CASE WHEN n = 1 THEN '' ELSE 's' END END, CASE WHEN i > 0 THEN i || ' inferred overlap link' || CASE WHEN i = 1 THEN '' ELSE 's' END END,
+    CASE WHEN c > 0 THEN 'support spread across ' || c || ' source' || CASE WHEN c = 1 THEN '' ELSE 's' END END), ''), '') || '.' AS rationale FROM q
+""")
+def map_type_profiles(spark, d):
+    """MAP-13, AGG-03/06/07, WIN-03/04, SCA-23/39: the figures of groups, here of one for each type."""
+    n, s, e = _edges(spark, d)
+    g = n.select("id", F.col("entity_type").alias("group"))
+    return graph.group_stats(n, e, g, s).select("group", "label", "size", F.array_join("themes", ", ").alias("themes"), "explicit_edge_count", "inferred_edge_count", "source_count", "rationale")
+
+
+@query(f"""
+WITH {PAGED}, h AS (SELECT *, CASE WHEN len(srcs) = 0 THEN '' ELSE ' (' || array_to_string(list_transform(srcs[1:3], lambda x: 'Order ' || x), ', ') || ')' END AS cite, shared || ' shared source' || CASE WHEN shared = 1 THEN '' ELSE 's' END AS sh FROM g)
+SELECT 'edge_' || source || '_' || target AS id, relation_type, kind, round(weight, 3) AS weight, CASE WHEN kind = 'inferred' THEN 'shared_support' WHEN shared > 0 THEN 'hybrid' ELSE 'explicit_relation' END AS provenance_kind,
+  CASE WHEN kind = 'inferred' THEN 'Inferred from ' || sh || CASE WHEN lexical > 0 THEN ' and ' || lexical || ' overlapping topical term' || CASE WHEN lexical = 1 THEN '' ELSE 's' END ELSE '' END
+  ELSE CASE relation_type WHEN 'wiki_link' THEN 'Explicit wiki link' WHEN 'page_reference' THEN 'Explicit concept-page reference' ELSE 'Explicit relation ' || chr(39) || replace(relation_type, '_', ' ') || chr(39) || CASE WHEN evidence_count > 1 THEN ' seen ' || evidence_count || ' times' ELSE '' END END
+    || CASE WHEN len(titles) > 0 THEN ' from ' || array_to_string(titles[1:2], ', ') ELSE '' END || CASE WHEN shared > 0 THEN ', reinforced by ' || sh ELSE '' END END || cite || '.' AS provenance_summary FROM h
+""")
 def map_edge_provenance(spark, d):
+    """MAP-15, SCA-38, WIN-08."""
     _, _, e = _edges(spark, d)
     orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.concat(F.lit("Order "), "o_orderkey").alias("title"))
     return graph.serialised(e, orders).select("id", "relation_type", "kind", "weight", "provenance_kind", "provenance_summary")
