@@ -15,7 +15,7 @@ from ..functions import documents as dc, session, settings, text as tx
 from ..operators import ask, checks, compile as pages_, graph, ingest, normalize, resolve, search
 from ..operators.index import Index
 from ..operators.shared import file_states, new_folder, written
-from ..sources import article, files
+from ..sources import article, bookmarks, files, vault
 from ..streaming import jobs, lifecycle
 from .engine import KnowledgeEngine
 
@@ -362,6 +362,47 @@ def nrm_extract(spark, d):
     return n.select(F.col("source_id").alias("doc_id"), "title", "summary", F.size("entities").alias("n_entities"), F.size("claims").alias("n_claims"), F.array_join("quality_flags", ",").alias("flags"))
 
 
+LINES_AS_DOCUMENTS = """l AS (SELECT l_orderkey AS s, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_discount DESC) - 1 AS n, l_partkey, l_discount, l_linenumber FROM lineitem),
+m AS (SELECT s, n, CASE WHEN l_linenumber % 2 = 0 THEN upper(p_name) ELSE p_name || '.' END AS name, p_type AS entity_type, p_brand, p_size / 50.0 AS c, 1 - l_discount AS w FROM l JOIN part ON p_partkey = l_partkey),
+x AS (SELECT entity_type, replace(lower(name), '.', '') AS k, sha256(entity_type || chr(1) || replace(lower(name), '.', '')) AS id, arg_min(name, s * 1000 + n) AS name, array_to_string(list_sort(list(DISTINCT p_brand)), ',') AS aliases, max(c) AS confidence, min(s) AS first_source FROM m GROUP BY ALL)"""
+
+
+def _order_documents(spark, d) -> DataFrame:
+    """Orders as normalised documents: their lines' parts are entities, each related to the next."""
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name", F.col("p_type").alias("entity_type"), F.array("p_brand").alias("aliases"), (F.col("p_size") / 50.0).alias("confidence"))
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_discount").join(p, "l_partkey")
+    name = F.when(F.col("l_linenumber") % 2 == 0, F.upper("p_name")).otherwise(F.concat("p_name", F.lit(".")))
+    line = F.struct("l_linenumber", "l_partkey", name.alias("name"), "entity_type", "aliases", "confidence", (1 - F.col("l_discount")).alias("w"))
+    o = li.groupBy(F.col("l_orderkey").alias("source_id")).agg(F.array_sort(F.collect_list(line)).alias("l"))
+    tied = F.transform(F.slice("l", 1, F.size("l") - 1), lambda x, i: F.struct(x["name"].alias("from_name"), F.lit("sold_with").alias("relation_type"), F.get(F.col("l"), i + 1)["name"].alias("to_name"), x["w"].alias("confidence")))
+    entities = F.transform("l", lambda x: F.struct(x["name"].alias("name"), x["entity_type"].alias("entity_type"), x["aliases"].alias("aliases"), x["confidence"].alias("confidence")))
+    claims = F.transform("l", lambda x: F.struct(F.concat(x["name"], F.lit(" was sold.")).alias("text"), F.lit("fact").alias("claim_kind"), x["w"].alias("confidence")))
+    labels = F.array().cast("array<string>")
+    return o.select("source_id", F.concat(F.lit("Order "), "source_id").alias("summary"), entities.alias("entities"), claims.alias("claims"), tied.alias("relations"), labels.alias("topic_labels"), labels.alias("quality_flags"))
+
+
+@query(f"WITH {LINES_AS_DOCUMENTS} SELECT id, entity_type, name, aliases, confidence, first_source FROM x")
+def nrm_entities(spark, d):
+    """NRM-03: one entity per type and name key over all documents."""
+    e = normalize.tables(_order_documents(spark, d))["entities"]
+    return e.select("id", "entity_type", F.col("canonical_name").alias("name"), F.array_join("aliases", ",").alias("aliases"), "confidence", F.col("created_from_source_id").alias("first_source"))
+
+
+@query(f"WITH {LINES_AS_DOCUMENTS} SELECT sha256(s || chr(1) || n || chr(1) || name || ' was sold.') AS id, s AS source_id, name || ' was sold.' AS claim_text, w AS confidence FROM m")
+def nrm_claims(spark, d):
+    """NRM-03: claims with identifiers that reruns repeat."""
+    return normalize.tables(_order_documents(spark, d))["claims"].select("id", "source_id", "claim_text", "confidence")
+
+
+@query(f"""
+WITH {LINES_AS_DOCUMENTS}, i AS (SELECT lower(name) AS k, min(id) AS id FROM x GROUP BY 1), r AS (SELECT a.s, lower(a.name) AS f, lower(b.name) AS t, a.w FROM m a JOIN m b ON a.s = b.s AND b.n = a.n + 1)
+SELECT f.id AS from_id, 'sold_with' AS relation_type, t.id AS to_id, max(w) AS confidence, min(s) AS evidence_source_id FROM r JOIN i f ON f.k = r.f JOIN i t ON t.k = r.t WHERE f.id <> t.id GROUP BY ALL
+""")
+def nrm_relations(spark, d):
+    """NRM-03, JOI-17: relations between names, resolved to entities and merged."""
+    return normalize.tables(_order_documents(spark, d))["relations"].select("from_id", "relation_type", "to_id", "confidence", "evidence_source_id")
+
+
 # --- search ----------------------------------------------------------------
 
 
@@ -771,6 +812,33 @@ def map_type_profiles(spark, d):
     return graph.group_stats(n, e, g, s).select("group", "label", "size", F.array_join("themes", ", ").alias("themes"), "explicit_edge_count", "inferred_edge_count", "source_count", "rationale")
 
 
+def _whole_map(spark, d) -> dict[str, DataFrame]:
+    about = part_pages(spark, d).select((-1 - F.col("id")).alias("id"), F.lit("page").alias("from_kind"), F.col("id").alias("from_id"), F.lit("about").alias("relation_type"), F.lit("entity").alias("to_kind"), F.col("id").alias("to_id"), F.lit(None).cast("double").alias("confidence"), F.lit(None).cast("bigint").alias("evidence_source_id"))
+    relations = item_edges(spark, d).unionByName(part_edges(spark, d)).unionByName(about)
+    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.concat(F.lit("Order "), "o_orderkey").alias("title"))
+    return graph.knowledge_map(parts(spark, d), relations, part_pages(spark, d), orders)
+
+
+@query(f"""
+WITH {PAGED}, b AS (SELECT source AS id, target AS other, weight FROM g UNION ALL SELECT target, source, weight FROM g), dg AS (SELECT id, count(*) AS degree FROM b GROUP BY 1),
+nb AS (SELECT b.id, other, row_number() OVER (PARTITION BY b.id ORDER BY round(weight, 3) DESC, lower(name), other) AS place FROM b JOIN top ON top.id = other QUALIFY place <= 8),
+ld AS (SELECT id, string_agg(other, ' ' ORDER BY place) AS lead FROM nb GROUP BY 1)
+SELECT top.id, name AS label, summary, page_title, sources AS source_count, coalesce(degree, 0) AS degree, round(c, 3) AS confidence, lead,
+       round(('0x' || substr(sha256(CAST(top.id AS VARCHAR)), 1, 8))::BIGINT / 4294967295.0::DOUBLE - 0.5, 6) AS seed
+FROM top LEFT JOIN dg ON dg.id = top.id LEFT JOIN ld ON ld.id = top.id
+""")
+def map_records(spark, d):
+    """MAP-14, MAP-17: the nodes of the whole map as they are shown, with their lead ideas."""
+    lead = F.array_join(F.transform("lead_ideas", lambda x: x["neighbour"].cast("string")), " ")
+    return _whole_map(spark, d)["nodes"].select("id", "label", "summary", "page_title", "source_count", "degree", "confidence", lead.alias("lead"), "seed")
+
+
+@query(f"WITH {PAGED} SELECT (SELECT count(*) FROM top) AS node_count, count(*) AS edge_count, count(*) FILTER (kind = 'explicit') AS explicit_edge_count, count(*) FILTER (kind = 'inferred') AS inferred_edge_count FROM g")
+def map_stats(spark, d):
+    """MAP-16."""
+    return _whole_map(spark, d)["stats"].select("node_count", "edge_count", "explicit_edge_count", "inferred_edge_count")
+
+
 @query(f"""
 WITH {PAGED}, h AS (SELECT *, CASE WHEN len(srcs) = 0 THEN '' ELSE ' (' || array_to_string(list_transform(srcs[1:3], lambda x: 'Order ' || x), ', ') || ')' END AS cite, shared || ' shared source' || CASE WHEN shared = 1 THEN '' ELSE 's' END AS sh FROM g)
 SELECT 'edge_' || source || '_' || target AS id, relation_type, kind, round(weight, 3) AS weight, CASE WHEN kind = 'inferred' THEN 'shared_support' WHEN shared > 0 THEN 'hybrid' ELSE 'explicit_relation' END AS provenance_kind,
@@ -933,6 +1001,48 @@ def job_queue(spark, d):
 # --- further scalar functions, listings and changes ------------------------
 
 
+@query(rf"""
+WITH p AS (SELECT page_id, url, {DOMAIN.format('url')} AS domain, trim(regexp_replace(regexp_extract(html, '(?i)<title[^>]*>([^<]+)</title>', 1), '\s+', ' ', 'g')) AS t FROM pages), q AS (SELECT *, CASE WHEN t = '' THEN url ELSE t END AS title FROM p)
+SELECT k AS kind, url, title, domain AS folder_path, domain, 1600000000 + page_id AS added FROM q, (VALUES ('netscape'), ('chromium')) v(k)
+""")
+def src_bookmarks(spark, d):
+    """SRC-01/02: all pages as bookmarks, 500 a file, written in both formats and read back."""
+    p = table(spark, d, "pages")
+    marks = p.select("page_id", "url", tx.collapse(tx.html_title(F.col("html"))).alias("title"), tx.url_domain(F.col("url")).alias("folder"), (F.col("page_id") + 1600000000).alias("added"))
+    out = []
+    for kind in bookmarks.FRAMES:
+        at = new_folder(spark, kind)
+        placed = marks.withColumns({"file_path": F.concat(F.lit("b"), F.floor(F.col("page_id") / 500), F.lit(".txt")), "place": F.col("page_id") % 500})
+        vault.write_files(bookmarks.file_rows(placed, kind), at, "place")
+        out.append(bookmarks.read_bookmarks(spark, at, kind).select(F.lit(kind).alias("kind"), "url", "title", "folder_path", "domain", F.unix_timestamp("added_at").alias("added")))
+    return out[0].unionByName(out[1])
+
+
+@query(r"""
+WITH p AS (SELECT page_id, url, html, CASE page_id % 4 WHEN 0 THEN 'concept' WHEN 1 THEN 'source_summary' WHEN 2 THEN 'timeline' ELSE 'question' END AS kind, 'Page ' || page_id AS title FROM pages),
+b AS (SELECT CASE kind WHEN 'concept' THEN 0 WHEN 'source_summary' THEN 1 WHEN 'question' THEN 2 ELSE 4 END AS k, count(*) AS n, string_agg('- [[' || title || ']] — ' || url || chr(10), '' ORDER BY title) AS t FROM p GROUP BY 1),
+i AS (SELECT string_agg(chr(10) || '## ' || name || ' (' || coalesce(n, 0) || ')' || chr(10) || chr(10) || coalesce(t, '_None yet._' || chr(10)), '' ORDER BY h.k) AS t
+  FROM (VALUES (0, 'Concepts'), (1, 'Sources'), (2, 'Questions'), (3, 'Indexes'), (4, 'Other Pages')) h(k, name) LEFT JOIN b ON b.k = h.k)
+SELECT 'wiki/' || CASE kind WHEN 'concept' THEN 'concepts' WHEN 'source_summary' THEN 'sources' WHEN 'timeline' THEN 'timelines' ELSE 'questions' END || '/page-' || page_id || '.md' AS file_path, sha256(html) AS sha256 FROM p
+UNION ALL SELECT 'normalized/' || page_id || '.json', sha256('{"page_id":' || page_id || ',"url":"' || url || '","kind":"' || kind || '"}') FROM p
+UNION ALL SELECT 'index.md', sha256(array_to_string(['---', 'page_type: "index"', 'title: "Project Index"', 'project_id: "all"', '---', '', '# Project Index', ''], chr(10)) || t) FROM i
+""")
+def snk_vault_files(spark, d):
+    """SNK-01/03/05/08: all pages as a project's files, committed as one and read back; what
+    a second writing of the same rows finds right stays."""
+    kind = F.element_at(F.array(*[F.lit(x) for x in ("concept", "source_summary", "timeline", "question")]), (F.col("page_id") % 4 + 1).cast("int"))
+    p = table(spark, d, "pages").select("page_id", "url", "html", kind.alias("kind"))
+    none = {c: F.lit(None).cast("string") for c in ("page_type", "title", "id")}
+    wiki = p.select(F.concat_ws("/", F.lit("wiki"), pages_.routed(F.col("kind"), pages_.WIKI, "concepts"), F.concat(F.lit("page-"), "page_id", F.lit(".md"))).alias("file_path"), F.col("html").alias("body"), F.lit(0).alias("place"))
+    json = p.select(F.concat(F.lit("normalized/"), "page_id", F.lit(".json")).alias("file_path"), F.to_json(F.struct("page_id", "url", "kind")).alias("body"), F.lit(0).alias("place"))
+    known = p.select(F.col("page_id").alias("id"), F.col("kind").alias("page_type"), F.concat(F.lit("Page "), "page_id").alias("title"), F.col("url").alias("body"), F.lit("active").alias("status"), F.lit(None).cast("string").alias("updated_at"))
+    index = pages_.index_lines(known, "all").withColumn("file_path", F.lit("index.md"))
+    rows, at = wiki.unionByName(json).withColumns(none).unionByName(index), new_folder(spark, "vault")
+    for _ in range(2):
+        vault.write_files(rows, at, "place", "page_type", "title", "id")
+    return vault.digests(spark, at)
+
+
 @query(r"SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day, CASE WHEN o_orderkey % 2 = 0 THEN strftime(o_orderdate, '%Y-%m-%d') END AS given FROM orders")
 def src_pdf_date(spark, d):
     """SRC-10: dates as PDFs write them; others give null."""

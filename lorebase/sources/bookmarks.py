@@ -138,6 +138,37 @@ def read_bookmarks(spark: SparkSession, path: str, fmt: str) -> DataFrame:
     return _typed(spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, RAW))
 
 
+# What stands before and after the entries of a file.
+FRAMES = {
+    "netscape": ("<!DOCTYPE NETSCAPE-Bookmark-file-1>\n<DL><p>\n", "</DL><p>\n"),
+    "chromium": ('{"roots": {"bookmark_bar": {"type": "folder", "name": "", "children": [{"type": "folder", "children": []}', "]}}}\n"),
+}
+
+
+def file_rows(marks: DataFrame, fmt: str) -> DataFrame:
+    """(file_path, place, body): the files of ``marks`` (file_path, place from 0, title,
+    url, folder, added in seconds) as rows for ``vault.write_files``, ordered by place;
+    a row for each bookmark, in its folder. Titles and folders may be null."""
+    if fmt == "netscape":
+
+        def escaped(c: str):
+            x = F.coalesce(c, F.lit(""))
+            for k, v in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+                x = F.replace(x, F.lit(k), F.lit(v))
+            return x
+
+        link = F.concat(F.lit('<DT><A HREF="'), escaped("url"), F.lit('" ADD_DATE="'), F.coalesce(F.col("added").cast("string"), F.lit("")), F.lit('">'), escaped("title"), F.lit("</A>\n"))
+        body = F.concat(F.lit("<DT><H3>"), escaped("folder"), F.lit("</H3>\n<DL><p>\n"), link, F.lit("</DL><p>\n"))
+    else:
+        stamp = ((F.col("added") + F.lit(11644473600)) * 1000000).cast("string")
+        link = F.struct(F.lit("url").alias("type"), F.col("title").alias("name"), "url", stamp.alias("date_added"))
+        body = F.concat(F.lit(",\n"), F.to_json(F.struct(F.lit("folder").alias("type"), F.col("folder").alias("name"), F.array(link).alias("children"))))
+    each = marks.groupBy("file_path").agg(F.max("place").alias("last"))
+    first, last = FRAMES[fmt]
+    ends = each.select("file_path", F.explode(F.array(F.struct(F.lit(-1).cast("long").alias("place"), F.lit(first).alias("body")), F.struct((F.col("last") + 1).cast("long").alias("place"), F.lit(last).alias("body")))).alias("x"))
+    return marks.select("file_path", F.col("place").cast("long").alias("place"), body.alias("body")).unionByName(ends.select("file_path", "x.*"))
+
+
 class _Place(InputPartition):
     def __init__(self, path: str):
         self.path = path
