@@ -403,6 +403,40 @@ def nrm_relations(spark, d):
     return normalize.tables(_order_documents(spark, d))["relations"].select("from_id", "relation_type", "to_id", "confidence", "evidence_source_id")
 
 
+@query("""
+WITH l AS (SELECT o_custkey AS s, row_number() OVER (PARTITION BY o_custkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_discount DESC) - 1 AS n, p_name, p_brand, p_type, 1 - l_discount AS w FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN part ON p_partkey = l_partkey)
+SELECT s AS source_id, string_agg(p_name || '/' || CASE WHEN n % 2 = 0 THEN 'tool' ELSE 'concept' END || '/' || p_brand || ' 1,' || p_brand || ' 2,' || p_brand || ' 3,' || p_brand || ' 4,' || p_brand || ' 5', ';' ORDER BY n) FILTER (n < 15) AS entities,
+       string_agg(CASE WHEN n % 3 > 0 THEN p_name || ' sold/' || CASE WHEN n % 2 = 0 THEN 'definition' ELSE 'fact' END END, ';' ORDER BY n) FILTER (n < 15) AS claims,
+       coalesce(string_agg(p_name || '>' || p_type || '/' || substr(repeat('related ', 8), 1, 50), ';' ORDER BY n) FILTER (n < 10), '') AS relations, string_agg(p_name, ';' ORDER BY n) FILTER (n < 6) AS labels, string_agg(p_type, ';' ORDER BY n) FILTER (n < 4) AS flags
+FROM l GROUP BY s
+""")
+def nrm_limits(spark, d):
+    """NRM-02, SRT-08: customers as documents of all their lines, beyond every limit; blank
+    names, claims that are too long and kinds that are not known among them."""
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name", "p_brand", "p_type")
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("source_id"))
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_discount").join(o, "l_orderkey").join(p, "l_partkey")
+    line = F.struct("l_orderkey", "l_linenumber", "l_partkey", (1 - F.col("l_discount")).alias("w"), "p_name", "p_brand", "p_type")
+    c = li.groupBy("source_id").agg(F.array_sort(F.collect_list(line)).alias("l"))
+    seven = F.sequence(F.lit(1), F.lit(7))
+
+    def entity(x, i, name):
+        return F.struct(name.alias("name"), F.when(i % 2 == 0, "tool").otherwise("strange").alias("entity_type"), F.transform(seven, lambda k: F.concat_ws(" ", x["p_brand"], k)).alias("aliases"), F.lit(2.0).alias("confidence"))
+
+    entities = F.flatten(F.transform("l", lambda x, i: F.array(entity(x, i, F.lit("  ")), entity(x, i, F.concat(F.lit(" "), x["p_name"], F.lit(" "))))))
+    # The claims of a document are its first, so those refused are left out by the SQL as well.
+    said = F.transform(F.slice("l", 1, 15), lambda x, i: F.struct(F.when(i % 3 == 0, F.repeat(x["p_name"], F.lit(90))).otherwise(F.concat(x["p_name"], F.lit(" sold"))).alias("text"), F.when(i % 2 == 0, "definition").otherwise("strange").alias("claim_kind"), F.lit(None).cast("double").alias("confidence")))
+    more = F.transform("l", lambda x: F.struct(F.lit("late").alias("text"), F.lit("fact").alias("claim_kind"), F.lit(0.5).alias("confidence")))
+    tied = F.transform("l", lambda x: F.struct(x["p_name"].alias("from_name"), F.repeat(F.lit("related "), F.lit(8)).alias("relation_type"), x["p_type"].alias("to_name"), x["w"].alias("confidence")))
+    docs = c.select("source_id", F.lit("lines").alias("summary"), entities.alias("entities"), F.concat(said, F.when(F.size("l") >= 15, more).otherwise(F.slice(more, 1, 0))).alias("claims"), tied.alias("relations"), F.transform("l", lambda x: x["p_name"]).alias("topic_labels"), F.transform("l", lambda x: x["p_type"]).alias("quality_flags"))
+    n = normalize.clean(docs)
+    show = lambda c, f: F.array_join(F.transform(c, f), ";")
+    return n.select(
+        "source_id", show("entities", lambda e: F.concat_ws("/", e["name"], e["entity_type"], F.array_join(e["aliases"], ","))).alias("entities"), F.nullif(show("claims", lambda c: F.concat_ws("/", c["text"], c["claim_kind"])), F.lit("")).alias("claims"),
+        show("relations", lambda r: F.concat(r["from_name"], F.lit(">"), r["to_name"], F.lit("/"), r["relation_type"])).alias("relations"), F.array_join("topic_labels", ";").alias("labels"), F.array_join("quality_flags", ";").alias("flags"),
+    )
+
+
 # --- search ----------------------------------------------------------------
 
 

@@ -6,7 +6,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from lorebase.sources import vault
+from lorebase.sources import bookmarks, vault
 
 
 def files(top):
@@ -51,3 +51,14 @@ def test_a_file_that_someone_changed_is_a_conflict(spark, tmp_path):
     with pytest.raises(Exception, match="ConflictError"):
         vault.write_files(rows(spark, ("a.md", "3", sha("1")), ("b.md", "3", None), schema=schema), top)
     assert files(top) == {"a.md": "2", "b.md": "1"}
+
+
+def test_bookmark_files_are_read_as_they_were_written(spark, tmp_path):
+    marks = [("a.txt", 0, 'R&D <b> "x"', "http://x?a=1&b=2", "One & two", 1700000000), ("a.txt", 1, None, "http://y", None, None), ("b.txt", 0, "é", "http://z", "F", 1)]
+    df = spark.createDataFrame(marks, "file_path string, place int, title string, url string, folder string, added long")
+    for kind in ("netscape", "chromium"):
+        top = str(tmp_path / kind)
+        vault.write_files(bookmarks.file_rows(df, kind), top, "place")
+        got = bookmarks.read_bookmarks(spark, top, kind).select("title", "url", "folder_path", F.unix_timestamp("added_at").alias("t"))
+        assert sorted(map(tuple, got.collect())) == sorted((t or u, u, f or "", a) for _, _, t, u, f, a in marks)
+        assert bookmarks.file_rows(df.limit(0), kind).count() == 0
