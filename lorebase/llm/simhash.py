@@ -245,7 +245,9 @@ NEAR_WORDS, NEAR_PERCENT = 5, 80
 #: A pair just at the least similarity differs in about this share of its bits
 #: (the angle of sets of one size, over pi), and may be missed this often.
 NEAR_BITS, NEAR_MISSED = math.acos(2 * NEAR_PERCENT / (100 + NEAR_PERCENT)) / math.pi, 0.002
-#: Pairs that share a short fingerprint are compared if 128 other bits differ in this many at most
+#: How often Golay words of such a pair have a codeword of ``golay_table`` in common, and codewords of a word on average.
+NEAR_SHARED, NEAR_KEYS = 0.602, 5.32
+#: Pairs that share a key of a short fingerprint are compared if 128 other bits differ in this many at most
 #: (at the least similarity 19 on average, spread 4; of unlike texts 64, spread 6).
 NEAR_RADIUS = 40
 #: Sets of this many shingles at most are also keyed exactly; a bit says more of them than of large sets.
@@ -276,11 +278,28 @@ def long_fingerprint(hashes: np.ndarray, blocks: int) -> np.ndarray:
     return np.packbits(votes * 2 > len(hashes))
 
 
-def near_bands(rows: int) -> tuple[int, int]:
-    """Number and width of the short fingerprints: wide enough that some 32 of
-    ``rows`` unlike texts share one, and as many as NEAR_MISSED asks for."""
-    width = max(8, round(math.log2(max(rows, 1) / 32)))
-    return math.ceil(math.log(NEAR_MISSED) / math.log(1 - (1 - NEAR_BITS) ** width)), width
+def near_tables(rows: int) -> tuple[int, int]:
+    """Number of the short fingerprints, and bits of each beside its Golay word: so
+    many that a key is held by some 64 of ``rows`` unlike texts, and as many tables
+    as NEAR_MISSED asks for."""
+    more = max(0, round(math.log2(max(rows, 1) * NEAR_KEYS / 64)) - 12)
+    return math.ceil(math.log(NEAR_MISSED) / math.log(1 - NEAR_SHARED * (1 - NEAR_BITS) ** more)), more
+
+
+def near_keys(bits: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers and keys from texts x tables x (23 and more) bits: the table's
+    number and the other bits with every codeword within distance 4 of the Golay
+    word, as far as ``table`` names it (see ``golay_table``)."""
+    more = bits.shape[2] - 23
+    unit = 1 << np.arange(max(22, more), -1, -1, dtype=np.int64)
+    word = bits[:, :, :23] @ unit[-23:]
+    errors = table[_syndromes(word)]
+    key = np.broadcast_to(np.arange(bits.shape[1], dtype=np.int64), word.shape)
+    if more:
+        key = (key << more) | bits[:, :, 23:] @ unit[-more:]
+    key = (key[:, :, None] << 12) | (word[:, :, None] ^ errors) >> 11
+    ok = errors >= 0
+    return np.nonzero(ok)[0], key[ok]
 
 
 def _joined(label: np.ndarray, u: np.ndarray, v: np.ndarray) -> None:
@@ -299,6 +318,22 @@ def _forest(cls: np.ndarray, label: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(cls[label[at]]), pa.array(cls[at])], names=["u", "v"])
 
 
+def spanning(links: DataFrame, n: int) -> DataFrame:
+    """Links (u, v) that connect what ``links`` do, in fewer rows: a task gets all links
+    of a v and links each component's nodes to its least. Of a group whose members
+    each have a link per bucket or block they were in, some one link a member is left."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = [np.stack([b.column(i).to_numpy(zero_copy_only=False) for i in range(2)]) for b in batches if b.num_rows]
+        if found:
+            nodes, at = np.unique(np.concatenate(found, axis=1), return_inverse=True)
+            at, label = at.reshape(2, -1), np.arange(len(nodes))
+            _joined(label, at[0], at[1])
+            yield _forest(nodes, label)
+
+    return links.repartition(n, "v").mapInArrow(run, "u long, v long").distinct()
+
+
 def similar_groups(left: list[np.ndarray], right: list[np.ndarray] | None = None) -> np.ndarray:
     """For each of the sets of hashes the first one of its group, groups being
     joined by Jaccard similarities of NEAR_PERCENT or more. With ``right``, whose
@@ -336,20 +371,21 @@ def near_links(docs: DataFrame, id_col: str, text_col: str, block: int = 4096, t
     shingles with the smallest id that has it, links join what is connected by
     Jaccard similarities, counted exactly, of NEAR_PERCENT or more.
 
-    Candidates share one of the short fingerprints (see ``near_bands``) and
-    differ in NEAR_RADIUS of 128 other bits at most. Neither candidates nor links
+    Candidates share a fuzzy key of one of the short fingerprints (see ``near_keys``)
+    and differ in NEAR_RADIUS of 128 other bits at most. Neither candidates nor links
     are written pair by pair: tasks return spanning forests of the candidates of
-    a bucket, and what these connect meets once more, with its texts, where all
-    pairs are verified. A bucket of over ``block`` rows, or a group of over
-    ``together`` texts or 8 MB of text, is split into blocks, and each pair of
-    blocks is a bucket of its own, for any task to compare.
+    a bucket, these are thinned (see ``spanning``), and what they connect meets once
+    more, with its texts, where all pairs are verified. A bucket of over ``block``
+    rows, or a group of over ``together`` texts or 8 MB of text, is split into blocks,
+    and each pair of blocks is a bucket of its own, for any task to compare.
     """
     spark = docs.sparkSession
     lower = bytes.maketrans(UPPER.encode(), UPPER.lower().encode())
     docs = docs.select(id_col, F.col(text_col).cast("string").alias(text_col))
     rows = docs.count()
-    bands, width = near_bands(rows)
-    blocks = 2 + -(-bands * width // 64)
+    tables, more = near_tables(rows)
+    width, code = 23 + more, golay_table()
+    blocks = 2 + -(-tables * width // 64)
     n = max(shuffle_partitions(spark), math.ceil(rows / PER_TASK))
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -367,16 +403,14 @@ def near_links(docs: DataFrame, id_col: str, text_col: str, block: int = 4096, t
             )
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unit = (1 << np.arange(width, dtype=np.int64))[::-1]
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 b = whole.slice(at, 1000)
                 cls = b.column(0).to_numpy(zero_copy_only=False)
                 raw = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(len(cls), -1)
                 fp = np.ascontiguousarray(raw[:, :16]).view(np.int64)
-                parts = np.unpackbits(raw[:, 16:], axis=1)[:, : bands * width].reshape(len(cls), bands, width)
-                keys = [(parts @ unit + (np.arange(bands) << 32)).ravel()]
-                rows = [np.repeat(np.arange(len(cls)), bands)]
+                parts = np.unpackbits(raw[:, 16:], axis=1)[:, : tables * width].reshape(len(cls), tables, width)
+                rows, keys = ([x] for x in near_keys(parts, code))
                 small = b.column(2).to_pylist()
                 keys.append(np.array([k | 1 << 62 for x in small for k in x], np.int64))
                 rows.append(np.array([i for i, x in enumerate(small) for _ in x], np.int64))
@@ -440,8 +474,8 @@ def near_links(docs: DataFrame, id_col: str, text_col: str, block: int = 4096, t
         keyed = keyed.withColumn("sub", F.lit(0).cast("long"))
     else:
         keyed = _in_blocks(keyed, large, "cls")
-    dealt = keyed.select("key", "sub", "cls", "f", "g").repartition(n, "key", "sub").sortWithinPartitions("key", "sub")
-    found = materialize(dealt.mapInArrow(candidates, "u long, v long").distinct(), "near-candidates")
+    dealt = keyed.select("key", "sub", "cls", "f", "g").repartition(n, "key", "sub").sortWithinPartitions("key", "sub", "cls")
+    found = materialize(spanning(dealt.mapInArrow(candidates, "u long, v long"), n), "near-candidates")
     for t in (one, large):
         drop_table(t)
     groups = materialize(connected_components(found, "near-groups"), "near-group")
@@ -453,7 +487,7 @@ def near_links(docs: DataFrame, id_col: str, text_col: str, block: int = 4096, t
     large = materialize(texts.groupBy(F.col("key").alias("_k")).agg(size.alias("_n")).where("_n > 1"), "near-large-groups")
     met = _in_blocks(texts, large, "cls").select("key", "sub", "cls", F.col("_b").cast("long").alias("_b"), "_t")
     met = met.repartition(n, "key", "sub").sortWithinPartitions("key", "sub", "cls")
-    return names, materialize(met.mapInArrow(verify, "u long, v long").distinct(), "near-links")
+    return names, materialize(spanning(met.mapInArrow(verify, "u long, v long"), n), "near-links")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

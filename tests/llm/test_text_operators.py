@@ -202,6 +202,43 @@ def test_near_copies(spark, empty):
     assert whole == split
 
 
+def test_golay_keys_of_near_copies():
+    """Words 2 bits apart or less always share a key, those of a pair just at the least similarity as often as said."""
+    r, table = np.random.default_rng(4), simhash.golay_table()
+
+    def shared(flips):
+        bits = r.integers(0, 2, (len(flips), 1, 25), dtype=np.uint8)
+        other = bits.copy()
+        other[:, 0, :23] ^= flips
+        pairs = [set(zip(*(x.tolist() for x in simhash.near_keys(b, table)), strict=True)) for b in (bits, other)]
+        assert len(pairs[0]) / len(flips) == pytest.approx(simhash.NEAR_KEYS, abs=0.1)
+        return len({row for row, _ in pairs[0] & pairs[1]}) / len(flips)
+
+    two = np.zeros((3000, 23), np.uint8)
+    for row in two:
+        row[r.choice(23, 2, replace=False)] = 1
+    assert shared(two) == 1
+    assert shared((r.random((20000, 23)) < simhash.NEAR_BITS).astype(np.uint8)) == pytest.approx(simhash.NEAR_SHARED, abs=0.02)
+
+
+def test_a_group_of_near_copies_has_few_links(spark, monkeypatch):
+    """A group's links grow with its members, not with the buckets and blocks they meet in."""
+    words, rows, wrote = [f"w{k}" for k in range(120)], [], {}
+    for i in range(240):
+        words[i % 120] = f"x{i}"
+        rows.append((i, " ".join(f"y{i}" if k in (i % 7, i % 11 + 20) else w for k, w in enumerate(words))))
+    real = simhash.materialize
+
+    def kept(df, tag):
+        wrote[tag] = real(df, tag)
+        return wrote[tag]
+
+    monkeypatch.setattr(simhash, "materialize", kept)
+    monkeypatch.setattr(simhash, "drop_table", lambda df: None)
+    simhash.near_links(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text", together=10)
+    assert 200 < wrote["near-candidates"].count() < 2.5 * len(rows) and 0 < wrote["near-links"].count() < 2.5 * len(rows)
+
+
 def test_similar_groups():
     """Groups of sets, within one block and between two, against all pairs."""
     r = random.Random(8)
