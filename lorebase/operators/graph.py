@@ -90,18 +90,25 @@ def text_edges(nodes: DataFrame) -> DataFrame:
     """MAP-06, JOI-15/16, AGG-16: (id, other, relation_type, weight, page_title):
     which node's page links or names which other node, the stronger way of each.
 
-    Links are an equi-join; all names are searched at once in each page.
+    Links are an equi-join; all names are searched at once in each page. Nodes of the
+    same names are one class, whose least id stands for it until the last join, so
+    that nothing but the result grows with pages times nodes of a name.
     """
+    own = nodes.groupBy("id").agg(F.sort_array(F.collect_set(F.struct("display_name", "page_title"))).alias("names"))
+    least = own.groupBy(F.col("names").alias("k")).agg(F.min("id").alias("cls"))
+    # Written, like the pages' classes below, so that the join on a frequent class can be split.
+    members = written(own.join(least, F.col("names") == F.col("k")).select(F.col("id").alias("other"), "cls", "names"), "members")
     page = nodes.where("body IS NOT NULL AND body <> ''").select("id", "body", F.coalesce("page_title", "display_name").alias("page_title"))
-    keys = nodes.select(F.col("id").alias("other"), F.explode(F.array_distinct(F.array_compact(F.array(F.lower("display_name"), F.lower("page_title"))))).alias("key")).distinct()
-    links = page.select("id", "page_title", F.explode(tx.wikilinks(F.col("body"))).alias("key")).join(keys, "key").where("id <> other")
-    names = nodes.select(F.col("id").alias("other"), F.explode(F.array_compact(F.array("display_name", "page_title"))).alias("name"))
-    named = mentioned(page, names).join(page.select("id", "page_title"), "id")
-    both = links.select("id", "other", "page_title", F.lit("wiki_link").alias("relation_type"), F.lit(WIKI_LINK).alias("weight")).unionByName(
-        named.select("id", "other", "page_title", F.lit("page_reference").alias("relation_type"), F.lit(PAGE_REFERENCE).alias("weight"))
+    names = members.where(F.col("other") == F.col("cls")).select("cls", F.explode("names").alias("n"))
+    names = names.select("cls", F.explode(F.array_compact(F.array("n.display_name", "n.page_title"))).alias("name"))
+    keys = names.select("cls", F.lower("name").alias("key")).distinct()
+    links = page.select("id", "page_title", F.explode(tx.wikilinks(F.col("body"))).alias("key")).join(keys, "key")
+    named = mentioned(page, names.withColumnRenamed("cls", "other"), itself=True).withColumnRenamed("other", "cls").join(page.select("id", "page_title"), "id")
+    both = links.select("id", "cls", "page_title", F.lit("wiki_link").alias("relation_type"), F.lit(WIKI_LINK).alias("weight")).unionByName(
+        named.select("id", "cls", "page_title", F.lit("page_reference").alias("relation_type"), F.lit(PAGE_REFERENCE).alias("weight"))
     )
-    best = both.groupBy("id", "other", "page_title").agg(F.max_by(F.struct("relation_type", "weight"), "weight").alias("x"))
-    return best.select("id", "other", "x.relation_type", "x.weight", "page_title")
+    best = written(both.groupBy("id", "cls", "page_title").agg(F.max_by(F.struct("relation_type", "weight"), "weight").alias("x")), "text-edges")
+    return best.join(members.select("cls", "other"), "cls").where("id <> other").select("id", "other", "x.relation_type", "x.weight", "page_title")
 
 
 def merge_text_edges(explicit: DataFrame, found: DataFrame) -> DataFrame:

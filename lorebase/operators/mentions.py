@@ -6,18 +6,31 @@ import math
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as tx
 from .shared import written
 
 #: Bytes of names that one automaton has, about; more names make more rounds over the pages.
 NAME_BYTES = 8 << 20
+#: Names that may lie anywhere in a text's letters and digits.
+PLAIN = r"^[\p{L}\p{N}]{4,}$"
+#: Pages that a task has as Python's texts at once.
+PAGES = 200
 
 
-def mentioned(pages: DataFrame, names: DataFrame) -> DataFrame:
+def _needed(variants: Column) -> Column:
+    """The variants of a name that decide: a text with one whose letters and digits hold
+    another one, a plain one of four characters or more, mentions that one too."""
+    bare = lambda v: F.when(F.regexp_like(v, F.lit("[ -]")), F.regexp_replace(v, "[^a-z0-9]+", "")).otherwise(v)
+    plain = F.filter(variants, lambda v: F.regexp_like(v, F.lit(PLAIN)))
+    return F.filter(variants, lambda v: ~F.exists(plain, lambda u: (u != v) & F.contains(bare(v), u)))
+
+
+def mentioned(pages: DataFrame, names: DataFrame, itself: bool = False) -> DataFrame:
     """(id, other) for each of ``pages`` (id, body) that mentions a name of ``names``
-    (other, of the type of id; name), in one of its variants (SCA-24/25), itself excepted.
+    (other, of the type of id; name), in one of its variants (SCA-24/25), itself excepted
+    unless ``itself``.
 
     Each task reads its pages once with an Aho-Corasick automaton over all variants,
     so the cost follows the pages and what is found, not the product of pages and
@@ -25,38 +38,42 @@ def mentioned(pages: DataFrame, names: DataFrame) -> DataFrame:
     """
     spark = pages.sparkSession
     kind = dict(names.dtypes)["other"]
-    v = names.select("other", F.explode(tx.name_variants(F.col("name"))).alias("v")).distinct()
+    v = names.select("other", tx.name_variants(F.col("name")).alias("v")).select("other", F.explode(_needed(F.col("v"))).alias("v")).distinct()
     several = F.regexp_like("v", F.lit("[ -]"))
-    v = written(v.where(several | F.regexp_like("v", F.lit(r"^[\p{L}\p{N}]{4,}$"))).withColumn("several", several), "names")
-    size = v.agg(F.coalesce(F.sum(F.octet_length("v") + 64), F.lit(0))).first()[0]
+    v = written(v.where(several | F.regexp_like("v", F.lit(PLAIN))).withColumn("several", several), "names")
+    size, spaced = v.agg(F.coalesce(F.sum(F.octet_length("v") + 64), F.lit(0)), F.coalesce(F.bool_or("several"), F.lit(False))).first()
     rounds = max(1, math.ceil(size / NAME_BYTES))
     low = F.lower("body")
-    read = pages.select("id", low.alias("low"), F.regexp_replace(low, "[^a-z0-9]+", "").alias("compact")).where("low <> ''")
+    read = pages.where(low != "").select("id", (low if spaced else F.lit("")).alias("low"), F.regexp_replace(low, "[^a-z0-9]+", "").alias("compact"))
     out = None
     for k in range(rounds):
         own = v.where(F.pmod(F.xxhash64("v"), F.lit(rounds)) == k).groupBy("v", "several").agg(F.collect_set("other").alias("others")).collect()
-        sent = spark.sparkContext.broadcast([(r["v"], r["several"], r["others"]) for r in own])
+        sent = spark.sparkContext.broadcast({"names": [(r["v"], r["several"], r["others"]) for r in own]})
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             import ahocorasick
 
-            found = []
-            for kind in (True, False):  # names of several words lie in the text, plain ones in its letters and digits
-                a = ahocorasick.Automaton()
-                for name, several, others in sent.value:
-                    if several == kind:
-                        a.add_word(name, others)
-                if len(a):
-                    a.make_automaton()
-                    found.append((0 if kind else 1, a))
-            for b in batches:
-                ids, others = [], []
-                texts = [b.column("low").to_pylist(), b.column("compact").to_pylist()]
-                for row, i in enumerate(b.column("id").to_pylist()):
-                    hit = {o for at, a in found for _, x in a.iter(texts[at][row]) for o in x} - {i}
-                    ids += [i] * len(hit)
-                    others += hit
-                yield pa.RecordBatch.from_arrays([pa.array(ids, b.schema.field("id").type), pa.array(others, b.schema.field("id").type)], ["id", "other"])
+            if "found" not in sent.value:  # a worker's next task has them
+                found = []
+                for kind in (True, False):  # names of several words lie in the text, plain ones in its letters and digits
+                    a = ahocorasick.Automaton()
+                    for name, several, others in sent.value["names"]:
+                        if several == kind:
+                            a.add_word(name, others)
+                    if len(a):
+                        a.make_automaton()
+                        found.append((0 if kind else 1, a))
+                sent.value["found"] = found
+            found = sent.value["found"]
+            for whole in batches:
+                for start in range(0, whole.num_rows, PAGES):
+                    b, ids, others = whole.slice(start, PAGES), [], []
+                    texts = [b.column("low").to_pylist(), b.column("compact").to_pylist()]
+                    for row, i in enumerate(b.column("id").to_pylist()):
+                        hit = {o for at, a in found for _, x in a.iter(texts[at][row]) for o in x} - (set() if itself else {i})
+                        ids += [i] * len(hit)
+                        others += hit
+                    yield pa.RecordBatch.from_arrays([pa.array(ids, b.schema.field("id").type), pa.array(others, b.schema.field("id").type)], ["id", "other"])
 
         part = read.mapInArrow(run, f"id {dict(pages.dtypes)['id']}, other {kind}")
         out = part if out is None else out.unionByName(part)
