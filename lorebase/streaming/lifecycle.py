@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 # A job's states, and the moves between them.
@@ -87,43 +87,55 @@ def lifecycle(events: DataFrame, lease_seconds: int | None = None, late: str = "
     return events.groupBy("job_id").transformWithState(_Jobs(lease_seconds), STATES.format(kind), "append", "EventTime" if lease_seconds else "None")
 
 
+class _Ends(StatefulProcessor):
+    """Of a job's events those that a queue heeds: the first that queues it and the first that ends it since."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.phase = handle.getValueState("phase", "phase int")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        phase = self.phase.get()[0] if self.phase.exists() else 0
+        if phase < 2:
+            for ts, event, status in sorted((r["ts"], r["event_id"], r["status"]) for r in rows):
+                if phase < 2 and (status == QUEUED) == (phase == 0):
+                    phase += 1
+                    yield Row(project_id=key[0], job_id=key[1], ts=ts, event_id=event, status=status)
+            self.phase.update((phase,))
+
+    def close(self) -> None:
+        pass
+
+
 class _Turns(StatefulProcessor):
-    """STR-01: hands out a project's jobs one after another."""
+    """STR-01: hands out a project's jobs one after another. Those that wait are kept by
+    their place, from ``head`` to before ``tail``, so that a batch reads just those it starts."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("state", f"turn long, running {self.kind}")
-        self.waiting = handle.getListState("waiting", f"job_id {self.kind}")
-        self.known = handle.getMapState("known", f"job_id {self.kind}", "done boolean")
+        self.state = handle.getValueState("state", f"turn long, running {self.kind}, head long, tail long")
+        self.waiting = handle.getMapState("waiting", "place long", f"job_id {self.kind}")
+        self.known = handle.getMapState("known", f"job_id {self.kind}", "place long")
 
     def __init__(self, kind: str):
         self.kind = kind
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        turn, running = self.state.get() if self.state.exists() else (0, None)
-        waiting = [x[0] for x in self.waiting.get()]
-        for r in sorted(rows, key=lambda r: (r["ts"], r["event_id"])):
-            job = (r["job_id"],)
-            if r["status"] == QUEUED:
-                if self.known.containsKey(job):
-                    continue  # a replay
-                self.known.updateValue(job, (False,))
-                waiting.append(job[0])
-            elif r["status"] in (SUCCEEDED, FAILED, CANCELLED):
-                if not self.known.containsKey(job) or self.known.getValue(job)[0]:
-                    continue  # never queued, or over already
-                self.known.updateValue(job, (True,))
-                if running == job[0]:
-                    running = None
-                else:
-                    waiting.remove(job[0])
-            if running is None and waiting:
-                running, turn = waiting.pop(0), turn + 1
-                yield Row(project_id=key[0], turn=turn, job_id=running, ts=r["ts"])
-        self.state.update((turn, running))
-        if waiting:
-            self.waiting.put([(x,) for x in waiting])
-        else:
-            self.waiting.clear()
+        turn, running, head, tail = self.state.get() if self.state.exists() else (0, None, 0, 0)
+        for ts, _, job, status in sorted((r["ts"], r["event_id"], r["job_id"], r["status"]) for r in rows):
+            if status == QUEUED:
+                self.known.updateValue((job,), (tail,))
+                self.waiting.updateValue((tail,), (job,))
+                tail += 1
+            elif running == job:
+                running = None
+            else:
+                self.waiting.removeKey(self.known.getValue((job,)))
+            while running is None and head < tail:
+                if self.waiting.containsKey((head,)):
+                    running, turn = self.waiting.getValue((head,))[0], turn + 1
+                    self.waiting.removeKey((head,))
+                    yield Row(project_id=key[0], turn=turn, job_id=running, ts=ts)
+                head += 1
+        self.state.update((turn, running, head, tail))
 
     def close(self) -> None:
         pass
@@ -134,10 +146,13 @@ def serial_queue(events: DataFrame) -> DataFrame:
     job_id, ts, event_id, status) let start: the first that waits, once the one before
     it in its project has succeeded, failed or been cancelled. Jobs start in the order
     in which they were queued, each once, whatever is replayed; a waiting job that is
-    cancelled never starts."""
+    cancelled never starts. A task holds a batch's events of one job, and of a project
+    two of each job."""
     spark, kinds = events.sparkSession, dict(events.dtypes)
     spark.conf.set(PROVIDER, ROCKS)
-    events = events.select("project_id", "job_id", "ts", "event_id", "status")
+    events = events.select("project_id", "job_id", "ts", "event_id", "status").where(F.col("status").isin(QUEUED, SUCCEEDED, FAILED, CANCELLED))
+    ends = "project_id {project_id}, job_id {job_id}, ts {ts}, event_id {event_id}, status string".format(**kinds)
+    events = events.groupBy("project_id", "job_id").transformWithState(_Ends(), ends, "append", "None")
     return events.groupBy("project_id").transformWithState(_Turns(kinds["job_id"]), TURNS.format(kinds["project_id"], kinds["job_id"]), "append", "None")
 
 

@@ -133,3 +133,31 @@ def test_the_queue_over_a_whole_table(spark):
         turns[p] = turns.get(p, 0) + 1
         want.append((p, turns[p], j))
     assert got == sorted(want) and len(want) > 20
+
+
+def test_a_queue_is_told_of_each_job_twice_at_most():
+    """Replays and other events of a job end before the project's state, however many there are, batch by batch."""
+
+    class Value:
+        def __init__(self):
+            self.now = None
+
+        def exists(self):
+            return self.now is not None
+
+        def get(self):
+            return self.now
+
+        def update(self, now):
+            self.now = now
+
+    ends = lifecycle._Ends()
+    ends.phase, r, got, want, phase = Value(), random.Random(6), [], [], 0
+    for batch in range(4):
+        rows = [{"ts": batch * 100 + k // 2, "event_id": batch * 100 + k, "status": r.choice(["succeeded", "queued", "failed"])} for k in range(batch * 30)]
+        for x in rows:
+            if phase < 2 and (x["status"] == "queued") == (phase == 0):
+                phase += 1
+                want.append((x["event_id"], x["status"]))
+        got += [(x["event_id"], x["status"]) for x in ends.handleInputRows(("p", "j"), iter(r.sample(rows, len(rows))), None)]
+    assert got == want and len(got) == 2
