@@ -24,13 +24,15 @@ BUCKET = 1 << 24
 #: Windows that are read first, to learn what the best hits score at least.
 FIRST = 32
 BLOCKS = "term string, window long, n int, top_tf int, least_dl int, at array<int>, tfs array<int>, dls array<int>, bucket int"
+#: Units whose words a task counts at once.
+UNITS = 200
 #: Segments that may pile up before they are merged.
 SEGMENTS = 8
 
 
 def _postings_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Units with their words to a row per unit and distinct word."""
-    for b in batches:
+    for b in (whole.slice(at, UNITS) for whole in batches for at in range(0, whole.num_rows, UNITS)):
         words = b.column("words")
         coded = words.flatten().dictionary_encode()
         unit = np.repeat(np.arange(b.num_rows), pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False))

@@ -106,3 +106,13 @@ def test_an_index_of_nothing(spark, tmp_path):
     assert i.bm25("a").count() == 0 == i.bm25("a*", limit=2).count()
     i.update(frame(spark, texts(2, 3)))
     assert i.bm25("hot").count() == 3
+
+
+def test_words_are_counted_few_units_at_a_time():
+    import pyarrow as pa
+
+    units = pa.RecordBatch.from_pydict({"ord": list(range(900)), "dl": [3] * 900, "words": [["a", "b", f"w{k}"] if k % 9 else ["a", "a", "a"] for k in range(900)]})
+    got = list(index._postings_of(iter([units])))
+    rows = sorted((x["ord"], x["term"], x["tf"]) for b in got for x in b.to_pylist())
+    assert rows == sorted([(k, t, 1) for k in range(900) if k % 9 for t in ("a", "b", f"w{k}")] + [(k, "a", 3) for k in range(0, 900, 9)])
+    assert max(len(set(b.column("ord").to_pylist())) for b in got) <= index.UNITS < 900
