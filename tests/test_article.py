@@ -85,3 +85,12 @@ def test_functions_in_sql(spark):
     assert rows("SELECT w.* FROM lore_test, LATERAL lore_wikilinks(t) w ORDER BY place") == [(1, "A b", "s", "l"), (2, "C", None, None)]
     assert rows("SELECT id, c.place, c.chunk FROM lore_test, LATERAL lore_chunks(t, 3, 1) c WHERE id > 1 ORDER BY 1, 2") == [(4, 1, "a b c"), (4, 2, "c d e")]
     assert rows("SELECT lore_slug(' A  b_C! ')") == [("a-b-c",)]
+
+
+def test_pages_are_read_few_at_a_time():
+    """Of a large batch a task holds few pages as texts."""
+    import pyarrow as pa
+
+    given = pa.RecordBatch.from_pydict({"page_id": list(range(950)), "url": ["u"] * 950, "html": ["<p>one two</p>"] * 950, "plain": ["one two"] * 950})
+    got = list(article._articles_of(iter([given])))
+    assert [i for b in got for i in b.column("page_id").to_pylist()] == list(range(950)) and max(b.num_rows for b in got) <= article.PAGES < 950
