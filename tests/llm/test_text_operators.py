@@ -381,6 +381,59 @@ def test_every_repeated_line_is_dropped(spark):
     assert {x["_doc"]["doc_id"]: x["dropped"] for x in got} == want
 
 
+def repeated(texts, least=1):
+    """Per text the lines that lie in ``least`` lines in a row that stand earlier, by brute force."""
+    seen, want = set(), []
+    for t in texts:
+        full = [x for x in t.split("\n") if WORD.search(x)]
+        gone = set()
+        for k in range(len(full) - least + 1):
+            run = tuple(full[k : k + least])
+            gone.update(range(k, k + least) if run in seen else ())
+            seen.add(run)
+        want.append(sorted(gone))
+    return want
+
+
+def test_lines_are_winnowed_and_the_rest_is_compared_exactly(spark):
+    assert lines.GRAM > 1 and lines.WINDOW > 1
+    r = random.Random(21)
+    texts = ["x\nb\nc\ny", "p\na\nb\nc\nd\nq", "r\na\nb\nc\nd\ns", "a\na\na\na\na", "", "\n \n", "a", "}\nown\n}"]
+    texts += ["\n".join(str(r.randrange(40)) if r.random() < 0.6 else f"{i} {k}" for k in range(r.randrange(14))) for i in range(40)]
+    block = [f"shared {k}" for k in range(60)]
+    for i in range(30):
+        at, to = r.randrange(50), r.randrange(50)
+        texts.append("\n".join([f"own {i}", *block[at : at + r.randrange(1, 11)], *block[to : to + 7], "\t", f"end {i}"]))
+    texts += ["\n".join(f"copied {k}" for k in range(11))] * 2
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3).withColumn("_key", F.xxhash64("doc_id", "text")).cache()
+    hashes = lines.line_hashes(docs, "doc_id").cache()
+    full = {i: [x for x in t.split("\n") if WORD.search(x)] for i, t in enumerate(texts)}
+    n = sum(map(len, full.values()))
+
+    # Winnowing: fewer fingerprints than lines, each window of grams has one, and all it finds are repeats.
+    chosen = collections.defaultdict(set)
+    for m in lines.line_fingerprints(hashes, lines.GRAM, lines.WINDOW).collect():
+        chosen[m["_id"]].add(m["_i"])
+    assert sum(map(len, chosen.values())) < 0.7 * n
+    for i, ls in full.items():
+        grams = len(ls) - lines.GRAM + 1
+        assert all(chosen[i] & set(range(k, k + lines.WINDOW)) for k in range(grams - lines.WINDOW + 1)) and chosen[i] <= set(range(max(grams, 0)))
+    once = repeated(texts)
+    found = {m["_id"]: {k for a, b in m["runs"] for k in range(a, b)} for m in lines.winnowed_runs(hashes).collect()}
+    assert all(ks <= set(once[i]) for i, ks in found.items()) and sum(map(len, found.values())) > 0.5 * sum(map(len, once))
+    assert found[len(texts) - 1] == set(range(len(full[len(texts) - 1])))
+
+    # The exact pass reads what winnowing has left, and no more.
+    runs = lines.winnowed_runs(hashes).cache()
+    rest = {(m["_id"], k) for m in lines.remaining_runs(hashes, runs).collect() for k in range(m["start"], m["end"])}
+    assert rest == {(i, k) for i, ks in enumerate(once) for k in ks if k not in found.get(i, ())} and rest
+
+    # Whatever gram and window, the result is that of brute force.
+    for least, gram, window in [(1, lines.GRAM, lines.WINDOW), (1, 3, 4), (2, 2, 3), (3, 2, 5)]:
+        got = lines.dedup_lines(docs, gram=gram, window=window, least=least).collect()
+        assert {x["_doc"]["doc_id"]: x["dropped"] for x in got} == dict(enumerate(repeated(texts, least))), (least, gram, window)
+
+
 def test_packing(docs, empty):
     from tokenizers import Tokenizer
 
