@@ -15,6 +15,8 @@ from .shared import written
 # Limits and weights of the map.
 MOST_NODES, INFERRED_PER_NODE, NEIGHBOURS, ROUNDS = 140, 4, 8, 8
 WIKI_LINK, PAGE_REFERENCE = 0.86, 0.72
+#: Rows that a task makes of pages' classes, and members of a class that are sent together, about.
+PAIRS, MEMBERS = 8_000_000, 1000
 GROUP_EXPLICIT, GROUP_INFERRED, GROUP_SHARED, GROUP_TERMS, SAME_TYPE, SINGLE = 1.35, 0.32, 0.07, 0.18, 0.24, 0.06
 
 EDGE = "source, target, relation_type, kind, weight, shared_sources, evidence_count, lexical_overlap, evidence_sources, page_titles".split(", ")
@@ -86,29 +88,43 @@ def explicit_edges(relations: DataFrame, nodes: DataFrame) -> DataFrame:
     return g.withColumn("kind", F.lit("explicit"))
 
 
-def text_edges(nodes: DataFrame) -> DataFrame:
-    """MAP-06, JOI-15/16, AGG-16: (id, other, relation_type, weight, page_title):
-    which node's page links or names which other node, the stronger way of each.
+def text_edges(nodes: DataFrame, titles: bool = True) -> DataFrame:
+    """MAP-06, JOI-15/16, AGG-16: (id, other, relation_type, weight and, with ``titles``,
+    page_title): which node's page links or names which other node, the stronger way of each.
 
-    Links are an equi-join; all names are searched at once in each page. Nodes of the
-    same names are one class, whose least id stands for it until the last join, so
-    that nothing but the result grows with pages times nodes of a name.
+    All names are searched at once in each page, with its links, so that pages are read
+    and shuffled once. Nodes of the same names are one class, whose least id stands for it
+    until the last join, so that nothing but the result grows with pages times nodes of a name.
     """
     own = nodes.groupBy("id").agg(F.sort_array(F.collect_set(F.struct("display_name", "page_title"))).alias("names"))
     least = own.groupBy(F.col("names").alias("k")).agg(F.min("id").alias("cls"))
     # Written, like the pages' classes below, so that the join on a frequent class can be split.
     members = written(own.join(least, F.col("names") == F.col("k")).select(F.col("id").alias("other"), "cls", "names"), "members")
-    page = nodes.where("body IS NOT NULL AND body <> ''").select("id", "body", F.coalesce("page_title", "display_name").alias("page_title"))
+    page = nodes.where("body IS NOT NULL AND body <> ''")
     names = members.where(F.col("other") == F.col("cls")).select("cls", F.explode("names").alias("n"))
-    names = names.select("cls", F.explode(F.array_compact(F.array("n.display_name", "n.page_title"))).alias("name"))
-    keys = names.select("cls", F.lower("name").alias("key")).distinct()
-    links = page.select("id", "page_title", F.explode(tx.wikilinks(F.col("body"))).alias("key")).join(keys, "key")
-    named = mentioned(page, names.withColumnRenamed("cls", "other"), itself=True).withColumnRenamed("other", "cls").join(page.select("id", "page_title"), "id")
-    both = links.select("id", "cls", "page_title", F.lit("wiki_link").alias("relation_type"), F.lit(WIKI_LINK).alias("weight")).unionByName(
-        named.select("id", "cls", "page_title", F.lit("page_reference").alias("relation_type"), F.lit(PAGE_REFERENCE).alias("weight"))
+    names = names.select(F.col("cls").alias("other"), F.explode(F.array_compact(F.array("n.display_name", "n.page_title"))).alias("name"))
+    found = mentioned(page.select("id", "body"), names, itself=True, links=True)
+    best = found.groupBy("id", F.col("other").alias("cls")).agg(F.max("linked").alias("linked"))
+    if titles:
+        best = best.join(page.select("id", F.coalesce("page_title", "display_name").alias("page_title")).distinct(), "id")
+    linked, title = F.col("linked"), ["page_title"] * titles
+    return _of_members(written(best, "text-edges"), members.select("cls", "other")).where("id <> other").select(
+        "id", "other", F.when(linked, "wiki_link").otherwise("page_reference").alias("relation_type"), F.when(linked, WIKI_LINK).otherwise(PAGE_REFERENCE).alias("weight"), *title
     )
-    best = written(both.groupBy("id", "cls", "page_title").agg(F.max_by(F.struct("relation_type", "weight"), "weight").alias("x")), "text-edges")
-    return best.join(members.select("cls", "other"), "cls").where("id <> other").select("id", "other", "x.relation_type", "x.weight", "page_title")
+
+
+def _of_members(found: DataFrame, members: DataFrame) -> DataFrame:
+    """``found`` (id, cls and more) once per member (cls, other) of its class, in tasks of
+    some PAIRS rows: what meets is small against what comes of it, so neither bytes nor
+    classes tell the work. A class's pages are dealt out, its members go to each part in blocks."""
+    of = members.groupBy("cls").agg(F.count("*").alias("m")).join(found.groupBy("cls").agg(F.count("*").alias("n")), "cls")
+    of = written(of.select("cls", (F.col("m") * F.col("n")).alias("pairs"), F.ceil(F.col("m") * F.col("n") / PAIRS).alias("parts"), F.ceil(F.col("m") / MEMBERS).alias("blocks")), "classes")
+    tasks = max(1, math.ceil((of.agg(F.sum("pairs")).first()[0] or 0) / PAIRS))
+    part = lambda c, n: F.pmod(F.xxhash64(c), F.col(n))
+    left = found.join(of.select("cls", "parts"), "cls").withColumn("part", part("id", "parts")).drop("parts").repartition(tasks, "cls", "part")
+    blocks = members.join(of.select("cls", "parts", "blocks"), "cls").groupBy("cls", "parts", part("other", "blocks")).agg(F.collect_list("other").alias("others"))
+    right = blocks.select("cls", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "others").repartition(tasks, "cls", "part")
+    return left.join(right, ["cls", "part"]).withColumn("other", F.explode("others")).drop("part", "others")
 
 
 def merge_text_edges(explicit: DataFrame, found: DataFrame) -> DataFrame:

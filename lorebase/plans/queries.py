@@ -687,13 +687,12 @@ def map_text_edges(spark, d):
     linking to the next: which whole text links to or mentions which other's name."""
     t = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
     name = F.regexp_replace(F.regexp_extract("text", r"^[^\x20\x09-\x0D]+(?: [^\x20\x09-\x0D]+){3}", 0), r"[\[\]|#]", "")
-    t = written(t.withColumn("display_name", name), "named")
-    following = written(t.select("id", "display_name"), "following").select("id", F.col("display_name").alias("next"))
-    ids = t.select("id").join(following.select(F.col("id").alias("later")), F.col("later") == F.col("id") + 1, "left")
-    j = t.join(ids.join(following.withColumnRenamed("id", "later"), "later", "left").select("id", "next"), "id")
+    named = written(t.select("id", name.alias("display_name")), "named")  # texts are read again, not written
+    following = named.select((F.col("id") - 1).alias("id"), F.col("display_name").alias("next"))
+    j = t.join(named.join(following, "id", "left"), "id")
     body = F.concat("text", F.lit(" see [["), F.coalesce("next", F.lit("")), F.lit("]]"))
     n = j.select("id", "display_name", F.lit(None).cast("string").alias("page_title"), body.alias("body"))
-    return graph.text_edges(n).select("id", "other", "relation_type")
+    return graph.text_edges(n, titles=False).select("id", "other", "relation_type")
 
 
 def part_pages(spark, d) -> DataFrame:
