@@ -228,9 +228,10 @@ def html_title(c: Column) -> Column:
     return F.trim(F.coalesce(F.regexp_extract(c, r"(?i)<title[^>]*>([^<]+)</title>", 1), F.lit("")))
 
 
-def html_text(c: Column, limit: int = 50_000) -> Column:
-    """SRC-07, the branch without libraries: tags to spaces, collapsed, cut."""
-    return F.substring(collapse(F.regexp_replace(c, "<[^>]+>", " ")), 1, limit)
+def html_text(c: Column, limit: int | None = 50_000) -> Column:
+    """SRC-07, the branch without libraries: tags to spaces, collapsed, cut to ``limit`` unless that is None."""
+    text = collapse(F.regexp_replace(c, "<[^>]+>", " "))
+    return text if limit is None else F.substring(text, 1, limit)
 
 
 def one_of(c: Column, allowed: list[str], default: str) -> Column:

@@ -94,3 +94,11 @@ def test_pages_are_read_few_at_a_time():
     given = pa.RecordBatch.from_pydict({"page_id": list(range(950)), "url": ["u"] * 950, "html": ["<p>one two</p>"] * 950, "plain": ["one two"] * 950})
     got = list(article._articles_of(iter([given])))
     assert [i for b in got for i in b.column("page_id").to_pylist()] == list(range(950)) and max(b.num_rows for b in got) <= article.PAGES < 950
+
+
+def test_a_long_page_without_an_article_keeps_its_whole_text(spark):
+    """The text that stands in for an article has no limit."""
+    words = [f"w{k}" for k in range(30_000)]
+    html = "".join(f'<p><a href="/{w}">{w}</a></p>' for w in words)
+    got = article.articles(spark.createDataFrame([(1, "u", html)], "page_id int, url string, html string")).first()
+    assert got["text"] == " ".join(words) and len(got["text"]) > 50_000
